@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, substring_bytes
+from . import exact_dedup, packing, substring_bytes, substring_words, warc
+from .common import materialise, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +16,50 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"), new_path(spark, "archives"))
+    records = materialise(warc.read_archives(spark, path).drop("payload", "url"), "warc-records")
+    return warc.resolve_revisits(records, ("payload_bytes",))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_bytes.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_words.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op1_warc_revisits": op1_warc_revisits,
+    "op3_substring_dedup": op3_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), w AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS target FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN target = page_id THEN NULL ELSE target END AS refers_to
+FROM w
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -39,5 +75,6 @@ FROM d WINDOW w AS (PARTITION BY digest ORDER BY n DESC, doc_id ROWS BETWEEN UNB
 """
 
 ORACLE_SQL = {
+    "op1_warc_revisits": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
