@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, substring_bytes, substring_words, warc
+from . import exact_dedup, near_dedup, packing, substring_bytes, substring_words, warc
 from .common import materialise, new_path
 
 
@@ -30,6 +30,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_words.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -41,6 +45,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op1_warc_revisits": op1_warc_revisits,
     "op3_substring_dedup": op3_substring_dedup,
