@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, substring_bytes, substring_words, warc
+from . import exact_dedup, language_id, near_dedup, packing, substring_bytes, substring_words, warc
 from .common import materialise, new_path
 
 
@@ -44,7 +45,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(language_id.fold() != 1))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op9_language_id": op9_language_id,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op1_warc_revisits": op1_warc_revisits,
