@@ -1,13 +1,67 @@
-"""Corpus pipeline: stages over documents, each one operator of runlens.llm."""
+"""Corpus pipeline: five stages over ``documents``, each one operator.
+
+Language ID (texts that it rejects go), exact dedup (one row of equal texts
+stays), near dedup (one document of each group stays), mixing of sources to
+target weights, packing into token sequences. All stages but the last return
+the columns of ``documents``; each works on whole texts of all rows that its
+predecessor kept. No SQL expresses the first stage, so ``ORACLE_SQL`` is None
+and the stages are tested against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runlens.llm import exact_dedup, language_id, mixing, near_dedup, packing, queries
+from runlens.llm.common import materialise
+
+#: Share of all tokens that the mix takes.
+MIX_SHARE = 0.9
+#: Similarity, in hundredths, from which near duplicates are one group.
+NEAR_PERCENT = 80
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.where(language_id.fold() != 1))
+    return language_id.accepted(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_groups(docs, percent=NEAR_PERCENT, rows=4).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    levels = ["domain", "lang", "source"]
+    taken = mixing.mix(queries.with_domain(docs), levels, queries.mix_weights(spark), MIX_SHARE, max_epochs=1, seed=17)
+    taken = taken.select(F.col("doc_id").alias("_taken")).distinct()
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each returns is written before the next reads it."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, "stage")
     return docs

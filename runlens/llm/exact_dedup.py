@@ -93,3 +93,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         name = f"digest_index_{uuid.uuid4().hex}"
         index = DigestIndex(spark, name, new_path(spark, "digest-index"), shuffle_partitions(spark))
     return index.ingest(docs, id_col, text_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are."""
+    decided = exact_dedup(docs, id_col, text_col, index)
+    kept = materialise(decided.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")), "exact-kept")
+    once = kept.distinct()
+    digest = F.sha2(normalised(text_col).cast("binary"), 256)
+    rows = docs.join(once, docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    repeated = kept.groupBy("_id", "_digest").count().where("count > 1").limit(1).count() > 0
+    return rows.dropDuplicates([id_col, text_col]) if repeated else rows

@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -181,6 +182,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the model does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def keeps(texts: pd.Series) -> pd.Series:
+        m = shared.value
+        found = [m.predict(t) for t in texts]
+        return pd.Series([label != UNKNOWN and score >= m.reject_below for label, score in found], dtype=bool)
+
+    return docs.where(keeps(F.col(text_col)))
+
+
 def fold(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 3; fold 1 is held out."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3))

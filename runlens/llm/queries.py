@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, substring_bytes, substring_words, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, substring_bytes, substring_words, token_counts, warc
 from .common import materialise, new_path
 
 
@@ -31,6 +31,30 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_words.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+#: Target weights of the mix: of domains, then of languages and sources within them.
+MIX_WEIGHTS = [
+    ("domain", "web", 4), ("domain", "books", 3), ("domain", "news", 2), ("domain", "forum", 1),
+    ("lang", "en", 5), ("lang", "de", 2), ("lang", "fr", 2), ("lang", "es", 1),
+    ("source", "src0", 3),
+]
+#: Domains by the number of the source, modulo 4.
+DOMAINS = ("web", "books", "news", "forum")
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.coalesce(F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    return docs.withColumn("domain", F.element_at(F.array(*map(F.lit, DOMAINS)), F.pmod(number, F.lit(len(DOMAINS))) + 1))
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MIX_WEIGHTS, "level string, value string, weight long")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    return mixing.mix(docs, ["domain", "lang", "source"], mix_weights(spark), budget_share=0.6, max_epochs=2, seed=17)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +76,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op8_token_counts": op8_token_counts,
+    "op5_mixing": op5_mixing,
     "op9_language_id": op9_language_id,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -88,7 +118,55 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY digest ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
+def _share_sql(source: str, parent: str, name: str) -> str:
+    """The children of ``source`` with their whole-token shares, as ``given``."""
+    p = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+      SELECT * EXCLUDE (f_at, c0, w0, filled, rest, ws, over_, base, spare, place),
+             base + CASE WHEN NOT filled AND place <= spare THEN 1 ELSE 0 END AS given
+      FROM (SELECT *, row_number() OVER ({p} ORDER BY filled, over_ DESC, {name}) AS place,
+                   budget - sum(base) OVER ({p}) AS spare
+      FROM (SELECT *, CASE WHEN filled THEN capacity ELSE rest * weight // ws END AS base,
+                   CASE WHEN NOT filled THEN rest * weight % ws END AS over_
+      FROM (SELECT *, budget - coalesce(sum(CASE WHEN filled THEN capacity END) OVER ({p}), 0) AS rest,
+                   coalesce(sum(CASE WHEN NOT filled THEN weight END) OVER ({p}), 1) AS ws
+      FROM (SELECT *, capacity * w0 <= weight * (budget - c0) AS filled
+      FROM (SELECT *, coalesce(sum(capacity) OVER ({p} ORDER BY f_at, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
+                   sum(weight) OVER ({p}) - coalesce(sum(weight) OVER ({p} ORDER BY f_at, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0
+      FROM (SELECT *, capacity::DOUBLE / weight::DOUBLE AS f_at FROM {source}))))))"""
+
+
+def _mix_sql() -> str:
+    weight = lambda level: f"coalesce((SELECT w.weight FROM w WHERE w.level = '{level}' AND w.value = {level}), 1)::HUGEINT"
+    values = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in MIX_WEIGHTS)
+    domains = ", ".join(f"'{d}'" for d in DOMAINS)
+    return f"""
+    WITH w(level, value, weight) AS (VALUES {values}),
+    d AS (
+      SELECT doc_id, [{domains}][coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 4 + 1] AS domain,
+             coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(ceil(strlen(text) / 4), 0)::HUGEINT AS doc_tokens
+      FROM documents
+    ), rows_ AS (SELECT * FROM d WHERE doc_tokens > 0),
+    leaf AS (SELECT domain, lang, source, sum(doc_tokens)::HUGEINT AS size, sum(doc_tokens)::HUGEINT * 2 AS capacity, {weight('source')} AS weight FROM rows_ GROUP BY ALL),
+    mid AS (SELECT domain, lang, sum(capacity)::HUGEINT AS capacity, {weight('lang')} AS weight FROM leaf GROUP BY ALL),
+    top AS (SELECT domain, sum(capacity)::HUGEINT AS capacity, {weight('domain')} AS weight FROM mid GROUP BY ALL),
+    all_ AS (SELECT least(floor(sum(size) * 0.6::DOUBLE)::HUGEINT, sum(capacity)::HUGEINT) AS budget FROM leaf),
+    top_in AS (SELECT top.*, budget FROM top, all_), top_out AS ({_share_sql('top_in', '', 'domain')}),
+    mid_in AS (SELECT mid.*, t.given AS budget FROM mid JOIN top_out t USING (domain)), mid_out AS ({_share_sql('mid_in', 'domain', 'lang')}),
+    leaf_in AS (SELECT leaf.*, m.given AS budget FROM leaf JOIN mid_out m USING (domain, lang)), leaf_out AS ({_share_sql('leaf_in', 'domain, lang', 'source')}),
+    plan AS (SELECT domain, lang, source, (given // size)::BIGINT AS whole, given % size AS part FROM leaf_out),
+    o AS (
+      SELECT r.*, whole, part, sum(doc_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || coalesce(doc_id::VARCHAR, 'null')), doc_tokens ROWS UNBOUNDED PRECEDING) - doc_tokens AS before
+      FROM rows_ r JOIN plan USING (domain, lang, source)
+    )
+    SELECT doc_id, domain, lang, source, epoch, doc_tokens::BIGINT AS doc_tokens, taken::BIGINT AS taken
+    FROM (SELECT *, CASE WHEN epoch < whole THEN doc_tokens ELSE greatest(0, least(doc_tokens, part - before)) END AS taken
+          FROM (SELECT *, unnest(range(0, whole + 1)) AS epoch FROM o))
+    WHERE taken > 0"""
+
+
 ORACLE_SQL = {
+    "op5_mixing": _mix_sql(),
     "op1_warc_revisits": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
