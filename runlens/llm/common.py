@@ -57,3 +57,8 @@ def pieces_of(total: int, each: int, least: int = 1) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` (short) rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -95,9 +95,9 @@ def _features(bits: int):
                         parts.append(data[at : at + size].decode("utf-8", "ignore").encode())
                 for k, part in enumerate(parts):
                     at, n = np.unique(buckets_of(part, bits), return_counts=True)
-                    rows.append((label, k, seed, at.astype(np.int32), n.astype(np.float32)))
+                    rows.append((label, k, seed, at.astype(np.int32).tobytes(), n.astype(np.float32).tobytes()))
             if rows:
-                kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+                kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["label", "part", "seed", "at", "n"])
 
     return run
@@ -113,7 +113,7 @@ def sample(docs: DataFrame, max_rows: int, bits: int) -> list:
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))))
     seed = F.xxhash64("id", F.lit(11))
     chosen = known.withColumn("seed", seed).where(F.pmod("seed", F.lit(1 << 20)) < F.lit(1 << 20) * F.try_element_at(share, F.col("label")))
-    rows = chosen.select("label", "text", "seed").mapInArrow(_features(bits), "label string, part int, seed long, at array<int>, n array<float>")
+    rows = chosen.select("label", "text", "seed").mapInArrow(_features(bits), "label string, part int, seed long, at binary, n binary")
     return sorted(rows.collect(), key=lambda r: (r["seed"], r["part"], r["label"]))
 
 
@@ -122,7 +122,10 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
     labels = sorted({r["label"] for r in rows})
     index = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    data = [(np.array(r["at"]), np.array(r["n"], np.float32) / max(1.0, float(sum(r["n"]))), index[r["label"]], r["part"], r["seed"] % 5 == 0) for r in rows]
+    data = []
+    for r in rows:
+        n = np.frombuffer(r["n"], np.float32)
+        data.append((np.frombuffer(r["at"], np.int32), n / max(1.0, float(n.sum())), index[r["label"]], r["part"], r["seed"] % 5 == 0))
     fit, held = [d for d in data if not d[4]] or data, [d for d in data if d[4]] or data
     emb = rng.normal(0, 0.1, (1 << bits, dims)).astype(np.float32)
     weight, bias = np.zeros((dims, len(labels)), np.float32), np.zeros(len(labels), np.float32)
@@ -161,7 +164,7 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
     return Model(labels, table.astype(np.float32), bias, temperature, min(reject, 1 / max(1, len(labels)) + 0.2), bits)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 3000, bits: int = 15) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2400, bits: int = 15) -> Model:
     rows = sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")), max_rows, bits)
     return train(rows, bits) if rows else Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 
 #: Hash digits that sums are kept for: 16 ** DIGITS per leaf.
 DIGITS = 3
@@ -95,14 +95,16 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: fl
     given = budgets(leaves, levels, weights, int(total * budget_share), default_weight)
     whole = F.expr("given div size")
     plan = given.join(leaves.drop("capacity"), levels).select(*levels, whole.alias("_whole"), (F.col("given") - whole * F.col("size")).alias("_part"))
-    rows = light.join(plan, levels)
+    plan = materialise(plan, "mix-plan")
+    rows = light.join(broadcast_if_small(plan), levels)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary"))
     rows = rows.withColumn("_key", key).withColumn("_digits", F.substring("_key", 1, DIGITS))
     sums = rows.groupBy(*levels, "_digits").agg(F.sum("_tokens").alias("_n"), F.first("_part").alias("_part"))
     after = F.sum("_n").over(W.partitionBy(*levels).orderBy("_digits"))
     ends = sums.withColumn("_before", after - F.col("_n")).where("_before <= _part and _part < _before + _n")
     ends = ends.select(*levels, F.col("_digits").alias("_cut"), "_before")
-    rows = rows.join(ends, levels, "left")
+    ends = materialise(ends, "mix-ends")
+    rows = rows.join(broadcast_if_small(ends), levels, "left")
     inside = rows.where("_digits = _cut")
     order = W.partitionBy(*levels).orderBy("_key", "_tokens").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("_part") - F.col("_before") - F.coalesce(F.sum("_tokens").over(order), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, substring_bytes, substring_words, token_counts, warc
+from . import exact_dedup, language_id, mixing, near_dedup, neighbours, packing, substring_bytes, substring_words, token_counts, warc
 from .common import materialise, new_path
 
 
@@ -80,7 +80,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op10_nn_descent": op10_nn_descent,
     "op8_token_counts": op8_token_counts,
     "op5_mixing": op5_mixing,
     "op9_language_id": op9_language_id,
