@@ -9,9 +9,9 @@ it, so neighbours of neighbours meet, and sends each the best of the others.
 These are joins between blocks of nodes with packed messages; a vector goes to
 a block once, however many of the block's nodes it is sent to.
 
-A query starts at its own node's list and expands its best unexpanded nodes,
-round by round, by joins of (query, node) with the graph and the vectors, until
-its best ``beam`` nodes are all expanded. Scores are inner products of the
+A query starts at its own node and expands its best unexpanded nodes, round by
+round, by joins of (query, node) with the blocks of the graph, until its best
+``beam`` nodes are all expanded. Scores are inner products of the
 original components in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
@@ -227,8 +227,8 @@ def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) ->
     return grouped.cogroup(better.groupBy("blk")).applyInArrow(improve, STATE)
 
 
-def build(nodes: DataFrame, dims: int, keep: int = 36, trees: int = 8, run: int = 384, rounds: int = 6, named: int = 90, told: int = 16, settled: float = 0.02) -> DataFrame:
-    """The graph of ``nodes`` (node, vec): node, near, sim, and their blocks.
+def build(nodes: DataFrame, dims: int, keep: int = 36, trees: int = 8, run: int = 384, rounds: int = 6, named: int = 90, told: int = 16, settled: float = 0.02) -> tuple[DataFrame, int]:
+    """The graph of ``nodes`` (node, vec): blk, node, near, sim; number of blocks.
 
     Rounds stop when less than ``settled`` of the list entries change.
     """
@@ -255,45 +255,179 @@ def build(nodes: DataFrame, dims: int, keep: int = 36, trees: int = 8, run: int
         state = materialise(descend(state, blocks, keep, named, told), "graph")
         if (state.agg(F.sum("changed")).first()[0] or 0) < settled * n * keep:
             break
-    return state
+    return state, blocks
 
 
-def inner(pairs: DataFrame) -> DataFrame:
-    """(query, node, score) of (query, node, q, x): products in double precision."""
+QUERY = "blk int, query long, q binary, seen binary, score binary, open binary"
+PAIRS = "blk int, query binary, node binary"
+ASKED = "blk int, query binary, q binary, which binary, node binary"
 
-    def run(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, 8192):
-                c = b.slice(a, 8192)
-                score = (vectors_of(c.column("q")).astype(np.float64) * vectors_of(c.column("x")).astype(np.float64)).sum(axis=1)
-                yield pa.record_batch([c.column("query"), c.column("node"), pa.array(score)], names=["query", "node", "score"])
 
-    return pairs.mapInArrow(run, "query long, node long, score double")
+def pairs_to_blocks(query: np.ndarray, node: np.ndarray, to: np.ndarray) -> pa.Table:
+    order = np.argsort(to, kind="stable")
+    query, node, to = query[order], node[order], to[order]
+    rows = []
+    for b in np.unique(to).tolist():
+        x, y = np.searchsorted(to, (b, b + 1))
+        rows.append((b, query[x:y].tobytes(), node[x:y].tobytes()))
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.table([pa.array(list(cols[0]), pa.int32()), pa.array(list(cols[1]), pa.binary()), pa.array(list(cols[2]), pa.binary())], names=["blk", "query", "node"])
+
+
+def read_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("query", "node"))
+
 
+class Beams:
+    """The queries of a block: what each has seen, best first."""
 
-def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = 48, width: int = 12, rounds: int = 12) -> DataFrame:
-    """(query, node, score) of what greedy search from each query's node saw.
+    def __init__(self, table: pa.Table):
+        self.query = table.column("query").to_numpy()
+        self.q = table.column("q").to_pylist()
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        self.seen, self.score, self.open = read("seen", np.int64), read("score", np.float64), read("open", bool)
+        self.at = {q: i for i, q in enumerate(self.query.tolist())}
 
-    ``queries``: (query), nodes of ``graph``; ``vectors``: (node, x).
+    def next(self, beam: int, width: int) -> list[np.ndarray]:
+        return [np.flatnonzero(o[:beam])[:width] for o in self.open]
+
+    def table(self, blk: int) -> pa.Table:
+        out = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+        return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open)], names=[x.split()[0] for x in QUERY.split(", ")])
+
+
+def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, width: int = 32, rounds: int = 16) -> DataFrame:
+    """(query, node, score): the best ``beam`` nodes that each query has seen.
+
+    ``queries``: (query), nodes of ``graph`` (blk, node, near, x).
     """
-    near = graph.select("node", "near")
-    asked = queries.join(vectors.select(F.col("node").alias("query"), F.col("x").alias("q")), "query")
-    begin = queries.select("query", F.col("query").alias("node"))
-    seen = inner(begin.join(asked, "query").join(vectors, "node")).select("query", "node", "score", F.lit(False).alias("expanded"))
-    seen = materialise(seen, "beam")
+    graph = materialise(graph, "searched")
+
+    def begin(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
+        score = (x * x).sum(axis=1)
+        ids = table.column("node").to_numpy()
+        return pa.table([table.column("blk"), table.column("node"), table.column("x"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([v.tobytes() for v in score], pa.binary()), pa.array([b"\1"] * len(ids), pa.binary())], names=[x.split()[0] for x in QUERY.split(", ")])
+
+    def step(beams: Beams):
+        chosen = beams.next(beam, width)
+        query = np.repeat(beams.query, [len(c) for c in chosen])
+        node = np.concatenate([s[c] for s, c in zip(beams.seen, chosen)]) if len(beams.query) else np.zeros(0, np.int64)
+        return query, node
+
+    def expand(table: pa.Table) -> pa.Table:
+        """(query, node) to the blocks of the nodes to expand."""
+        query, node = step(Beams(table))
+        return pairs_to_blocks(query, node, node % blocks)
+
+    def look(table: pa.Table, asked: pa.Table) -> pa.Table:
+        """The neighbours of those nodes, back to the blocks of the queries."""
+        query, node = read_pairs(asked)
+        home = table.column("node").to_numpy()
+        order = np.argsort(home)
+        near = table.column("near").combine_chunks()
+        offsets, flat = near.offsets.to_numpy(), near.flatten().to_numpy()
+        at = order[np.searchsorted(home[order], node)] if len(node) else np.zeros(0, np.int64)
+        count = offsets[at + 1] - offsets[at]
+        ends = np.cumsum(count)
+        pick = np.repeat(offsets[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+        query = np.repeat(query, count)
+        return pairs_to_blocks(query, flat[pick - offsets[0]] if len(pick) else np.zeros(0, np.int64), query % blocks)
+
+    def ask(table: pa.Table, found: pa.Table) -> pa.Table:
+        """The unseen of them, with the query's vector, to their own blocks."""
+        if not table.num_rows or not found.num_rows:
+            return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in range(4))], names=[x.split()[0] for x in ASKED.split(", ")])
+        beams = Beams(table)
+        query, node = read_pairs(found)
+        order = np.lexsort((node, query))
+        query, node = query[order], node[order]
+        new = np.append(True, (query[1:] != query[:-1]) | (node[1:] != node[:-1]))
+        query, node = query[new], node[new]
+        edge = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        rows, fresh = [], []
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
+            i = beams.at[int(query[a])]
+            unseen = node[a:b][~np.isin(node[a:b], beams.seen[i])]
+            rows.append(np.full(len(unseen), i))
+            fresh.append(unseen)
+        row, node = np.concatenate(rows), np.concatenate(fresh)
+        to = node % blocks
+        order = np.argsort(to, kind="stable")
+        row, node, to = row[order], node[order], to[order]
+        out = []
+        for b in np.unique(to).tolist():
+            x, y = np.searchsorted(to, (b, b + 1))
+            some, which = np.unique(row[x:y], return_inverse=True)
+            out.append((b, beams.query[some].tobytes(), b"".join(beams.q[i] for i in some.tolist()), which.astype(np.int32).tobytes(), node[x:y].tobytes()))
+        cols = list(zip(*out)) or [()] * 5
+        return pa.table([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in ASKED.split(", ")])
+
+    def score(table: pa.Table, asked: pa.Table) -> pa.Table:
+        """Inner products, back to the blocks of the queries."""
+        if not table.num_rows or not asked.num_rows:
+            return to_scores(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        home = table.column("node").to_numpy()
+        order = np.argsort(home)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(home), -1).astype(np.float64)
+        out = []
+        for r in asked.to_pylist():
+            query, node, which = np.frombuffer(r["query"], np.int64), np.frombuffer(r["node"], np.int64), np.frombuffer(r["which"], np.int32)
+            q = np.frombuffer(r["q"], np.float32).reshape(len(query), -1).astype(np.float64)
+            at = order[np.searchsorted(home[order], node)]
+            got = np.concatenate([(q[which[a : a + 8192]] * x[at[a : a + 8192]]).sum(axis=1) for a in range(0, len(at), 8192)])
+            out.append((query[which], node, got))
+        return to_scores(*(np.concatenate(c) for c in zip(*out)))
+
+    def to_scores(query, node, got) -> pa.Table:
+        to = query % blocks
+        order = np.argsort(to, kind="stable")
+        rows = []
+        for b in np.unique(to).tolist():
+            i = order[np.searchsorted(to[order], b) : np.searchsorted(to[order], b + 1)]
+            rows.append((b, query[i].tobytes(), node[i].tobytes(), got[i].tobytes()))
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.table([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], names=["blk", "query", "node", "score"])
+
+    def merge(table: pa.Table, scores: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return table
+        beams = Beams(table)
+        for i, c in enumerate(beams.next(beam, width)):
+            beams.open[i] = beams.open[i].copy()
+            beams.open[i][c] = False
+        query, node = read_pairs(scores)
+        got = np.frombuffer(b"".join(scores.column("score").to_pylist()), np.float64)
+        order = np.argsort(query, kind="stable")
+        query, node, got = query[order], node[order], got[order]
+        edge = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, int)
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
+            i = beams.at[int(query[a])]
+            seen, s, o = np.append(beams.seen[i], node[a:b]), np.append(beams.score[i], got[a:b]), np.append(beams.open[i], np.ones(b - a, bool))
+            best = np.lexsort((seen, -s))
+            beams.seen[i], beams.score[i], beams.open[i] = seen[best], s[best], o[best]
+        return beams.table(table.column("blk")[0].as_py())
+
+    held = graph.groupBy("blk")
+    start = graph.join(queries.withColumnRenamed("query", "node"), "node", "left_semi").select("blk", "node", "x")
+    state = materialise(start.groupBy("blk").applyInArrow(begin, QUERY), "beams")
     for _ in range(rounds):
-        place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
-        open_ = F.sum((~F.col("expanded")).cast("int")).over(W.partitionBy("query").orderBy(F.desc("score"), "node").rowsBetween(W.unboundedPreceding, 0))
-        marked = seen.withColumn("place", place).withColumn("open", open_)
-        marked = marked.withColumn("now", ~F.col("expanded") & (F.col("place") <= beam) & (F.col("open") <= width))
-        marked = materialise(marked.select("query", "node", "score", (F.col("expanded") | F.col("now")).alias("expanded"), "now"), "beam")
-        fresh = marked.where("now").select("query", "node").join(near, "node").select("query", F.explode("near").alias("node")).distinct()
-        fresh = fresh.join(marked.select("query", "node"), ["query", "node"], "left_anti")
-        more = inner(fresh.join(vectors, "node").join(asked, "query")).select("query", "node", "score", F.lit(False).alias("expanded"))
-        seen = materialise(marked.drop("now").unionByName(more), "beam")
-        if not marked.where("now").limit(1).count():
+        mine = state.groupBy("blk")
+        found = held.cogroup(mine.applyInArrow(expand, PAIRS).groupBy("blk")).applyInArrow(look, PAIRS)
+        asked = mine.cogroup(found.groupBy("blk")).applyInArrow(ask, ASKED)
+        scores = held.cogroup(asked.groupBy("blk")).applyInArrow(score, "blk int, query binary, node binary, score binary")
+        state = materialise(mine.cogroup(scores.groupBy("blk")).applyInArrow(merge, QUERY), "beams")
+        left = state.select(F.expr(f"instr(hex(substr(open, 1, {beam})), '01')").alias("i"))  # a byte for each node seen: 01 if not expanded
+        if not left.where("i > 0").limit(1).count():
             break
-    return seen.select("query", "node", "score")
+
+    def best(batches):
+        for batch in batches:
+            b = Beams(pa.Table.from_batches([batch]))
+            n = [min(len(s), beam) for s in b.seen]
+            yield pa.record_batch([pa.array(np.repeat(b.query, n)), pa.array(np.concatenate([s[:k] for s, k in zip(b.seen, n)])), pa.array(np.concatenate([s[:k] for s, k in zip(b.score, n)]))], names=["query", "node", "score"])
+
+    return state.mapInArrow(best, "query long, node long, score double")
 
 
 def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", is_query=None, **options) -> DataFrame:
@@ -321,7 +455,8 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
 
     nodes = materialise(found.select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, vec binary, x binary"), "nodes")
     asked = rows.where(is_query).select("id", key.alias("query")).distinct()
-    seen = search(asked.select("query").distinct(), build(nodes.select("node", "vec"), (dims or 0) + 1), nodes.select("node", "x"), **options)
+    graph, blocks = build(nodes.select("node", "vec"), (dims or 0) + 1)
+    seen = search(asked.select("query").distinct(), graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, **options)
     # k + 1 nodes hold k ids besides the query's own
     tied = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
     best = seen.withColumn("t", tied).where(F.col("t") <= k + 1).join(nodes.select("node", "ids"), "node")
