@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`materialise` that nothing will read again.
+
+    For loops: the next round's table is written, so the last one's, and the
+    shuffles behind it, are of no more use. Spark deletes shuffle files when
+    the driver collects its garbage.
+    """
+    ref, path = _written.pop(id(df), (lambda: None, None))
+    if ref() is not df:
+        return
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def text_or_empty(col: str | Column) -> Column:

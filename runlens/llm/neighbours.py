@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces_of, shuffle_partitions
+from .common import materialise, pieces_of, release, shuffle_partitions
 
-STATE = "blk int, node long, vec binary, near array<long>, sim array<float>, changed int"
-SENT = "blk int, nodes binary, vecs binary, which binary, target binary"
-BETTER = "blk int, node binary, other binary, sim binary"
+STATE = "blk int, node long, vec binary, near array<long>, sim array<float>, fresh array<boolean>"
+SENT = "blk int, nodes binary, vecs binary, floors binary, which binary, target binary, fresh binary"
+BETTER = "blk int, node binary, other binary, sim binary, fresh binary"
 
 
 def lists(rows: list[np.ndarray], kind) -> pa.ListArray:
@@ -116,22 +116,25 @@ def first_lists(nodes: DataFrame, dims: int, keep: int, tree: int, run: int, par
     return placed.mapInArrow(compare, "node long, near array<long>, sim array<float>")
 
 
-def to_blocks(node: np.ndarray, other: np.ndarray, sim: np.ndarray, blocks: int) -> pa.Table:
-    """Messages (node, other, sim) packed by the block of ``node``."""
+def to_blocks(node: np.ndarray, other: np.ndarray, sim: np.ndarray, blocks: int, fresh: np.ndarray | None = None) -> pa.Table:
+    """Messages (node, other, sim, fresh) packed by the block of ``node``."""
     to = node % blocks
+    fresh = np.ones(len(node), bool) if fresh is None else fresh
     order = np.argsort(to, kind="stable")
-    node, other, sim, to = node[order], other[order], sim[order], to[order]
-    cols: list[list] = [[], [], [], []]
+    node, other, sim, to, fresh = node[order], other[order], sim[order], to[order], fresh[order]
+    cols: list[list] = [[], [], [], [], []]
     for b in np.unique(to).tolist():
         x, y = np.searchsorted(to, (b, b + 1))
-        for c, v in zip(cols, (b, node[x:y].tobytes(), other[x:y].tobytes(), sim[x:y].astype(np.float32).tobytes())):
+        for c, v in zip(cols, (b, node[x:y].tobytes(), other[x:y].tobytes(), sim[x:y].astype(np.float32).tobytes(), np.packbits(fresh[x:y]).tobytes())):
             c.append(v)
     return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in BETTER.split(", ")])
 
 
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    return read("node", np.int64), read("other", np.int64), read("sim", np.float32)
+    counts = [len(x) // 8 for x in table.column("node").to_pylist()]
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("fresh").to_pylist(), counts)]
+    return read("node", np.int64), read("other", np.int64), read("sim", np.float32), np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
 
 
 def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) -> DataFrame:
@@ -141,36 +144,49 @@ def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) ->
         """Tell each neighbour who has it in a list."""
         near = table.column("near").combine_chunks()
         who = np.repeat(table.column("node").to_numpy(), np.diff(near.offsets.to_numpy()))
-        return to_blocks(near.flatten().to_numpy(), who, table.column("sim").combine_chunks().flatten().to_numpy(), blocks)
+        fresh = table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return to_blocks(near.flatten().to_numpy(), who, table.column("sim").combine_chunks().flatten().to_numpy(), blocks, fresh)
 
     def send(table: pa.Table, named_by: pa.Table) -> pa.Table:
         """Each node's vector to the blocks of its neighbours, either way."""
         node = table.column("node").to_numpy()
         if not len(node):
-            return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in range(4))], names=[x.split()[0] for x in SENT.split(", ")])
+            return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in range(6))], names=[x.split()[0] for x in SENT.split(", ")])
         vec, order = vectors_of(table.column("vec")), np.argsort(node)
-        near = table.column("near").combine_chunks()
-        target = near.flatten().to_numpy()
-        which = np.repeat(np.arange(len(node)), np.diff(near.offsets.to_numpy()))
-        mine, other, sim = received(named_by)
-        row, back, _ = merge_lists(order[np.searchsorted(node[order], mine)], other, sim, keep, 0)
-        both = np.unique(np.stack((np.append(which, row), np.append(target, back))), axis=1)
-        which, target = both[0], both[1]
+        near, sims = table.column("near").combine_chunks(), table.column("sim").combine_chunks()
+        size = np.diff(near.offsets.to_numpy())
+        target, which = near.flatten().to_numpy(), np.repeat(np.arange(len(node)), size)
+        fresh = table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        # a full list takes nothing worse than its worst
+        floor = np.full(len(node), -np.inf, np.float32)
+        np.minimum.at(worst := np.full(len(node), np.inf, np.float32), which, sims.flatten().to_numpy())
+        floor[size >= keep] = worst[size >= keep]
+        mine, other, sim, new = received(named_by)
+        back_row = order[np.searchsorted(node[order], mine)]
+        place = np.lexsort((other, -sim, back_row))
+        back_row, other, new = back_row[place], other[place], new[place]
+        near_enough = np.arange(len(back_row)) - np.searchsorted(back_row, back_row) < keep
+        which, target = np.append(which, back_row[near_enough]), np.append(target, other[near_enough])
+        fresh = np.append(fresh, new[near_enough])
+        order = np.lexsort((~fresh, target, which))
+        which, target, fresh = which[order], target[order], fresh[order]
+        once = np.append(True, (which[1:] != which[:-1]) | (target[1:] != target[:-1]))
+        which, target, fresh = which[once], target[once], fresh[once]
         to = target % blocks
         order = np.argsort(to, kind="stable")
-        target, which, to = target[order], which[order], to[order]
-        out = [[] for _ in range(5)]
+        target, which, to, fresh = target[order], which[order], to[order], fresh[order]
+        out = [[] for _ in range(7)]
         for b in np.unique(to).tolist():
             x, y = np.searchsorted(to, (b, b + 1))
             sent, at = np.unique(which[x:y], return_inverse=True)
-            for c, v in zip(out, (b, node[sent].tobytes(), vec[sent].tobytes(), at.astype(np.int32).tobytes(), target[x:y].tobytes())):
+            for c, v in zip(out, (b, node[sent].tobytes(), vec[sent].tobytes(), floor[sent].tobytes(), at.astype(np.int32).tobytes(), target[x:y].tobytes(), np.packbits(fresh[x:y]).tobytes())):
                 c.append(v)
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=[x.split()[0] for x in SENT.split(", ")])
 
     def meet(table: pa.Table, sent: pa.Table) -> pa.Table:
         """Compare the nodes that named one node; tell each the best others."""
         if not table.num_rows or not sent.num_rows:
-            return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in range(3))], names=["blk", "node", "other", "sim"])
+            return to_blocks(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), blocks)
         home, home_vec = table.column("node").to_numpy(), vectors_of(table.column("vec"))
         order = np.argsort(home)
         home, home_vec = home[order], home_vec[order]
@@ -179,27 +195,33 @@ def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) ->
         node = np.concatenate(node)
         vec = np.frombuffer(b"".join(sent.column("vecs").to_pylist()), np.float32).reshape(len(node), -1)
         which = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(sent.column("which").to_pylist(), start)])
-        at = np.searchsorted(home, np.concatenate([np.frombuffer(x, np.int64) for x in sent.column("target").to_pylist()]))
+        targets = [np.frombuffer(x, np.int64) for x in sent.column("target").to_pylist()]
+        fresh = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) for x, t in zip(sent.column("fresh").to_pylist(), targets)]).astype(bool)
+        floor = np.frombuffer(b"".join(sent.column("floors").to_pylist()), np.float32)
+        at = np.searchsorted(home, np.concatenate(targets))
         close = np.einsum("ij,ij->i", vec[which], home_vec[at])
         order = np.lexsort((-close, at))
-        at, which = at[order], which[order]
+        at, which, fresh = at[order], which[order], fresh[order]
         edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         found: list[tuple] = []
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(at)).tolist()):
-            some = which[a : min(b, a + named)]
-            if len(some) < 2:
+            some, new = which[a : min(b, a + named)], fresh[a : min(b, a + named)]
+            if len(some) < 2 or not new.any():
                 continue
             v = vec[some]
             s = v @ v.T
             np.fill_diagonal(s, -np.inf)
+            s[np.ix_(~new, ~new)] = -np.inf  # met in an earlier round
             k = min(told, len(some) - 1)
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(s, top, 1)
+            row, column = np.nonzero(best > floor[some][:, None])
             ids = node[some]
-            found.append((np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+            found.append((ids[row], ids[top[row, column]], best[row, column]))
         if not found:
             return meet(table.slice(0, 0), sent)
         mine, other, sim = (np.concatenate(c) for c in zip(*found))
-        mine, other, sim = merge_lists(mine, other, sim, keep, 0)
+        mine, other, sim = merge_lists(mine, other, sim, keep // 2, 0)
         return to_blocks(mine, other, sim, blocks)
 
     def improve(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -210,15 +232,15 @@ def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) ->
         near, sim = table.column("near").combine_chunks(), table.column("sim").combine_chunks()
         row = np.repeat(np.arange(len(home)), np.diff(near.offsets.to_numpy()))
         old, s = near.flatten().to_numpy(), sim.flatten().to_numpy()
-        mine, other, more = received(told)
+        mine, other, more, _ = received(told)
         if len(mine):
             at = order[np.searchsorted(home[order], mine)]
             a, b, c = merge_lists(np.append(row, at), np.append(old, other), np.append(s, more), keep, len(home))
         else:
             a, b, c = row, old, s
         was, now = by_row(row, old, len(home)), by_row(a, b, len(home))
-        changed = [len(np.setdiff1d(y, x)) for x, y in zip(was, now)]
-        return pa.table([table.column("blk"), table.column("node"), table.column("vec"), lists(now, pa.int64()), lists(by_row(a, c, len(home)), pa.float32()), pa.array(changed, pa.int32())], names=[x.split()[0] for x in STATE.split(", ")])
+        fresh = np.concatenate([~np.isin(y, x) for x, y in zip(was, now)])
+        return pa.table([table.column("blk"), table.column("node"), table.column("vec"), lists(now, pa.int64()), lists(by_row(a, c, len(home)), pa.float32()), lists(by_row(a, fresh, len(home)), pa.bool_())], names=[x.split()[0] for x in STATE.split(", ")])
 
     grouped = state.groupBy("blk")
     known = grouped.applyInArrow(name, BETTER)
@@ -246,19 +268,20 @@ def build(nodes: DataFrame, dims: int, keep: int = 36, trees: int = 8, run: int
         near = some.column("near").combine_chunks()
         row = order[np.searchsorted(home[order], np.repeat(some.column("node").to_numpy(), np.diff(near.offsets.to_numpy())))]
         a, b, c = merge_lists(row, near.flatten().to_numpy(), some.column("sim").combine_chunks().flatten().to_numpy(), keep, len(home))
-        return pa.table([table.column("blk"), table.column("node"), table.column("vec"), lists(by_row(a, b, len(home)), pa.int64()), lists(by_row(a, c, len(home)), pa.float32()), pa.array(np.zeros(len(home), np.int32))], names=[x.split()[0] for x in STATE.split(", ")])
+        return pa.table([table.column("blk"), table.column("node"), table.column("vec"), lists(by_row(a, b, len(home)), pa.int64()), lists(by_row(a, c, len(home)), pa.float32()), lists(by_row(a, np.ones(len(a), bool), len(home)), pa.bool_())], names=[x.split()[0] for x in STATE.split(", ")])
 
     blk = F.pmod("node", F.lit(blocks)).cast("int").alias("blk")
     state = nodes.select(blk, "node", "vec").groupBy("blk").cogroup(found.select(blk, "node", "near", "sim").groupBy("blk")).applyInArrow(join, STATE)
     state = materialise(state, "graph")
     for _ in range(rounds):
-        state = materialise(descend(state, blocks, keep, named, told), "graph")
-        if (state.agg(F.sum("changed")).first()[0] or 0) < settled * n * keep:
+        before, state = state, materialise(descend(state, blocks, keep, named, told), "graph")
+        release(before)
+        if (state.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0) < settled * n * keep:
             break
     return state, blocks
 
 
-QUERY = "blk int, query long, q binary, seen binary, score binary, open binary"
+QUERY = "blk int, query long, q binary, seen binary, score binary, open binary, known binary"
 PAIRS = "blk int, query binary, node binary"
 ASKED = "blk int, query binary, q binary, which binary, node binary"
 
@@ -279,13 +302,15 @@ def read_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Beams:
-    """The queries of a block: what each has seen, best first."""
+    """The queries of a block: the best that each has seen, best first, and the
+    low halves of all ids that it has seen."""
 
     def __init__(self, table: pa.Table):
         self.query = table.column("query").to_numpy()
         self.q = table.column("q").to_pylist()
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
         self.seen, self.score, self.open = read("seen", np.int64), read("score", np.float64), read("open", bool)
+        self.known = read("known", np.uint32)
         self.at = {q: i for i, q in enumerate(self.query.tolist())}
 
     def next(self, beam: int, width: int) -> list[np.ndarray]:
@@ -293,7 +318,7 @@ class Beams:
 
     def table(self, blk: int) -> pa.Table:
         out = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-        return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open)], names=[x.split()[0] for x in QUERY.split(", ")])
+        return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open), out(self.known)], names=[x.split()[0] for x in QUERY.split(", ")])
 
 
 def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, width: int = 32, rounds: int = 16) -> DataFrame:
@@ -307,7 +332,7 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, w
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
         score = (x * x).sum(axis=1)
         ids = table.column("node").to_numpy()
-        return pa.table([table.column("blk"), table.column("node"), table.column("x"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([v.tobytes() for v in score], pa.binary()), pa.array([b"\1"] * len(ids), pa.binary())], names=[x.split()[0] for x in QUERY.split(", ")])
+        return pa.table([table.column("blk"), table.column("node"), table.column("x"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([v.tobytes() for v in score], pa.binary()), pa.array([b"\1"] * len(ids), pa.binary()), pa.array([i.tobytes() for i in ids.astype(np.uint32)], pa.binary())], names=[x.split()[0] for x in QUERY.split(", ")])
 
     def step(beams: Beams):
         chosen = beams.next(beam, width)
@@ -348,7 +373,7 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, w
         rows, fresh = [], []
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
             i = beams.at[int(query[a])]
-            unseen = node[a:b][~np.isin(node[a:b], beams.seen[i])]
+            unseen = node[a:b][~np.isin(node[a:b].astype(np.uint32), beams.known[i])]
             rows.append(np.full(len(unseen), i))
             fresh.append(unseen)
         row, node = np.concatenate(rows), np.concatenate(fresh)
@@ -404,7 +429,8 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, w
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
             i = beams.at[int(query[a])]
             seen, s, o = np.append(beams.seen[i], node[a:b]), np.append(beams.score[i], got[a:b]), np.append(beams.open[i], np.ones(b - a, bool))
-            best = np.lexsort((seen, -s))
+            best = np.lexsort((seen, -s))[:beam]
+            beams.known[i] = np.append(beams.known[i], node[a:b].astype(np.uint32))
             beams.seen[i], beams.score[i], beams.open[i] = seen[best], s[best], o[best]
         return beams.table(table.column("blk")[0].as_py())
 
@@ -416,7 +442,8 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, w
         found = held.cogroup(mine.applyInArrow(expand, PAIRS).groupBy("blk")).applyInArrow(look, PAIRS)
         asked = mine.cogroup(found.groupBy("blk")).applyInArrow(ask, ASKED)
         scores = held.cogroup(asked.groupBy("blk")).applyInArrow(score, "blk int, query binary, node binary, score binary")
-        state = materialise(mine.cogroup(scores.groupBy("blk")).applyInArrow(merge, QUERY), "beams")
+        before, state = state, materialise(mine.cogroup(scores.groupBy("blk")).applyInArrow(merge, QUERY), "beams")
+        release(before)
         left = state.select(F.expr(f"instr(hex(substr(open, 1, {beam})), '01')").alias("i"))  # a byte for each node seen: 01 if not expanded
         if not left.where("i > 0").limit(1).count():
             break
