@@ -164,8 +164,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     links = keys.join(least, "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     found = _confirm(source, own, connected_components(links), width, percent, slots, task_shingles)
+    # rows with one id and several texts link these
+    several = signed.where("n > 0").groupBy("id").agg(F.min(F.struct("fp1", "fp2")).alias("a"), F.max(F.struct("fp1", "fp2")).alias("b")).where("a <> b").select("id")
+    tied = materialise(signed.where("n > 0").join(several, "id").join(classes, ["fp1", "fp2"]).select(F.col("id").alias("u"), F.col("node").alias("v")), "tied")
+    if tied.limit(1).count():
+        merged = connected_components(tied.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        found = merged.select("node", F.col("component").alias("root"))
     named = classes.join(found, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("component"))
-    # a document with several texts belongs to the least of their components
     out = signed.join(named, ["fp1", "fp2"], "left")
     component = F.coalesce("component", "id")
     real = lambda c: F.when(c != B.NO_ID, c)

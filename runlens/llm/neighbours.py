@@ -9,7 +9,8 @@ it, so neighbours of neighbours meet, and sends each the best of the others.
 These are joins between blocks of nodes with packed messages; a vector goes to
 a block once, however many of the block's nodes it is sent to.
 
-A query starts at its own node and expands its best unexpanded nodes, round by
+A query starts at its own node (and, where norms differ, at the 64 longest
+vectors) and expands its best unexpanded nodes, round by
 round, by joins of (query, node) with the blocks of the graph, until its best
 ``beam`` nodes are all expanded. Scores are inner products of the
 original components in double precision.
@@ -321,18 +322,26 @@ class Beams:
         return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open), out(self.known)], names=[x.split()[0] for x in QUERY.split(", ")])
 
 
-def search(queries: DataFrame, graph: DataFrame, blocks: int, beam: int = 128, width: int = 32, rounds: int = 16) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.ndarray, np.ndarray] | None = None, beam: int = 128, width: int = 32, rounds: int = 16) -> DataFrame:
     """(query, node, score): the best ``beam`` nodes that each query has seen.
 
-    ``queries``: (query), nodes of ``graph`` (blk, node, near, x).
+    ``queries``: (query), nodes of ``graph`` (blk, node, near, x). ``starts``: a
+    few nodes and their vectors that every query also starts from.
     """
     graph = materialise(graph, "searched")
 
     def begin(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
-        score = (x * x).sum(axis=1)
         ids = table.column("node").to_numpy()
-        return pa.table([table.column("blk"), table.column("node"), table.column("x"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([v.tobytes() for v in score], pa.binary()), pa.array([b"\1"] * len(ids), pa.binary()), pa.array([i.tobytes() for i in ids.astype(np.uint32)], pa.binary())], names=[x.split()[0] for x in QUERY.split(", ")])
+        seen, score = [], []
+        for i, v in zip(ids, x):
+            more = starts[0] != i if starts else []
+            seen.append(np.append(i, starts[0][more]) if starts else np.array([i]))
+            score.append(np.append((v * v).sum(), (v * starts[1][more]).sum(axis=1)) if starts else np.array([(v * v).sum()]))
+        order = [np.lexsort((i, -v)) for i, v in zip(seen, score)]
+        out = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+        ranked = [i[o] for i, o in zip(seen, order)]
+        return pa.table([table.column("blk"), table.column("node"), table.column("x"), out(ranked), out([v[o] for v, o in zip(score, order)]), out([np.ones(len(o), bool) for o in order]), out([i.astype(np.uint32) for i in ranked])], names=[x.split()[0] for x in QUERY.split(", ")])
 
     def step(beams: Beams):
         chosen = beams.next(beam, width)
@@ -483,7 +492,11 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
     nodes = materialise(found.select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, vec binary, x binary"), "nodes")
     asked = rows.where(is_query).select("id", key.alias("query")).distinct()
     graph, blocks = build(nodes.select("node", "vec"), (dims or 0) + 1)
-    seen = search(asked.select("query").distinct(), graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, **options)
+    # with unequal norms the longest vectors are near to many queries, wherever these stand
+    shortest = found.agg(F.min("norm2")).first()[0]
+    longest = found.orderBy(F.desc("norm2"), "node").limit(64).select("node", "vec").collect() if most and shortest < 0.99 * most else []
+    starts = (np.array([r["node"] for r in longest], np.int64), np.array([r["vec"] for r in longest], np.float64)) if longest else None
+    seen = search(asked.select("query").distinct(), graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, starts, **options)
     # k + 1 nodes hold k ids besides the query's own
     tied = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
     best = seen.withColumn("t", tied).where(F.col("t") <= k + 1).join(nodes.select("node", "ids"), "node")
