@@ -47,9 +47,16 @@ def is_noise(level: str | Column) -> Column:
 
 
 def is_container(json: str | Column) -> Column:
-    """Whether a text is one valid JSON object or array."""
+    """Whether a text is one valid JSON object or array, and nothing more.
+
+    The parser stops after a first value, so the text is also parsed as the
+    only element of an array and as the value of a field.
+    """
     t = F.trim(col(json))
-    return t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull()
+    listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(t.rlike(r"^[\[{]"), listed.isNotNull() & named.isNotNull() & alone).otherwise(False)
 
 
 def is_json_document(text: str | Column) -> Column:
@@ -110,8 +117,8 @@ def command_key(argv: str | Column) -> Column:
 def inner_command(argv: str | Column) -> Column:
     """First word of ``sh -c '...'`` that is not an assignment."""
     a = col(argv)
-    words = F.filter(F.split(F.trim(F.try_element_at(a, F.lit(3))), r"\s+"), lambda w: ~w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*=") & (w != ""))
-    shell = basename(F.try_element_at(a, F.lit(1))).isin("sh", "bash", "zsh", "dash") & (F.try_element_at(a, F.lit(2)) == "-c")
+    words = F.filter(F.split(F.trim(F.try_element_at(a, F.lit(3))), r"\s+"), lambda w: ~w.rlike(r"^[A-Za-z0-9_]+=") & (w != ""))
+    shell = basename(F.try_element_at(a, F.lit(1))).isin("sh", "bash", "zsh", "dash", "cmd") & F.try_element_at(a, F.lit(2)).isin("-c", "/C", "/c")
     return F.when(shell, F.try_element_at(words, F.lit(1)))
 
 
