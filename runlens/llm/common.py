@@ -86,3 +86,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` (short) rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: A key is hot if it has more than one in so many of the rows.
+HOT = 1024
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join with ``table``, one row per key, ``size`` the key's rows.
+
+    Fewer than ``HOT`` keys can each have more than total / HOT of the rows, so
+    the entries of hot keys are broadcast, whatever the data, and only rows of
+    other keys are shuffled.
+    """
+    hot = F.col(size) * HOT > total
+    few = F.broadcast(table.where(hot))
+    cold = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(~hot), on)
+    return rows.join(few, on).unionByName(cold)

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, new_path, shuffle_partitions, text_or_empty
+from .common import SPACE, join_skewed, materialise, new_path, shuffle_partitions, text_or_empty
 
 
 def normalised(text: str | Column) -> Column:
@@ -76,7 +76,9 @@ class DigestIndex:
             fresh = fresh.drop("group_size")
         self.append(fresh.repartition(self.buckets, "digest"))
         decided = groups.select("digest", "group_size").join(self.rows().hint("merge"), "digest")
-        out = hashed.join(decided, "digest")
+        decided = materialise(decided, "exact-decided")
+        total = groups.agg(F.sum("group_size")).first()[0] or 0
+        out = join_skewed(hashed, decided, ["digest"], "group_size", total)
         return out.select(
             F.col("id").alias(id_col),
             "keep_id",
