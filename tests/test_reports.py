@@ -67,3 +67,23 @@ def test_malformed_json_gives_no_rows(spark):
     for parse in (D.ruff, D.eslint, D.swiftlint, D.mypy, D.golangci, D.cargo):
         assert parse(bad).count() == 0
     assert sorted(r.run_id for r in D.malformed(bad).collect()) == [0, 1, 2]
+
+
+def test_rendering(spark):
+    from runlens.operators import render
+
+    text = '<testsuite time="1.5"><testcase classname="c" name="a"/><testcase classname="c" name="b"><failure message="m, n">x: y</failure></testcase></testsuite>'
+    got = render.render_reports(R.junit(runs(spark, text))).first().text
+    assert got == 'runner: pytest\nsummary:\n total: 2\n passed: 1\n failed: 1\n skipped: 0\n duration_s: 1.5\nfailures[1]{id,loc,msg}:\n c.b,"","m, n"\ntraces:\n c.b[1]:\n  - "x: y"'
+    found = D.clang(runs(spark, "a.c:1:2: error: bad\n", "fine\n"))
+    out = {r.run_id: r.text for r in render.render_diagnostics(found, D.summarise(found, runs(spark, "a", "b"), "clang")).collect()}
+    assert out[1] == "runner: clang\nsummary:\n errors: 0\n warnings: 0"
+    assert out[0].endswith('diagnostics[1]{loc,severity,msg}:\n "a.c:1:2",error,bad') or 'diagnostics[1]{loc,severity,rule,msg}:\n "a.c:1:2",error,"",bad' in out[0]
+
+
+def test_fill_from_log(spark):
+    from runlens.operators import render
+
+    failures = spark.createDataFrame([(1, "App.Suite.test", "", ""), (1, "Other.t", "k.c:1", "own")], "run_id long, id string, loc string, msg string")
+    log = spark.createDataFrame([(1, 5, "Suite/test", "a.swift:9", "late"), (1, 2, "Suite.test", "a.swift:7", "no")], "run_id long, pos long, id string, loc string, msg string")
+    assert sorted((r.id, r.loc, r.msg) for r in render.fill_from_log(failures, log).collect()) == [("App.Suite.test", "a.swift:7", "no"), ("Other.t", "k.c:1", "own")]
