@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import materialise, pieces_of, text_or_empty
+from .common import join_skewed, materialise, pieces_of, text_or_empty
 from .components import connected_components
 
 SIGNED = "id long, fp1 long, fp2 long, n long, bands array<long>, sig binary"
@@ -156,9 +156,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     signed = materialise(sign(source, width, slots, rows), "signed")
-    classes = signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("node"))
+    classes = signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many"))
     classes = materialise(classes, "classes")
-    own = signed.where("n > 0").join(classes.withColumnRenamed("node", "id"), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["fp1", "fp2"])
+    own = signed.where("n > 0").join(classes.select("fp1", "fp2", F.col("node").alias("id")), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["fp1", "fp2"])
     own = own.withColumnRenamed("id", "node")
     keys = own.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
@@ -170,9 +170,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if tied.limit(1).count():
         merged = connected_components(tied.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         found = merged.select("node", F.col("component").alias("root"))
-    named = classes.join(found, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("component"))
-    out = signed.join(named, ["fp1", "fp2"], "left")
-    component = F.coalesce("component", "id")
+    named = classes.join(found, "node", "left").select("fp1", "fp2", "many", F.coalesce("root", "node").alias("component"))
+    named = materialise(named, "named")
+    total = named.agg(F.sum("many")).first()[0] or 0
+    light = signed.select("id", "n", "fp1", "fp2")
+    out = join_skewed(light.where("n > 0"), named, ["fp1", "fp2"], "many", total).select("id", "n", "component")
+    out = out.unionByName(light.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    component = F.col("component")
     real = lambda c: F.when(c != B.NO_ID, c)
     return out.select(real(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
