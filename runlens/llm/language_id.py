@@ -161,7 +161,7 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
     p /= p.sum(axis=1, keepdims=True)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     reject = float(np.quantile(right, keep)) if len(right) else 0.0
-    return Model(labels, table.astype(np.float32), bias, temperature, min(reject, 1 / max(1, len(labels)) + 0.2), bits)
+    return Model(labels, table.astype(np.float32), bias, temperature, min(reject, 1 / max(1, len(labels)) + 0.05), bits)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2400, bits: int = 15) -> Model:
