@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.toon import encode
-from .lines import by_doc, in_order, KEY, fold_dropped, join_lines, join_lines_with_separator, runs, to_lines, with_markers
+from .lines import by_doc, in_order, KEY, fold_dropped, join_lines, join_lines_with_separator, large_window, runs, to_lines, with_markers
 
 #: Fixed values of the rules.
 MIN_LEVELED, MIN_LEVELED_SHARE, LEVEL_CONTEXT = 10, 0.5, 2
@@ -214,13 +214,20 @@ def compress(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: s
     return out.select("doc_id", whole.alias("text"))
 
 
+def bounded(docs: DataFrame, limit: int = 4 << 20) -> DataFrame:
+    """(doc_id, text): documents above ``limit`` bytes cut by ``large_window``."""
+    large = F.octet_length("text") > limit
+    cut = join_lines(large_window(to_lines(docs.where(large)), limit))
+    return docs.where(F.col("text").isNull() | ~large).select("doc_id", "text").unionByName(cut)
+
+
 def reduce_logs(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """What is emitted for each document: the reduction if it saves tokens.
 
     Columns: doc_id, emitted, tokens_in, tokens_out, compressed.
     """
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_raw"))
-    small = compress(docs, level, text, doc_id).withColumnRenamed("text", "_small")
+    small = compress(bounded(raw.select("doc_id", F.col("_raw").alias("text"))), level).withColumnRenamed("text", "_small")
     both = raw.join(small, "doc_id", "left")
     tokens_in, tokens = T.approx_tokens("_raw"), T.approx_tokens(F.coalesce("_small", "_raw"))
     better = T.pays(tokens, tokens_in)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import commands as C
 from ..operators import ledger as L
 from ..operators import runs as R
+from ..sources.logs import parse_ledger
 from . import views as V
 
 QUERIES: dict = {}
@@ -157,3 +160,52 @@ def console_owner(spark, sf_dir):
 def merge_streams(spark, sf_dir):
     rows = V.table(spark, sf_dir, "conversations").where("text is not null")
     return R.merge_streams(rows.select("conv_id", F.col("turn").alias("seq"), F.concat("text", F.lit("\n")).alias("text")), "conv_id")
+
+
+@query(f"""WITH {V.LEDGER_SQL}
+SELECT seq // 3 AS line, cmd, adapter, tokens_in, saved, exit::INTEGER AS exit, false AS malformed FROM ledger
+UNION ALL SELECT DISTINCT seq // 3, NULL, NULL, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, true FROM ledger WHERE (seq // 3) % 10 = 0""")
+def ledger_parse(spark, sf_dir):
+    """Three records glued to each line; every tenth line ends broken."""
+    rows = V.ledger(spark, sf_dir)
+    record = F.to_json(F.struct("seq", F.col("ts").cast("string").alias("ts"), "cmd", "adapter", "tokens_in", "tokens_out", "saved", "exit"))
+    line = F.expr("seq div 3")
+    parts = F.array_sort(F.collect_list(F.struct("seq", record.alias("r"))))
+    glued = rows.groupBy(line.alias("n")).agg(F.array_join(F.transform(parts, lambda x: x["r"]), " ").alias("line"))
+    glued = glued.select(F.col("n").alias("seq"), F.when(F.col("n") % 10 == 0, F.concat("line", F.lit("{broken"))).otherwise(F.col("line")).alias("line"))
+    return parse_ledger(glued).select(F.col("seq").alias("line"), "cmd", "adapter", "tokens_in", "saved", "exit", "malformed")
+
+
+COMMANDS = ("pytest -q 2>&1 | tail -%d", "uv run --with x pytest -k %d", "cargo test t%d && rm x", "echo 'a|b' %d", "ls $HOME/%d", "go test ./p%d")
+
+
+@query("""
+SELECT user_id, event_id,
+       CASE user_id % 6 WHEN 0 THEN 'pytest' WHEN 1 THEN 'pytest' WHEN 2 THEN 'cargo-test' WHEN 5 THEN 'go-test' END AS tool,
+       user_id % 6 IN (0, 2, 4) AS shell, CASE user_id % 6 WHEN 0 THEN 'tail -' || event_id END AS filter,
+       CASE user_id % 6 WHEN 0 THEN true WHEN 2 THEN true WHEN 3 THEN event_id % 100 = 7 WHEN 4 THEN true ELSE false END AS guarded
+FROM events""")
+def command_analysis(spark, sf_dir):
+    """Tool, need of a shell, droppable display filter, and guards of commands."""
+    pattern = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("user_id") % 6 + 1).cast("int"))
+    rows = V.table(spark, sf_dir, "events").select("user_id", "event_id", F.replace(pattern, F.lit("%d"), F.col("event_id").cast("string")).alias("c"))
+    guarded = C.is_guarded("c", ["Bash(rm *)", "Bash(echo 'a|b' *07)"])
+    return rows.select("user_id", "event_id", C.adapter_of("c").alias("tool"), C.needs_shell("c").alias("shell"), C.drop_display_filter("c")["filter"].alias("filter"), guarded.alias("guarded"))
+
+
+@query("""
+SELECT o_orderkey, 'src/f' || (o_custkey % 9) || '.c' AS file, o_orderkey || '.log' AS base, strptime(strftime(o_orderdate, '%Y%m%d-%H%M%S'), '%Y%m%d-%H%M%S') AS run_time,
+       (o_orderkey % 24) * 3600 + (o_custkey % 60) * 60 + 1.5::DOUBLE AS seconds, 'cargo' AS inner_cmd, o_orderpriority LIKE '1-%' AS urgent
+FROM orders""")
+def scalar_functions(spark, sf_dir):
+    n = lambda c, k: F.lpad((F.col(c) % k).cast("string"), 2, "0")
+    text = lambda c: F.col(c).cast("string")
+    return V.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        T.file_of(F.concat(F.lit("src/f"), (F.col("o_custkey") % 9).cast("string"), F.lit(".c:"), text("o_orderkey"), F.lit(":7"))).alias("file"),
+        T.basename(F.concat(F.lit("a/b\\"), text("o_orderkey"), F.lit(".log"))).alias("base"),
+        T.run_time(F.concat(F.date_format("o_orderdate", "yyyyMMdd-HHmmss"), F.lit("-ab12"))).alias("run_time"),
+        T.clock_seconds(F.concat(n("o_orderkey", 24), F.lit(":"), n("o_custkey", 60), F.lit(":01.5"))).alias("seconds"),
+        T.inner_command(F.array(F.lit("/bin/bash"), F.lit("-c"), F.concat(F.lit("A=1 B="), text("o_orderkey"), F.lit(" cargo test | tail")))).alias("inner_cmd"),
+        T.wildcard("o_orderpriority", F.lit("1-*")).alias("urgent"),
+    )
