@@ -48,6 +48,10 @@ NOISE = r"site-packages|/_pytest/|/unittest/case\.py|/importlib/|node_modules|/j
 FRAME = r"^(?:File \"|at |[^:]+:\s*\d+\s*:\s*in )"
 KEY_LINE = r"^(?:E |>|Expected|Received)|panicked at|^[A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception|Failure|Exit)\b"
 DOTNET_NOISE = r"^(?:at System\.|at Xunit\.|at NUnit\.|at Microsoft\.VisualStudio\.|at Microsoft\.TestPlatform\.|at InvokeStub_)"
+JVM_NOISE = r"^at .*(?:org\.junit\.|org\.opentest4j\.|junit\.framework\.|org\.testng\.internal\.|org\.gradle\.|org\.apache\.maven\.surefire\.|java\.base/|java\.lang\.reflect\.|java\.util\.|jdk\.internal\.|jdk\.proxy|sun\.reflect\.|kotlin\.coroutines\.)"
+JVM_FRAME = r"^at (?:[\w.$-]+(?:@[\w.-]+)?/+)?([\w$.]+)\.[\w$<>-]+\(([\w$-]+\.(?:java|kt|groovy|scala)):(\d+)\)"
+GO_PLACE = r"^(\S+\.go):(\d+):\s?(.*)$"
+GO_FRAME = r"^\t(\S+\.go):(\d+)(?: \+0x[0-9a-f]+)?$"
 BUILD_MARKS = r"\[build failed\]|\[setup failed\]"
 
 
@@ -61,12 +65,17 @@ def failure(id_: Column, loc: Column, msg: Column, trace: Column | None = None)
     return F.struct(id_.alias("id"), loc.alias("loc"), msg.alias("msg"), (trace if trace is not None else F.array().cast("array<string>")).alias("trace"))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def trim_trace(text: Column) -> Column:
     """Lines of a trace without blanks, carets and frames of frameworks.
 
     A frame runs from its header to the next; ``E`` lines always stay.
     """
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda l: F.trim(l))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), strip)
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skip"))
 
     def step(state: Column, line: Column) -> Column:
@@ -139,7 +148,20 @@ def junit(runs: DataFrame, runner: str = "pytest") -> DataFrame:
         other = F.filter(trace, lambda l: ~l.endswith(F.concat(F.lit("::"), c["_name"])))
         return failure(id_, loc, F.when(said == "", F.coalesce(F.try_element_at(other, F.lit(1)), F.lit(""))).otherwise(said), trace)
 
+    def tidy(f: Column) -> Column:
+        """The place from the first frame of the test's own class; no framework frames; a typed first line as message."""
+        own = F.filter(f["trace"], lambda l: l.rlike(JVM_FRAME) & f["id"].startswith(F.substring_index(F.regexp_extract(l, JVM_FRAME, 1), "$", 1)))
+        at = F.when(f["loc"] == "", F.try_element_at(own, F.lit(1)))
+        loc = F.coalesce(F.concat(F.regexp_extract(at, JVM_FRAME, 2), F.lit(":"), F.regexp_extract(at, JVM_FRAME, 3)), f["loc"])
+        where = F.coalesce(F.array_position(f["trace"], at), F.lit(0))
+        rest = F.filter(F.transform(f["trace"], lambda l, i: F.when((i + 1 != where) & ~l.rlike(JVM_NOISE), l)), lambda l: l.isNotNull())
+        first = F.try_element_at(rest, F.lit(1))
+        typed = F.coalesce((first == f["msg"]) | first.endswith(F.concat(F.lit(": "), f["msg"])), F.lit(False))
+        return failure(f["id"], loc, F.when(typed, first).otherwise(f["msg"]), F.when(typed, F.slice(rest, 2, 1 << 20)).otherwise(rest))
+
     d = d.where(F.size("cases") > 0)
+    if runner in ("gradle", "maven"):
+        return report(d, runner, F.size("cases"), F.size("cases") - F.size(failed) - F.size(skipped), F.size(failed), F.size(skipped), F.col("seconds"), F.transform(F.transform(failed, one), tidy))
     return report(d, runner, F.size("cases"), F.size("cases") - F.size(failed) - F.size(skipped), F.size(failed), F.size(skipped), F.col("seconds"), F.transform(failed, one))
 
 
@@ -154,7 +176,7 @@ def trx(runs: DataFrame) -> DataFrame:
     def one(r: Column) -> Column:
         message, stack = r["Output"]["ErrorInfo"]["Message"], r["Output"]["ErrorInfo"]["StackTrace"]
         more = F.filter(F.slice(F.split(F.coalesce(message, F.lit("")), r"\r?\n"), 2, 1 << 20), lambda l: F.trim(l) != "")
-        frames = F.filter(F.transform(F.split(F.coalesce(stack, F.lit("")), r"\r?\n"), lambda l: F.trim(l)), lambda l: (l != "") & ~l.rlike(DOTNET_NOISE))
+        frames = F.filter(F.transform(F.split(F.coalesce(stack, F.lit("")), r"\r?\n"), strip), lambda l: (l != "") & ~l.rlike(DOTNET_NOISE))
         at = F.try_element_at(F.filter(frames, lambda l: l.rlike(r" in .*:line \d+\s*$")), F.lit(1))
         loc = F.coalesce(F.regexp_replace(F.regexp_extract(at, r".* in (.*:line \d+)\s*$", 1), ":line ", ":"), F.lit(""))
         return failure(F.coalesce(r["_testName"], F.lit("")), loc, F.trim(first_line(message)), F.concat(F.transform(more, lambda l: F.rtrim(l)), F.filter(frames, lambda l: at.isNull() | (l != at))))
@@ -261,22 +283,38 @@ def go_test(events: DataFrame) -> DataFrame:
     leaves = terminal.join(parents.select("run_id", "Package", F.col("up").alias("Test")).distinct(), keys, "left_anti")
     output = tests.where("Output is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("said"))
     bad = leaves.where("Action = 'fail'").join(output, keys, "left")
-    bad = bad.select("run_id", "Package", "pos", F.concat("Package", F.lit("."), "Test").alias("id"), F.coalesce("said", F.array()).alias("said"))
+    bad = bad.select("run_id", "Package", "pos", F.concat(F.substring_index("Package", "/", -1), F.lit("."), "Test").alias("id"), F.coalesce("said", F.array()).alias("said"))
     # package failures: none of its tests failed, or its build did
     built = events.where(F.col("Action").startswith("build-") & F.col("Output").isNotNull()).groupBy("run_id", "ImportPath").agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("built"))
     named = built.select("run_id", F.col("ImportPath").alias("build"), F.col("built").alias("by_name"))
     guessed = built.groupBy("run_id", T.strip_variant("ImportPath").alias("Package")).agg(F.min_by("built", "ImportPath").alias("by_path"))
     lone = packages.join(bad.select("run_id", "Package").distinct().withColumn("has", F.lit(1)), ["run_id", "Package"], "left").where("(failed = 1 and has is null) or marked = 1")
     lone = lone.join(named, ["run_id", "build"], "left").join(guessed, ["run_id", "Package"], "left")
-    lone = lone.select("run_id", "Package", "pos", F.col("Package").alias("id"), F.concat(F.coalesce("by_name", "by_path", F.array()), "said").alias("said"))
-    text = F.transform("said", lambda s: F.rtrim(F.regexp_replace(s["Output"], r"\n+$", "")))
-    useful = F.filter(text, lambda l: (F.trim(l) != "") & ~F.trim(l).rlike(r"^(?:=== |--- |PASS$|FAIL|ok\s|exit status|# )"))
-    at = F.try_element_at(F.filter(useful, lambda l: F.trim(l).rlike(r"^[^\s:]+\.go:\d+(?::\d+)?:")), F.lit(1))
-    panic = F.try_element_at(F.filter(useful, lambda l: l.startswith("panic: ")), F.lit(1))
-    loc = F.coalesce(F.regexp_extract(F.trim(at), r"^([^\s:]+\.go:\d+(?::\d+)?):", 1), F.lit(""))
-    said = F.coalesce(panic, F.trim(F.regexp_replace(F.trim(at), r"^[^\s:]+\.go:\d+(?::\d+)?:\s*", "")), F.trim(F.try_element_at(useful, F.lit(1))), F.lit(""))
+    lone = lone.select("run_id", "Package", "pos", F.substring_index("Package", "/", -1).alias("id"), F.concat(F.coalesce("by_name", "by_path", F.array()), "said").alias("said"))
     found = bad.withColumn("kind", F.lit(0)).unionByName(lone.withColumn("kind", F.lit(1)))
-    found = found.select("run_id", "kind", "pos", failure(F.col("id"), loc, said, F.transform(useful, lambda l: F.trim(l))).alias("f"))
+    found = found.withColumn("lines", F.flatten(F.transform("said", lambda s: F.split(F.regexp_replace(s["Output"], r"\n$", ""), "\n"))))
+    lines, test = F.col("lines"), F.col("kind") == 0
+    frame = lambda l: F.coalesce(l.rlike(GO_FRAME), F.lit(False))
+    root = F.try_element_at(F.filter(lines, lambda l: frame(l) & l.rlike("/src/(?:runtime|testing)/")), F.lit(1))
+    root = F.coalesce(F.regexp_extract(root, r"^\t(\S*?/src/)(?:runtime|testing)/", 1), F.lit("\u0000"))
+    inner = lambda l: l.rlike(r"/src/runtime/|/src/testing/|^\t_testmain\.go:") | F.ltrim(F.regexp_replace(l, "^\t", "")).startswith(root)
+    nth = lambda i: F.get(lines, i)
+    lead = lambda l, i: frame(nth(i + 1)) & ~frame(l) & ~l.startswith("\t")
+    keeps = lambda l, i: ~((frame(l) & inner(l)) | (lead(l, i) & inner(nth(i + 1))))
+    status = r"^(?:=== |--- |PASS$|FAIL$|FAIL\t|ok\s|exit status|#)"
+    useful = F.filter(F.transform(F.filter(F.transform(lines, lambda l, i: F.when(keeps(l, i), l)), lambda l: l.isNotNull()), strip), lambda l: (l != "") & ~l.rlike(status))
+    panics = F.array_position(F.transform(lines, lambda l: strip(l).startswith("panic: ")), True)
+    said_panic = F.regexp_replace(strip(nth((panics - 1).cast("int"))), r" \[recovered\]$", "")
+    own = F.filter(F.transform(lines, lambda l, i: F.when((i >= panics) & frame(l) & ~inner(l) & ~frame(nth(i - 1)) & ~F.coalesce(nth(i - 1), F.lit("")).startswith("created by "), l)), lambda l: l.isNotNull())
+    first_own = F.try_element_at(own, F.lit(1))
+    before = F.when(panics > 0, F.slice(lines, F.lit(1), F.greatest(panics.cast("int") - 1, F.lit(0)))).otherwise(lines)
+    place_ = F.try_element_at(F.filter(F.transform(before, strip), lambda l: l.rlike(GO_PLACE)), F.lit(1))
+    at = F.coalesce(F.concat(F.regexp_extract(place_, GO_PLACE, 1), F.lit(":"), F.regexp_extract(place_, GO_PLACE, 2)), F.lit(""))
+    loc = F.when(~test, "").when((panics > 0) & first_own.isNotNull(), F.concat(T.basename(F.regexp_extract(first_own, GO_FRAME, 1)), F.lit(":"), F.regexp_extract(first_own, GO_FRAME, 2))).otherwise(at)
+    one = F.coalesce(F.try_element_at(useful, F.lit(1)), F.lit(""))
+    said = F.when(~test, one).when(panics > 0, said_panic).otherwise(F.coalesce(strip(F.regexp_extract(place_, GO_PLACE, 3)), F.lit("")))
+    trace = F.when(test, useful).otherwise(F.slice(useful, 2, 1 << 20))
+    found = found.select("run_id", "kind", "pos", failure(F.col("id"), loc, said, trace).alias("f"))
     failures = found.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", F.col("f.id").alias("id"), F.col("f.loc").alias("loc"), F.col("f.msg").alias("msg"), F.col("f.trace").alias("trace")))), lambda x: failure(x["id"], x["loc"], x["msg"], x["trace"])).alias("failures"), F.count_if(F.col("kind") == 1).alias("lone"))
     n = lambda a: F.count_if(F.col("Action") == a)
     counts = leaves.groupBy("run_id").agg(n("pass").alias("p"), n("fail").alias("f"), n("skip").alias("s"))
@@ -349,6 +387,12 @@ def _panic(name: str, block: str) -> tuple:
     return name, where[2] if where else "", msg, rest[1:] if not (where and where[1]) else rest
 
 
+def _thread(text: str, name: str) -> str:
+    """What a test's thread said when it panicked, from interleaved output."""
+    found = re.search(rf"(?m)^thread '{re.escape(name)}'(?: \(\d+\))? panicked at .*\n(?:(?!thread '|test |$).*\n?){{0,5}}", text)
+    return found[0] if found else ""
+
+
 def parse_cargo_test(text: str) -> dict | None:
     found = re.findall(r"test result: (?:ok|FAILED)\. (\d+) passed; (\d+) failed; (\d+) ignored; \d+ measured; \d+ filtered out; finished in ([0-9.]+)s", text)
     if found:
@@ -357,6 +401,7 @@ def parse_cargo_test(text: str) -> dict | None:
         names = [x.strip() for part in re.findall(r"(?m)^failures:\n((?:    \S.*\n)+)", text + "\n") for x in part.splitlines()]
         names = list(dict.fromkeys([*said, *names]))
         passed, failed, ignored = (sum(int(r[i]) for r in found) for i in range(3))
+        said = {n: said.get(n) or _thread(text, n) for n in names}
         return _report("cargo-test", passed + failed + ignored, passed, failed, ignored, sum(float(r[3]) for r in found), [_panic(n, said.get(n, "")) for n in names])
     whole = re.search(r"Summary \[\s*([0-9.]+)s\]\s*\d+ tests? run: (\d+) passed(?: \([^)]*\))?(?:, (\d+) failed)?(?:, (\d+) exec failed)?(?:, (\d+) timed out)?(?:, (\d+) skipped)?", text)
     if not whole:

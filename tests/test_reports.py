@@ -1,5 +1,7 @@
 """Parsers on hand-written outputs; the round trips of plans cover the rest."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from runlens.operators import diagnostics as D
@@ -35,7 +37,7 @@ def test_go_build_failure(spark):
     )
     r = R.parse_reports(runs(spark, text), "go-test").first()
     assert (r.total, r.failed, r.duration_s) == (1, 1, 0.5)
-    assert (r.failures[0].loc, r.failures[0].msg) == ("./a.go:3:1", "undefined: x")
+    assert (r.failures[0].id, r.failures[0].loc, r.failures[0].msg) == ("p", "", "./a.go:3:1: undefined: x")
 
 
 def test_jest_suite_failure(spark):
@@ -87,3 +89,19 @@ def test_fill_from_log(spark):
     failures = spark.createDataFrame([(1, "App.Suite.test", "", ""), (1, "Other.t", "k.c:1", "own")], "run_id long, id string, loc string, msg string")
     log = spark.createDataFrame([(1, 5, "Suite/test", "a.swift:9", "late"), (1, 2, "Suite.test", "a.swift:7", "no")], "run_id long, pos long, id string, loc string, msg string")
     assert sorted((r.id, r.loc, r.msg) for r in render.fill_from_log(failures, log).collect()) == [("App.Suite.test", "a.swift:7", "no"), ("Other.t", "k.c:1", "own")]
+
+
+def test_go_panic(spark):
+    said = ["panic: boom [recovered]", "", "goroutine 6 [running]:", "testing.tRunner.func1()", "\t/usr/lib/go/src/testing/testing.go:1 +0x1", "x/p.TestA(0x1)", "\t/home/u/p/a_test.go:9 +0x2c", "created by testing", "\t/usr/lib/go/src/testing/testing.go:2 +0x1"]
+    events = [{"Action": "run", "Package": "x/p", "Test": "TestA"}, *({"Action": "output", "Package": "x/p", "Test": "TestA", "Output": l + "\n"} for l in said), {"Action": "fail", "Package": "x/p", "Test": "TestA"}, {"Action": "fail", "Package": "x/p", "Elapsed": 0.1}]
+    r = R.parse_reports(runs(spark, "\n".join(map(json.dumps, events))), "go-test").first()
+    f = r.failures[0]
+    assert (r.failed, f.id, f.loc, f.msg) == (1, "p.TestA", "a_test.go:9", "panic: boom")
+    assert f.trace == ["panic: boom [recovered]", "goroutine 6 [running]:", "x/p.TestA(0x1)", "/home/u/p/a_test.go:9 +0x2c"]
+
+
+def test_jvm_frames(spark):
+    trace = "java.lang.IllegalStateException: boom\n\tat app//demo.AppTest.fails(AppTest.java:21)\n\tat app//demo.Lib.call(Lib.java:4)\n\tat java.base/java.lang.reflect.Method.invoke(Method.java:58)\n"
+    text = f'<testsuite><testcase classname="demo.AppTest" name="fails"><failure message="boom">{trace}</failure></testcase></testsuite>'
+    f = R.junit(runs(spark, text), "maven").first().failures[0]
+    assert (f.loc, f.msg, f.trace) == ("AppTest.java:21", "java.lang.IllegalStateException: boom", ["at app//demo.Lib.call(Lib.java:4)"])
