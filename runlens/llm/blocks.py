@@ -24,10 +24,18 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF5
 SLAB = 1 << 16
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(pid, id, text) dealt to blocks of about ``block_bytes``; their number."""
+#: Bytes of a block: so many, or a 20,000th of the corpus if that is more, up to the most.
+LEAST_BLOCK, MOST_BLOCK = 8 << 20, 64 << 20
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """(pid, id, text) dealt to blocks of about ``block_bytes``; their number.
+
+    Larger corpora get larger blocks, so that the messages between blocks and
+    buckets stay long; a block must fit in a Python worker several times.
+    """
     total = text_bytes(docs, text_col)
-    n = pieces_of(total, block_bytes)
+    n = pieces_of(total, block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, total // 20_000)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("pid"), "id", "text")
     return rows.repartition(max(n, shuffle_partitions(docs.sparkSession)), "pid"), n

@@ -90,11 +90,12 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """Exact dedup of ``docs`` against ``index``, by default a new one."""
-    spark = docs.sparkSession
-    if index is None:
-        name = f"digest_index_{uuid.uuid4().hex}"
-        index = DigestIndex(spark, name, new_path(spark, "digest-index"), shuffle_partitions(spark))
-    return index.ingest(docs, id_col, text_col)
+    if index is not None:
+        return index.ingest(docs, id_col, text_col)
+    spark, name = docs.sparkSession, f"digest_index_{uuid.uuid4().hex}"
+    out = DigestIndex(spark, name, new_path(spark, "digest-index"), shuffle_partitions(spark)).ingest(docs, id_col, text_col)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files have a path of their own
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:

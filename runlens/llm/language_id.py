@@ -164,7 +164,7 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
     return Model(labels, table.astype(np.float32), bias, temperature, min(reject, 1 / max(1, len(labels)) + 0.05), bits)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2400, bits: int = 15) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2000, bits: int = 15) -> Model:
     rows = sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")), max_rows, bits)
     return train(rows, bits) if rows else Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
 

@@ -201,7 +201,7 @@ def finish(block: B.Block, gone: np.ndarray, with_text: bool) -> list[tuple]:
     return rows
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, block_bytes: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     ``text`` (the bytes that stay, decoded; characters cut through are left

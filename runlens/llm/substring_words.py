@@ -147,7 +147,7 @@ def finish(block: B.Block, words: Words, gone: np.ndarray, with_text: bool) -> l
     return rows
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, block_bytes: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_removed, n_spans, kept_sha256, text.
 
     ``text`` (the words that stay, joined by one space) only if asked for.
