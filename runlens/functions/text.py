@@ -81,6 +81,17 @@ def cheap_tokens(text: str | Column) -> Column:
     return F.ceil(F.octet_length(col(text)) / 4).cast("long")
 
 
+def counted_tokens(text: str | Column, exact=None, ceiling: bool = False) -> Column:
+    """Tokens by ``exact`` (a function of a column) where that is worth its cost.
+
+    Texts under 4 KiB or over 4 MiB are estimated, unless a ceiling is set.
+    """
+    size = F.octet_length(col(text))
+    if exact is None:
+        return approx_tokens(text)
+    return exact(col(text)) if ceiling else F.when(size.between(4 << 10, 4 << 20), exact(col(text))).otherwise(cheap_tokens(text))
+
+
 def pays(candidate: Column, original: Column) -> Column:
     """The candidate is used only if it has strictly fewer tokens."""
     return candidate < original

@@ -210,7 +210,16 @@ def budget_head_tail(spark, sf_dir):
     return budget.head_tail(V.doc_lines(spark, sf_dir), 300).select("doc_id", "pos", "line")
 
 
-@query(None)
+CUT = "'  (omitted ' || n || ' lines to stay under the token ceiling; see raw_log)' || chr(10)"
+
+
+@query(f"""
+WITH {V.DOC_LINES_SQL},
+l AS (SELECT d.*, count(*) OVER (PARTITION BY doc_id) AS n, line || CASE WHEN pos < max(pos) OVER (PARTITION BY doc_id) THEN chr(10) ELSE '' END AS t FROM doc_lines d),
+p AS (SELECT *, greatest(strlen(t) // 4, 1) + 1 AS c, 300 - (strlen({CUT}) // 4 + 1) AS budget FROM l),
+s AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) <= budget * 60 // 100 AS head, sum(c) OVER (PARTITION BY doc_id ORDER BY pos DESC) <= budget - budget * 60 // 100 AS tail FROM p),
+g AS (SELECT doc_id, string_agg(t, '' ORDER BY pos) FILTER (head) AS a, count(*) FILTER (NOT head AND NOT tail) AS n, string_agg(t, '' ORDER BY pos) FILTER (tail AND NOT head) AS z FROM s GROUP BY doc_id)
+SELECT doc_id, CASE WHEN strlen(text) // 4 <= 300 OR n = 0 THEN text ELSE coalesce(a, '') || {CUT} || coalesce(z, '') END AS text FROM documents LEFT JOIN g USING (doc_id)""")
 def cap_tokens(spark, sf_dir):
     return budget.cap_tokens(V.table(spark, sf_dir, "documents"), 300)
 

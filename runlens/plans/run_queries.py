@@ -126,7 +126,15 @@ def grep_context(spark, sf_dir):
     return R.grep(rows, "[0-9]{2}", context=1, quota=2)
 
 
-@query(None)
+@query(f"""WITH {V.DOC_LINES_SQL},
+h AS (SELECT *, regexp_matches(line, '[0-9]{{2}}') AS match FROM doc_lines),
+q AS (SELECT *, match AND sum(match::INT) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 AS hit FROM h),
+s AS (SELECT *, sum(match::INT) OVER (PARTITION BY doc_id) AS matches, sum(hit::INT) OVER (PARTITION BY doc_id) AS shown,
+      max(hit::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM q),
+g AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 1, false) AS gap FROM s WHERE near = 1)
+SELECT doc_id, '--- stdout (' || max(matches) || ' matches) ---' || chr(10) || string_agg(CASE WHEN gap THEN '...' || chr(10) ELSE '' END || (pos + 1) || ':' || line || chr(10), '' ORDER BY pos)
+       || CASE WHEN max(shown) < max(matches) THEN '  (showing ' || max(shown) || ' of ' || max(matches) || ' matches)' || chr(10) ELSE '' END AS text
+FROM g GROUP BY doc_id""")
 def grep_report(spark, sf_dir):
     rows = V.doc_lines(spark, sf_dir).withColumn("stream", F.lit("stdout"))
     return R.render_grep(R.grep(rows, "[0-9]{2}", context=1))

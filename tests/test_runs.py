@@ -60,3 +60,24 @@ def test_scalars(spark):
     ).first()
     assert (one.f, one.b, one.r) == ("a/b.c", "c.txt", "at x.py and y.py, /a/w/z.py")
     assert one.w and not one.v and one.s == 3723.5 and one.i == "cargo" and one.t == "2024-01-02 03:04:05" and one.p == "p/q" and one.d == 0.0 and one.j and not one.k
+
+
+def test_ledger_reports(spark):
+    from runlens.operators import render
+
+    rows = [(i, c, a, n, n, e, k) for i, (c, a, n, e, k) in enumerate([("x", "passthrough", 900, 1, None)] * 3 + [("sh", "passthrough", 2000, 0, "cargo")] + [("y", "pytest", 9000, 0, None)])]
+    frame = spark.createDataFrame(rows, "seq long, cmd string, adapter string, tokens_in long, tokens_out long, exit int, inner_cmd string").withColumn("saved", F.lit(5).cast("long"))
+    assert render.render_stats(frame).first().text == "calls: 5\ntokens_saved: 25\nsaved_vs_visible: 0\nby_adapter[2:]{calls,saved}:\n  passthrough: 4,20\n  pytest: 1,5"
+    got = [(r.kind, r.cmd) for r in render.suggestions(frame).orderBy("rank").collect()]
+    assert got == [("token_waster", "x"), ("shell_string", "cargo"), ("repeat_failure", "x")]
+    text = render.render_suggestions(frame).first().text
+    assert text.startswith("analyzed_calls: 5\ntokens_saved: 25\nsuggestions[3]:\n  - kind: token_waster\n    cmd: x\n")
+    assert render.render_suggestions(frame.where("cmd = 'y'")).first().text == "analyzed_calls: 1\ntokens_saved: 5\nverdict: no waste detected"
+
+
+def test_rendered_delta(spark):
+    from runlens.operators import render
+
+    old, new = items(spark, [("t1", "", "", "m"), ("t2", "", "", "")]), items(spark, [("t1", "", "", "m")])
+    text = render.render_delta(R.diff(old, new), fewer=True).first().text
+    assert text == 'summary:\n  fixed: 1\n  still: 1\n  new: 0\nfixed_or_not_run[1]{id,loc,rule,msg}:\n  t2,"","",""\nstill[1]{id,loc,rule,msg}:\n  t1,"","",m'
