@@ -29,14 +29,13 @@ def so_far():
 
 def to_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per line; an empty or null text has none."""
-    parts = F.split(F.col(text), "\n", -1)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), (F.size(parts) - 1).alias("last"), F.posexplode(parts).alias("pos", "raw"))
-    ended = F.col("pos") < F.col("last")
-    cr = ended & F.col("raw").endswith("\r")
-    rows = rows.where(ended | (F.col("raw") != ""))
-    line = F.when(cr, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw"))
-    term = F.when(cr, "\r\n").when(ended, "\n").otherwise("")
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), line.alias("line"), term.alias("term"))
+    # cut behind each line feed: every piece shows its own end, so nothing about
+    # the whole text is needed, and none of it evaluated again, per line
+    pieces = F.split(F.col(text), "(?<=\n)", -1)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(pieces).alias("pos", "raw")).where("raw <> ''")
+    term = F.when(F.col("raw").endswith("\r\n"), "\r\n").when(F.col("raw").endswith("\n"), "\n").otherwise("")
+    rows = rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "raw", term.alias("term"))
+    return rows.select("doc_id", "pos", F.expr("left(raw, length(raw) - length(term))").alias("line"), "term")
 
 
 def join_lines(lines: DataFrame) -> DataFrame:

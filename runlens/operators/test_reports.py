@@ -292,29 +292,14 @@ def go_test(events: DataFrame) -> DataFrame:
     lone = lone.join(named, ["run_id", "build"], "left").join(guessed, ["run_id", "Package"], "left")
     lone = lone.select("run_id", "Package", "pos", F.substring_index("Package", "/", -1).alias("id"), F.concat(F.coalesce("by_name", "by_path", F.array()), "said").alias("said"))
     found = bad.withColumn("kind", F.lit(0)).unionByName(lone.withColumn("kind", F.lit(1)))
-    found = found.withColumn("lines", F.flatten(F.transform("said", lambda s: F.split(F.regexp_replace(s["Output"], r"\n$", ""), "\n"))))
-    lines, test = F.col("lines"), F.col("kind") == 0
-    frame = lambda l: F.coalesce(l.rlike(GO_FRAME), F.lit(False))
-    root = F.try_element_at(F.filter(lines, lambda l: frame(l) & l.rlike("/src/(?:runtime|testing)/")), F.lit(1))
-    root = F.coalesce(F.regexp_extract(root, r"^\t(\S*?/src/)(?:runtime|testing)/", 1), F.lit("\u0000"))
-    inner = lambda l: l.rlike(r"/src/runtime/|/src/testing/|^\t_testmain\.go:") | F.ltrim(F.regexp_replace(l, "^\t", "")).startswith(root)
-    nth = lambda i: F.get(lines, i)
-    lead = lambda l, i: frame(nth(i + 1)) & ~frame(l) & ~l.startswith("\t")
-    keeps = lambda l, i: ~((frame(l) & inner(l)) | (lead(l, i) & inner(nth(i + 1))))
-    status = r"^(?:=== |--- |PASS$|FAIL$|FAIL\t|ok\s|exit status|#)"
-    useful = F.filter(F.transform(F.filter(F.transform(lines, lambda l, i: F.when(keeps(l, i), l)), lambda l: l.isNotNull()), strip), lambda l: (l != "") & ~l.rlike(status))
-    panics = F.array_position(F.transform(lines, lambda l: strip(l).startswith("panic: ")), True)
-    said_panic = F.regexp_replace(strip(nth((panics - 1).cast("int"))), r" \[recovered\]$", "")
-    own = F.filter(F.transform(lines, lambda l, i: F.when((i >= panics) & frame(l) & ~inner(l) & ~frame(nth(i - 1)) & ~F.coalesce(nth(i - 1), F.lit("")).startswith("created by "), l)), lambda l: l.isNotNull())
-    first_own = F.try_element_at(own, F.lit(1))
-    before = F.when(panics > 0, F.slice(lines, F.lit(1), F.greatest(panics.cast("int") - 1, F.lit(0)))).otherwise(lines)
-    place_ = F.try_element_at(F.filter(F.transform(before, strip), lambda l: l.rlike(GO_PLACE)), F.lit(1))
-    at = F.coalesce(F.concat(F.regexp_extract(place_, GO_PLACE, 1), F.lit(":"), F.regexp_extract(place_, GO_PLACE, 2)), F.lit(""))
-    loc = F.when(~test, "").when((panics > 0) & first_own.isNotNull(), F.concat(T.basename(F.regexp_extract(first_own, GO_FRAME, 1)), F.lit(":"), F.regexp_extract(first_own, GO_FRAME, 2))).otherwise(at)
-    one = F.coalesce(F.try_element_at(useful, F.lit(1)), F.lit(""))
-    said = F.when(~test, one).when(panics > 0, said_panic).otherwise(F.coalesce(strip(F.regexp_extract(place_, GO_PLACE, 3)), F.lit("")))
-    trace = F.when(test, useful).otherwise(F.slice(useful, 2, 1 << 20))
-    found = found.select("run_id", "kind", "pos", failure(F.col("id"), loc, said, trace).alias("f"))
+    found = found.select("run_id", "kind", "pos", "id", F.array_join(F.transform("said", lambda s: s["Output"]), "").alias("text"))
+
+    def explain(frames):
+        for f in frames:
+            got = [_go_failure(t or "", k == 0) for t, k in zip(f["text"], f["kind"])]
+            yield f[["run_id", "kind", "pos"]].assign(f=[{"id": i, "loc": g[0], "msg": g[1], "trace": g[2]} for i, g in zip(f["id"], got)])
+
+    found = found.mapInPandas(explain, f"run_id {dict(found.dtypes)['run_id']}, kind int, pos long, f {FAILURE}")
     failures = found.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", F.col("f.id").alias("id"), F.col("f.loc").alias("loc"), F.col("f.msg").alias("msg"), F.col("f.trace").alias("trace")))), lambda x: failure(x["id"], x["loc"], x["msg"], x["trace"])).alias("failures"), F.count_if(F.col("kind") == 1).alias("lone"))
     n = lambda a: F.count_if(F.col("Action") == a)
     counts = leaves.groupBy("run_id").agg(n("pass").alias("p"), n("fail").alias("f"), n("skip").alias("s"))
@@ -325,6 +310,31 @@ def go_test(events: DataFrame) -> DataFrame:
 
 # --- free text, in Python ---
 
+_GO_FRAME, _GO_PLACE = re.compile(GO_FRAME), re.compile(GO_PLACE)
+_GO_STATUS = re.compile(r"=== |--- |PASS$|FAIL$|FAIL\t|ok\s|exit status|#")
+
+
+def _go_failure(text: str, test: bool) -> tuple[str, str, list[str]]:
+    """(loc, msg, trace) of what a failed Go test, or package, printed."""
+    lines = text.split("\n")
+    frames = {i: m for i, x in enumerate(lines) if (m := _GO_FRAME.match(x))}
+    roots = [m[1][: m[1].index("/src/") + 5] for m in frames.values() if re.search("/src/(?:runtime|testing)/", m[1])]
+    inner = {i for i, m in frames.items() if m[1] == "_testmain.go" or (roots and m[1].startswith(roots[0]))}
+    heads = {i - 1 for i in inner if i - 1 not in frames and i and not lines[i - 1].startswith("\t")}
+    useful = [x.strip() for i, x in enumerate(lines) if i not in inner and i not in heads]
+    useful = [x for x in useful if x and not _GO_STATUS.match(x)]
+    if not test:
+        return "", useful[0] if useful else "", useful[1:]
+    panic = next((i for i, x in enumerate(lines) if x.strip().startswith("panic: ")), None)
+    place_ = next((m for x in lines[:panic] if (m := _GO_PLACE.match(x.strip()))), None)
+    loc, msg = (f"{place_[1]}:{place_[2]}", place_[3].strip()) if place_ else ("", "")
+    if panic is not None:
+        msg = lines[panic].strip().removesuffix(" [recovered]")
+        own = next((m for i, m in frames.items() if i > panic and i not in inner and i - 1 not in frames and not lines[i - 1].startswith("created by ")), None)
+        loc = f"{own[1].rsplit('/', 1)[-1]}:{own[2]}" if own else loc
+    return loc, msg, useful
+
+
 _EXCEPTION = re.compile(r"^[A-Za-z_][A-Za-z0-9_.]*(Error|Exception|Failure|Exit|Interrupt)\b")
 
 
