@@ -15,6 +15,11 @@ round, by joins of (query, node) with the blocks of the graph, until its best
 ``beam`` nodes are all expanded. Scores are inner products of the
 original components in double precision.
 
+Lists and beam grow with the number of nodes, and NN-descent runs until it has
+settled. A fixed number of queries is also answered by brute force: while too few
+of their true neighbours are found, the beam is doubled, and beyond a limit the
+graph is built again with lists twice as long; if that does not help, it fails.
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors with other than the commonest number of components,
 take no part, neither as queries nor as candidates; null ids neither; equal
@@ -250,13 +255,22 @@ def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) ->
     return grouped.cogroup(better.groupBy("blk")).applyInArrow(improve, STATE)
 
 
-def build(nodes: DataFrame, dims: int, keep: int = 36, trees: int = 8, run: int = 384, rounds: int = 6, named: int = 90, told: int = 16, settled: float = 0.02) -> tuple[DataFrame, int]:
+def effort(n: int) -> tuple[int, int]:
+    """Length of lists and beam to begin with for ``n`` nodes."""
+    more = max(1.0, n / 50_000)
+    return round(36 * more**0.25), round(128 * more**0.5)
+
+
+def build(nodes: DataFrame, dims: int, keep: int | None = None, trees: int = 8, run: int = 384, named: int | None = None, told: int | None = None, settled: float = 0.02) -> tuple[DataFrame, int]:
     """The graph of ``nodes`` (node, vec): blk, node, near, sim; number of blocks.
 
-    Rounds stop when less than ``settled`` of the list entries change.
+    Rounds go on until at most ``settled`` of the list entries change; each
+    change betters a list, so they end.
     """
     spark = nodes.sparkSession
     n = nodes.count()
+    keep = keep or effort(n)[0]
+    named, told = named or 5 * keep // 2, told or max(1, 4 * keep // 9)
     blocks = max(pieces_of(n, 65536), min(shuffle_partitions(spark), pieces_of(n, 2048)))
     parts = max(pieces_of(n, 16 * run), 1)
     found = first_lists(nodes, dims, keep, 0, run, parts)
@@ -274,10 +288,10 @@ def build(nodes: DataFrame, dims: int, keep: int = 36, trees: int = 8, run: int
     blk = F.pmod("node", F.lit(blocks)).cast("int").alias("blk")
     state = nodes.select(blk, "node", "vec").groupBy("blk").cogroup(found.select(blk, "node", "near", "sim").groupBy("blk")).applyInArrow(join, STATE)
     state = materialise(state, "graph")
-    for _ in range(rounds):
+    while True:
         before, state = state, materialise(descend(state, blocks, keep, named, told), "graph")
         release(before)
-        if (state.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0) < settled * n * keep:
+        if (state.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0) <= settled * n * keep:
             break
     return state, blocks
 
@@ -322,13 +336,40 @@ class Beams:
         return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open), out(self.known)], names=[x.split()[0] for x in QUERY.split(", ")])
 
 
-def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.ndarray, np.ndarray] | None = None, beam: int = 128, width: int = 32, rounds: int = 16) -> DataFrame:
-    """(query, node, score): the best ``beam`` nodes that each query has seen.
+def exact_floors(graph: DataFrame, queries: DataFrame, k: int, sample: int) -> dict[int, tuple[int, float]]:
+    """By brute force, of at most ``sample`` queries: the number of nearest other
+    nodes (``k``, or all if fewer) and the least of their scores."""
+    ids = [r["query"] for r in queries.orderBy(F.xxhash64("query", F.lit(5)), "query").limit(sample).collect()]
+    held = graph.where(F.col("node").isin(ids)).select("node", "x").collect()
+    who = np.array([r["node"] for r in held], np.int64)
+    q = np.frombuffer(b"".join(r["x"] for r in held), np.float32).reshape(len(held), -1).astype(np.float64) if held else np.zeros((0, 0))
+
+    def closest(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
+        node, rows = table.column("node").to_numpy(), []
+        for i, v in zip(who.tolist(), q):
+            s = (x @ v)[node != i]
+            rows.append(np.partition(s, len(s) - k)[len(s) - k :] if len(s) > k else s)
+        return pa.table([pa.array(who), lists(rows, pa.float64())], names=["query", "best"])
+
+    found = graph.groupBy("blk").applyInArrow(closest, "query long, best array<double>") if held else None
+    if found is None:
+        return {}
+    best = found.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best"))
+    return {r["query"]: (len(r["best"]), r["best"][-1]) for r in best.collect() if r["best"]}
+
+
+def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.ndarray, np.ndarray] | None = None, beam: int = 128, k: int = 20, target: float = 0.92, sample: int = 256, most: int | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(query, node, score): the best nodes that each query has seen; the beams
+    tried, each with the share of the ``k`` nearest that it found.
 
     ``queries``: (query), nodes of ``graph`` (blk, node, near, x). ``starts``: a
-    few nodes and their vectors that every query also starts from.
+    few nodes and their vectors that every query also starts from. The share is
+    that of ``sample`` queries; below ``target`` the beam is doubled, up to ``most``.
     """
     graph = materialise(graph, "searched")
+    floors = exact_floors(graph, queries, k, sample)
+    width = max(32, beam // 4)
 
     def begin(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
@@ -443,10 +484,18 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
             beams.seen[i], beams.score[i], beams.open[i] = seen[best], s[best], o[best]
         return beams.table(table.column("blk")[0].as_py())
 
+    def again(table: pa.Table) -> pa.Table:
+        """To be expanded anew: what a narrower beam dropped can come back."""
+        beams = Beams(table)
+        beams.open = [np.ones(len(s), bool) for s in beams.seen]
+        beams.known = [s.astype(np.uint32) for s in beams.seen]
+        return beams.table(table.column("blk")[0].as_py())
+
     held = graph.groupBy("blk")
     start = graph.join(queries.withColumnRenamed("query", "node"), "node", "left_semi").select("blk", "node", "x")
     state = materialise(start.groupBy("blk").applyInArrow(begin, QUERY), "beams")
-    for _ in range(rounds):
+    tried: list[tuple[int, float]] = []
+    while True:
         mine = state.groupBy("blk")
         found = held.cogroup(mine.applyInArrow(expand, PAIRS).groupBy("blk")).applyInArrow(look, PAIRS)
         asked = mine.cogroup(found.groupBy("blk")).applyInArrow(ask, ASKED)
@@ -454,8 +503,14 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
         before, state = state, materialise(mine.cogroup(scores.groupBy("blk")).applyInArrow(merge, QUERY), "beams")
         release(before)
         left = state.select(F.expr(f"instr(hex(substr(open, 1, {beam})), '01')").alias("i"))  # a byte for each node seen: 01 if not expanded
-        if not left.where("i > 0").limit(1).count():
+        if left.where("i > 0").limit(1).count():
+            continue
+        tried.append((beam, found_share(state, floors, k)))
+        if tried[-1][1] >= target or beam >= (most or beam):
             break
+        beam, width = 2 * beam, max(32, beam // 2)
+        before, state = state, materialise(state.groupBy("blk").applyInArrow(again, QUERY), "beams")
+        release(before)
 
     def best(batches):
         for batch in batches:
@@ -463,13 +518,28 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
             n = [min(len(s), beam) for s in b.seen]
             yield pa.record_batch([pa.array(np.repeat(b.query, n)), pa.array(np.concatenate([s[:k] for s, k in zip(b.seen, n)])), pa.array(np.concatenate([s[:k] for s, k in zip(b.score, n)]))], names=["query", "node", "score"])
 
-    return state.mapInArrow(best, "query long, node long, score double")
+    return state.mapInArrow(best, "query long, node long, score double"), tried
 
 
-def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", is_query=None, **options) -> DataFrame:
+def found_share(state: DataFrame, floors: dict[int, tuple[int, float]], k: int) -> float:
+    """The share of the true nearest that the queries of ``floors`` have seen."""
+    first = lambda c: F.expr(f"substr({c}, 1, {8 * (k + 1)})").alias(c)
+    hits = 0
+    for r in state.where(F.col("query").isin(list(floors))).select("query", first("seen"), first("score")).collect():
+        others = np.frombuffer(r["score"], np.float64)[np.frombuffer(r["seen"], np.int64) != r["query"]]
+        many, floor = floors[r["query"]]
+        hits += min(many, int((others >= floor - 1e-9 * max(1.0, abs(floor))).sum()))
+    total = sum(many for many, _ in floors.values())
+    return hits / total if total else 1.0
+
+
+def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", is_query=None, beam: int | None = None, target: float = 0.92, measured: list | None = None) -> DataFrame:
     """The ``k`` nearest of each query row: query_id, rank, id, score.
 
     ``is_query``: a condition on the id; by default those divisible by 20.
+    ``beam``: the first to try. ``target``: the share of true neighbours to find
+    among sampled queries, above 0.9 by three standard errors. ``measured``
+    takes (length of lists, beam, share found) of each trial.
     """
     rows = usable(rows, id_col, vec_col)
     if is_query is None:
@@ -491,12 +561,24 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
 
     nodes = materialise(found.select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, vec binary, x binary"), "nodes")
     asked = rows.where(is_query).select("id", key.alias("query")).distinct()
-    graph, blocks = build(nodes.select("node", "vec"), (dims or 0) + 1)
+    asked_nodes = materialise(asked.select("query").distinct(), "asked")
+    n = nodes.count()
+    keep, first_beam = effort(n)
+    beam = max(beam or first_beam, k + 1)
     # with unequal norms the longest vectors are near to many queries, wherever these stand
     shortest = found.agg(F.min("norm2")).first()[0]
     longest = found.orderBy(F.desc("norm2"), "node").limit(64).select("node", "vec").collect() if most and shortest < 0.99 * most else []
     starts = (np.array([r["node"] for r in longest], np.int64), np.array([r["vec"] for r in longest], np.float64)) if longest else None
-    seen = search(asked.select("query").distinct(), graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, starts, **options)
+    while True:
+        graph, blocks = build(nodes.select("node", "vec"), (dims or 0) + 1, keep)
+        seen, tried = search(asked_nodes, graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, starts, beam, k, target, most=min(n, 32 * keep))
+        if measured is not None:
+            measured += [(keep, *t) for t in tried]
+        if tried[-1][1] >= target:
+            break
+        if keep >= n:
+            raise RuntimeError(f"found {tried[-1][1]:.3f} of the nearest, not {target}")
+        keep *= 2
     # k + 1 nodes hold k ids besides the query's own
     tied = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
     best = seen.withColumn("t", tied).where(F.col("t") <= k + 1).join(nodes.select("node", "ids"), "node")

@@ -244,6 +244,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0)).count() == 0
 
 
+def test_neighbours_effort(spark):
+    """Rounds go on until lists settle; a beam that finds too little is widened."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "node long, vec binary")
+    graph, _ = neighbours.build(nodes, 64, keep=12, trees=1, run=8, named=5, told=1, settled=0)
+    assert graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] == 0
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got, tried = {}, []
+    for r in neighbours.nearest(frame, beam=21, target=0.9995, measured=tried).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    hits = sum(len(found & set(np.argsort(-s[q])[:20].tolist())) for q, found in got.items())
+    assert len(got) == 150 and hits >= 0.9995 * 20 * 150  # all of them are sampled
+    assert [b for _, b, _ in tried] == [21 * 2**i for i in range(len(tried))] and len(tried) > 1 and tried[0][2] < 0.9995 <= tried[-1][2]
+
+
 @needs_data
 @pytest.mark.parametrize("name", ["op1_warc_revisits", "op4_exact_dedup", "op5_mixing"])
 def test_sql(spark, name):
