@@ -6,12 +6,16 @@ blank, so n-grams mark word ends). Embeddings and the linear layer are trained
 by stochastic gradient descent in numpy on a bounded sample of labelled rows
 (``max_rows`` in all, spread over the labels), each also cut to short passages
 so that short texts are judged well. A fifth of the sample is kept back to fit
-the temperature of the softmax and the score below which texts are rejected.
+the temperature of the softmax and the rejection. A text's familiarity is the
+mean log frequency of its n-grams in the learned texts, which is low in other
+languages and in gibberish, whichever label scores best; texts below a normal
+tail of the familiarity of what is kept back, short passages too, are rejected.
 Prediction sums one row of a small table per n-gram over the whole text.
 
 Defined results: null texts and texts without letters are ``und`` with score
 0; rows with a null label or id are never learned from; without labelled rows
-every text is ``und``; ties go to the first label in order; an empty table
+every text is ``und``; with fewer than 30 passages kept back only ``und`` texts
+are rejected; ties go to the first label in order; an empty table
 gives no rows; only the id, text and label columns are read, and the label
 only for learning.
 """
@@ -19,6 +23,7 @@ only for learning.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -53,31 +58,38 @@ def buckets_of(text: bytes, bits: int) -> np.ndarray:
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # buckets x labels: embeddings times the linear layer
+    table: np.ndarray  # buckets x labels, embeddings times the linear layer; last, log frequencies
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    reject_below: float  # familiarity
     bits: int
 
-    def scores(self, text: str) -> np.ndarray:
-        """Calibrated probabilities of the labels."""
-        total, n = np.zeros(len(self.labels)), 0
+    def judge(self, text: str) -> tuple[np.ndarray, float]:
+        """Calibrated probabilities of the labels; familiarity."""
+        total, n = np.zeros(len(self.labels) + 1), 0
         data = text.lower().encode("utf-8", "replace")
         for a in range(0, len(data), 1 << 16):  # slabs keep memory small; n-grams across their edges are cut
             at = buckets_of(data[a : a + (1 << 16)], self.bits).ravel()
             total += self.table[at].sum(axis=0, dtype=np.float64)
             n += len(at)
-        z = (total / max(n, 1) + self.bias) / self.temperature
+        total /= max(n, 1)
+        z = (total[:-1] + self.bias) / self.temperature
         p = np.exp(z - z.max())
-        return p / p.sum()
+        return p / p.sum(), float(total[-1])
+
+    def usable(self, text: str | None) -> bool:
+        return text is not None and bool(self.labels) and LETTER.search(text) is not None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.labels or not LETTER.search(text):
+        if not self.usable(text):
             return UNKNOWN, 0.0
-        p = self.scores(text)
+        p, _ = self.judge(text)
         k = int(p.argmax())
         return self.labels[k], float(p[k])
 
+    def accepts(self, text: str | None) -> bool:
+        return self.usable(text) and self.judge(text)[1] >= self.reject_below
+
 
 def _features(bits: int):
     """Sparse counts of whole texts and of two short passages of each."""
@@ -117,15 +129,18 @@ def sample(docs: DataFrame, max_rows: int, bits: int) -> list:
     return sorted(rows.collect(), key=lambda r: (r["seed"], r["part"], r["label"]))
 
 
-def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float = 0.5, keep: float = 0.001, seed: int = 7) -> Model:
-    """Fit on sampled rows; ``keep``: share of right predictions that the rejection may cost."""
+def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float = 0.5, cost: float = 1e-6, seed: int = 7) -> Model:
+    """Fit on sampled rows; ``cost``: share of texts of the labels that the
+    rejection may cost, if their familiarity is normal."""
     labels = sorted({r["label"] for r in rows})
     index = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    data = []
+    data, seen = [], np.full(1 << bits, 0.5)
     for r in rows:
         n = np.frombuffer(r["n"], np.float32)
         data.append((np.frombuffer(r["at"], np.int32), n / max(1.0, float(n.sum())), index[r["label"]], r["part"], r["seed"] % 5 == 0))
+        if r["part"] == 0 and not data[-1][4]:
+            seen[data[-1][0]] += n
     fit, held = [d for d in data if not d[4]] or data, [d for d in data if d[4]] or data
     emb = rng.normal(0, 0.1, (1 << bits, dims)).astype(np.float32)
     weight, bias = np.zeros((dims, len(labels)), np.float32), np.zeros(len(labels), np.float32)
@@ -156,12 +171,10 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
         return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean())
 
     temperature = min((float(t) for t in np.geomspace(0.2, 5, 60)), key=loss)
-    z = logits / temperature
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    reject = float(np.quantile(right, keep)) if len(right) else 0.0
-    return Model(labels, table.astype(np.float32), bias, temperature, min(reject, 1 / max(1, len(labels)) + 0.05), bits)
+    often = np.log(seen / seen.sum()).astype(np.float32)
+    familiar = np.array([d[1] @ often[d[0]] for d in held])
+    reject = float(familiar.mean() + NormalDist().inv_cdf(cost) * familiar.std()) if len(held) >= 30 else -np.inf
+    return Model(labels, np.column_stack((table, often)).astype(np.float32), bias, temperature, reject, bits)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2000, bits: int = 15) -> Model:
@@ -192,8 +205,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.pandas_udf("boolean")
     def keeps(texts: pd.Series) -> pd.Series:
         m = shared.value
-        found = [m.predict(t) for t in texts]
-        return pd.Series([label != UNKNOWN and score >= m.reject_below for label, score in found], dtype=bool)
+        return pd.Series([m.accepts(t) for t in texts], dtype=bool)
 
     return docs.where(keeps(F.col(text_col)))
 

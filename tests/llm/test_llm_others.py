@@ -218,6 +218,17 @@ def test_languages(spark, docs):
     assert language_id.identify(docs(odd), unlabelled).where("lang_pred <> 'und'").count() == 0
 
 
+@needs_data
+def test_foreign_text_is_rejected(spark, docs):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.fit(rows.where(language_id.fold() != 1))
+    rng = random.Random(1)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.", "Все люди рождаются свободными и равными в своем достоинстве.", " ".join(word("bcdfghjkqvwxz") for _ in range(40)), " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(40))]
+    assert language_id.accepted(docs(enumerate(foreign)), model).count() == 0
+    assert language_id.accepted(rows, model).count() == rows.count()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1500, 12)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
