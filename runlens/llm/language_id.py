@@ -4,7 +4,7 @@ A text's feature is the mean of the embeddings of its hashed byte n-grams
 (2 to 4 bytes of the lower-case text, characters other than letters as one
 blank, so n-grams mark word ends). Embeddings and the linear layer are trained
 by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``max_rows`` in all, spread over the labels), each also cut to short passages
+(``max_rows`` in all, spread over the ``max_labels`` most frequent labels), each also cut to short passages
 so that short texts are judged well. A fifth of the sample is kept back to fit
 the temperature of the softmax and the rejection. A text's familiarity is the
 mean log frequency of its n-grams in the learned texts, which is low in other
@@ -115,10 +115,10 @@ def _features(bits: int):
     return run
 
 
-def sample(docs: DataFrame, max_rows: int, bits: int) -> list:
+def sample(docs: DataFrame, max_rows: int, bits: int, max_labels: int = 1000) -> list:
     """Features of at most about ``max_rows`` rows of (id, text, label), as many of each label."""
     known = docs.where("label is not null and id is not null and text is not null")
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()}
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
@@ -177,8 +177,9 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
     return Model(labels, np.column_stack((table, often)).astype(np.float32), bias, temperature, reject, bits)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2000, bits: int = 15) -> Model:
-    rows = sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")), max_rows, bits)
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2000, bits: int = 15, max_labels: int = 1000) -> Model:
+    """Learn the ``max_labels`` most frequent labels; others are never predicted."""
+    rows = sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")), max_rows, bits, max_labels)
     return train(rows, bits) if rows else Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
 
 

@@ -218,6 +218,12 @@ def test_languages(spark, docs):
     assert language_id.identify(docs(odd), unlabelled).where("lang_pred <> 'und'").count() == 0
 
 
+def test_number_of_labels(spark):
+    frame = spark.createDataFrame([(i, f"wort{i} abc", f"l{i % 5}") for i in range(50)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(frame).labels) == 5
+    assert language_id.fit(frame, max_labels=3).labels == ["l0", "l1", "l2"]
+
+
 @needs_data
 def test_foreign_text_is_rejected(spark, docs):
     rows = spark.read.parquet(f"{DATA}/documents.parquet")
