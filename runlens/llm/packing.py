@@ -16,6 +16,7 @@ cut into several are ``capacity`` long except that the first may be shorter.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -31,39 +32,41 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
+#: A number by which pieces are dealt to parts; rows with one id get different ones.
+DEALT = ", deal int"
 #: Beyond these characters regular expression engines may differ on classes.
 PLAIN = re.compile("[\x00-ɏ]*")
 
 
 @cache
 def _tokenizers(path: str):
-    """(fast encoder, reference encoder) of one byte-level BPE file."""
+    """(fast encoder, the file's own encoder, texts of its added tokens) of one byte-level BPE file."""
     import tiktoken
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]["vocab"]
+        content = json.load(f)
+    model, added = content["model"]["vocab"], [t["content"] for t in content.get("added_tokens", [])]
     # the byte alphabet: printable bytes stand for themselves, the others follow from U+0100
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     assert set(byte_of) == set(ByteLevel.alphabet())
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model.items() if all(c in byte_of for c in token) and not re.fullmatch(r"<\|.*\|>", token)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model.items() if all(c in byte_of for c in token) and token not in added}
     from public_tokenizers import PATTERN
 
     fast = tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    return fast, exact
+    return fast, Tokenizer.from_file(path), added
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each text, as the tokenizer file says."""
+    """Token ids of each text, as the tokenizer file says: the text of an added
+    token, such as the one that ends texts, is that token."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    fast, exact = _tokenizers(path)
+    fast, exact, added = _tokenizers(path)
     out = []
     for t in texts:
-        ids = fast.encode_ordinary(t) if PLAIN.fullmatch(t) else exact.encode(t, add_special_tokens=False).ids
+        ids = fast.encode_ordinary(t) if PLAIN.fullmatch(t) and not any(a in t for a in added) else exact.encode(t, add_special_tokens=False).ids
         out.append(np.array(ids, "<u4"))
     return out
 
@@ -193,6 +196,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, i
     """One row per piece; ``ids`` (array) too if asked for."""
 
     def run(batches):
+        count = itertools.count()
         for batch in batches:
             ids = batch.column("id").to_pylist()
             texts = batch.column("text")
@@ -202,25 +206,25 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, i
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     for k, (x, y) in enumerate(cut(len(tokens), capacity)):
                         part = tokens[x:y]
-                        rows.append((i, k, x, y - x, zlib.crc32(part.tobytes()), *((part,) if with_ids else ())))
+                        rows.append((i, k, x, y - x, zlib.crc32(part.tobytes()), next(count) & 0x7FFFFFFF, *((part,) if with_ids else ())))
                 cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+                names = ["id", "piece", "start", "length", "ids_crc32", "deal", "ids"]
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, PIECES + DEALT + (", ids array<int>" if with_ids else ""))
 
 
 def ranked(pieces: DataFrame, rows_in_part: int) -> DataFrame:
-    """``pieces`` with ``rank``, from 0 within each length."""
+    """``pieces``, a written table, with ``rank``, from 0 within each length."""
     total = pieces.count()
     parts = max(1, -(-total // rows_in_part))
-    split = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(parts)))
+    split = pieces.withColumn("part", F.pmod(F.xxhash64("deal", "id"), F.lit(parts)))
     sizes = split.groupBy("length", "part").count()
     before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("length", "part").orderBy("id", "piece", "start", "ids_crc32"))
+    own = F.row_number().over(W.partitionBy("length", "part").orderBy("id", "piece", "start", "ids_crc32", "deal"))
     return split.withColumn("own", own).join(sizes, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("part", "own", "before")
 
 
@@ -246,6 +250,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
             yield pa.record_batch(cols, names=[*names, "sequence_id", "offset"])
 
     rows = ranked(pieces, rows_in_part)
-    rows = rows.select(*pieces.columns, "rank")
+    rows = rows.select(*(c for c in pieces.columns if c != "deal"), "rank")
     schema = PIECES + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
