@@ -15,9 +15,10 @@ lower case. The share of true links with similarity s that no band generates is
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a text with fewer words than a shingle has one shingle, the whole
-sequence; a null id counts as larger than every other and comes back as null;
-rows with one id are one document, which all their texts link; an empty table
-gives no rows; other columns are not read.
+sequence; rows with one id are one document, which all their texts link; rows
+without an id are a document for each set, and where a group has no row with an
+id its component is null and the rows with the first such set stay; ids are
+below 2 ** 62; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import join_skewed, materialise, pieces_of, text_or_empty
+from .common import fresh_name, join_skewed, materialise, pieces_of, shuffle_partitions, text_or_empty
 from .components import connected_components
 
-SIGNED = "id long, fp1 long, fp2 long, n long, bands array<long>, sig binary"
+SIGNED = "id long, th long, fp1 long, fp2 long, n long, bands array<long>, sig binary"
+#: Documents without an id are numbered from here on, by the fingerprint of their set.
+NAMELESS = 1 << 62
 #: Estimates that fall short of the limit by more than this are not confirmed: 7 standard errors at 128 slots.
 SLACK = 0.25
 
@@ -97,17 +100,17 @@ def sign(docs: DataFrame, width: int, slots: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_pylist()
+            ids, hashes = batch.column("id").to_pylist(), batch.column("th").to_pylist()
             texts = batch.column("text").cast(pa.binary())
             for a in range(0, len(ids), 256):
                 out = []
-                for i, s in zip(ids[a : a + 256], shingle_sets(texts[a : a + 256].to_pylist(), width)):
+                for i, h, s in zip(ids[a : a + 256], hashes[a : a + 256], shingle_sets(texts[a : a + 256].to_pylist(), width)):
                     low = minima(s, mul, add)
                     fp = xxhash.xxh3_128_digest(s.tobytes())
                     keys = [int.from_bytes(xxhash.xxh3_64_digest(low[k * rows : k * rows + rows].tobytes(), k), "little", signed=True) for k in range(bands)] if len(s) else []
-                    out.append((i, int.from_bytes(fp[:8], "little", signed=True), int.from_bytes(fp[8:], "little", signed=True), len(s), keys, pack_low_bits(low)))
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["id", "fp1", "fp2", "n", "bands", "sig"])
+                    out.append((i, h, int.from_bytes(fp[:8], "little", signed=True), int.from_bytes(fp[8:], "little", signed=True), len(s), keys, pack_low_bits(low)))
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["id", "th", "fp1", "fp2", "n", "bands", "sig"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -149,41 +152,69 @@ def groups_within(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, perc
 FOUND = "node long, root long"
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, slots: int = 128, rows: int = 5, task_shingles: int = 4_000_000) -> DataFrame:
-    """One row per document: the id, n_shingles, component_id, kept.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text): ``th`` tells the texts of one id, or of none, apart."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    ``percent`` is the least similarity of a link, in hundredths.
-    """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, slots: int, rows: int, task_shingles: int) -> DataFrame:
+    """(id, th, n, component, kept) of each row."""
+    source = _rows(docs, id_col, text_col)
     signed = materialise(sign(source, width, slots, rows), "signed")
-    classes = signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many"))
-    classes = materialise(classes, "classes")
-    own = signed.where("n > 0").join(classes.select("fp1", "fp2", F.col("node").alias("id")), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["fp1", "fp2"])
-    own = own.withColumnRenamed("id", "node")
+    full = signed.where("n > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    classes = full.groupBy("fp1", "fp2").agg(first.alias("r"), F.count(F.lit(1)).alias("many"))
+    nameless = F.col("fp1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    classes = materialise(classes.select("fp1", "fp2", "many", F.col("r.id").alias("rid"), F.col("r.th").alias("rth"), F.coalesce("r.id", nameless).alias("node")), "classes")
+    of = classes.select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), "rid", "rth", "node")
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))
+    own = full.join(of, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")) & same).drop("f1", "f2", "id", "th").dropDuplicates(["fp1", "fp2"])
     keys = own.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     links = keys.join(least, "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    found = _confirm(source, own, connected_components(links), width, percent, slots, task_shingles)
+    repeated = full.groupBy("id", "th").count().where("count > 1").limit(1).count() > 0
+    found = _confirm(source, own, connected_components(links), width, percent, slots, task_shingles, repeated)
     # rows with one id and several texts link these
-    several = signed.where("n > 0").groupBy("id").agg(F.min(F.struct("fp1", "fp2")).alias("a"), F.max(F.struct("fp1", "fp2")).alias("b")).where("a <> b").select("id")
-    tied = materialise(signed.where("n > 0").join(several, "id").join(classes, ["fp1", "fp2"]).select(F.col("id").alias("u"), F.col("node").alias("v")), "tied")
+    named = full.where("id is not null")
+    several = named.groupBy("id").agg(F.min(F.struct("fp1", "fp2")).alias("a"), F.max(F.struct("fp1", "fp2")).alias("b")).where("a <> b").select("id")
+    tied = materialise(named.join(several, "id").join(classes, ["fp1", "fp2"]).select(F.col("id").alias("u"), F.col("node").alias("v")), "tied")
     if tied.limit(1).count():
         merged = connected_components(tied.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         found = merged.select("node", F.col("component").alias("root"))
-    named = classes.join(found, "node", "left").select("fp1", "fp2", "many", F.coalesce("root", "node").alias("component"))
-    named = materialise(named, "named")
-    total = named.agg(F.sum("many")).first()[0] or 0
-    light = signed.select("id", "n", "fp1", "fp2")
-    out = join_skewed(light.where("n > 0"), named, ["fp1", "fp2"], "many", total).select("id", "n", "component")
-    out = out.unionByName(light.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    component = F.col("component")
-    real = lambda c: F.when(c != B.NO_ID, c)
-    return out.select(real(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, percent: int, slots: int, task_shingles: int) -> DataFrame:
-    """(node, root) of the true groups within the components of candidates."""
-    members = own.select("node", "fp1", "fp2", "n", "sig").join(coarse, "node")
+    ends = materialise(classes.join(found, "node", "left").select("fp1", "fp2", "many", "node", F.coalesce("root", "node").alias("component")), "ends")
+    total = ends.agg(F.sum("many")).first()[0] or 0
+    out = join_skewed(full.select("id", "th", "n", "fp1", "fp2"), ends, ["fp1", "fp2"], "many", total)
+    nameless_first = (F.col("node") >= NAMELESS) & (F.col("node") == F.col("component"))
+    kept = F.when(F.col("id").isNull(), nameless_first).otherwise(F.col("id") == F.col("component"))
+    out = out.select("id", "th", "n", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component"), kept.alias("kept"))
+    return out.unionByName(signed.where("n = 0").select("id", "th", "n", F.col("id").alias("component"), F.lit(True).alias("kept")))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, slots: int = 128, rows: int = 5, task_shingles: int = 4_000_000) -> DataFrame:
+    """One row per document: the id, n_shingles, component_id, kept.
+
+    ``percent`` is the least similarity of a link, in hundredths.
+    """
+    out = _decisions(docs, id_col, text_col, width, percent, slots, rows, task_shingles)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, slots: int = 128, rows: int = 4, task_shingles: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are."""
+    own_id, own_hash = fresh_name(docs, "id"), fresh_name(docs, "th")
+    gone = _decisions(docs, id_col, text_col, width, percent, slots, rows, task_shingles).where("not kept")
+    gone = gone.select(F.col("id").alias(own_id), F.col("th").alias(own_hash)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(own_hash))
+    return docs.join(gone, same, "left_anti")
+
+
+def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, percent: int, slots: int, task_shingles: int, repeated: bool) -> DataFrame:
+    """(node, root) of the true groups within the components of candidates.
+
+    ``repeated``: some rows have one id and text; one of them is read.
+    """
+    members = own.select("node", "rid", "rth", "n", "sig").join(coarse, "node")
     members = materialise(members, "members")
     sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("many"))
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("total") / task_shingles).cast("int")), "sizes")
@@ -191,23 +222,24 @@ def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, p
     bins = pieces_of(int(total or 0), task_shingles // 4)
     members = members.join(sizes.select("component", "blocks"), "component")
     # pairs of blocks: a member of block b is needed with each other block
-    block = F.pmod(F.xxhash64("fp1", "fp2"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     members = members.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "i", "j")))
-    members = members.select(F.col("node").alias("id"), "fp1", "sig", "component", "i", "j", "bin")
-    rows = source.join(members, "id").repartition(max(bins, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bin")
+    members = members.select("node", "rid", "rth", "sig", "component", "i", "j", "bin")
+    rows = source.join(members, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).drop("id", "th", "rid", "rth")
+    if repeated:
+        rows = rows.dropDuplicates(["node", "i", "j"])
+    rows = rows.repartition(max(bins, shuffle_partitions(source.sparkSession)), "bin")
 
     def run(table: pa.Table) -> pa.Table:
         place = list(zip(*(table.column(c).to_pylist() for c in ("component", "i", "j"))))
-        ids, fps, sigs = (table.column(c).to_pylist() for c in ("id", "fp1", "sig"))
+        ids, sigs = (table.column(c).to_pylist() for c in ("node", "sig"))
         texts = table.column("text").cast(pa.binary())
         by: dict[tuple, list] = {}
         for a in range(0, len(ids), 256):
             for k, s in enumerate(shingle_sets(texts[a : a + 256].to_pylist(), width), a):
-                # of a document with several texts, the one that the class is of
-                if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == fps[k]:
-                    by.setdefault(place[k], []).append((ids[k], s, sigs[k]))
+                by.setdefault(place[k], []).append((ids[k], s, sigs[k]))
         node, root = [], []
         for group in by.values():
             own_ids = [g[0] for g in group]
