@@ -1,8 +1,9 @@
 """Blocks of whole texts, and messages between blocks and buckets of hashes.
 
 Both repeated-substring operators work the same way. Documents are dealt once
-to blocks of a few megabytes by a hash of the row; that shuffle is used again
-by each later step of the same plan. A block sends packed messages to buckets
+to blocks of a few megabytes by a hash of the row, one block to a partition;
+that shuffle is used again by each later step of the same plan, and messages are
+dealt alike, so texts move once. A block sends packed messages to buckets
 of hashes, one entry per distinct value and block, so a value that a third of
 all documents share costs one entry per block; buckets answer to the blocks.
 No group therefore grows with the number of copies of anything.
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, shuffle_partitions, text_bytes, text_or_empty
+from .common import HOT, pieces_of, text_or_empty
 
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
@@ -24,31 +25,45 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF5
 SLAB = 1 << 16
 
 
-#: Bytes of a block: so many, or a 20,000th of the corpus if that is more, up to the most.
-LEAST_BLOCK, MOST_BLOCK = 8 << 20, 64 << 20
+#: Bytes of a block, whatever the corpus: it must fit in a Python worker several times.
+BLOCK = 8 << 20
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """(pid, id, text) dealt to blocks of about ``block_bytes``; their number.
+def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK) -> tuple[DataFrame, int, bool]:
+    """(pid, id, text, copies) dealt to blocks of about ``block_bytes``, one to
+    a partition; their number; whether any row stands for several.
 
-    Larger corpora get larger blocks, so that the messages between blocks and
-    buckets stay long; a block must fit in a Python worker several times.
+    Rows with one id and text have one place, so those that make up more than
+    one in ``HOT`` of all rows are first combined to a single row.
     """
-    total = text_bytes(docs, text_col)
-    n = pieces_of(total, block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, total // 20_000)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("pid"), "id", "text")
-    return rows.repartition(max(n, shuffle_partitions(docs.sparkSession)), "pid"), n
+    total, many = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    n = pieces_of(int(total or 0), block_bytes)
+    key = F.xxhash64("id", "text")
+    often = rows.groupBy(key.alias("k")).count().where((F.col("count") > 1) & (F.col("count") * HOT > many))
+    hot = [r["k"] for r in often.select("k").collect()]  # fewer than HOT
+    dealt = rows.withColumn("copies", F.lit(1).cast("long"))
+    if hot:
+        once = rows.where(key.isin(hot)).groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies"))
+        dealt = dealt.where(~key.isin(hot)).unionByName(once)
+    dealt = dealt.select(F.pmod(key, F.lit(n)).cast("int").alias("pid"), "id", "text", "copies")
+    return dealt.repartitionById(n, "pid"), n, bool(hot)
+
+
+def by_pid(messages: DataFrame, n: int, name: str = "pid"):
+    """Messages grouped as :func:`deal` has dealt the texts: one key to a partition."""
+    return messages.repartitionById(n, name).groupBy(name)
 
 
 class Block:
     """The texts of one block in a fixed order, as one buffer of bytes."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("id").to_pylist()
+        ids, copies = table.column("id").to_pylist(), table.column("copies").to_pylist()
         texts = table.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
         self.raw_ids = [ids[i] for i in order]
+        self.copies = [copies[i] for i in order]
         self.ids = np.array([NO_ID if x is None else x for x in self.raw_ids], np.int64)
         self.texts = [texts[i] for i in order]
         lengths = np.fromiter(map(len, self.texts), np.int64, len(order))
@@ -126,6 +141,15 @@ def anchored_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, wind
     return at[ok], end[ok], key[ok], doc[ok]
 
 
+def window_hashes(values: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The hashes of the windows that start at ``at`` (ascending)."""
+    out = np.empty(len(at), np.uint64)
+    for a in np.unique(at // SLAB).tolist():
+        x, y = np.searchsorted(at, (a * SLAB, (a + 1) * SLAB))
+        out[x:y] = gram_hashes(values[a * SLAB : (a + 1) * SLAB + window - 1].astype(np.uint64), window)[at[x:y] - a * SLAB]
+    return out
+
+
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -166,24 +190,33 @@ def send_keys(pid: int, key: np.ndarray, doc_id: np.ndarray, buckets: int) -> pa
     return pa.table([pa.array(rows["bucket"], pa.int32()), pa.array(rows["pid"], pa.int32()), pa.array(rows["one"], pa.binary()), pa.array(rows["many"], pa.binary())], names=list(rows))
 
 
-SHARED = "pid int, keys binary"
+SHARED = "pid int, keys binary, hot binary"
 
 
-def answer_keys(table: pa.Table) -> pa.Table:
-    """To each block those of its keys that several documents hold."""
+def answer_keys(table: pa.Table, hot_blocks: int) -> pa.Table:
+    """To each block those of its keys that several documents hold, and which
+    of them more than ``hot_blocks`` blocks hold."""
     pids = table.column("pid").to_pylist()
     one = [unpack48(x) for x in table.column("one").to_pylist()]
     many = [unpack48(x) for x in table.column("many").to_pylist()]
     every, n = np.unique(np.concatenate(one + many), return_counts=True)
     shared = np.union1d(every[n > 1], np.concatenate(many))
-    found = [(p, np.concatenate((o[np.isin(o, shared, assume_unique=True)], m))) for p, o, m in zip(pids, one, many)]
-    found = [(p, pack48(k)) for p, k in found if len(k)]
-    return pa.table([pa.array([p for p, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary())], names=["pid", "keys"])
-
-
-def shared_keys(table: pa.Table) -> np.ndarray:
-    got = [unpack48(x) for x in table.column("keys").to_pylist()]
-    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+    hot = every[n > hot_blocks]
+    rows = []
+    for p, o, m in zip(pids, one, many):
+        k = np.concatenate((o[np.isin(o, shared, assume_unique=True)], m))
+        if len(k):
+            rows.append((p, pack48(k), np.packbits(np.isin(k, hot)).tobytes()))
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["pid", "keys", "hot"])
+
+
+def shared_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that other documents hold too; those of them that are hot."""
+    keys = [unpack48(x) for x in table.column("keys").to_pylist()]
+    hot = [k[np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)] for k, x in zip(keys, table.column("hot").to_pylist())]
+    none = np.zeros(0, np.uint64)
+    return (np.unique(np.concatenate(keys)), np.unique(np.concatenate(hot))) if keys else (none, none)
 
 
 def is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from . import suffix_array as S
+from .common import expand
 
 #: Parts that a bucket's suffix sorting is done in, one after another.
 PARTS = 16
-PASSAGES = "bucket int, pid int, keys binary, parts binary, sizes binary, ids binary, data binary"
-ANSWERS = "pid int, bucket int, keys binary, counts binary, lengths binary, least binary"
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+PASSAGES = "bucket int, pid int, keys binary, hot binary, parts binary, sizes binary, ids binary, data binary"
+ANSWERS = "pid int, bucket int, keys binary, hot binary, counts binary, lengths binary, least binary"
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, copies long"
 
 
 def empty(schema: str) -> pa.Table:
@@ -48,19 +49,30 @@ def rows_of(schema: str, rows: list[tuple]) -> pa.Table:
 class Passages:
     """The distinct passages of a block around shared keys, by bucket."""
 
-    def __init__(self, block: B.Block, runs, keep: np.ndarray, window: int, buckets: int):
+    def __init__(self, block: B.Block, runs, keys: np.ndarray, hot: np.ndarray, window: int, buckets: int):
+        keep = B.is_in(runs[2], keys)
         start, end, key, doc = (x[keep] for x in runs)
-        key = key & B.LOW48
+        route = key = key & B.LOW48
+        if len(hot):
+            # the strings of these runs go one by one
+            alone = B.is_in(key, hot)
+            size = np.where(alone, end - start, 1)
+            row = np.repeat(np.arange(len(start)), size)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            alone, begin = alone[row], start[row] + step
+            start, end, key, doc = begin, np.where(alone, begin + 1, end[row]), key[row], doc[row]
+            route = key.copy()
+            route[alone] = B.window_hashes(block.bytes(), begin[alone], window) & B.LOW48
         seen: dict[bytes, int] = {}
         data = block.data
         self.of = np.fromiter((seen.setdefault(data[a : b + window - 1], len(seen)) for a, b in zip(start.tolist(), end.tolist())), np.int64, len(start))
-        self.start, self.end, self.doc = start, end, doc
+        self.start, self.end, self.doc, self.hot = start, end, doc, hot
         self.text = list(seen)
         _, first = np.unique(self.of, return_index=True)
         # documents stand in order of their ids: the first has the least
-        self.key, self.least = key[first], block.ids[doc[first]]
-        self.bucket = (self.key % np.uint64(buckets)).astype(np.int64)
-        self.part = (self.key // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint8)
+        self.key, self.least, route = key[first], block.ids[doc[first]], route[first]
+        self.bucket = (route % np.uint64(buckets)).astype(np.int64)
+        self.part = (route // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint8)
         self.order = np.lexsort((np.arange(len(first)), self.part, self.bucket))
 
     def by_bucket(self):
@@ -76,7 +88,8 @@ def send_passages(pid: int, p: Passages) -> pa.Table:
     for bucket, at in p.by_bucket():
         texts = [p.text[i] for i in at.tolist()]
         sizes = np.fromiter(map(len, texts), "<u4", len(texts))
-        rows.append((bucket, pid, B.pack48(np.unique(p.key[at])), p.part[at].tobytes(), sizes.tobytes(), p.least[at].tobytes(), pack.compress(b"".join(texts))))
+        keys = np.unique(p.key[at])
+        rows.append((bucket, pid, B.pack48(keys), np.packbits(B.is_in(keys, p.hot)).tobytes(), p.part[at].tobytes(), sizes.tobytes(), p.least[at].tobytes(), pack.compress(b"".join(texts))))
     return rows_of(PASSAGES, rows)
 
 
@@ -148,7 +161,7 @@ def answer_passages(table: pa.Table, window: int) -> pa.Table:
     out = []
     for r, got in zip(rows, answers):
         count, length, value = (np.concatenate(x) for x in zip(*got))
-        out.append((r["pid"], r["bucket"], r["keys"], count.astype("<u4").tobytes(), length.astype("<u4").tobytes(), value.tobytes()))
+        out.append((r["pid"], r["bucket"], r["keys"], r["hot"], count.astype("<u4").tobytes(), length.astype("<u4").tobytes(), value.tobytes()))
     return rows_of(ANSWERS, out)
 
 
@@ -163,8 +176,7 @@ def covered(block: B.Block, runs, table: pa.Table, window: int, buckets: int) ->
     total = len(block.data)
     if not table.num_rows:
         return np.zeros(total, bool)
-    keep = B.is_in(runs[2], B.shared_keys(table))
-    p = Passages(block, runs, keep, window, buckets)
+    p = Passages(block, runs, *B.shared_keys(table), window, buckets)
     n = len(p.text)
     first, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
     lengths, values, at = [], [], 0
@@ -192,23 +204,24 @@ def covered(block: B.Block, runs, table: pa.Table, window: int, buckets: int) ->
 
 def finish(block: B.Block, gone: np.ndarray, with_text: bool) -> list[tuple]:
     data, rows = block.bytes(), []
-    for a, b, raw in zip(block.starts.tolist(), block.ends.tolist(), block.raw_ids):
+    for a, b, raw, copies in zip(block.starts.tolist(), block.ends.tolist(), block.raw_ids, block.copies):
         cut = gone[a:b]
         n = int(np.count_nonzero(cut))
         kept = data[a:b][~cut].tobytes() if n else block.data[a:b]
         spans = int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])) if n else 0
-        rows.append((raw, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+        rows.append((raw, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, copies))
     return rows
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, block_bytes: int | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, block_bytes: int = B.BLOCK, with_text: bool = False, hot_blocks: int | None = None) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     ``text`` (the bytes that stay, decoded; characters cut through are left
-    out) is filled only if asked for.
+    out) is filled only if asked for. ``hot_blocks``: strings around a key that
+    more blocks hold are routed one by one.
     """
-    dealt, n = B.deal(docs, id_col, text_col, block_bytes)
-    buckets = n
+    dealt, n, repeated = B.deal(docs, id_col, text_col, block_bytes)
+    hot_blocks = max(64, n // 1024) if hot_blocks is None else hot_blocks
 
     def load(table: pa.Table):
         block = B.Block(table)
@@ -216,24 +229,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(table: pa.Table) -> pa.Table:
         block, (_, _, key, doc) = load(table)
-        return B.send_keys(table.column("pid")[0].as_py(), key, block.ids[doc], buckets)
+        return B.send_keys(table.column("pid")[0].as_py(), key, block.ids[doc], n)
 
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows or not shared.num_rows:
             return empty(PASSAGES)
         block, runs = load(table)
-        keep = B.is_in(runs[2], B.shared_keys(shared))
-        return send_passages(table.column("pid")[0].as_py(), Passages(block, runs, keep, window, buckets))
+        return send_passages(table.column("pid")[0].as_py(), Passages(block, runs, *B.shared_keys(shared), window, n))
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty(RESULT)
         block, runs = load(table)
-        return rows_of(RESULT, finish(block, covered(block, runs, answers, window, buckets), with_text))
+        return rows_of(RESULT, finish(block, covered(block, runs, answers, window, n), with_text))
 
     grouped = dealt.groupBy("pid")
-    shared = grouped.applyInArrow(ask, B.KEYS).groupBy("bucket").applyInArrow(B.answer_keys, B.SHARED)
-    passages = grouped.cogroup(shared.groupBy("pid")).applyInArrow(send, PASSAGES)
-    answers = passages.groupBy("bucket").applyInArrow(lambda t: answer_passages(t, window), ANSWERS)
-    out = grouped.cogroup(answers.groupBy("pid")).applyInArrow(apply, RESULT)
-    return out.withColumnRenamed("id", id_col)
+    shared = B.by_pid(grouped.applyInArrow(ask, B.KEYS), n, "bucket").applyInArrow(lambda t: B.answer_keys(t, hot_blocks), B.SHARED)
+    passages = grouped.cogroup(B.by_pid(shared, n)).applyInArrow(send, PASSAGES)
+    answers = B.by_pid(passages, n, "bucket").applyInArrow(lambda t: answer_passages(t, window), ANSWERS)
+    out = grouped.cogroup(B.by_pid(answers, n)).applyInArrow(apply, RESULT)
+    return (expand(out) if repeated else out.drop("copies")).withColumnRenamed("id", id_col)

@@ -25,11 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks as B
+from .common import expand
 from .substring_bytes import empty, rows_of
 
 WINDOWS = "bucket int, pid int, keys binary, high binary, low binary, ids binary"
 ANSWERS = "pid int, bucket int, keys binary, hit binary, least binary"
-RESULT = "id long, n_words long, n_removed long, n_spans long, kept_sha256 string, text string"
+RESULT = "id long, n_words long, n_removed long, n_spans long, kept_sha256 string, text string, copies long"
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -120,7 +121,7 @@ def covered(block: B.Block, words: Words, runs, table: pa.Table, window: int, bu
     total = len(words.hash)
     if not table.num_rows:
         return np.zeros(total, bool)
-    keep = B.is_in(runs[2], B.shared_keys(table))
+    keep = B.is_in(runs[2], np.unique(np.concatenate([B.unpack48(x) for x in table.column("keys").to_pylist()])))
     w = Windows(block, words, runs, keep, window, buckets)
     least = w.least.copy()
     got = {b: i for i, b in enumerate(table.column("bucket").to_pylist())}
@@ -138,22 +139,21 @@ def covered(block: B.Block, words: Words, runs, table: pa.Table, window: int, bu
 
 def finish(block: B.Block, words: Words, gone: np.ndarray, with_text: bool) -> list[tuple]:
     rows = []
-    for own, a, b, raw in zip(words.of_doc, words.starts.tolist(), words.ends.tolist(), block.raw_ids):
+    for own, a, b, raw, copies in zip(words.of_doc, words.starts.tolist(), words.ends.tolist(), block.raw_ids, block.copies):
         cut = gone[a:b]
         n = int(np.count_nonzero(cut))
         spans = int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])) if n else 0
         kept = b" ".join(compress(own, (~cut).tolist()) if n else own)
-        rows.append((raw, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        rows.append((raw, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, copies))
     return rows
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, block_bytes: int | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, block_bytes: int = B.BLOCK, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_removed, n_spans, kept_sha256, text.
 
     ``text`` (the words that stay, joined by one space) only if asked for.
     """
-    dealt, n = B.deal(docs, id_col, text_col, block_bytes)
-    buckets = n
+    dealt, n, repeated = B.deal(docs, id_col, text_col, block_bytes)
 
     def load(table: pa.Table):
         block = B.Block(table)
@@ -162,23 +162,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(table: pa.Table) -> pa.Table:
         block, _, (_, _, key, doc) = load(table)
-        return B.send_keys(table.column("pid")[0].as_py(), key, block.ids[doc], buckets)
+        return B.send_keys(table.column("pid")[0].as_py(), key, block.ids[doc], n)
 
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows or not shared.num_rows:
             return empty(WINDOWS)
         block, words, runs = load(table)
-        keep = B.is_in(runs[2], B.shared_keys(shared))
-        return send_windows(table.column("pid")[0].as_py(), Windows(block, words, runs, keep, window, buckets))
+        keep = B.is_in(runs[2], B.shared_keys(shared)[0])
+        return send_windows(table.column("pid")[0].as_py(), Windows(block, words, runs, keep, window, n))
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty(RESULT)
         block, words, runs = load(table)
-        return rows_of(RESULT, finish(block, words, covered(block, words, runs, answers, window, buckets), with_text))
+        return rows_of(RESULT, finish(block, words, covered(block, words, runs, answers, window, n), with_text))
 
     grouped = dealt.groupBy("pid")
-    shared = grouped.applyInArrow(ask, B.KEYS).groupBy("bucket").applyInArrow(B.answer_keys, B.SHARED)
-    windows = grouped.cogroup(shared.groupBy("pid")).applyInArrow(send, WINDOWS)
-    answers = windows.groupBy("bucket").applyInArrow(answer_windows, ANSWERS)
-    return grouped.cogroup(answers.groupBy("pid")).applyInArrow(apply, RESULT).withColumnRenamed("id", id_col)
+    # windows are routed by their own hashes: a common key burdens no bucket
+    shared = B.by_pid(grouped.applyInArrow(ask, B.KEYS), n, "bucket").applyInArrow(lambda t: B.answer_keys(t, n), B.SHARED)
+    windows = grouped.cogroup(B.by_pid(shared, n)).applyInArrow(send, WINDOWS)
+    answers = B.by_pid(windows, n, "bucket").applyInArrow(answer_windows, ANSWERS)
+    out = grouped.cogroup(B.by_pid(answers, n)).applyInArrow(apply, RESULT)
+    return (expand(out) if repeated else out.drop("copies")).withColumnRenamed("id", id_col)
