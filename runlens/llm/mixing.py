@@ -14,8 +14,9 @@ hash digits find the digits at which the prefix ends, and rows are put in order
 only within these, so no leaf, however large, is sorted in one task.
 
 Defined results: null level values are the empty name; null and empty texts have
-no tokens and are never taken; a null id counts as the name 'null'; repeated rows
-are taken each, in an order that depends on their tokens alone; a weight missing
+no tokens and are never taken; a null id counts as the name 'null'; rows with one
+id, or with none, are taken in the order of their tokens and text hashes, equal
+ones counted and not sorted; a weight missing
 from the table is ``default_weight``, and weight 0 takes nothing; an empty table
 gives no rows. Columns named like the levels are used, all others are not read.
 """
@@ -26,10 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
-
-#: Hash digits that sums are kept for: 16 ** DIGITS per leaf.
-DIGITS = 3
+from .common import broadcast_if_small, expand, fresh_name, materialise, text_or_empty
 
 
 def tokens_of(text: str) -> Column:
@@ -81,14 +79,20 @@ def budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: in
     return given
 
 
-def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int = 1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1) -> DataFrame:
+def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int = 1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1, digits: int = 3) -> DataFrame:
     """What is taken: id, levels, epoch, doc_tokens, taken.
 
     ``weights``: rows (level, value, weight); the budget is ``budget_share`` of
-    all tokens. A row per document and epoch it is taken in.
+    all tokens. A row per document and epoch it is taken in. ``digits``: sums are
+    kept for 16 ** digits prefixes of the hash per leaf.
     """
+    return _taken(docs, levels, weights, budget_share, max_epochs, seed, id_col, text_col, default_weight, digits).drop("_th")
+
+
+def _taken(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int, seed: int, id_col: str, text_col: str, default_weight: int, digits: int) -> DataFrame:
+    """:func:`mix`, with the hash of the text as ``_th``."""
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
-    light = docs.select(F.col(id_col).alias("_id"), *names, tokens_of(text_col).alias("_tokens"))
+    light = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_th"), *names, tokens_of(text_col).alias("_tokens"))
     light = materialise(light.where("_tokens > 0"), "mix-rows")
     leaves = materialise(light.groupBy(*levels).agg(F.sum("_tokens").alias("size")).withColumn("capacity", F.col("size") * max_epochs), "mix-leaves")
     total = leaves.agg(F.sum("size")).first()[0] or 0
@@ -98,19 +102,50 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: fl
     plan = materialise(plan, "mix-plan")
     rows = light.join(broadcast_if_small(plan), levels)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = rows.withColumn("_key", key).withColumn("_digits", F.substring("_key", 1, DIGITS))
+    rows = rows.withColumn("_key", key).withColumn("_digits", F.substring("_key", 1, digits))
     sums = rows.groupBy(*levels, "_digits").agg(F.sum("_tokens").alias("_n"), F.first("_part").alias("_part"))
     after = F.sum("_n").over(W.partitionBy(*levels).orderBy("_digits"))
     ends = sums.withColumn("_before", after - F.col("_n")).where("_before <= _part and _part < _before + _n")
     ends = ends.select(*levels, F.col("_digits").alias("_cut"), "_before")
     ends = materialise(ends, "mix-ends")
     rows = rows.join(broadcast_if_small(ends), levels, "left")
-    inside = rows.where("_digits = _cut")
-    order = W.partitionBy(*levels).orderBy("_key", "_tokens").rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("_part") - F.col("_before") - F.coalesce(F.sum("_tokens").over(order), F.lit(0))
-    inside = inside.withColumn("_last", F.greatest(F.lit(0), F.least("_tokens", left)))
-    outside = rows.where("_cut is null or _digits <> _cut").withColumn("_last", F.when(F.col("_digits") < F.col("_cut"), F.col("_tokens")).otherwise(0))
-    out = outside.unionByName(inside)
+    last = F.when(F.col("_digits") < F.col("_cut"), F.col("_tokens")).otherwise(0)
+    columns = ["_id", "_th", *levels, "_tokens", "_whole"]
+    out = rows.where("_cut is null or _digits <> _cut").select(*columns, last.alias("_last"))
+    out = out.unionByName(_at_the_end(rows.where("_digits = _cut"), levels, columns))
     epochs = F.sequence(F.lit(0).cast("long"), F.col("_whole"))
     out = out.withColumn("epoch", F.explode(epochs)).withColumn("taken", F.when(F.col("epoch") < F.col("_whole"), F.col("_tokens")).otherwise(F.col("_last")))
-    return out.where("taken > 0").select(F.col("_id").alias(id_col), *levels, "epoch", F.col("_tokens").alias("doc_tokens"), "taken")
+    return out.where("taken > 0").select(F.col("_id").alias(id_col), "_th", *levels, "epoch", F.col("_tokens").alias("doc_tokens"), "taken")
+
+
+def _at_the_end(rows: DataFrame, levels: list[str], columns: list[str]) -> DataFrame:
+    """Where prefixes end: rows put in order, equal ones as one with their number."""
+    alike = rows.groupBy(*columns, "_key", "_part", "_before").agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy(*levels).orderBy("_key", "_tokens", "_th").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("_part") - F.col("_before") - F.coalesce(F.sum(F.col("_tokens") * F.col("_n")).over(order), F.lit(0))
+    alike = alike.withColumn("_left", F.greatest(F.lit(0), F.least(left, F.col("_tokens") * F.col("_n"))))
+    alike = alike.withColumn("_full", F.expr("_left div _tokens")).withColumn("_rest", F.col("_left") % F.col("_tokens"))
+    cut = (F.col("_rest") > 0).cast("long")
+    kind = lambda last, n: F.struct(last.cast("long").alias("_last"), n.cast("long").alias("copies"))
+    kinds = F.array(kind(F.col("_tokens"), F.col("_full")), kind(F.col("_rest"), cut), kind(F.lit(0), F.col("_n") - F.col("_full") - cut))
+    listed = alike.select(*columns, F.inline(kinds)).where("copies > 0 and (_last > 0 or _whole > 0)")
+    return expand(listed)
+
+
+def keep_mixed(docs: DataFrame, rows: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1, digits: int = 3) -> DataFrame:
+    """The rows of ``docs`` that one epoch takes, all columns as they are, but
+    texts that a leaf's prefix ends in are cut there, to whole characters.
+
+    ``rows``: ``docs`` with the level columns. Rows with one id and text share
+    the largest part that any of them got.
+    """
+    own_id, own_hash, taken, size = (fresh_name(docs, c) for c in ("id", "th", "taken", "size"))
+    got = _taken(rows, levels, weights, budget_share, 1, seed, id_col, text_col, default_weight, digits)
+    got = got.groupBy(F.col(id_col).alias(own_id), F.col("_th").alias(own_hash)).agg(F.max("taken").alias(taken), F.max("doc_tokens").alias(size))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(own_hash))
+    out = docs.join(got, same)
+    data, upto = F.col(text_col).cast("binary"), F.col(taken) * 4
+    # the last character may begin in the three bytes before the end
+    whole = F.coalesce(*(F.try_validate_utf8(F.substr(data, F.lit(1), (upto - k).cast("int")).cast("string")) for k in range(4)))
+    text = F.when(F.col(taken) < F.col(size), whole).otherwise(F.col(text_col))
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
