@@ -3,9 +3,9 @@
 ``write_archives``: headers (id, digest, length) alone are shuffled by payload
 digest to choose, of equal payloads of at least ``min_bytes``, the row with the
 largest id as the response; the others become revisit records that refer to
-it. Archives are then written with fresh headers, payloads going straight from
-the scan to the files, which the executors write through Spark (any store).
-``read_archives`` frames records by Content-Length and checks each response
+it. The choice is joined to the pages by (id, digest), which shuffles payloads
+once, never by digest alone; archives are then written with fresh headers by the
+executors through Spark (any store). ``read_archives`` frames records by Content-Length and checks each response
 against its digest; ``resolve_revisits`` joins revisit records back to their
 responses.
 
@@ -14,7 +14,7 @@ as smallest and reads back as null; of repeated rows with one id and payload
 (at least ``min_bytes`` long) one is the response and the rest refer to that
 id; null urls have no target URI, and blanks and control characters in urls
 are percent-coded; an empty table gives no records; other columns are not
-read. Archive files hold about ``file_bytes`` of payload each.
+read. An archive file holds at most ``file_bytes``, or one longer record.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, text_or_empty
+from .common import expand, join_skewed, materialise, new_path, text_or_empty
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -46,24 +46,15 @@ def plan_revisits(headers: DataFrame, min_bytes: int) -> DataFrame:
     """(id, digest, refers_to) of the rows whose payload another row holds."""
     large = headers.where(F.col("size") >= min_bytes)
     best = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return large.select("id", "digest").distinct().join(best.drop("n"), "digest")
+    best = materialise(best, "warc-best")
+    total = best.agg(F.sum("n")).first()[0] or 0
+    return join_skewed(large.select("id", "digest").distinct(), best, ["digest"], "n", total).drop("n")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Write one record per row of ``pages`` below ``path``; returns it."""
-    body = text_or_empty(payload_col)
-    digest = F.sha1(body.cast("binary"))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"), digest.alias("digest"))
-    headers = materialise(rows.select("id", "digest", F.octet_length("body").cast("long").alias("size")), "warc-headers")
-    repeated = headers.where(F.col("size") >= min_bytes).groupBy("id", "digest").count().where("count > 1").limit(1).count() > 0
-    mean = headers.agg(F.avg("size")).first()[0] or 0
-    plan = plan_revisits(headers, min_bytes).withColumnsRenamed({"id": "_id", "digest": "_digest"})
-    rows = rows.join(plan, rows["id"].eqNullSafe(plan["_id"]) & (rows["digest"] == plan["_digest"]), "left").drop("_id", "_digest")
-    one = F.lit(1)
-    if repeated:
-        one = F.row_number().over(W.partitionBy("id", "digest").orderBy(F.col("url").asc_nulls_last()))
-    rows = rows.withColumn("copy", one)
-    again = F.col("refers_to").isNotNull() & ~(F.col("refers_to").eqNullSafe(F.col("id")) & (F.col("copy") == 1))
+def _records(rows: DataFrame, date: str) -> DataFrame:
+    """(value): the record of each row of (id, url, body, digest, refers_to); a
+    row that refers to another is a revisit."""
+    again = F.col("refers_to").isNotNull()
     block = F.when(again, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("body")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record = F.concat(
@@ -79,8 +70,54 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
         block,
     )
-    writer = rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", END)
-    writer.option("maxRecordsPerFile", max(1, int(file_bytes // max(mean, 1)))).text(path)
+    return rows.select(record.alias("value"))
+
+
+def _split_repeated(rows: DataFrame) -> DataFrame:
+    """Of rows with one id and payload that are to be the response, one is, the
+    one with the first url; the others refer to that id."""
+    key = ["id", "digest"]
+    mine = F.col("refers_to").eqNullSafe(F.col("id"))
+    body = F.min(F.struct(F.col("url").isNull().alias("none"), "url", "body")).alias("one")
+    one = rows.where(mine).groupBy(*key).agg(body).select("id", "one.url", "one.body", "digest", F.lit(None).cast("long").alias("refers_to"))
+    counts = rows.where(mine).groupBy(*key, "url").agg(F.count(F.lit(1)).alias("copies"))
+    urls = F.min(F.struct(F.col("url").isNull().alias("none"), "url")).over(W.partitionBy(*key))
+    counts = counts.withColumn("first", urls).withColumn("copies", F.col("copies") - F.col("url").eqNullSafe(F.col("first.url")).cast("long"))
+    rest = expand(counts.where("copies > 0").select("id", "url", F.lit("").alias("body"), "digest", F.col("id").alias("refers_to"), "copies"))
+    return rows.where(~mine).unionByName(one).unionByName(rest)
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> str:
+    """Write one record per row of ``pages`` below ``path``; returns it."""
+    body = text_or_empty(payload_col)
+    digest = F.sha1(body.cast("binary"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"), digest.alias("digest"))
+    headers = materialise(rows.select("id", "digest", F.octet_length("body").cast("long").alias("size")), "warc-headers")
+    repeated = headers.where(F.col("size") >= min_bytes).groupBy("id", "digest").count().where("count > 1").limit(1).count() > 0
+    plan = plan_revisits(headers, min_bytes).withColumnsRenamed({"id": "_id", "digest": "_digest"})
+    rows = rows.join(plan, rows["id"].eqNullSafe(plan["_id"]) & (rows["digest"] == plan["_digest"]), "left").drop("_id", "_digest")
+    if repeated:
+        rows = _split_repeated(rows)
+    else:
+        rows = rows.withColumn("refers_to", F.when(~F.col("refers_to").eqNullSafe(F.col("id")), F.col("refers_to")))
+
+    def fill(batches):
+        """Records one behind the other, a value for each file."""
+        held, size = [], 0
+        file = lambda: pa.record_batch([pa.array([END.join(held)], pa.string())], names=["value"])
+        for batch in batches:
+            for value in batch.column("value").to_pylist():
+                n = len(value.encode()) + len(END)
+                if held and size + n > file_bytes:
+                    yield file()
+                    held, size = [], 0
+                held.append(value)
+                size += n
+        if held:
+            yield file()
+
+    files = _records(rows, date).mapInArrow(fill, "value string")
+    files.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -134,12 +171,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame, columns: tuple[str, ...] = ("payload", "payload_bytes")) -> DataFrame:
-    """Fill ``columns`` of revisit records from the responses they refer to."""
+    """Fill ``columns`` of revisit records from the responses they refer to.
+
+    ``records`` is read several times: give a table if reading them is costly.
+    """
+    key = ["payload_digest", "refers_to"]
     held = records.where("record_type = 'response'")
     again = records.where("record_type = 'revisit'")
-    named = {c: f"_of_{c}" for c in columns}
-    target = held.join(again.select("payload_digest", F.col("refers_to").alias("page_id")).distinct(), ["payload_digest", "page_id"], "left_semi")
-    target = target.select(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_id"), *(F.col(c).alias(n) for c, n in named.items()))
-    found = again.join(target, (F.col("payload_digest") == F.col("_digest")) & (F.col("refers_to") == F.col("_id")), "left")
-    found = found.withColumns({c: F.col(n) for c, n in named.items()}).select(*records.columns)
-    return held.unionByName(found)
+    asked = again.groupBy(*key).agg(F.count(F.lit(1)).alias("_asked"))
+    target = held.select("payload_digest", F.col("page_id").alias("refers_to"), *columns).join(asked, key)
+    if set(columns) <= {"payload_bytes"}:  # short rows: entries for hot keys can be broadcast
+        target = materialise(target, "warc-targets")
+        total = target.agg(F.sum("_asked")).first()[0] or 0
+        found = join_skewed(again.drop(*columns), target, key, "_asked", total)
+    else:
+        found = again.drop(*columns).join(target, key)
+    return held.unionByName(found.select(*records.columns))
