@@ -21,23 +21,27 @@ of their true neighbours are found, the beam is doubled, and beyond a limit the
 graph is built again with lists twice as long; if that does not help, it fails.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components, and vectors with other than the commonest number of components,
-take no part, neither as queries nor as candidates; null ids neither; equal
-scores go to the smaller id; repeated rows with one id and vector are one; fewer
+components take no part, neither as queries nor as candidates; null ids neither;
+vectors are compared with those of as many components, for each number apart; equal
+scores go to the smaller id; products that no double can hold are not defined; repeated rows with one id and vector are one; fewer
 candidates than asked for are all returned; an empty table gives no rows; only
 the id and vector columns are read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces_of, release, shuffle_partitions
+from .common import join_skewed, materialise, pieces_of, release
 
+#: Nodes in a block, whatever their number: a block holds the vectors of all their neighbours.
+BLOCK = 2048
 STATE = "blk int, node long, vec binary, near array<long>, sim array<float>, fresh array<boolean>"
 SENT = "blk int, nodes binary, vecs binary, floors binary, which binary, target binary, fresh binary"
 BETTER = "blk int, node binary, other binary, sim binary, fresh binary"
@@ -58,14 +62,13 @@ def batch_of(schema: str, cols: list) -> pa.RecordBatch:
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part."""
+    """(id, vec) of the rows that take part; floats stay floats, others are doubles."""
     v = F.col("vec")
     inf = F.lit(float("inf"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists(v, lambda x: x != 0)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
-    rows = rows.where(fine)
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
+    kind = "float" if rows.schema[vec_col].dataType.elementType.simpleString() == "float" else "double"
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec")).where("id is not null and vec is not null")
+    return rows.where(fine)
 
 
 def merge_lists(row: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +179,7 @@ def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) ->
         fresh = np.append(fresh, new[near_enough])
         order = np.lexsort((~fresh, target, which))
         which, target, fresh = which[order], target[order], fresh[order]
-        once = np.append(True, (which[1:] != which[:-1]) | (target[1:] != target[:-1]))
+        once = np.append(True, (which[1:] != which[:-1]) | (target[1:] != target[:-1]))[: len(which)]  # a node alone has no neighbours
         which, target, fresh = which[once], target[once], fresh[once]
         to = target % blocks
         order = np.argsort(to, kind="stable")
@@ -267,11 +270,10 @@ def build(nodes: DataFrame, dims: int, keep: int | None = None, trees: int = 8,
     Rounds go on until at most ``settled`` of the list entries change; each
     change betters a list, so they end.
     """
-    spark = nodes.sparkSession
     n = nodes.count()
     keep = keep or effort(n)[0]
     named, told = named or 5 * keep // 2, told or max(1, 4 * keep // 9)
-    blocks = max(pieces_of(n, 65536), min(shuffle_partitions(spark), pieces_of(n, 2048)))
+    blocks = pieces_of(n, BLOCK)
     parts = max(pieces_of(n, 16 * run), 1)
     found = first_lists(nodes, dims, keep, 0, run, parts)
     for tree in range(1, trees):
@@ -317,15 +319,15 @@ def read_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Beams:
-    """The queries of a block: the best that each has seen, best first, and the
-    low halves of all ids that it has seen."""
+    """The queries of a block: the best that each has seen, best first, and all
+    ids that it has seen."""
 
     def __init__(self, table: pa.Table):
         self.query = table.column("query").to_numpy()
         self.q = table.column("q").to_pylist()
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
         self.seen, self.score, self.open = read("seen", np.int64), read("score", np.float64), read("open", bool)
-        self.known = read("known", np.uint32)
+        self.known = read("known", np.int64)
         self.at = {q: i for i, q in enumerate(self.query.tolist())}
 
     def next(self, beam: int, width: int) -> list[np.ndarray]:
@@ -336,16 +338,16 @@ class Beams:
         return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open), out(self.known)], names=[x.split()[0] for x in QUERY.split(", ")])
 
 
-def exact_floors(graph: DataFrame, queries: DataFrame, k: int, sample: int) -> dict[int, tuple[int, float]]:
+def exact_floors(graph: DataFrame, queries: DataFrame, k: int, sample: int, kind) -> dict[int, tuple[int, float]]:
     """By brute force, of at most ``sample`` queries: the number of nearest other
     nodes (``k``, or all if fewer) and the least of their scores."""
     ids = [r["query"] for r in queries.orderBy(F.xxhash64("query", F.lit(5)), "query").limit(sample).collect()]
     held = graph.where(F.col("node").isin(ids)).select("node", "x").collect()
     who = np.array([r["node"] for r in held], np.int64)
-    q = np.frombuffer(b"".join(r["x"] for r in held), np.float32).reshape(len(held), -1).astype(np.float64) if held else np.zeros((0, 0))
+    q = np.frombuffer(b"".join(r["x"] for r in held), kind).reshape(len(held), -1).astype(np.float64) if held else np.zeros((0, 0))
 
     def closest(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
         node, rows = table.column("node").to_numpy(), []
         for i, v in zip(who.tolist(), q):
             s = (x @ v)[node != i]
@@ -359,20 +361,21 @@ def exact_floors(graph: DataFrame, queries: DataFrame, k: int, sample: int) -> d
     return {r["query"]: (len(r["best"]), r["best"][-1]) for r in best.collect() if r["best"]}
 
 
-def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.ndarray, np.ndarray] | None = None, beam: int = 128, k: int = 20, target: float = 0.92, sample: int = 256, most: int | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
+def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.ndarray, np.ndarray] | None = None, beam: int = 128, k: int = 20, target: float = 0.92, sample: int = 256, most: int | None = None, kind=np.float32) -> tuple[DataFrame, list[tuple[int, float]]]:
     """(query, node, score): the best nodes that each query has seen; the beams
     tried, each with the share of the ``k`` nearest that it found.
 
-    ``queries``: (query), nodes of ``graph`` (blk, node, near, x). ``starts``: a
+    ``queries``: (query), nodes of ``graph`` (blk, node, near, x), x the numbers
+    of a vector, of ``kind``. ``starts``: a
     few nodes and their vectors that every query also starts from. The share is
     that of ``sample`` queries; below ``target`` the beam is doubled, up to ``most``.
     """
     graph = materialise(graph, "searched")
-    floors = exact_floors(graph, queries, k, sample)
+    floors = exact_floors(graph, queries, k, sample, kind)
     width = max(32, beam // 4)
 
     def begin(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1).astype(np.float64)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
         ids = table.column("node").to_numpy()
         seen, score = [], []
         for i, v in zip(ids, x):
@@ -382,7 +385,7 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
         order = [np.lexsort((i, -v)) for i, v in zip(seen, score)]
         out = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
         ranked = [i[o] for i, o in zip(seen, order)]
-        return pa.table([table.column("blk"), table.column("node"), table.column("x"), out(ranked), out([v[o] for v, o in zip(score, order)]), out([np.ones(len(o), bool) for o in order]), out([i.astype(np.uint32) for i in ranked])], names=[x.split()[0] for x in QUERY.split(", ")])
+        return pa.table([table.column("blk"), table.column("node"), table.column("x"), out(ranked), out([v[o] for v, o in zip(score, order)]), out([np.ones(len(o), bool) for o in order]), out(ranked)], names=[x.split()[0] for x in QUERY.split(", ")])
 
     def step(beams: Beams):
         chosen = beams.next(beam, width)
@@ -423,7 +426,7 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
         rows, fresh = [], []
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
             i = beams.at[int(query[a])]
-            unseen = node[a:b][~np.isin(node[a:b].astype(np.uint32), beams.known[i])]
+            unseen = node[a:b][~np.isin(node[a:b], beams.known[i])]
             rows.append(np.full(len(unseen), i))
             fresh.append(unseen)
         row, node = np.concatenate(rows), np.concatenate(fresh)
@@ -444,11 +447,11 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
             return to_scores(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         home = table.column("node").to_numpy()
         order = np.argsort(home)
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(home), -1).astype(np.float64)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(len(home), -1).astype(np.float64)
         out = []
         for r in asked.to_pylist():
             query, node, which = np.frombuffer(r["query"], np.int64), np.frombuffer(r["node"], np.int64), np.frombuffer(r["which"], np.int32)
-            q = np.frombuffer(r["q"], np.float32).reshape(len(query), -1).astype(np.float64)
+            q = np.frombuffer(r["q"], kind).reshape(len(query), -1).astype(np.float64)
             at = order[np.searchsorted(home[order], node)]
             got = np.concatenate([(q[which[a : a + 8192]] * x[at[a : a + 8192]]).sum(axis=1) for a in range(0, len(at), 8192)])
             out.append((query[which], node, got))
@@ -480,7 +483,7 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
             i = beams.at[int(query[a])]
             seen, s, o = np.append(beams.seen[i], node[a:b]), np.append(beams.score[i], got[a:b]), np.append(beams.open[i], np.ones(b - a, bool))
             best = np.lexsort((seen, -s))[:beam]
-            beams.known[i] = np.append(beams.known[i], node[a:b].astype(np.uint32))
+            beams.known[i] = np.append(beams.known[i], node[a:b])
             beams.seen[i], beams.score[i], beams.open[i] = seen[best], s[best], o[best]
         return beams.table(table.column("blk")[0].as_py())
 
@@ -488,7 +491,7 @@ def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.n
         """To be expanded anew: what a narrower beam dropped can come back."""
         beams = Beams(table)
         beams.open = [np.ones(len(s), bool) for s in beams.seen]
-        beams.known = [s.astype(np.uint32) for s in beams.seen]
+        beams.known = list(beams.seen)
         return beams.table(table.column("blk")[0].as_py())
 
     held = graph.groupBy("blk")
@@ -544,11 +547,22 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
     rows = usable(rows, id_col, vec_col)
     if is_query is None:
         is_query = F.pmod("id", F.lit(20)) == 0
+    sizes = sorted(r["d"] for r in rows.select(F.size("vec").alias("d")).distinct().collect())
+    found = [_nearest(rows.where(F.size("vec") == d), k, is_query, beam, target, measured) for d in sizes or [0]]
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _nearest(rows: DataFrame, k: int, is_query, beam: int | None, target: float, measured: list | None) -> DataFrame:
+    """:func:`nearest` among vectors of one length."""
+    kind = np.float32 if rows.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
     key = F.xxhash64("vec")
     # of equal vectors no more than k + 1 ids can be in any answer
     first = rows.select("id", "vec").distinct().withColumn("copy", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1)
     found = first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("node", key)
-    norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    # the graph is of vectors divided by the largest component: no square overflows
+    scale = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x.cast("double") / scale) * (x.cast("double") / scale))
     found = materialise(found.withColumn("norm2", norm2), "nodes")
     most, dims = found.agg(F.max("norm2"), F.max(F.size("vec"))).first()
 
@@ -556,7 +570,7 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
         for b in batches:
             v = b.column("vec").flatten().to_numpy().reshape(b.num_rows, -1)
             rest = np.sqrt(np.maximum(most - b.column("norm2").to_numpy(), 0)).astype(np.float32)
-            wide = np.hstack((v, rest[:, None])).astype(np.float32)
+            wide = np.hstack((v / scale, rest[:, None])).astype(np.float32)
             yield pa.record_batch([b.column("node"), b.column("ids"), pa.array([r.tobytes() for r in wide], pa.binary()), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "ids", "vec", "x"])
 
     nodes = materialise(found.select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, vec binary, x binary"), "nodes")
@@ -571,7 +585,7 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
     starts = (np.array([r["node"] for r in longest], np.int64), np.array([r["vec"] for r in longest], np.float64)) if longest else None
     while True:
         graph, blocks = build(nodes.select("node", "vec"), (dims or 0) + 1, keep)
-        seen, tried = search(asked_nodes, graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, starts, beam, k, target, most=min(n, 32 * keep))
+        seen, tried = search(asked_nodes, graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, starts, beam, k, target, most=min(n, 32 * keep), kind=kind)
         if measured is not None:
             measured += [(keep, *t) for t in tried]
         if tried[-1][1] >= target:
@@ -585,7 +599,10 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
     flat = best.select("query", "score", F.explode("ids").alias("id"))
     flat = flat.withColumn("p", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("p") <= k + 1)
     answer = flat.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("p", "id", "score"))).alias("found"))
-    out = asked.withColumnRenamed("id", "query_id").join(answer, "query")
+    # many ids may ask with one vector
+    answer = materialise(answer.join(asked.groupBy("query").agg(F.count(F.lit(1)).alias("asks")), "query"), "answers")
+    total = answer.agg(F.sum("asks")).first()[0] or 0
+    out = join_skewed(asked.withColumnRenamed("id", "query_id"), answer, ["query"], "asks", total)
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     out = out.select("query_id", F.posexplode(others).alias("pos", "f"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias(id_col), F.col("f.score").alias("score"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias("id"), F.col("f.score").alias("score"))
