@@ -3,15 +3,21 @@
 A text's feature is the mean of the embeddings of its hashed byte n-grams
 (2 to 4 bytes of the lower-case text, characters other than letters as one
 blank, so n-grams mark word ends). Embeddings and the linear layer are trained
-by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``max_rows`` in all, spread over the ``max_labels`` most frequent labels), each also cut to short passages
-so that short texts are judged well. A fifth of the sample is kept back to fit
+by stochastic gradient descent in numpy, in one task, on a bounded sample of
+labelled rows (about ``max_rows`` in all, as many of each of the ``max_labels``
+most frequent labels), each also cut to short passages so that short texts are
+judged well; only the model, 2 ** ``bits`` times (labels + 1) numbers, comes to
+the driver. A fifth of the sample is kept back to fit
 the temperature of the softmax and the rejection. A text's familiarity is the
 mean log frequency of its n-grams in the learned texts, which is low in other
 languages and in gibberish, whichever label scores best; texts below a normal
 tail of the familiarity of what is kept back, short passages too, are rejected.
 Prediction sums one row of a small table per n-gram over the whole text.
 
+Bounds: labels beyond ``max_labels`` are never learned or predicted; the task
+that learns holds at most 6 * 2 ** ``bits`` bytes for each sampled text, however
+long.
+
 Defined results: null texts and texts without letters are ``und`` with score
 0; rows with a null label or id are never learned from; without labelled rows
 every text is ``und``; with fewer than 30 passages kept back only ``und`` texts
@@ -26,12 +32,13 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of the lower-case text that stay: a to z and all of several-byte characters.
@@ -107,7 +114,7 @@ def _features(bits: int):
                         parts.append(data[at : at + size].decode("utf-8", "ignore").encode())
                 for k, part in enumerate(parts):
                     at, n = np.unique(buckets_of(part, bits), return_counts=True)
-                    rows.append((label, k, seed, at.astype(np.int32).tobytes(), n.astype(np.float32).tobytes()))
+                    rows.append((label, k, seed, at.astype(np.uint16).tobytes(), n.astype(np.float32).tobytes()))
             if rows:
                 kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["label", "part", "seed", "at", "n"])
@@ -115,30 +122,34 @@ def _features(bits: int):
     return run
 
 
-def sample(docs: DataFrame, max_rows: int, bits: int, max_labels: int = 1000) -> list:
+SAMPLED = "label string, part int, seed long, at binary, n binary"
+LEARNED = "labels array<string>, table binary, bias binary, temperature double, reject_below double"
+
+
+def sample(docs: DataFrame, max_rows: int, bits: int, max_labels: int) -> DataFrame | None:
     """Features of at most about ``max_rows`` rows of (id, text, label), as many of each label."""
     known = docs.where("label is not null and id is not null and text is not null")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
     if not counts:
-        return []
+        return None
     each = max(1, max_rows // len(counts))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))))
     seed = F.xxhash64("id", F.lit(11))
     chosen = known.withColumn("seed", seed).where(F.pmod("seed", F.lit(1 << 20)) < F.lit(1 << 20) * F.try_element_at(share, F.col("label")))
-    rows = chosen.select("label", "text", "seed").mapInArrow(_features(bits), "label string, part int, seed long, at binary, n binary")
-    return sorted(rows.collect(), key=lambda r: (r["seed"], r["part"], r["label"]))
+    return chosen.select("label", "text", "seed").mapInArrow(_features(bits), SAMPLED)
 
 
-def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float = 0.5, cost: float = 1e-6, seed: int = 7) -> Model:
+def train(rows: list[dict], bits: int, dims: int = 16, epochs: int = 12, rate: float = 0.5, cost: float = 1e-6, seed: int = 7) -> Model:
     """Fit on sampled rows; ``cost``: share of texts of the labels that the
     rejection may cost, if their familiarity is normal."""
+    rows = sorted(rows, key=lambda r: (r["seed"], r["part"], r["label"]))
     labels = sorted({r["label"] for r in rows})
     index = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
     data, seen = [], np.full(1 << bits, 0.5)
     for r in rows:
         n = np.frombuffer(r["n"], np.float32)
-        data.append((np.frombuffer(r["at"], np.int32), n / max(1.0, float(n.sum())), index[r["label"]], r["part"], r["seed"] % 5 == 0))
+        data.append((np.frombuffer(r["at"], np.uint16), n / max(1.0, float(n.sum())), index[r["label"]], r["part"], r["seed"] % 5 == 0))
         if r["part"] == 0 and not data[-1][4]:
             seen[data[-1][0]] += n
     fit, held = [d for d in data if not d[4]] or data, [d for d in data if d[4]] or data
@@ -177,10 +188,26 @@ def train(rows: list, bits: int, dims: int = 16, epochs: int = 12, rate: float =
     return Model(labels, np.column_stack((table, often)).astype(np.float32), bias, temperature, reject, bits)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2000, bits: int = 15, max_labels: int = 1000) -> Model:
-    """Learn the ``max_labels`` most frequent labels; others are never predicted."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = 2000, bits: int = 15, max_labels: int = 200) -> Model:
+    """Learn the ``max_labels`` most frequent labels; others are never predicted.
+
+    ``bits``: at most 16.
+    """
     rows = sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")), max_rows, bits, max_labels)
-    return train(rows, bits) if rows else Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
+
+    def learn(batches):
+        sampled = [r for b in batches for r in b.to_pylist()]
+        if sampled:
+            m = train(sampled, bits)
+            got = [m.labels], [m.table.tobytes()], [m.bias.tobytes()], [m.temperature], [m.reject_below]
+            kinds = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(got, kinds)], names=[x.split()[0] for x in LEARNED.split(", ")])
+
+    found = materialise(rows, "language-sample").repartition(1).mapInArrow(learn, LEARNED).collect() if rows is not None else []
+    if not found:
+        return Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
+    labels, table, bias, temperature, reject = found[0]
+    return Model(list(labels), np.frombuffer(table, np.float32).reshape(1 << bits, -1), np.frombuffer(bias, np.float32), temperature, reject, bits)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,10 +230,10 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """The rows of ``docs`` whose text the model does not reject."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def keeps(texts: pa.Array) -> pa.Array:
         m = shared.value
-        return pd.Series([m.accepts(t) for t in texts], dtype=bool)
+        return pa.array([m.accepts(t.as_py()) for t in texts], pa.bool_())
 
     return docs.where(keeps(F.col(text_col)))
 
