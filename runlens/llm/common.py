@@ -17,11 +17,14 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a single-machine test), a temporary
-    folder is made and set.
+    Only where a session of one process (a test) has none, a temporary folder is
+    made and set; on a cluster other executors could not read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="runlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -64,14 +67,16 @@ def release(df: DataFrame) -> None:
     jvm.System.gc()
 
 
-def text_or_empty(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def text_bytes(df: DataFrame, col: str) -> int:
-    """Total UTF-8 bytes of a text column; sets how finely data are split."""
-    got = df.agg(F.sum(F.octet_length(col)).alias("n")).first()["n"]
-    return int(got or 0)
+def text_or_empty(col: str | Column) -> Column:
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
 def pieces_of(total: int, each: int, least: int = 1) -> int:
@@ -88,6 +93,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def expand(rows: DataFrame, step: int = 4096) -> DataFrame:
+    """Each row as often as its ``copies`` say, without that column."""
+    block = F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {step}"))
+    rows = rows.withColumn("_block", F.explode(block))  # no list gets longer than ``step``, but for more than step ** 2 copies
+    one = F.sequence(F.lit(1).cast("long"), F.least(F.lit(step), F.col("copies") - F.col("_block") * step))
+    return rows.withColumn("_one", F.explode(one)).drop("copies", "_block", "_one")
+
+
 #: A key is hot if it has more than one in so many of the rows.
 HOT = 1024
 
@@ -97,9 +110,12 @@ def join_skewed(rows: DataFrame, table: DataFrame, on: list[str], size: str, tot
 
     Fewer than ``HOT`` keys can each have more than total / HOT of the rows, so
     the entries of hot keys are broadcast, whatever the data, and only rows of
-    other keys are shuffled.
+    other keys are shuffled. Keys are compared with null equal to nothing.
     """
     hot = F.col(size) * HOT > total
-    few = F.broadcast(table.where(hot))
-    cold = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(~hot), on)
+    few = table.where(hot & (F.col(size) > 1)).collect()  # fewer than HOT
+    if not few:
+        return rows.join(table, on)
+    few = F.broadcast(table.sparkSession.createDataFrame(few, table.schema))
+    cold = rows.join(few.select(*on), on, "left_anti").join(table.join(few.select(*on), on, "left_anti"), on)
     return rows.join(few, on).unionByName(cold)

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_skewed, materialise, new_path, shuffle_partitions, text_or_empty
+from .common import SPACE, fresh_name, join_skewed, materialise, new_path, shuffle_partitions, text_or_empty
 
 
 def normalised(text: str | Column) -> Column:
@@ -99,11 +99,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
+    """The rows of ``docs`` that stay, all columns as they are.
+
+    Of rows with one id and text the one whose columns, as JSON, come first stays.
+    """
     decided = exact_dedup(docs, id_col, text_col, index)
-    kept = materialise(decided.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")), "exact-kept")
-    once = kept.distinct()
+    own_id, own_digest = fresh_name(docs, "id"), fresh_name(docs, "digest")
+    kept = materialise(decided.where("kept").select(F.col(id_col).alias(own_id), F.col("text_sha256").alias(own_digest)), "exact-kept")
     digest = F.sha2(normalised(text_col).cast("binary"), 256)
-    rows = docs.join(once, docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
-    repeated = kept.groupBy("_id", "_digest").count().where("count > 1").limit(1).count() > 0
-    return rows.dropDuplicates([id_col, text_col]) if repeated else rows
+    rows = docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col(own_id)) & (digest == F.col(own_digest)), "left_semi")
+    if not kept.groupBy(own_id, own_digest).count().where("count > 1").limit(1).count():
+        return rows
+    # equal when normalised is not yet equal: the longest of one id's texts stays
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct((-F.char_length(text_or_empty(text_col))).alias("c"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("j"))
+    best = rows.groupBy(F.col(id_col), digest).agg(F.min_by(whole, order).alias("row"))
+    return best.select("row.*")

@@ -39,12 +39,32 @@ def test_warc(spark):
     want[-1][3:] = ["revisit", 9]  # the second of two equal rows refers to the first
     assert sorted(map(repr, [[r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to] for r in got])) == sorted(map(repr, want))
     assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in got)
+    lost = records.drop("payload", "url").persist()
+    assert {(r.page_id, r.payload_bytes) for r in warc.resolve_revisits(lost, ("payload_bytes",)).collect()} == {(r.page_id, r.payload_bytes) for r in got}
     assert {r.url for r in got} == {"http://a", "http://b%20c%20", None, "u"}
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0), new_path(spark, "archives"))).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_warc_files_and_hot_payloads(spark):
+    """No file above its bound but for a longer record; one payload of most pages; repeated rows of it."""
+    copy = "c" * 1500
+    rows = [(i, f"u{i}", copy) for i in range(2000)] + [(1999, "same", copy)] * 300 + [(None, None, copy)] * 2000 + [(5000 + i, None, "é" * n) for i, n in enumerate((10, 700, 90_000, 20_000, 20_001))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archives(pages, new_path(spark, "archives"), file_bytes=20_000)
+    sizes = [len(zlib.decompress(bytes(r.content), 31)) for r in spark.read.format("binaryFile").load(path + "/*.gz").select("content").collect()]
+    assert sum(n > 20_000 for n in sizes) == 3 and max(sizes) < 182_000
+    records = warc.read_archives(spark, path).drop("payload").persist()
+    kinds = records.groupBy("record_type").count().collect()
+    assert {r.record_type: r["count"] for r in kinds} == {"response": 6, "revisit": 4299}
+    got = warc.resolve_revisits(records, ("payload_bytes",)).collect()
+    assert len(got) == len(rows)
+    again = [r for r in got if r.record_type == "revisit"]
+    assert {(r.refers_to, r.payload_bytes) for r in again} == {(1999, 1500)}
+    assert sum(r.page_id is None for r in again) == 2000 and sum(r.page_id == 1999 for r in again) == 300
+
+
 def waterfill(budget, children):
     """Shares by weight under capacities, to within a token."""
     given, open_ = {}, dict(children)
@@ -86,6 +106,29 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), ["top", "low"], weights, 0.5).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id and rows with one id: counted, cut once, texts of a prefix cut to whole characters."""
+    rng = random.Random(9)
+    rows = [(None, "é" * rng.randint(1, 50), "a") for _ in range(500)] + [(7, "same text", "a")] * 500 + [(i, "日本" * rng.randint(1, 30), "b") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, top string").withColumns({"_th": F.lit(1), "th": F.lit(2), "id": F.lit(3), "taken": F.lit(4), "size": F.lit(5)})
+    weights = spark.createDataFrame([("top", "a", 1)], "level string, value string, weight long")
+    tokens = lambda t: -(-len(t.encode()) // 4)
+    total = sum(tokens(t) for _, t, _ in rows)
+    for digits in (1, 3):
+        for share, epochs in ((0.37, 1), (0.9, 1), (1.3, 2)):
+            got = mixing.mix(docs, ["top"], weights, share, max_epochs=epochs, seed=5, digits=digits).collect()
+            assert sum(r.taken for r in got) == int(total * share)
+            assert sum(r.taken < r.doc_tokens for r in got) <= 2
+    unique = docs.dropDuplicates(["doc_id", "text"])
+    want = mixing.mix(unique, ["top"], weights, 0.5, seed=5).agg(F.sum("taken")).first()[0]
+    kept = mixing.keep_mixed(unique, unique, ["top"], weights, 0.5, seed=5)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    whole = {t for _, t, _ in rows}
+    assert want - 2 <= sum(map(tokens, texts)) <= want and sum(t not in whole for t in texts) <= 2
+    assert all(t and any(w.startswith(t) for w in whole) for t in texts)
+
+
 def packed_ok(histogram, capacity):
     ranges, n = packing.plan(histogram, capacity)
     places, used = {}, {}
@@ -154,10 +197,9 @@ def test_packing(spark, docs):
 
     path = queries.tokenizer_path()
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     rng = random.Random(3)
-    texts = ["", None, "a <|endoftext|> b", "日本語͸  x", "word " * 5000, "  \n\n x"] + ["".join(rng.choice("ab c\né.1'") for _ in range(rng.randint(0, 9000))) for _ in range(40)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (3, "again"), (None, "none")]
+    texts = ["", None, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "日本<|endoftext|>", "日本語͸  x", "word " * 5000, "  \n\n x"] + ["".join(rng.choice("ab c\né.1'") for _ in range(rng.randint(0, 9000))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again")] * 200 + [(None, "none")] * 3
     got = packing.pack(clashing(docs(rows)), path, with_ids=True, rows_in_part=7).collect()
     pieces = sorted((r.doc_id if r.doc_id is not None else -1, tuple(r.ids)) for r in got)
     want = []
@@ -256,6 +298,14 @@ def test_neighbours(spark):
         want = sorted((i for i in range(1500) if i != q), key=lambda i: (-s[q, i], i))[:20]
         hits += len(set(want) & {x[1] for x in found})
     assert hits >= 0.9 * 20 * len(got)
+    wide = spark.createDataFrame([(i, [float(x) * 1e100 for x in v[i]]) for i in range(90)] + [(i, [float(i + 1), 1.0]) for i in range(90, 130)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(wide, k=3).collect()
+    assert {r.query_id for r in found} == {0, 20, 40, 60, 80, 100, 120}
+    assert [r.vec_id for r in found if r.query_id == 100] == [129, 128, 127]
+    assert neighbours.nearest(wide.where("vec_id in (0, 100)")).count() == 0
+    many = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 1.0]) for i in range(3000)], "vec_id long, embedding array<float>")
+    asked = [r for r in neighbours.nearest(many, k=2).collect() if r.query_id % 3]
+    assert len(asked) == 200 and {r.vec_id for r in asked} == {2997, 2994}
     few = neighbours.nearest(frame.where("vec_id < 5")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
     assert neighbours.nearest(frame.limit(0)).count() == 0
@@ -280,6 +330,13 @@ def test_neighbours_effort(spark):
     assert [b for _, b, _ in tried] == [21 * 2**i for i in range(len(tried))] and len(tried) > 1 and tried[0][2] < 0.9995 <= tried[-1][2]
 
 
+def test_empty_tables(spark, docs):
+    none = docs([])
+    assert token_counts.token_counts(none, queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
+    model = language_id.fit(none.withColumn("lang", F.lit("en")))
+    assert model.labels == [] and language_id.identify(none, model).count() == 0 and language_id.accepted(none, model).count() == 0
+
+
 @needs_data
 @pytest.mark.parametrize("name", ["op1_warc_revisits", "op4_exact_dedup", "op5_mixing"])
 def test_sql(spark, name):
@@ -315,7 +372,48 @@ def test_pipeline(spark):
     mixed = stages["mixing sources"](spark, near, DATA)
     assert mixed.columns == docs.columns
     total = lambda d: sum(-(-len((r.text or "").encode()) // 4) for r in d.collect())
-    assert total(mixed) >= int(corpus_pipeline.MIX_SHARE * total(near))
+    budget, whole = int(corpus_pipeline.MIX_SHARE * total(near)), {r.doc_id: r for r in near.collect()}
+    taken = [r for r in mixed.collect() if r == whole[r.doc_id]]
+    cut = [r for r in mixed.collect() if r != whole[r.doc_id]]
+    assert budget - len(cut) <= total(mixed) <= budget and len(taken) + len(cut) == mixed.count()
+    assert all(whole[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text) for r in cut)
+    assert len(cut) <= near.select("lang", "source").distinct().count()
     packed = stages["best-fit packing"](spark, mixed, DATA)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
+
+
+@needs_data
+def test_pipeline_odd_rows(spark, docs, monkeypatch):
+    """Null ids, null and blank texts, copies, long texts, an empty table, clashing columns."""
+    known = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = [r.text for r in known.where("length(text) between 400 and 900").orderBy("doc_id").limit(12).collect()]
+    rng = random.Random(3)
+    near = lambda t: t + " and then one more word"
+    odd = [(None, t) for t in texts[:6]] + [(None, near(texts[0])), (None, near(texts[7])), (-5, near(texts[1])), (-5, texts[8]), (-6, texts[7])]
+    odd += [(-7, None), (-8, ""), (None, None), (-9, " \n"), (-10, texts[9]), (-11, texts[9]), (None, texts[9])] + [(-12, texts[10])] * 3
+    odd += [(-13, " ".join(rng.choice(texts[11].split()) for _ in range(60_000)))]
+    frame = docs(odd).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("src1"), "n_chars": F.length("text").cast("int")})
+    frame = frame.withColumns({c: F.lit(7) for c in ("id", "th", "digest", "_id", "_digest", "domain", "node", "kept", "taken", "size", "component")})
+    stages = dict(corpus_pipeline.STAGES)
+    model = language_id.fit(known.where(language_id.fold() != 1))
+    monkeypatch.setattr(language_id, "fit", lambda rows: model)
+    show = lambda d: sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in d.collect()))
+    named = stages["language ID"](spark, frame, DATA)
+    assert show(named) == sorted((i is None, i or 0, t) for i, t in odd if t and t.strip())
+    unique = stages["exact dedup"](spark, named, DATA)
+    want = [(i, t) for i, t in dict.fromkeys(odd) if t and t.strip() and (i, t) not in ((-10, texts[9]), (None, texts[9]))]
+    assert show(unique) == sorted((i is None, i or 0, t) for i, t in want)
+    single = stages["near dedup"](spark, unique, DATA)
+    # a named copy of a nameless text stays, and so do all unrelated nameless texts
+    gone = [(None, texts[1]), (None, near(texts[7]))]
+    left = [x for x in want if x not in gone]
+    got = show(single)
+    assert len(got) == len(left) - 1 and ((True, 0, texts[0]) in got) != ((True, 0, near(texts[0])) in got)
+    assert set(got) <= {(i is None, i or 0, t) for i, t in left}
+    mixed = stages["mixing sources"](spark, single, DATA)
+    assert mixed.columns == frame.columns and 0 < mixed.count() <= single.count()
+    packed = stages["best-fit packing"](spark, mixed, DATA)
+    assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), DATA).count() == 0

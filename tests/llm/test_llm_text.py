@@ -116,11 +116,13 @@ def test_exact_index_persists(spark, docs, tmp_path):
 
 
 def brute_groups(rows, percent):
+    """Rows without an id are a document for each set, after all others."""
     sets, up = [], {}
     for i, t in rows:
         w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-        sets.append((float("inf") if i is None else i, s))
+        sets.append(((i is None, sorted(s) if i is None else i), s))
+    sets = [((a, tuple(b) if a else b), s) for (a, b), s in sets]
 
     def root(x):
         while up.setdefault(x, x) != x:
@@ -132,10 +134,41 @@ def brute_groups(rows, percent):
             if s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
-    real = lambda x: None if x == float("inf") else x
+    real = lambda x: None if x[0] else x[1]
     return sorted(((real(i), len(s), real(root(i)), i == root(i)) for i, s in sets), key=repr)
 
 
+def test_near_without_ids(spark, docs):
+    """Thousands of rows without an id or with one id and text: joins stay linear, texts stay apart."""
+    rng = random.Random(8)
+    make = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    texts = [make() for _ in range(2000)]
+    rows = [(None, t) for t in texts] + [(3, texts[0] + " more"), (4, texts[5]), (9, make())] + [(9, texts[7] + " more")] * 2000
+    got = {}
+    for r in near_dedup._decisions(docs(rows).withColumn("th", F.lit(1)), "doc_id", "text", 5, 85, 128, 5, 4_000_000).collect():
+        got.setdefault(r.id, []).append((r.component, r.kept))
+    assert sorted(map(repr, got[None])) == sorted(map(repr, [(3, False), (4, False), (9, False)] + [(None, True)] * 1997))
+    assert got[3] == [(3, True)] and got[4] == [(4, True)] and got[9] == [(9, True)] * 2001
+    kept = near_dedup.keep_one(docs(rows).withColumns({"th": F.lit(1), "id": F.lit(2)}), percent=85, rows=5)
+    assert kept.count() == 1997 + 2 + 2001 and kept.columns == ["doc_id", "text", "th", "id"]
+
+
+@pytest.mark.parametrize("hot", [None, 0])
+def test_repeated_rows(spark, docs, hot):
+    """One row makes up most of the table, another all without an id; keys that many blocks hold."""
+    rng = random.Random(6)
+    make = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    common, shared = "the same long phrase in every text", make(60)
+    base = [(i, f"{make(30)} {common} {make(30)} {shared if i % 4 == 0 else make(9)}") for i in range(80)]
+    rows = base + [base[8]] * 2000 + [(None, shared)] * 2000 + [(None, None)] * 50
+    once = substring_bytes.remove_repeats(docs(base + [base[8], (None, shared), (None, None)]), block_bytes=2000, hot_blocks=10**9)
+    single = {tuple(r) for r in once.collect()}
+    got = result(substring_bytes.remove_repeats(docs(rows), block_bytes=2000, hot_blocks=hot))
+    assert len(got) == len(rows) and set(got) == single
+    words = substring_words.remove_repeats(docs(rows), block_bytes=2000).collect()
+    assert len(words) == len(rows) and sum(r.doc_id is None and r.n_removed == 60 for r in words) == 2000
+
+
 @pytest.mark.parametrize("size", [4_000_000, 400])
 def test_near(spark, docs, size):
     rng = random.Random(2)
