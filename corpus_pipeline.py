@@ -2,9 +2,18 @@
 
 Language ID (texts that it rejects go), exact dedup (one row of equal texts
 stays), near dedup (one document of each group stays), mixing of sources to
-target weights, packing into token sequences. All stages but the last return
-the columns of ``documents``; each works on whole texts of all rows that its
-predecessor kept. No SQL expresses the first stage, so ``ORACLE_SQL`` is None
+target weights (the text in which a leaf's token prefix ends is cut there),
+packing into token sequences. All stages but the last return the columns of
+``documents``, further columns too; each works on whole texts of all rows that
+its predecessor kept.
+
+Defined results: null and blank texts are rejected by the first stage; rows
+without an id are judged each by its text; of rows with one id the texts are
+judged each, but near duplicates take an id's texts as one document; an empty
+table gives no rows. A column ``domain`` of the documents is kept and not used:
+the mix takes the domain from the source.
+
+No SQL expresses the first stage, so ``ORACLE_SQL`` is None
 and the stages are tested against brute force.
 """
 
@@ -14,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import exact_dedup, language_id, mixing, near_dedup, packing, queries
-from runlens.llm.common import materialise
+from runlens.llm.common import materialise, release
 
 #: Share of all tokens that the mix takes.
 MIX_SHARE = 0.9
@@ -32,15 +41,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_groups(docs, percent=NEAR_PERCENT, rows=4).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT, rows=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     levels = ["domain", "lang", "source"]
-    taken = mixing.mix(queries.with_domain(docs), levels, queries.mix_weights(spark), MIX_SHARE, max_epochs=1, seed=17)
-    taken = taken.select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
+    out = mixing.keep_mixed(docs, queries.with_domain(docs), levels, queries.mix_weights(spark), MIX_SHARE, seed=17)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each returns is written before the next reads it."""
     docs = queries.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, "stage")
+            release(before)
     return docs
