@@ -227,10 +227,10 @@ def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, p
     members = members.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     members = members.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "i", "j")))
     members = members.select("node", "rid", "rth", "sig", "component", "i", "j", "bin")
-    rows = source.join(members, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).drop("id", "th", "rid", "rth")
+    rows = source.join(members, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
     if repeated:
-        rows = rows.dropDuplicates(["node", "i", "j"])
-    rows = rows.repartition(max(bins, shuffle_partitions(source.sparkSession)), "bin")
+        rows = rows.dropDuplicates(["node", "rth", "i", "j"])
+    rows = rows.drop("id", "th", "rid", "rth").repartition(max(bins, shuffle_partitions(source.sparkSession)), "bin")
 
     def run(table: pa.Table) -> pa.Table:
         place = list(zip(*(table.column(c).to_pylist() for c in ("component", "i", "j"))))
