@@ -30,6 +30,12 @@ SLOT = r"(?U)\b[0-9a-fA-F]{8,}\b|\d+"
 GCC = r"(?U)^(\S+?:\d+(?::\d+)?):?\s+(error|warning|note)\b[:\[]?\s*(.*)$"
 RUSTC = r"(?U)^(error|warning)(?:\[([A-Z]+\d+)\])?: (.+)$"
 
+# Within a compiler block: its place, asides, the label under a caret, and drawing.
+ARROW = r"(?Ud)^\s*-->\s+(\S+:\d+(?::\d+)?)\s*$"
+ASIDE = r"(?Ud)^\s*(?:= )?(help|note): (.+)$"
+LABEL = r"(?Ud)^\s*\d*\s*\|[\s|\-]*\^+\s+(\S.*)$"
+SCAFFOLD = r"(?U)^\s*(?:\d*\s*[|+\-~]|\.\.\.|-->|:::)"
+
 # Words and marks of the token ceiling's own, broader idea of an error line.
 BUDGET_WORDS = ("error", "fail", "panic", "exception", "traceback", "fatal", "segfault", "segmentation fault", "killed", "denied", "abort")
 BUDGET_MARKS = ("E   ", "npm ERR!")

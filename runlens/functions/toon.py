@@ -196,18 +196,26 @@ def cell(c: Column, kind: str) -> Column:
         out = F.regexp_replace(c, r'([\\"])', r"\\$1")
         for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
             out = F.replace(out, F.lit(raw), F.lit(shown))
+        code = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(x))), 4, "0"))
+        coded = F.array_join(F.transform(F.split(out, ""), lambda x: F.when((x < " ") & (x != ""), code(x)).otherwise(x)), "")
+        out = F.when(c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), coded).otherwise(out)
         return F.coalesce(F.when(bad, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(c), F.lit("null"))
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
+def table_text(name: str, columns: list[tuple[str, str]], rows: Column) -> Column:
+    """An array of structs as one table; ``columns``: names and types."""
+    line = lambda r: F.concat_ws(",", *(cell(r[c], kind) for c, kind in columns))
+    head = F.concat(F.lit(f"{name}["), F.size(rows).cast("string"), F.lit("]{" + ",".join(key(c) for c, _ in columns) + "}:"))
+    return F.concat(head, F.array_join(F.transform(rows, lambda r: F.concat(F.lit("\n  "), line(r))), ""))
+
+
 def toon_table(rows: DataFrame, name: str, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., toon): the rows as one table per group, in ``order``.
 
     Columns must be strings, integers or booleans.
     """
     kinds = dict(rows.dtypes)
-    line = F.concat_ws(",", *(cell(F.col(c), kinds[c]) for c in columns))
-    sorted_ = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    body = F.array_join(F.transform(sorted_, lambda x: F.concat(F.lit("\n  "), x["_line"])), "")
-    head = F.concat(F.lit(f"{name}["), F.count(F.lit(1)).cast("string"), F.lit("]{" + ",".join(map(key, columns)) + "}:"))
-    return rows.groupBy(*(by or [])).agg(F.concat(head, body).alias("toon"))
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("r"))))
+    got = rows.groupBy(*(by or [])).agg(F.transform(sorted_, lambda x: x["r"]).alias("_rows"))
+    return got.select(*(by or []), table_text(name, [(c, kinds[c]) for c in columns], F.col("_rows")).alias("toon"))

@@ -7,21 +7,19 @@ aggressive rules join lines by the document's separator.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.toon import encode
-from .lines import by_doc, in_order, KEY, fold_dropped, join_lines, join_lines_with_separator, large_window, runs, to_lines, with_markers
+from ..functions.toon import table_text
+from .lines import KEY, by_doc, fold_dropped, in_order, join_lines, large_window, runs, to_lines, with_markers
 
 #: Fixed values of the rules.
 MIN_LEVELED, MIN_LEVELED_SHARE, LEVEL_CONTEXT = 10, 0.5, 2
 MIN_SIMILAR, MAX_SLOT_VALUES = 3, 6
-MIN_DIAGNOSTICS, ARROW_LOOKAHEAD = 3, 2
+MIN_DIAGNOSTICS = 3
 HEAD, TAIL, ERROR_CONTEXT, MIN_TOTAL = 15, 15, 3, 80
 
 
@@ -119,10 +117,11 @@ def collapse_near_dups(lines: DataFrame) -> DataFrame:
 
 
 def window_errors(lines: DataFrame) -> DataFrame:
-    """Head, tail and the lines around errors of long documents."""
-    n = F.count(F.lit(1)).over(by_doc())
+    """Head, tail and the lines around errors of long documents; tables whole."""
+    own = F.col("pos") < TABLE
+    n = F.count_if(own).over(by_doc())
     place = F.row_number().over(in_order())
-    near = F.max(T.is_error_line("line").cast("int")).over(in_order().rowsBetween(-ERROR_CONTEXT, ERROR_CONTEXT))
+    near = F.max((own & T.is_error_line("line")).cast("int")).over(in_order().rowsBetween(-ERROR_CONTEXT, ERROR_CONTEXT))
     rows = lines.withColumn("_n", n).withColumn("_i", place).withColumn("_near", near)
     keep = (F.col("_n") < MIN_TOTAL) | (F.col("_i") <= HEAD) | (F.col("_i") > F.col("_n") - TAIL) | (F.col("_near") == 1)
     return fold_dropped(rows, keep, lambda k: F.format_string("  (skipped %d lines, see raw_log)", k)).select(*KEY)
@@ -134,62 +133,116 @@ def gcc_diagnostics(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(P.GCC)).select("doc_id", "pos", part(1).alias("loc"), part(2).alias("severity"), F.trim(part(3)).alias("msg"))
 
 
-_GCC = re.compile(P.GCC.removeprefix("(?U)"))
-_HEADER = re.compile(P.RUSTC.removeprefix("(?U)"))
-_ARROW = re.compile(r"^\s*-->\s+(\S+:\d+(?::\d+)?)\s*$")
-_ASIDE = re.compile(r"^\s*(?:= )?(help|note): (.+)$")
-_LABEL = re.compile(r"^\s*\d*\s*\|[\s|\-]*\^+\s+(\S.*)$")
-_SCAFFOLD = re.compile(r"^\s*(?:\d*\s*[|+\-~]|\.\.\.|-->|:::)")
-_ERROR = (re.compile(P.ERROR_WORDS.replace("(?iU)", "(?i)")), re.compile(P.ERROR_MARKS.removeprefix("(?U)")))
-
-
-def _block(lines: list[str], start: int, rest: list[str]) -> tuple[list[str], int]:
-    """Labels and asides of a compiler block from ``start`` on, and its end."""
-    extras: dict[str, None] = {}
-    labelled = False
-    for at in range(start, len(lines)):
-        line = lines[at]
-        if not line.strip():
-            return list(extras), at
-        if aside := _ASIDE.match(line):
-            extras[f"{aside[1]}: {aside[2].strip()}"] = None
-        elif label := _LABEL.match(line):
-            if not labelled:
-                extras[label[1].strip()] = None
-            labelled = True
-        elif not _SCAFFOLD.match(line) and any(p.search(line) for p in _ERROR):
-            rest.append(line)
-    return list(extras), len(lines)
-
-
-def split_diagnostics(text: str) -> tuple[str, str | None]:
-    """The text without its compiler diagnostics, and these as a table."""
-    sep = "\r\n" if "\r\n" in text else "\n"
-    lines = text.split(sep)
-    found, rest, at = [], [], 0
-    while at < len(lines):
-        line = lines[at]
-        if one := _GCC.match(line):
-            found.append({"loc": one[1], "severity": one[2], "msg": one[3].strip()})
-        elif (head := _HEADER.match(line)) and (arrow := next(((k, m) for k in range(at + 1, min(at + ARROW_LOOKAHEAD, len(lines) - 1) + 1) if (m := _ARROW.match(lines[k]))), None)):
-            extras, end = _block(lines, arrow[0] + 1, rest)
-            severity = f"{head[1]}[{head[2]}]" if head[2] else head[1]
-            found.append({"loc": arrow[1][1], "severity": severity, "msg": "; ".join([head[3].strip(), *extras])})
-            at = end
-        else:
-            rest.append(line)
-        at += 1
-    if len(found) < MIN_DIAGNOSTICS:
-        return text, None
-    return sep.join(rest), encode({"diagnostics": found})
-
-
-def _split_column(text: str) -> Column:
-    @F.pandas_udf("body string, rows string")
-    def split(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([split_diagnostics(t) for t in texts], columns=["body", "rows"], dtype=object)
-
-    return split(text)
+#: Stands behind every line of a document: the row that holds its table.
+TABLE = 1 << 62
+
+
+def _paragraph():
+    return W.partitionBy("doc_id", "_par")
+
+
+def compiler_blocks(lines: DataFrame) -> DataFrame:
+    """Adds ``place`` (from 1), ``block`` (the place of its header, or null) and
+    ``arrow`` (how far behind the header its place is named).
+
+    A header counts if its arrow is one or two lines below. Its block ends with
+    the paragraph of the arrow, the blank line included, so blocks are islands of
+    paragraphs: from the first header on within one, or the whole next one if
+    only a blank line parts header and arrow. Such a header stands at the end of
+    its paragraph and counts unless that is itself part of a block; along a row
+    of paragraphs that all end so, every second one does.
+    """
+    order = in_order()
+    line, next_, after = F.col("line"), F.lead("line", 1).over(order), F.lead("line", 2).over(order)
+    says = lambda c, pattern: F.coalesce(c.rlike(pattern), F.lit(False))
+    blank = ~line.rlike(r"(?U)\S")
+    off = F.when(says(next_, P.ARROW), 1).when(says(after, P.ARROW), 2)
+    head = ~line.rlike(P.GCC) & line.rlike(P.RUSTC)
+    rows = lines.withColumns({
+        "place": F.row_number().over(order),
+        "_blank": blank,
+        "_off": F.when(head, off),
+        "_apart": head & (off == 2) & ~says(next_, r"(?U)\S"),
+        "_par": F.coalesce(F.sum(blank.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    })
+    whole = F.col("_off").isNotNull() & ~F.coalesce("_apart", F.lit(False))
+    rows = rows.withColumns({
+        "_first": F.min(F.when(whole, F.struct("place", "_off"))).over(_paragraph()),
+        "_reaches": F.max(F.coalesce("_apart", F.lit(False))).over(_paragraph()),
+        "_start": F.min("place").over(_paragraph()),
+    })
+    reaches = F.col("_reaches") & F.col("_first").isNull()
+    firm = F.max(F.when(~reaches, F.col("_par"))).over(by_doc().orderBy("_par").rangeBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_taken", (F.col("_par") - 1 - F.coalesce(firm, F.lit(-1))) % 2 == 1)
+    place = F.col("place")
+    block = (
+        F.when(F.col("_taken"), F.col("_start") - 2)
+        .when(F.col("_first").isNotNull(), F.when(place >= F.col("_first.place"), F.col("_first.place")))
+        .when(reaches & F.coalesce("_apart", F.lit(False)), place)
+        .when(reaches & F.col("_blank"), place - 1)
+    )
+    arrow = F.when(~F.col("_taken") & F.col("_first").isNotNull(), F.col("_first._off")).otherwise(2)
+    return rows.withColumns({"block": block, "arrow": arrow}).drop("_off", "_apart", "_par", "_first", "_reaches", "_start", "_taken")
+
+
+def extract_diagnostics(lines: DataFrame) -> DataFrame:
+    """Documents with at least three compiler diagnostics: their other lines, and
+    one row at ``TABLE`` with the diagnostics as a table. Others as they are.
+
+    A block gives its message, the first label and its asides, each once; other
+    lines of it stay only if they signal an error and draw nothing. All lines end
+    in the document's separator; an empty last line goes.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    line, order = F.col("line"), in_order()
+    part = lambda c, pattern, i: F.regexp_extract(c, pattern, i)
+    rows = compiler_blocks(lines)
+    starts = F.coalesce(F.col("block") == F.col("place"), F.lit(False))
+    plain = F.col("block").isNull() & line.rlike(P.GCC)
+    rows = rows.withColumns({
+        "_starts": starts,
+        "_gcc": plain,
+        "_at": F.when(F.col("arrow") == 1, F.lead("line", 1).over(order)).otherwise(F.lead("line", 2).over(order)),
+        "_many": F.count_if(starts | plain).over(by_doc()) >= MIN_DIAGNOSTICS,
+        "_sep": F.when(F.max((F.col("term") == "\r\n").cast("int")).over(by_doc()) == 1, "\r\n").otherwise("\n"),
+    })
+    inside = F.col("block").isNotNull() & (F.col("place") > F.col("block") + F.col("arrow")) & ~F.col("_blank")
+    aside = line.rlike(P.ASIDE)
+    label = ~aside & line.rlike(P.LABEL)
+    loud = inside & ~aside & ~label & ~line.rlike(P.SCAFFOLD) & T.is_error_line("line")
+    stays = ~F.col("_many") | (F.col("block").isNull() & ~F.col("_gcc")) | loud
+    code = part(line, P.RUSTC, 2)
+    severity = F.concat(part(line, P.RUSTC, 1), F.when(code != "", F.concat(F.lit("["), code, F.lit("]"))).otherwise(""))
+    one = lambda *values: F.struct(F.col("place").alias("at"), *(v.alias(n) for v, n in zip(values, ("loc", "severity", "msg"))))
+    text = lambda c: F.struct(F.col("place").alias("at"), c.alias("text"))
+    groups = rows.groupBy("doc_id", F.when(F.col("_many"), F.col("block")).alias("_block")).agg(
+        F.collect_list(F.when(stays, F.struct("pos", "line", F.col("_sep").alias("term")))).alias("body"),
+        F.collect_list(F.when(F.col("_many") & F.col("_gcc"), one(part(line, P.GCC, 1), part(line, P.GCC, 2), strip(part(line, P.GCC, 3))))).alias("ones"),
+        F.max(F.when(F.col("_starts"), one(part("_at", P.ARROW, 1), severity, strip(part(line, P.RUSTC, 3))))).alias("head"),
+        F.collect_list(F.when(inside & aside, text(F.concat(part(line, P.ASIDE, 1), F.lit(": "), strip(part(line, P.ASIDE, 2)))))).alias("asides"),
+        F.min(F.when(inside & label, text(strip(part(line, P.LABEL, 1))))).alias("label"),
+    )
+    extras = F.array_sort(F.concat("asides", F.filter(F.array("label"), lambda x: x.isNotNull())))
+    msg = F.concat_ws("; ", F.array(F.col("head.msg")), F.array_distinct(F.transform(extras, lambda x: x["text"])))
+    block = F.struct(F.col("head.at").alias("at"), F.col("head.loc").alias("loc"), F.col("head.severity").alias("severity"), msg.alias("msg"))
+    groups = groups.withColumn("ones", F.when(F.col("_block").isNotNull(), F.array(block)).otherwise(F.col("ones")))
+    docs = groups.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("body"))).alias("body"), F.array_sort(F.flatten(F.collect_list("ones"))).alias("ones"))
+    body = F.when(F.try_element_at("body", F.lit(-1))["line"] == "", F.slice("body", F.lit(1), F.size("body") - 1)).otherwise(F.col("body"))
+    table = F.struct(F.lit(TABLE).alias("pos"), table_text("diagnostics", [(c, "string") for c in ("loc", "severity", "msg")], F.col("ones")).alias("line"), F.lit("").alias("term"))
+    return docs.select("doc_id", F.inline(F.when(F.size("ones") > 0, F.concat(body, F.array(table))).otherwise(body)))
+
+
+def join_with_table(lines: DataFrame) -> DataFrame:
+    """(doc_id, text): lines joined by the separator, then the table if there is one."""
+    is_table = F.col("pos") == TABLE
+    got = lines.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(~is_table, F.struct("pos", "line")))).alias("body"),
+        F.max(F.when(is_table, F.col("line"))).alias("table"),
+        F.when(F.max((F.col("term") == "\r\n").cast("int")) == 1, "\r\n").otherwise("\n").alias("sep"),
+    )
+    got = got.withColumn("body", F.expr("array_join(transform(body, x -> x.line), sep)"))
+    text = F.when(F.col("table").isNull(), F.col("body")).when(~F.col("body").rlike(r"(?U)\S"), F.col("table")).otherwise(F.concat("body", "sep", "table"))
+    return got.select("doc_id", text.alias("text"))
 
 
 def safe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -205,13 +258,8 @@ def compress(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: s
     lines = safe(docs, text, doc_id)
     if level == "safe":
         return join_lines(lines)
-    folded = join_lines_with_separator(collapse_near_dups(filter_levels(lines)))
-    parts = folded.withColumn("p", _split_column("text")).select("doc_id", F.col("p.body").alias("text"), F.col("p.rows").alias("rows"), F.contains("text", F.lit("\r\n")).alias("crlf"))
-    sep = F.when(F.col("crlf"), "\r\n").otherwise("\n")
-    body = join_lines_with_separator(window_errors(to_lines(parts))).withColumnRenamed("text", "body")
-    out = parts.join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
-    whole = F.when(F.col("rows").isNull(), F.col("body")).when(F.trim("body") == "", F.col("rows")).otherwise(F.concat("body", sep, "rows"))
-    return out.select("doc_id", whole.alias("text"))
+    # one partitioning by document for all rules
+    return join_with_table(window_errors(extract_diagnostics(collapse_near_dups(filter_levels(lines)))))
 
 
 def bounded(docs: DataFrame, limit: int = 4 << 20) -> DataFrame:

@@ -110,16 +110,52 @@ error: could not compile
 """
 
 
-def test_diagnostics():
-    body, table = ladder.split_diagnostics(RUSTC.rstrip("\n"))
-    assert body == "   Compiling a\nerror: could not compile"
-    assert table.splitlines() == [
-        "diagnostics[3]{loc,severity,msg}:",
+def split(spark, text):
+    """The lines that stay and the rows of the table."""
+    got = ladder.extract_diagnostics(lines.to_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))).orderBy("pos").collect()
+    table = [r.line for r in got if r.pos == ladder.TABLE]
+    return [r.line for r in got if r.pos < ladder.TABLE], table[0].splitlines()[1:] if table else None
+
+
+def test_diagnostics(spark):
+    body, table = split(spark, RUSTC)
+    assert body == ["   Compiling a", "error: could not compile"]
+    assert table == [
         '  "src/a.rs:2:5","error[E0308]","mismatched types; expected `String`; note: expected one thing; help: try this"',
         '  "a.c:3:4",warning,unused',
         '  "b.c:1:1",error,bad',
     ]
-    assert ladder.split_diagnostics("a.c:3:4: warning: unused") == ("a.c:3:4: warning: unused", None)
+    assert split(spark, "a.c:3:4: warning: unused") == (["a.c:3:4: warning: unused"], None)
+
+
+def header(n):
+    return f"error: e{n}"
+
+
+def arrow(n):
+    return f"  --> f{n}.rs:{n}:1"
+
+
+def test_diagnostic_blocks(spark):
+    """Headers within a block, apart from their arrow by a blank line, one after the other."""
+    gcc = ["x.c:1:1: error: one", "x.c:2:1: error: two", "x.c:3:1: error: three"]
+    # a second header in one paragraph is part of the first one's block
+    body, table = split(spark, "\n".join([*gcc, header(1), arrow(1), " | code", header(2), arrow(2), "panic: kept", "", "after"]))
+    assert len(table) == 4 and '"f1.rs:1:1",error,e1' in table[3] and body == ["error: e2", "panic: kept", "after"]
+    # a line between header and arrow belongs to the block
+    body, table = split(spark, "\n".join([*gcc, header(1), "fatal: dropped", arrow(1), "", "after"]))
+    assert len(table) == 4 and body == ["after"]
+    # apart by a blank line: the whole next paragraph is the block, and a header at its end counts no more
+    apart = [*gcc, header(1), "", arrow(1), "plain", header(2), "", arrow(2), "plain", header(3), "", arrow(3), "x", "", "after"]
+    body, table = split(spark, "\n".join(apart))
+    assert [t.split(",")[0].strip() for t in table[3:]] == ['"f1.rs:1:1"', '"f3.rs:3:1"']
+    assert body == ["error: e2", arrow(2), "plain", "after"] or body == [arrow(2), "plain", "after"]
+    # no arrow in time: an ordinary line
+    body, table = split(spark, "\n".join([*gcc, header(1), "a", "b", arrow(1)]))
+    assert len(table) == 3 and body == [header(1), "a", "b", arrow(1)]
+    # labels: the first only; asides once each
+    body, table = split(spark, "\n".join([*gcc, header(1), arrow(1), "1 | x", "  | ^ first", "  | ^ second", "  = note: n", "  = note: n", "help: h"]))
+    assert table[3] == '  "f1.rs:1:1",error,"e1; first; note: n; help: h"' and body == []
 
 
 def test_compress_keeps_failures(spark):
@@ -161,18 +197,39 @@ def test_safe_against_model(spark, texts):
         assert got.get(i, "") == model_safe(text)
 
 
+def cap(spark, text, ceiling):
+    return budget.cap_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), ceiling).first()["text"]
+
+
 def test_budget(spark):
-    assert budget.cap_text("short", 10) == "short"
+    assert cap(spark, "short", 10) == "short"
     text = "".join(f"line {i} of a long text\n" for i in range(200)).replace("line 90 of", "error 90 of")
-    for ceiling in (0, 5, 40, 100, 500):
-        out = budget.cap_text(text, ceiling)
-        assert len(out.encode()) // 4 <= ceiling
-    out = budget.cap_text(text, 300)
-    assert "error 90" in out and "line 0 " in out and "line 199 " in out and "omitted" in out
+    rows = spark.createDataFrame([(c, text, c) for c in (0, 5, 40, 100, 500)], "doc_id long, text string, most long")
+    for r in budget.cap_tokens(rows, F.col("most")).collect():
+        assert len(r.text.encode()) // 4 <= r.doc_id and (r.doc_id < 5) == (r.text == "")
+    out = cap(spark, text, 300)
+    kept = [x for x in out.splitlines() if "of a long" in x]
+    assert kept[0].startswith("line 0 ") and kept[-1].startswith("line 199 ") and "omitted" in out
+    at = kept.index("error 90 of a long text")
+    assert kept[at - 1].startswith("line 89 ") and kept[at + 1].startswith("line 91 ")
     both = spark.range(1).select(budget.split_ceiling(F.lit(100), F.lit(10), 50).alias("s")).first().s
     assert (both.out, both.err) == (46, 4)
 
 
+def test_budget_errors(spark):
+    """Half the budget goes to error lines, in order; where three lines are too dear, the error alone."""
+    long_ = "x" * 400
+    rows = [long_ if i % 2 else f"error {i}" for i in range(200)]
+    out = cap(spark, "\n".join(rows) + "\n", 200).splitlines()
+    assert [x for x in out if x.startswith("error")] == [f"error {i}" for i in sorted({int(x.split()[1]) for x in out if x.startswith("error")})]
+    assert long_ not in out and sum("omitted" in x or x.startswith("(+") for x in out) >= 2
+    dropped = sum(int("".join(c for c in x if c.isdigit())) for x in out if not x.startswith("error"))
+    assert dropped + sum(x.startswith("error") for x in out) == 200
+    same = "".join(f"error {i}\n" for i in range(500))
+    out = cap(spark, same, 200)
+    assert out.startswith("error 0\nerror 1\n") and len(out.encode()) // 4 <= 200
+
+
 def test_head_tail_and_cuts(spark):
     rows = lines.to_lines(spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string"))
     assert [r.line for r in lines.head(rows, 2).orderBy("pos").collect()] == ["a", "b"]
@@ -182,9 +239,12 @@ def test_head_tail_and_cuts(spark):
 
 
 def test_large_window(spark):
-    text = "".join(f"line {i}\n" for i in range(1000)).replace("line 500\n", "fatal 500\n")
+    text = "".join(f"line {i}\n" for i in range(1000)).replace("line 500\n", "fatal 500\n").replace("line 501\n", "fatal 501\n")
     rows = lines.to_lines(spark.createDataFrame([(1, text), (2, "a\nb\n")], "doc_id long, text string"))
-    got = lines.large_window(rows, limit=2000, head_bytes=200, tail_bytes=200).orderBy("doc_id", "pos").collect()
+    got = lines.large_window(rows, limit=2000, head_bytes=200, tail_bytes=200, errors=1).orderBy("doc_id", "pos").collect()
     out = [r.line for r in got if r.doc_id == 1]
-    assert "fatal 500" in out and out[0] == "line 0" and out[-1] == "line 999" and len(out) < 60
+    head, tail = [x for x in text.splitlines() if len("\n".join(text.splitlines()[: text.splitlines().index(x) + 1])) + 1 <= 200], [x for k, x in enumerate(text.splitlines()) if sum(len(y) + 1 for y in text.splitlines()[k:]) < 200]
+    middle = 1000 - len(head) - len(tail)
+    said = f"… {middle} lines (0.0 MB) of a 0.0 MB output omitted; 1 error line(s) from them follow (+1 more not shown) — full text in raw_log"
+    assert out == [*head, said, "fatal 500", "… end of omitted section", *tail]
     assert [r.line for r in got if r.doc_id == 2] == ["a", "b"]
