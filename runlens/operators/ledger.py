@@ -1,12 +1,13 @@
 """Analytics over the ledger of wrapped runs.
 
 A ledger frame has ts, cmd, adapter, tokens_in, tokens_out, saved, exit, run_id,
-inner_cmd, and ``seq``, its order of appending.
+inner_cmd, and ``seq``, its order of appending (``part`` within a line).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,17 +56,34 @@ def shell_strings(ledger: DataFrame) -> DataFrame:
     return rows.groupBy("cmd", inner).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.expr("sum(tokens_in) div count(1)").alias("avg_tokens_in"), F.min("seq").alias("first_seq"))
 
 
-def repeat_failures(ledger: DataFrame) -> DataFrame:
+def repeat_failures(ledger: DataFrame, stretch: int = 1 << 16) -> DataFrame:
     """Commands that failed three times in a row, once each, where it happened.
 
-    The order is one over the whole ledger, so each row needs only its two
-    predecessors; they are found by joins of (seq rank) halves, not by a window
-    over everything: ``seq`` must count up by one.
+    The order is one over the whole ledger, by ``seq`` and, for records that
+    share a line, ``part``; gaps do not matter and malformed rows do not count.
+    Windows run over stretches of ``seq``; only the last two rows of each stretch
+    are put in one order, for the first two of the next.
     """
-    rows = ledger.select("seq", "cmd", (F.col("exit") != 0).alias("failed"))
-    before = lambda k: rows.select((F.col("seq") + k).alias("seq"), F.col("cmd").alias(f"cmd{k}"), F.col("failed").alias(f"failed{k}"))
-    three = rows.where("failed").join(before(1), "seq").join(before(2), "seq").where("failed1 and failed2 and cmd1 = cmd and cmd2 = cmd")
-    return three.groupBy("cmd").agg(F.min("seq").alias("seq"))
+    if "malformed" in ledger.columns:
+        ledger = ledger.where("not malformed")
+    part = F.col("part") if "part" in ledger.columns else F.lit(0)
+    run = F.struct("cmd", (F.col("exit") != 0).alias("failed"))
+    rows = ledger.select("seq", part.alias("part"), "cmd", run.alias("run"), F.expr(f"seq div {stretch}").alias("b"))
+    order = W.partitionBy("b").orderBy("seq", "part")
+    rows = rows.withColumns({"one": F.lag("run").over(order), "two": F.lag("run", 2).over(order), "n": F.row_number().over(order)})
+    back = F.row_number().over(W.partitionBy("b").orderBy(F.desc("seq"), F.desc("part")))
+    ends = rows.select("b", "seq", "part", "run", back.alias("k")).where(F.col("k") < REPEATED)
+    ends = ends.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "run"))), lambda x: x["run"]).alias("last"))
+    # a stretch has a row at least, so two stretches hold the two rows before the next
+    none = F.array().cast(ends.schema["last"].dataType)
+    all_ = W.orderBy("b")
+    before = ends.select("b", F.concat(F.coalesce(F.lag("last", 2).over(all_), none), F.coalesce(F.lag("last").over(all_), none)).alias("before"))
+    rows = rows.join(before, "b")
+    nth = lambda i: F.try_element_at("before", F.lit(-i))
+    one = F.when(F.col("n") == 1, nth(1)).otherwise(F.col("one"))
+    two = F.when(F.col("n") == 1, nth(2)).when(F.col("n") == 2, nth(1)).otherwise(F.col("two"))
+    again = lambda x: (x["cmd"] == F.col("cmd")) & x["failed"]
+    return rows.where(F.col("run.failed") & again(one) & again(two)).groupBy("cmd").agg(F.min("seq").alias("seq"))
 
 
 def top_uncompressed(ledger: DataFrame, n: int = 5) -> DataFrame:
@@ -90,5 +108,3 @@ def hourly(ledger_stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 def ordered(frame: DataFrame) -> DataFrame:
     """``frame`` in the order the reports show it in: tokens first, then first seen."""
     return frame.orderBy(F.desc("tokens_in"), "first_seq")
-
-

@@ -89,20 +89,34 @@ def parse_line_cut(args: str | Column) -> Column:
 def large_window(lines: DataFrame, limit: int = 4 << 20, head_bytes: int = 512 << 10, tail_bytes: int = 1 << 20, errors: int = 200) -> DataFrame:
     """Of documents above ``limit`` bytes: the head, error lines of the middle, the tail.
 
-    Two marker lines say how many lines are left out on either side of the
-    error lines. Documents up to the limit stay whole.
+    A line before the error lines says how many lines and megabytes are left out
+    and how many errors follow, a line behind them that the part ends. Documents
+    up to the limit stay whole. Head and tail are whole lines.
     """
     from ..functions.text import is_error_line
 
     size = F.octet_length(F.concat("line", "term"))
-    total = F.sum(size).over(by_doc())
-    upto = F.sum(size).over(so_far())
-    rows = lines.withColumn("_t", total).withColumn("_u", upto)
-    part = F.when((F.col("_t") <= limit) | (F.col("_u") <= head_bytes), 0).when(F.col("_t") - F.col("_u") < tail_bytes, 2).otherwise(1)
-    rows = rows.withColumn("_part", part).withColumn("_e", (F.col("_part") == 1) & is_error_line("line"))
-    rank = F.sum(F.col("_e").cast("int")).over(so_far())
-    rows = rows.withColumn("_k", (F.col("_part") != 1) | (F.col("_e") & (rank <= errors)))
-    return fold_dropped(rows, F.col("_k"), lambda n: F.format_string("  (skipped %d lines of a large log, see raw_log)", n)).select(*KEY)
+    rows = lines.withColumn("_size", size).withColumn("_t", F.sum("_size").over(by_doc())).withColumn("_u", F.sum("_size").over(so_far()))
+    whole = F.col("_t") <= limit
+    middle = ~whole & (F.col("_u") > head_bytes) & (F.col("_t") - F.col("_u") + F.col("_size") >= tail_bytes)
+    rows = rows.withColumn("_m", middle).withColumn("_e", F.col("_m") & is_error_line("line"))
+    rows = rows.withColumns({
+        "_nth": F.sum(F.col("_m").cast("int")).over(so_far()),
+        "_lines": F.count_if("_m").over(by_doc()),
+        "_bytes": F.sum(F.when(F.col("_m"), F.col("_size"))).over(by_doc()),
+        "_rank": F.sum(F.col("_e").cast("int")).over(so_far()),
+        "_errors": F.count_if("_e").over(by_doc()),
+    })
+    more = F.greatest(F.lit(0), F.col("_errors") - errors)
+    mb = lambda c: F.format_string("%.1f", F.col(c) / 1048576.0)
+    said = F.concat(F.format_string("… %d lines (", "_lines"), mb("_bytes"), F.lit(" MB) of a "), mb("_t"), F.lit(" MB output omitted; "), F.least(F.lit(errors), F.col("_errors")).cast("string"), F.lit(" error line(s) from them follow"), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more not shown)"))).otherwise(""), F.lit(" — full text in raw_log"))
+    line = lambda k, text, term: F.struct((F.col("pos") * 3 + k).alias("pos"), text.alias("line"), term.alias("term"))
+    shown = F.array(
+        F.when(F.col("_m") & (F.col("_nth") == 1), line(0, said, F.lit("\n"))),
+        F.when(~F.col("_m"), line(1, F.col("line"), F.col("term"))).when(F.col("_e") & (F.col("_rank") <= errors), line(1, F.col("line"), F.lit("\n"))),
+        F.when(F.col("_m") & (F.col("_nth") == F.col("_lines")), line(2, F.lit("… end of omitted section"), F.lit("\n"))),
+    )
+    return rows.select("doc_id", F.inline(F.filter(shown, lambda x: x.isNotNull())))
 
 
 def fold_dropped(lines: DataFrame, keep: Column, marker) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
+import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -59,14 +61,52 @@ def parse_ledger(lines: DataFrame) -> DataFrame:
     return good.unionByName(glued).unionByName(broken, allowMissingColumns=True)
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at ``path``, the rotated file (``path.1``) before the live one."""
-    files = spark.read.text(path + "*", wholetext=True).withColumn("file", F.input_file_name())
-    rows = files.select(F.when(F.col("file").endswith(".1"), 0).otherwise(1).alias("k"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return parse_ledger(rows.select((F.col("k") * (1 << 40) + F.col("n")).alias("seq"), "line"))
+def _listing(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of a ledger, in the order in which they were written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = [(x.getModificationTime(), x.getPath().getName()) for x in fs.listStatus(where) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return [name for _, name in sorted(found)]
+
 
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``, the rotated one (``path.1``) before the live one;
+    each a file or a folder of files. Other files beside them are not read.
 
-def append_ledger(rows: DataFrame, path: str) -> None:
+    Files are read by lines and split as Spark likes; ``seq`` counts up by file,
+    megabyte and line, not by one.
+    """
+    out = spark.createDataFrame([], "seq long, line string")
+    for k, source in enumerate((path + ".1", path)):
+        names = _listing(spark, source)
+        if not names:
+            continue
+        files = F.broadcast(spark.createDataFrame(list(enumerate(names)), "f long, name string"))
+        # numbers go up within a partition, so within each block of a file
+        n = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = spark.read.text(source).select("value", F.col("_metadata.file_name").alias("name"), F.expr("_metadata.file_block_start div 1048576").alias("mb"), n.alias("n"))
+        rows = rows.where("trim(value) <> ''").join(files, "name")
+        seq = F.lit(k) * (1 << 61) + F.col("f") * (1 << 48) + F.col("mb") * (1 << 33) + F.col("n")
+        out = out.unionByName(rows.select(seq.alias("seq"), F.col("value").alias("line")))
+    return parse_ledger(out)
+
+
+#: Bytes at which a ledger is rotated; fixed.
+LEDGER_BYTES = 5 << 20
+
+
+def append_ledger(rows: DataFrame, path: str, most: int = LEDGER_BYTES) -> None:
+    """Append JSON lines; a ledger that is full first becomes ``path.1``, in place of the last one."""
+    spark = rows.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    live, old = jvm.Path(path), jvm.Path(path + ".1")
+    fs = live.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(live) and fs.getContentSummary(live).getLength() >= most:
+        if fs.exists(old):
+            fs.delete(old, True)
+        fs.rename(live, old)
     rows.write.mode("append").json(path)
 
 
@@ -83,14 +123,67 @@ def run_lines(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("f", "/([^/]+)/[^/]+$", 1).alias("doc_id"), F.regexp_extract("f", r"/(\w+)\.log$", 1).alias("stream"), F.col("value").alias("text"))
 
 
+def load_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """(id, ..., stdout, stderr) of one run; an id may only hold letters, digits and hyphens."""
+    if not re.fullmatch("[A-Za-z0-9-]+", run_id):
+        raise ValueError(f"invalid run id {run_id!r}")
+    meta = spark.read.schema(META).option("multiLine", "true").json(f"{root}/{run_id}/meta.json")
+    files = spark.read.option("pathGlobFilter", "std*.log").text(f"{root}/{run_id}", wholetext=True).select(F.col("_metadata.file_name").alias("f"), "value")
+    both = files.agg(*(F.coalesce(F.max(F.when(F.col("f") == f"{s}.log", F.col("value"))), F.lit("")).alias(s) for s in ("stdout", "stderr")))
+    return meta.withColumn("k", F.lit(0)).join(both.withColumn("k", F.lit(0)), "k").drop("k")  # a row each
+
+
 def reports(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.schema(REPORT).option("multiLine", "true").json(f"{root}/*/report.json")
     return rows.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1))
 
 
 def write_archive(runs: DataFrame, root: str) -> None:
-    """Runs (run_id, stream, text, ...) as a table partitioned by run_id."""
-    runs.write.mode("append").partitionBy("run_id").parquet(root)
+    """Runs (the fields of ``META`` but for sizes, and stdout, stderr) as a folder
+    each: meta.json and both logs, which :func:`archive`, :func:`run_lines` and
+    :func:`load_run` read."""
+    sizes = [F.octet_length(F.coalesce(s, F.lit(""))).cast("long").alias(f"{s}_bytes") for s in ("stdout", "stderr")]
+    names = [x.split()[0] for x in META.split(", ")]
+    file = lambda name, value: F.struct(F.lit(name).alias("file"), value.alias("value"))
+    meta = F.concat(F.to_json(F.struct(*names)), F.lit("\n"))
+    files = F.array(file("meta.json", meta), *(file(f"{s}.log", F.coalesce(s, F.lit(""))) for s in ("stdout", "stderr")))
+    _write_files(runs.select("*", *sizes).select(F.col("id").alias("run"), F.inline(files)), root)
+
+
+def write_reports(reports: DataFrame, root: str) -> None:
+    """Stored reports (run_id, and the fields of ``REPORT``) as report.json of their runs."""
+    fields = [c for c in reports.columns if c != "run_id"]
+    _write_files(reports.select(F.col("run_id").alias("run"), F.lit("report.json").alias("file"), F.concat(F.to_json(F.struct(*fields)), F.lit("\n")).alias("value")), root)
+
+
+def _write_files(rows: DataFrame, root: str) -> None:
+    """(run, file, value): each value as the file root/run/file.
+
+    Spark writes every file as the only record of a partition, and the driver
+    renames it; it copies only texts without a last line end, which Spark adds.
+    Runs whose ids hold other than letters, digits and hyphens are left out.
+    """
+    spark = rows.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    stage = f"{root.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    ended = F.col("value").endswith("\n")
+    rows = rows.where(F.col("run").rlike("^[A-Za-z0-9-]+$")).select("run", "file", ended.alias("ended"), F.when(ended, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")).alias("value"))
+    rows.write.partitionBy("run", "file", "ended").text(stage)
+    fs = jvm.Path(stage).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.Path(f"{stage}/run=*/file=*/ended=*/part-*")) or []:
+        part = status.getPath()
+        run, file, whole = (p.getName().split("=", 1)[1] for p in (part.getParent().getParent().getParent(), part.getParent().getParent(), part.getParent()))
+        target = jvm.Path(f"{root}/{run}/{file}")
+        fs.mkdirs(target.getParent())
+        if whole == "true":
+            fs.delete(target, False)
+            fs.rename(part, target)
+        else:
+            data, out = fs.open(part), fs.create(target, True)
+            spark._jvm.org.apache.commons.io.IOUtils.copyLarge(data, out, 0, status.getLen() - 1)
+            out.close()
+            data.close()
+    fs.delete(jvm.Path(stage), True)
 
 
 def report_files(spark: SparkSession, root: str, pattern: str = "*.xml", since: Column | None = None, slack: int = 2) -> DataFrame:
