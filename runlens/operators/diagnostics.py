@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, is_container
 from .ladder import strip_escapes
 from .lines import to_lines
 
@@ -48,14 +48,33 @@ def rows(found: DataFrame, loc: Column, severity: Column, rule: Column, msg: Col
     return found.select("run_id", F.col("pos").cast("long").alias("pos"), loc.alias("loc"), severity.alias("severity"), F.coalesce(rule, F.lit("")).alias("rule"), msg.alias("msg"))
 
 
+#: Lines at which a JSON document may begin that are tried; fixed.
+MAX_STARTS = 20
+
+
 def json_part(text: str | Column) -> Column:
-    """From the first line that starts a JSON container on."""
-    return F.regexp_extract(col(text), r"(?ms)^\s*([\[{].*)\z", 1)
+    """The first JSON object or array that starts at a line and is all of the rest.
+
+    At most ``MAX_STARTS`` lines that could start one are tried; null if none does.
+    """
+    trimmed = F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+    lines = F.split(trimmed, "\n")
+    starts = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^[{\[]"), i)), lambda i: i.isNotNull())
+    rest = lambda i: F.array_join(F.slice(lines, i + 1, F.size(lines)), "\n")
+    later = lambda found, i: F.when(found.isNotNull(), found).otherwise(F.when(is_container(rest(i)), rest(i)))
+    tried = F.aggregate(F.slice(starts, 1, MAX_STARTS), F.lit(None).cast("string"), later)
+    return F.when(is_container(trimmed), trimmed).otherwise(tried)
 
 
 def malformed(runs: DataFrame) -> DataFrame:
     """Runs whose output has no JSON document."""
-    return runs.where(F.try_parse_json(json_part("text")).isNull()).select("run_id")
+    return runs.where(json_part("text").isNull()).select("run_id")
+
+
+def unknown_severities(runs: DataFrame) -> DataFrame:
+    """Runs whose swiftlint output holds a severity that is neither; they have no rows."""
+    d = runs.select("run_id", F.explode(F.from_json(json_part("text"), SWIFTLINT)).alias("d"))
+    return d.where(~F.coalesce(F.lower("d.severity").isin("error", "warning"), F.lit(False))).select("run_id").distinct()
 
 
 def ruff(runs: DataFrame) -> DataFrame:
@@ -82,7 +101,9 @@ def swiftlint(runs: DataFrame, strict: bool = False) -> DataFrame:
     d = runs.select("run_id", F.posexplode(F.from_json(json_part("text"), SWIFTLINT)).alias("pos", "d"))
     found = F.lower("d.severity")
     severity = F.when(found == "error", "error").when(found == "warning", "error" if strict else "warning")
-    severity = F.coalesce(severity, F.raise_error(F.concat(F.lit("unknown severity "), found)).cast("string"))
+    # one unknown severity makes the run's whole output unreadable, but no other run's
+    bad = F.max(severity.isNull().cast("int")).over(W.partitionBy("run_id"))
+    d = d.withColumn("_bad", bad).where("_bad = 0")
     return rows(d, place(F.col("d.file"), F.col("d.line"), F.col("d.character")), severity, F.col("d.rule_id"), first_line(F.col("d.reason")))
 
 
@@ -109,13 +130,17 @@ def golangci(runs: DataFrame) -> DataFrame:
 def cargo(runs: DataFrame) -> DataFrame:
     """Compiler messages; the first of equal (loc, rule, text) stays."""
     lines = to_lines(runs, "text", "run_id").withColumnRenamed("doc_id", "run_id").where(F.trim("line").startswith("{"))
-    d = lines.select("run_id", "pos", F.from_json(F.trim("line"), CARGO).alias("d")).where("d.reason = 'compiler-message' and d.message.level in ('error', 'warning')")
+    # the reason first: most lines are of other kinds and need no more parsing
+    lines = lines.where(F.get_json_object(F.trim("line"), "$.reason") == "compiler-message")
+    d = lines.select("run_id", "pos", F.from_json(F.trim("line"), CARGO).alias("d")).where("d.message.level in ('error', 'warning')")
     d = d.select("run_id", "pos", F.col("d.message").alias("m")).withColumn("text", first_line(F.col("m.message")))
     d = d.where(~F.col("text").startswith("aborting due to") & ~F.col("text").rlike(r"^\d+ warnings? emitted"))
     span = F.coalesce(F.try_element_at(F.filter("m.spans", lambda s: s["is_primary"]), F.lit(1)), F.try_element_at("m.spans", F.lit(1)))
     d = d.withColumn("span", span).withColumn("loc", F.when(span.isNull(), "").otherwise(place(span["file_name"], span["line_start"], span["column_start"])))
     d = d.withColumn("rule", F.coalesce("m.code.code", F.lit("")))
-    first = d.groupBy("run_id", "loc", "rule", "text").agg(F.min_by(F.struct("pos", "m", "span"), "pos").alias("d"))
+    # of equal ones the first: sorted once within the run, nothing wide is aggregated
+    again = F.row_number().over(W.partitionBy("run_id", "loc", "rule", "text").orderBy("pos"))
+    first = d.withColumn("_n", again).where("_n = 1").select("run_id", "loc", "rule", "text", F.struct("pos", "m", "span").alias("d"))
     label = first["d"]["span"]["label"]
     shown = F.when(F.coalesce(label, F.lit("")).isin("") | (label == F.col("text")), "").otherwise(F.concat(F.lit(" ("), label, F.lit(")")))
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.toon import encode, loads
-from .test_reports import budget_trace
+from .reports import budget_trace
 
 
-def _encoded(docs: DataFrame, **options) -> DataFrame:
+def encoded(docs: DataFrame, **options) -> DataFrame:
     """(run_id, text) of (run_id, json)."""
 
     def run(frames):
@@ -19,23 +19,28 @@ def _encoded(docs: DataFrame, **options) -> DataFrame:
     return docs.mapInPandas(run, f"run_id {dict(docs.dtypes)['run_id']}, text string")
 
 
-def _unique(ids: Column, locs: Column) -> Column:
-    """Keys of traces: the id; id@loc where ids repeat; then #2, #3 and so on."""
-    pairs = F.transform(ids, lambda x, i: F.when(F.size(F.filter(ids, lambda y: y == x)) > 1, F.concat(x, F.lit("@"), F.get(locs, i))).otherwise(x))
-    nth = lambda x, i: F.size(F.filter(F.slice(pairs, 1, i + 1), lambda y: y == x))
-    return F.transform(pairs, lambda x, i: F.when(nth(x, i) > 1, F.concat(x, F.lit(" #"), nth(x, i).cast("string"))).otherwise(x))
+def trace_keys(failures: Column) -> Column:
+    """A key for each failure: its id; id@loc where ids repeat and there is a
+    place; keys that still repeat get #2, #3 and so on."""
+    ids = F.transform(failures, lambda f: f["id"])
+    again = lambda x: F.size(F.filter(ids, lambda y: y == x["id"])) > 1
+    keys = F.transform(failures, lambda x: F.when(again(x) & (x["loc"] != ""), F.concat(x["id"], F.lit("@"), x["loc"])).otherwise(x["id"]))
+    nth = lambda x, i: F.size(F.filter(F.slice(keys, F.lit(1), i + 1), lambda y: y == x))
+    return F.transform(keys, lambda x, i: F.when(nth(x, i) > 1, F.concat(x, F.lit("#"), nth(x, i).cast("string"))).otherwise(x))
 
 
 def render_reports(reports: DataFrame, trace_lines: int = 20) -> DataFrame:
     """(run_id, text): runner, summary, failures as a table, traces by failure."""
     f = F.col("failures")
-    traced = F.filter(f, lambda x: F.size(x["trace"]) > 0)
-    keys = _unique(F.transform(traced, lambda x: x["id"]), F.transform(traced, lambda x: x["loc"]))
-    traces = F.map_from_arrays(keys, F.transform(traced, lambda x: budget_trace(x["trace"], trace_lines)))
+    # keys are unique over all failures, those without a trace too
+    reports = reports.withColumn("_keys", trace_keys(f))
+    both = F.transform(f, lambda x, i: F.struct(F.get("_keys", i).alias("key"), budget_trace(x["trace"], trace_lines).alias("trace")))
+    traced = F.filter(both, lambda x: F.size(x["trace"]) > 0)
+    traces = F.map_from_entries(traced)
     rows = F.transform(f, lambda x: F.struct(x["id"].alias("id"), x["loc"].alias("loc"), x["msg"].alias("msg")))
     summary = F.struct("total", "passed", "failed", "skipped", "duration_s")
     doc = F.struct("runner", summary.alias("summary"), F.when(F.size(f) > 0, rows).alias("failures"), F.when(F.size(traced) > 0, traces).alias("traces"))
-    return _encoded(reports.select("run_id", F.to_json(doc).alias("json")), indent=1, list_scalars=True)
+    return encoded(reports.select("run_id", F.to_json(doc).alias("json")), indent=1, list_scalars=True)
 
 
 def render_diagnostics(found: DataFrame, summary: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def render_diagnostics(found: DataFrame, summary: DataFrame) -> DataFrame:
     rows = found.groupBy("run_id").agg(F.transform(parts, lambda x: x["d"]).alias("diagnostics"))
     both = summary.join(rows, "run_id", "left")
     counts = F.struct(*(c for c in ("errors", "warnings", "files") if c in summary.columns))
-    return _encoded(both.select("run_id", F.to_json(F.struct("runner", counts.alias("summary"), "diagnostics")).alias("json")), indent=1)
+    return encoded(both.select("run_id", F.to_json(F.struct("runner", counts.alias("summary"), "diagnostics")).alias("json")), indent=1)
 
 
 def fill_from_log(failures: DataFrame, log: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def render_stats(ledger: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("first_seq", entry.alias("e"))))
     total = by.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("saved"), F.lit(0)).alias("tokens_saved"), F.coalesce(F.sum("saved_vs_visible"), F.lit(0)).alias("saved_vs_visible"), F.map_from_entries(F.transform(parts, lambda p: p["e"])).alias("by_adapter"))
     doc = F.to_json(F.struct("calls", "tokens_saved", "saved_vs_visible", "by_adapter"))
-    return _encoded(total.select(F.lit(0).alias("run_id"), doc.alias("json"))).select("text")
+    return encoded(total.select(F.lit(0).alias("run_id"), doc.alias("json"))).select("text")
 
 
 def suggestions(ledger: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def render_suggestions(ledger: DataFrame) -> DataFrame:
     one = totals.withColumn("k", F.lit(0)).join(listed.withColumn("k", F.lit(0)), "k")  # a row each
     none = F.size("s") == 0
     doc = F.struct("analyzed_calls", "tokens_saved", F.when(none, "no waste detected").alias("verdict"), F.when(~none, F.col("s")).alias("suggestions"))
-    return _encoded(one.select(F.lit(0).alias("run_id"), F.to_json(doc).alias("json"))).select("text")
+    return encoded(one.select(F.lit(0).alias("run_id"), F.to_json(doc).alias("json"))).select("text")
 
 
 def render_delta(delta: DataFrame, fewer: bool = False) -> DataFrame:
@@ -115,4 +120,4 @@ def render_delta(delta: DataFrame, fewer: bool = False) -> DataFrame:
     rows = lambda c: F.when(F.size(c) > 0, F.transform(c, lambda x: x["i"]))
     counts = F.struct(F.size("f").alias("fixed"), F.size("s").alias("still"), F.size("n").alias("new"))
     doc = F.struct(counts.alias("summary"), rows("f").alias("fixed_or_not_run" if fewer else "fixed"), rows("s").alias("still"), rows("n").alias("new"))
-    return _encoded(got.select(F.lit(0).alias("run_id"), F.to_json(doc).alias("json"))).select("text")
+    return encoded(got.select(F.lit(0).alias("run_id"), F.to_json(doc).alias("json"))).select("text")

@@ -36,7 +36,7 @@ XCRESULT = (
     "testFailures:array<struct<failureText:string,targetName:string,testIdentifierString:string,testName:string>>>"
 )
 GO = "struct<Action:string,Package:string,Test:string,Elapsed:double,Output:string,ImportPath:string,FailedBuild:string>"
-CASE = "struct<_name:string,_classname:string,_file:string,_line:string,failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<struct<_message:string,_VALUE:string>>>"
+CASE = "struct<_name:string,_classname:string,_file:string,_line:string,failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<struct<_message:string,_VALUE:string>>,`system-out`:array<string>,`system-err`:array<string>>"
 SUITE = f"_time:string,testcase:array<{CASE}>"
 NESTED = f"{SUITE},testsuite:array<struct<{SUITE}>>"
 JUNIT = f"{NESTED}".replace("testsuite:array<struct<", "testsuite:array<struct<testsuite:array<struct<" + SUITE + ">>,")
@@ -52,6 +52,8 @@ JVM_NOISE = r"^at .*(?:org\.junit\.|org\.opentest4j\.|junit\.framework\.|org\.te
 JVM_FRAME = r"^at (?:[\w.$-]+(?:@[\w.-]+)?/+)?([\w$.]+)\.[\w$<>-]+\(([\w$-]+\.(?:java|kt|groovy|scala)):(\d+)\)"
 GO_PLACE = r"^(\S+\.go):(\d+):\s?(.*)$"
 GO_FRAME = r"^\t(\S+\.go):(\d+)(?: \+0x[0-9a-f]+)?$"
+CAPTURED = {"Captured Out": "stdout", "Captured Err": "stderr", "Captured Log": "log"}
+CAPTURED_LINES = 10
 BUILD_MARKS = r"\[build failed\]|\[setup failed\]"
 
 
@@ -102,6 +104,28 @@ def budget_trace(trace: Column, most: int) -> Column:
     return F.when(F.size(trace) <= most, trace).when(F.lit(most) == 0, F.array().cast("array<string>")).otherwise(shown)
 
 
+def captured_output(out: Column, err: Column) -> Column:
+    """The last lines that a failed test printed, each with its stream; headers
+    of captured parts name the stream of the lines below them."""
+
+    def labelled(text: Column, label: str) -> Column:
+        lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x.rlike(r"(?U)\S"))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(label).alias("label"))
+        title = lambda x: F.regexp_replace(strip(x), r"^[-]+(?U)\s*|(?U)\s*-+$", "")
+
+        def step(state: Column, line: Column) -> Column:
+            head = F.coalesce(*(F.when(title(line) == t, F.lit(name)) for t, name in CAPTURED.items()))
+            kept = F.concat(state["out"], F.array(F.concat(F.lit("["), state["label"], F.lit("] "), line)))
+            return F.struct(F.when(head.isNull(), kept).otherwise(state["out"]).alias("out"), F.coalesce(head, state["label"]).alias("label"))
+
+        return F.aggregate(lines, start, step, lambda s: s["out"])
+
+    both = F.concat(labelled(out, "stdout"), labelled(err, "stderr"))
+    more = F.size(both) - CAPTURED_LINES
+    marker = F.concat(F.lit("… +"), more.cast("string"), F.lit(" captured lines omitted (see raw_log)"))
+    return F.when(more > 0, F.concat(F.array(marker), F.slice(both, -CAPTURED_LINES, CAPTURED_LINES))).otherwise(both)
+
+
 def merge(reports: DataFrame, by: list[str], order: str) -> DataFrame:
     """One report per group: sums of counts and time, failures in order, first runner."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("failures").alias("f"))))
@@ -146,7 +170,9 @@ def junit(runs: DataFrame, runner: str = "pytest") -> DataFrame:
         raised = F.filter(marked, lambda l: l.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*(Error|Exception|Failure|Exit|Interrupt)\b"))
         said = F.when(said.isin("", "collection failure"), F.coalesce(F.try_element_at(raised, F.lit(1)), F.try_element_at(marked, F.lit(1)), said)).otherwise(said)
         other = F.filter(trace, lambda l: ~l.endswith(F.concat(F.lit("::"), c["_name"])))
-        return failure(id_, loc, F.when(said == "", F.coalesce(F.try_element_at(other, F.lit(1)), F.lit(""))).otherwise(said), trace)
+        text = lambda name: F.array_join(F.coalesce(c[name], F.array().cast("array<string>")), "\n")
+        printed = captured_output(text("system-out"), text("system-err"))
+        return failure(id_, loc, F.when(said == "", F.coalesce(F.try_element_at(other, F.lit(1)), F.lit(""))).otherwise(said), F.concat(trace, printed))
 
     def tidy(f: Column) -> Column:
         """The place from the first frame of the test's own class; no framework frames; a typed first line as message."""
@@ -425,23 +451,6 @@ def parse_cargo_test(text: str) -> dict | None:
     return _report("cargo-nextest", passed + failed + skipped, passed, failed, skipped, float(whole[1]), [_panic(n, said.get(n, "")) for n in names])
 
 
-def parse_pre_commit(text: str) -> dict | None:
-    """Hook lines ``name....Passed``; what follows a failed hook is its trace."""
-    hooks, current = [], None
-    for line in text.splitlines():
-        m = re.match(r"^(.+?)\.{3,}(?:\(.*\))?(Passed|Failed|Skipped)\s*$", line)
-        if m:
-            current = [m[1], m[2], []]
-            hooks.append(current)
-        elif current and current[1] == "Failed" and line.strip():
-            current[2].append(line.rstrip())
-    if not hooks:
-        return None
-    n = lambda s: sum(h[1] == s for h in hooks)
-    failures = [(h[0], "", next((x for x in h[2] if not x.startswith("- ")), ""), h[2]) for h in hooks if h[1] == "Failed"]
-    return _report("pre-commit", len(hooks), n("Passed"), n("Failed"), n("Skipped"), 0.0, failures)
-
-
 def parse_xctest(text: str) -> dict | None:
     """Failures and the last ``Executed N tests`` line of an XCTest log."""
     done = re.findall(r"Executed (\d+) tests?, with (?:(\d+) tests? skipped and )?(\d+) failures? \(\d+ unexpected\) in ([0-9.]+)", text)
@@ -458,7 +467,7 @@ def parse_xctest(text: str) -> dict | None:
     return _report("xctest", total, max(0, total - failed - skipped), failed, skipped, seconds, list(seen.values()))
 
 
-TEXT_PARSERS = {"unittest": parse_unittest, "cargo-test": parse_cargo_test, "pre-commit": parse_pre_commit, "xctest": parse_xctest}
+TEXT_PARSERS = {"unittest": parse_unittest, "cargo-test": parse_cargo_test, "xctest": parse_xctest}
 PARSERS = {"pytest": junit, "jest": jest, "vitest": lambda r: jest(r, "vitest"), "rspec": rspec, "xcodebuild-test": xcresult, "dotnet": trx, "go-test": lambda r: go_test(go_events(r))}
 PARSERS |= {name: (lambda r, name=name: junit(r, name)) for name in ("phpunit", "gradle", "maven", "swift-test")}
 
@@ -481,6 +490,10 @@ def parse_text(runs: DataFrame, kind: str) -> DataFrame:
 
 def parse_reports(runs: DataFrame, kind: str) -> DataFrame:
     """Reports of runs (run_id, text) whose outputs are all of one ``kind``."""
+    if kind == "pre-commit":
+        from .console import pre_commit
+
+        return pre_commit(runs).drop("passthrough")
     return PARSERS[kind](runs) if kind in PARSERS else parse_text(runs, kind)
 
 

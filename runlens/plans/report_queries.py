@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
 from ..operators import ladder
-from ..operators import test_reports as R
+from ..operators import reports as R
 from . import views as V
 
 QUERIES: dict = {}

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from runlens.operators import console as C
 from runlens.operators import diagnostics as D
-from runlens.operators import test_reports as R
+from runlens.operators import reports as R
 
 
 def runs(spark, *texts):
@@ -69,6 +70,8 @@ def test_malformed_json_gives_no_rows(spark):
     for parse in (D.ruff, D.eslint, D.swiftlint, D.mypy, D.golangci, D.cargo):
         assert parse(bad).count() == 0
     assert sorted(r.run_id for r in D.malformed(bad).collect()) == [0, 1, 2]
+    severe = runs(spark, '[{"file":"a","line":1,"character":2,"reason":"r","rule_id":"x","severity":"Odd"}]', '[{"file":"b","line":1,"character":2,"reason":"r","rule_id":"x","severity":"Error"}]')
+    assert [r.run_id for r in D.swiftlint(severe).collect()] == [1] and [r.run_id for r in D.unknown_severities(severe).collect()] == [0]
 
 
 def test_rendering(spark):
@@ -80,7 +83,7 @@ def test_rendering(spark):
     found = D.clang(runs(spark, "a.c:1:2: error: bad\n", "fine\n"))
     out = {r.run_id: r.text for r in render.render_diagnostics(found, D.summarise(found, runs(spark, "a", "b"), "clang")).collect()}
     assert out[1] == "runner: clang\nsummary:\n errors: 0\n warnings: 0"
-    assert out[0].endswith('diagnostics[1]{loc,severity,msg}:\n "a.c:1:2",error,bad') or 'diagnostics[1]{loc,severity,rule,msg}:\n "a.c:1:2",error,"",bad' in out[0]
+    assert out[0].endswith('diagnostics[1]{loc,severity,rule,msg}:\n "a.c:1:2",error,"",bad')
 
 
 def test_fill_from_log(spark):
@@ -105,3 +108,79 @@ def test_jvm_frames(spark):
     text = f'<testsuite><testcase classname="demo.AppTest" name="fails"><failure message="boom">{trace}</failure></testcase></testsuite>'
     f = R.junit(runs(spark, text), "maven").first().failures[0]
     assert (f.loc, f.msg, f.trace) == ("AppTest.java:21", "java.lang.IllegalStateException: boom", ["at app//demo.Lib.call(Lib.java:4)"])
+
+
+def test_trace_keys(spark):
+    from runlens.operators import render
+
+    names = [("a", "x:1"), ("a", ""), ("a", ""), ("b", "y:2"), ("a", "x:1"), ("c", "")]
+    frame = spark.createDataFrame([([(i, l, "", []) for i, l in names],)], f"f array<{R.FAILURE}>")
+    assert frame.select(render.trace_keys(F.col("f")).alias("k")).first().k == ["a@x:1", "a", "a#2", "b", "a@x:1#2", "c"]
+
+
+def test_json_starts_later(spark):
+    cases = {"log\n[not json\n{\"a\": 1}\n": '{"a": 1}', "x\n[1]\ntrailer": None, "[1, 2]": "[1, 2]", "{\n\"a\": [\n1]}\n": '{\n"a": [\n1]}', "": None, "5": None, "[x\n" * 20 + "[1]": None, "[x\n" * 19 + "[1]": "[1]"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", D.json_part("t").alias("j"))
+    assert {r.t: r.j for r in rows.collect()} == cases
+
+
+def reports_of(spark, failures, failed=None, runner="vitest"):
+    frame = spark.createDataFrame([(0, runner, 9, 5, len(failures) if failed is None else failed, 0, 0.0, failures)], f"run_id long, runner string, total long, passed long, failed long, skipped long, duration_s double, failures array<{R.FAILURE}>")
+    return frame
+
+
+def test_pytest_console(spark):
+    text = "ok\n!!!!!!! Interrupted: 1 error during collection !!!!!!!\n!!! _pytest.outcomes.Exit: enough !!!\nFAIL Required test coverage of 90% not reached\n"
+    for failures, want in (([], ["Interrupted: 1 error during collection", "_pytest.outcomes.Exit: enough"]), ([("t", "", "m", [])], ["m", "_pytest.outcomes.Exit: enough"])):
+        r = C.pytest_session(reports_of(spark, failures, runner="pytest"), runs(spark, text)).first()
+        assert [f.msg for f in r.failures] == [*want, "FAIL Required test coverage of 90% not reached"] and r.failed == len(r.failures)
+        assert [f.id for f in r.failures][-2:] == ["(session)", "(coverage)"]
+    body = "--- Captured Out ---\n" + "".join(f"line {i}\n" for i in range(12))
+    xml = f'<testsuite><testcase classname="c" name="a"><failure message="m">E x</failure><system-out>{body}</system-out><system-err>--- Captured Log ---\nwarned</system-err></testcase></testsuite>'
+    trace = R.junit(runs(spark, xml)).first().failures[0].trace
+    assert trace == ["E x", "… +3 captured lines omitted (see raw_log)", *(f"[stdout] line {i}" for i in range(3, 12)), "[log] warned"]
+
+
+def test_jvm_consoles(spark):
+    gradle = "/p/A.java:3: error: bad\ne: file:///p/B.kt:4:5 worse\ne: /p/C.kts: (6, 7): worst\n/p/A.java:3: error: bad\n* What went wrong:\nExecution failed for task ':x'.\n  noise\n> Compilation failed\n> more\n\n* What went wrong:\nthere\n> There were failing tests\n* Try:\n* What went wrong:\n\n"
+    r = C.add_build_failures(reports_of(spark, [], runner="gradle"), C.gradle_failures(runs(spark, gradle))).first()
+    assert [(f.id, f.loc, f.msg) for f in r.failures] == [("(build)", "/p/A.java:3", "bad"), ("(build)", "/p/B.kt:4:5", "worse"), ("(build)", "/p/C.kts:6:7", "worst"), ("(build)", "", "Execution failed for task ':x'. Compilation failed")]
+    assert r.failed == 0
+    maven = "[ERROR] /p/A.java:[3,11] no symbol\n[INFO] x\n[ERROR] Failed to execute goal a:b: There are test failures.\n[ERROR] Failed to execute goal c:d (x): boom\n[ERROR] /p/A.java:[3,11] no symbol\n"
+    r = C.add_build_failures(reports_of(spark, [], runner="maven"), C.maven_failures(runs(spark, maven))).first()
+    assert [(f.loc, f.msg) for f in r.failures] == [("/p/A.java:3:11", "no symbol"), ("", "Failed to execute goal c:d (x): boom")]
+
+
+def test_vitest_console(spark):
+    rule = "⎯" * 5
+    err = f"{rule} Unhandled Errors {rule}\n\nVitest caught 2 errors\n\n{rule} Uncaught Exception {rule}\nError: boom\n ❯ a.ts:1:2\n ❯ node:internal/x\nnoise\nThis error originated in b.ts\n\n{rule} Unhandled Rejection {rule}\nError: two\n{rule}{rule}\n{rule} Later {rule}\nError: not in it\n"
+    found = C.vitest_unhandled(runs(spark, err))
+    r = C.add_unhandled(reports_of(spark, [("t", "", "m", []), ("(run)", "", "success: false", [])]), found).first()
+    assert [(f.id, f.msg, f.trace) for f in r.failures] == [("t", "m", []), ("(unhandled error)", "Error: boom", ["Uncaught Exception", "❯ a.ts:1:2", "This error originated in b.ts"]), ("(unhandled error)", "Error: two", ["Unhandled Rejection"])]
+    assert r.failed == 3
+    out = "stdout | src/a.test.js > suite > one\nhello\n  there\n\nstray\nstderr | src/b.test.js > suite > one\nother file\n\nstdout | src/a.test.js\nno test\n"
+    printed = C.vitest_console(runs(spark, out))
+    r = C.add_console(reports_of(spark, [("suite one", "/w/src/a.test.js:3", "m", ["t"]), ("z", "", "", [])]), printed).first()
+    assert [f.trace for f in r.failures] == [["t", "console: hello", "console: there"], []]
+    many = "stdout | a.js > k\n" + "".join(f"l{i}\n" for i in range(13))
+    r = C.add_console(reports_of(spark, [("k", "a.js", "m", [])]), C.vitest_console(runs(spark, many))).first()
+    assert len(r.failures[0].trace) == 11 and r.failures[0].trace[-1] == "… +3 console lines omitted (see raw_log)"
+    r = C.explain_run(reports_of(spark, [("(run)", "", "success: false", [])]), runs(spark, "x\n  ERROR: no config\nERROR: later\n"), "ERROR: ").first()
+    assert r.failures[0].msg == "ERROR: no config"
+
+
+def test_hooks(spark):
+    text = "intro\nruff.....................Failed\n- hook id: ruff\n- exit code: 1\n\na.py:1 bad\nmore\nxml......(no files to check)Skipped\nfmt......Failed\n- hook id: fmt\n- files were modified by this hook\nquiet....Failed\n- exit code: 3\nok.......Passed\nlong.....Failed\n- hook id: l\n" + "".join(f"v{i}\n" for i in range(25))
+    r = C.pre_commit(runs(spark, text, "none")).collect()
+    assert len(r) == 1 and (r[0].total, r[0].passed, r[0].failed, r[0].skipped) == (6, 1, 4, 1)
+    assert [(f.id, f.loc, f.msg, f.trace) for f in r[0].failures] == [("ruff", "ruff", "a.py:1 bad", ["more"]), ("fmt", "fmt", "files were modified by this hook", []), ("quiet", "", "exit code 3", []), ("long", "l", "v0", ["25 lines of hook output: full output follows the report"])]
+    assert r[0].passthrough.startswith("--- long (l): full output ---\nv0\n") and r[0].passthrough.endswith("v24\n")
+
+
+def test_build_fallback(spark):
+    rows = spark.createDataFrame([(0, "/p/a.swift:1:2: error: bad\n", 1), (1, "/p/a.swift:1:2: error: bad\n", 0), (2, "nothing\n", 1), (3, "/p/a.swift:1:2: error: bad\n", 1)], "run_id long, text string, exit int")
+    got = C.build_fallback(rows, spark.createDataFrame([(3,)], "run_id long"))
+    assert [(r.run_id, r.msg) for r in got.collect()] == [(0, "bad")]
+    cases = {"warning: x": True, "error[E1]: y": True, "error: test failed, to rerun pass": False, "error: 2 targets failed:": False, "my-error: z": False}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", C.has_real_diagnostic("t").alias("d"))
+    assert {r.t: r.d for r in rows.collect()} == cases
