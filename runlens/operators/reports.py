@@ -11,6 +11,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -289,49 +290,60 @@ def go_events(runs: DataFrame) -> DataFrame:
 
 
 def go_test(events: DataFrame) -> DataFrame:
-    """Reports from event rows, by joins: leaves, unfinished tests, build output."""
-    tests = events.where("Test is not null and not startswith(Action, 'build-')")
-    packages = events.where("Test is null and not startswith(Action, 'build-')").groupBy("run_id", "Package").agg(
-        F.max((F.col("Action") == "fail").cast("int")).alias("failed"), F.max((F.col("Action") == "pass").cast("int")).alias("passed"),
-        F.max(F.when(F.col("Action").isin("pass", "fail"), F.col("Elapsed"))).alias("seconds"), F.max(F.when(F.col("Action") == "fail", F.col("FailedBuild"))).alias("build"),
+    """Reports from event rows.
+
+    Events are dealt by run and package once; tests, their packages and their
+    ancestors are then read by windows within a package, and one row per run
+    remains. What builds printed is joined to that row.
+    """
+    package = W.partitionBy("run_id", "Package")
+    is_test, ended = F.col("Test").isNotNull(), F.col("Action").isin("pass", "fail", "skip")
+    failed = F.col("Action") == "fail"
+    own = events.where(~F.col("Action").startswith("build-")).repartition("run_id", "Package")
+    rows = own.groupBy("run_id", "Package", "Test").agg(
+        F.collect_list(F.when(is_test & ended, F.struct("pos", "Action"))).alias("ends"), F.collect_list(F.when(is_test & (F.col("Action") == "run"), F.col("pos"))).alias("begins"),
+        F.array_sort(F.collect_list(F.when(F.col("Output").isNotNull(), F.struct("pos", "Output")))).alias("said"), F.max(failed.cast("int")).alias("failed"),
+        F.max(F.when(F.col("Action").isin("pass", "fail"), F.col("Elapsed"))).alias("seconds"), F.max(F.when(failed, F.col("FailedBuild"))).alias("build"),
         F.max(F.coalesce(F.col("Output").rlike(BUILD_MARKS), F.lit(False)).cast("int")).alias("marked"), F.min("pos").alias("pos"),
-        F.array_sort(F.collect_list(F.when(F.col("Output").isNotNull(), F.struct("pos", "Output")))).alias("said"),
     )
-    ended = tests.where(F.col("Action").isin("pass", "fail", "skip")).select("run_id", "Package", "Test", "Action", "pos")
-    begun = tests.where("Action = 'run'").select("run_id", "Package", "Test", "pos")
-    broken = packages.where("failed = 1").select("run_id", "Package")
-    keys = ["run_id", "Package", "Test"]
-    hung = begun.join(ended, keys, "left_anti").join(broken, ["run_id", "Package"], "left_semi").withColumn("Action", F.lit("fail"))
-    terminal = ended.unionByName(hung)
-    # every ancestor of a test: a test that is one is no leaf
-    parts = F.split("Test", "/")
-    parents = terminal.select("run_id", "Package", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("up"), "Test").where("up <> Test")
-    leaves = terminal.join(parents.select("run_id", "Package", F.col("up").alias("Test")).distinct(), keys, "left_anti")
-    output = tests.where("Output is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("said"))
-    bad = leaves.where("Action = 'fail'").join(output, keys, "left")
-    bad = bad.select("run_id", "Package", "pos", F.concat(F.substring_index("Package", "/", -1), F.lit("."), "Test").alias("id"), F.coalesce("said", F.array()).alias("said"))
-    # package failures: none of its tests failed, or its build did
-    built = events.where(F.col("Action").startswith("build-") & F.col("Output").isNotNull()).groupBy("run_id", "ImportPath").agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("built"))
-    named = built.select("run_id", F.col("ImportPath").alias("build"), F.col("built").alias("by_name"))
-    guessed = built.groupBy("run_id", T.strip_variant("ImportPath").alias("Package")).agg(F.min_by("built", "ImportPath").alias("by_path"))
-    lone = packages.join(bad.select("run_id", "Package").distinct().withColumn("has", F.lit(1)), ["run_id", "Package"], "left").where("(failed = 1 and has is null) or marked = 1")
-    lone = lone.join(named, ["run_id", "build"], "left").join(guessed, ["run_id", "Package"], "left")
-    lone = lone.select("run_id", "Package", "pos", F.substring_index("Package", "/", -1).alias("id"), F.concat(F.coalesce("by_name", "by_path", F.array()), "said").alias("said"))
-    found = bad.withColumn("kind", F.lit(0)).unionByName(lone.withColumn("kind", F.lit(1)))
-    found = found.select("run_id", "kind", "pos", "id", F.array_join(F.transform("said", lambda s: s["Output"]), "").alias("text"))
+    whole = F.col("Test").isNull()
+    rows = rows.withColumn("broken", F.max(F.when(whole, F.col("failed"))).over(package) == 1)
+    # a test of a broken package that never ended failed; others that never ended do not count
+    hung = (F.size("ends") == 0) & F.col("broken")
+    lost = F.transform("begins", lambda p: F.struct(p.alias("pos"), F.lit("fail").alias("Action")))
+    rows = rows.withColumn("ends", F.when(hung, lost).otherwise(F.col("ends"))).where(whole | (F.size("ends") > 0))
+    # slashes first: what follows a test in this order is below it, if anything is
+    after = F.lead("Test").over(package.orderBy(F.translate("Test", "/", "\x01")))
+    rows = rows.withColumn("leaf", ~whole & ~F.coalesce(after.startswith(F.concat("Test", F.lit("/"))), F.lit(False)))
+    text = F.array_join(F.transform("said", lambda x: x["Output"]), "")
+    of = lambda a: F.filter("ends", lambda e: e["Action"] == a)
+    name = F.substring_index("Package", "/", -1)
+    entry = lambda kind, pos, id_, build: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), id_.alias("id"), text.alias("text"), build.alias("build"), F.col("Package").alias("package"))
+    none = F.lit(None).cast("string")
+    bad = F.when(F.col("leaf"), F.transform(of("fail"), lambda e: entry(0, e["pos"], F.concat(name, F.lit("."), "Test"), none)))
+    rows = rows.withColumn("bad", bad).withColumn("has", F.max(F.size("bad")).over(package) > 0)
+    lone = whole & (((F.col("failed") == 1) & ~F.coalesce("has", F.lit(False))) | (F.col("marked") == 1))
+    rows = rows.withColumn("found", F.when(lone, F.array(entry(1, F.col("pos"), name, F.col("build")))).otherwise(F.col("bad")))
+    many = lambda a: F.sum(F.when(F.col("leaf"), F.size(of(a))).otherwise(0))
+    runs = rows.groupBy("run_id").agg(many("pass").alias("p"), many("fail").alias("f"), many("skip").alias("s"), F.count_if(lone).alias("lone"), F.max(F.when(whole, F.col("seconds"))).alias("seconds"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    # builds are few: what they printed, by name, and by package
+    built = events.where(F.col("Action").startswith("build-") & F.col("Output").isNotNull()).groupBy("run_id", "ImportPath").agg(F.array_sort(F.collect_list(F.struct("pos", "Output"))).alias("o"))
+    built = built.select("run_id", "ImportPath", F.array_join(F.transform("o", lambda x: x["Output"]), "").alias("o"))
+    entries = lambda key: F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col(key).alias("k"), F.col("o").alias("v")))))
+    first = F.min_by("o", "ImportPath").over(W.partitionBy("run_id", "stem"))
+    stems = built.withColumn("stem", T.strip_variant("ImportPath")).withColumn("o", first).groupBy("run_id").agg(entries("stem").alias("by_stem"))
+    d = runs.join(built.groupBy("run_id").agg(entries("ImportPath").alias("by_name")).join(stems, "run_id"), "run_id", "full").fillna(0, ["p", "f", "s", "lone"])
+    said = lambda x: F.coalesce(F.try_element_at("by_name", x["build"]), F.when(x["kind"] == 1, F.try_element_at("by_stem", x["package"])), F.lit(""))
+    d = d.withColumn("found", F.transform(F.coalesce("found", F.array()), lambda x: F.struct(x["kind"].alias("kind"), x["id"].alias("id"), F.concat(said(x), x["text"]).alias("text"))))
 
     def explain(frames):
         for f in frames:
-            got = [_go_failure(t or "", k == 0) for t, k in zip(f["text"], f["kind"])]
-            yield f[["run_id", "kind", "pos"]].assign(f=[{"id": i, "loc": g[0], "msg": g[1], "trace": g[2]} for i, g in zip(f["id"], got)])
-
-    found = found.mapInPandas(explain, f"run_id {dict(found.dtypes)['run_id']}, kind int, pos long, f {FAILURE}")
-    failures = found.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", F.col("f.id").alias("id"), F.col("f.loc").alias("loc"), F.col("f.msg").alias("msg"), F.col("f.trace").alias("trace")))), lambda x: failure(x["id"], x["loc"], x["msg"], x["trace"])).alias("failures"), F.count_if(F.col("kind") == 1).alias("lone"))
-    n = lambda a: F.count_if(F.col("Action") == a)
-    counts = leaves.groupBy("run_id").agg(n("pass").alias("p"), n("fail").alias("f"), n("skip").alias("s"))
-    seconds = packages.groupBy("run_id").agg(F.max("seconds").alias("seconds"))
-    d = events.select("run_id").distinct().join(counts, "run_id", "left").join(failures, "run_id", "left").join(seconds, "run_id", "left").fillna(0, ["p", "f", "s", "lone"])
-    return report(d, "go-test", F.col("p") + F.col("f") + F.col("s") + F.col("lone"), F.col("p"), F.col("f") + F.col("lone"), F.col("s"), F.col("seconds"), F.coalesce("failures", F.array().cast(f"array<{FAILURE}>")))
+            told = [[dict(zip(("id", "loc", "msg", "trace"), (x["id"], *_go_failure(x["text"] or "", x["kind"] == 0)))) for x in found] for found in f["found"]]
+            yield f.drop(columns="found").assign(failures=told)
+
+    kinds = dict(d.dtypes)
+    d = d.select("run_id", "p", "f", "s", "lone", "seconds", "found").mapInPandas(explain, f"run_id {kinds['run_id']}, p long, f long, s long, lone long, seconds double, failures array<{FAILURE}>")
+    return report(d, "go-test", F.col("p") + F.col("f") + F.col("s") + F.col("lone"), F.col("p"), F.col("f") + F.col("lone"), F.col("s"), F.col("seconds"), F.col("failures"))
 
 
 # --- free text, in Python ---

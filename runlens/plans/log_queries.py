@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.toon import encode_json, toon_table
-from ..operators import budget, ladder, lines
+from ..operators import budget, emit, ladder, lines
+from ..operators.diagnostics import json_part
 from . import views as V
 
 QUERIES: dict = {}
@@ -190,11 +191,65 @@ def guard(spark, sf_dir):
     return ladder.reduce_logs(V.table(spark, sf_dir, "documents").where("text <> ''"))
 
 
-@query(None)
+#: Digits as letters: two lines with different numbers are then no near duplicates.
+LETTERS = ("0123456789", "ghijklmnop")
+
+
+def mixed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15 long logs of levelled lines with compiler warnings between."""
+    rows = V.event_lines(spark, sf_dir)
+    tag = F.translate(F.col("pos").cast("string"), *LETTERS)
+    warning = F.concat(F.lit("src/f.c:"), F.col("pos").cast("string"), F.lit(": warning: odd "), tag)
+    kind = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "event_type")
+    rows = rows.join(kind, "pos")
+    line = F.when(F.col("event_type") == "purchase", warning).otherwise(F.concat("line", F.lit(" "), tag))
+    return rows.select((F.col("doc_id") % 15).alias("doc_id"), "pos", line.alias("line"), "term")
+
+
+@query(f"""
+WITH {V.EVENT_LINES_SQL},
+l AS (SELECT user_id % 15 AS doc_id, e.pos, CASE WHEN event_type = 'purchase' THEN NULL ELSE lv END AS lv, translate(e.pos::VARCHAR, '{LETTERS[0]}', '{LETTERS[1]}') AS tag,
+      CASE WHEN event_type = 'purchase' THEN 'src/f.c:' || e.pos || ': warning: odd ' || tag ELSE line || ' ' || tag END AS line FROM event_lines e JOIN events ON e.pos = event_id),
+raw AS (SELECT doc_id, string_agg(line || chr(10), '' ORDER BY pos) AS text FROM l GROUP BY doc_id),
+k AS (SELECT *, lv IS NULL OR max(CASE WHEN lv IN ('WARN', 'ERROR') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS keep FROM l),
+c AS (SELECT *, keep OR coalesce(lag(keep) OVER (PARTITION BY doc_id ORDER BY pos), true) AS changed FROM k),
+r AS (SELECT *, {RUNS} AS run FROM c),
+g AS (SELECT doc_id, run, lv, min(pos) AS since, count(*) AS n FROM r WHERE NOT keep GROUP BY doc_id, run, lv),
+f AS (SELECT doc_id, pos, line, lv IS NULL AS gcc, coalesce(lv = 'ERROR', false) AS bad, tag FROM r WHERE keep
+      UNION ALL SELECT doc_id, min(since), '  (filtered ' || string_agg(n || ' ' || lv, ', ' ORDER BY since) || ' lines, see raw_log)', false, false, NULL FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, 'diagnostics[' || count(*) || ']{{loc,severity,msg}}:' || string_agg(chr(10) || '  "src/f.c:' || pos || '",warning,odd ' || tag, '' ORDER BY pos) AS rows_ FROM f WHERE gcc GROUP BY doc_id),
+w AS (SELECT doc_id, pos, line, row_number() OVER p AS i, count(*) OVER (PARTITION BY doc_id) AS n, max(bad::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS near FROM f WHERE NOT gcc WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+w1 AS (SELECT doc_id, pos, line, n < 80 OR i <= 15 OR i > n - 15 OR near AS keep FROM w),
+w2 AS (SELECT *, keep OR coalesce(lag(keep) OVER (PARTITION BY doc_id ORDER BY pos), true) AS changed FROM w1),
+w3 AS (SELECT *, {RUNS} AS run FROM w2),
+m AS (SELECT doc_id, pos, 0 AS sub, line FROM w3 WHERE keep UNION ALL SELECT doc_id, min(pos), 0, '  (skipped ' || count(*) || ' lines, see raw_log)' FROM w3 WHERE NOT keep GROUP BY doc_id, run),
+small AS (SELECT doc_id, {TEXT} AS body FROM m GROUP BY doc_id),
+o AS (SELECT doc_id, text, body || chr(10) || rows_ AS small FROM raw JOIN small USING (doc_id) JOIN t USING (doc_id))
+SELECT doc_id, CASE WHEN strlen(small) // 4 < strlen(text) // 4 THEN small ELSE text END AS emitted, strlen(text) // 4 AS tokens_in, least(strlen(small) // 4, strlen(text) // 4) AS tokens_out, strlen(small) // 4 < strlen(text) // 4 AS compressed FROM o""")
 def reduce_aggressive(spark, sf_dir):
-    """The aggressive tier with the savings guard, over the logs of all users."""
-    logs = lines.join_lines(V.event_lines(spark, sf_dir))
-    return ladder.reduce_logs(logs, "aggressive")
+    """The aggressive tier with the savings guard over long logs."""
+    return ladder.reduce_logs(lines.join_lines(mixed_logs(spark, sf_dir)), "aggressive")
+
+
+@query("""
+WITH l AS (SELECT user_id AS doc_id, event_id AS id, event_type AS kind FROM events),
+d AS (SELECT doc_id, id, CASE kind WHEN 'error' THEN '"src/f' || (id % 50) || '.rs:' || id || ':3"' ELSE '"lib/x' || (id % 20) || '.c:' || id || ':2"' END AS loc,
+      CASE kind WHEN 'error' THEN '"error[E' || (100 + id % 9) || ']"' ELSE 'warning' END AS severity,
+      CASE kind WHEN 'error' THEN '"bad ' || id || '; here ' || (id % 7) || '; note: see ' || (id % 3) || '"' ELSE 'odd ' || (id % 11) END AS msg FROM l WHERE kind IN ('error', 'signup')),
+t AS (SELECT doc_id, 'diagnostics[' || count(*) || ']{loc,severity,msg}:' || string_agg(chr(10) || '  ' || loc || ',' || severity || ',' || msg, '' ORDER BY id) AS rows_ FROM d GROUP BY doc_id HAVING count(*) >= 3),
+b AS (SELECT doc_id, string_agg(kind || ' ' || id || CASE WHEN id % 2 = 0 THEN chr(10) || 'panic: ' || id ELSE '' END, chr(10) ORDER BY id) AS body FROM l WHERE kind NOT IN ('error', 'signup') GROUP BY doc_id)
+SELECT doc_id, body || chr(10) || rows_ AS text FROM b JOIN t USING (doc_id)""")
+def extract_diagnostics(spark, sf_dir):
+    """Errors as compiler blocks, sign-ups as one-line warnings, the rest as lines."""
+    i = F.col("event_id")
+    n = lambda k, plus=0: (i % k + plus).cast("string")
+    of = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    block = of("error[E", n(9, 100), "]: bad ", i.cast("string"), "\n  --> src/f", n(50), ".rs:", i.cast("string"), ":3\n   |\n", n(9), " |  ^^^ here ", n(7), "\n   | ^ again\n   = note: see ", n(3), "\n = note: see ", n(3), "\n")
+    warning = of("lib/x", n(20), ".c:", i.cast("string"), ":2: warning: odd ", n(11))
+    plain = of(F.col("event_type"), " ", i.cast("string"), F.when(i % 2 == 0, of("\npanic: ", i.cast("string"))).otherwise(""))
+    text = F.when(F.col("event_type") == "error", block).when(F.col("event_type") == "signup", warning).otherwise(plain)
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), i.alias("pos"), F.concat(text, F.lit("\n")).alias("line"), F.lit("").alias("term"))
+    return ladder.join_with_table(ladder.extract_diagnostics(lines.to_lines(lines.join_lines(rows))))
 
 
 @query(f"""
@@ -224,6 +279,71 @@ def cap_tokens(spark, sf_dir):
     return budget.cap_tokens(V.table(spark, sf_dir, "documents"), 300)
 
 
+OMITTED = "'  (omitted ' || {} || ' lines to stay under the token ceiling; see raw_log)' || chr(10)"
+
+
+@query(f"""
+WITH l AS (SELECT user_id AS doc_id, event_id AS pos, strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_id % 150 = 0 THEN ' ERROR' ELSE ' INFO' END || ' user=' || user_id || chr(10) AS t, event_id % 150 = 0 AS bad FROM events),
+a AS (SELECT *, row_number() OVER p AS i, count(*) OVER (PARTITION BY doc_id) AS n, greatest(strlen(t) // 4, 1) + 1 AS c, sum(strlen(t)) OVER (PARTITION BY doc_id) // 4 AS total,
+      max(bad::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS paid FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+e AS (SELECT doc_id, count(*) FILTER (i - before > 3 OR before IS NULL) AS islands FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM a WHERE bad) GROUP BY doc_id),
+b AS (SELECT a.*, strlen({OMITTED.format("n")}) // 4 + 1 AS price, coalesce(islands, 0) AS islands, sum(CASE WHEN paid THEN c ELSE 0 END) OVER (PARTITION BY doc_id) AS spent FROM a LEFT JOIN e USING (doc_id)),
+s AS (SELECT *, 400 - price - spent - islands * price AS rest, sum(CASE WHEN paid THEN 0 ELSE c END) OVER (PARTITION BY doc_id ORDER BY pos) AS down, sum(CASE WHEN paid THEN 0 ELSE c END) OVER (PARTITION BY doc_id ORDER BY pos DESC) AS up FROM b),
+k AS (SELECT *, total <= 400 OR paid OR down <= rest * 60 // 100 OR up <= rest - rest * 60 // 100 AS keep FROM s),
+c AS (SELECT *, keep OR coalesce(lag(keep) OVER (PARTITION BY doc_id ORDER BY pos), true) AS changed FROM k),
+r AS (SELECT *, {RUNS} AS run FROM c),
+m AS (SELECT doc_id, pos, t FROM r WHERE keep UNION ALL SELECT doc_id, min(pos), {OMITTED.format("count(*)")} FROM r WHERE NOT keep GROUP BY doc_id, run)
+SELECT doc_id, string_agg(t, '' ORDER BY pos) AS text FROM m GROUP BY doc_id""")
+def cap_error_lines(spark, sf_dir):
+    """A ceiling over logs with rare errors, each kept with its neighbours."""
+    level = F.when(F.col("event_id") % 150 == 0, " ERROR").otherwise(" INFO")
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, F.lit(" user="), F.col("user_id").cast("string")).alias("line"), F.lit("\n").alias("term"))
+    return budget.cap_tokens(lines.join_lines(rows), 400)
+
+
+@query(f"""
+WITH l AS (SELECT user_id % 5 AS doc_id, event_id AS pos, event_type || ' ' || event_id || chr(10) AS t, event_type = 'error' AS bad FROM events),
+s AS (SELECT *, sum(strlen(t)) OVER (PARTITION BY doc_id) AS total, sum(strlen(t)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+m AS (SELECT *, total > 9000 AND upto > 2000 AND total - upto + strlen(t) >= 3000 AS mid FROM s),
+e AS (SELECT *, sum((mid AND bad)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM m),
+g AS (SELECT doc_id, min(pos) AS first, max(pos) AS last, '… ' || count(*) || ' lines (' || printf('%.1f', sum(strlen(t)) / 1048576.0) || ' MB) of a ' || printf('%.1f', any_value(total) / 1048576.0) || ' MB output omitted; ' || least(20, count(*) FILTER (bad))
+      || ' error line(s) from them follow' || CASE WHEN count(*) FILTER (bad) > 20 THEN ' (+' || (count(*) FILTER (bad) - 20) || ' more not shown)' ELSE '' END || ' — full text in raw_log' || chr(10) AS said FROM e WHERE mid GROUP BY doc_id),
+o AS (SELECT doc_id, pos, 1 AS sub, t FROM e WHERE NOT mid OR (bad AND rank <= 20) UNION ALL SELECT doc_id, first, 0, said FROM g UNION ALL SELECT doc_id, last, 2, '… end of omitted section' || chr(10) FROM g)
+SELECT doc_id, string_agg(t, '' ORDER BY pos, sub) AS text FROM o GROUP BY doc_id""")
+def large_window(spark, sf_dir):
+    """Logs above a limit: head, error lines of the middle, tail."""
+    rows = V.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("doc_id"), F.col("event_id").alias("pos"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("line"), F.lit("\n").alias("term"))
+    return lines.join_lines(lines.large_window(rows, limit=9000, head_bytes=2000, tail_bytes=3000, errors=20))
+
+
+@query("""
+WITH o AS (SELECT user_id AS run_id, count(*) AS n, string_agg('{"n":' || event_id || ',"kind":"' || event_type || '"}' || chr(10), '' ORDER BY event_id) AS stdout,
+             CASE WHEN count(*) > 1 THEN '[' || count(*) || ']{n,kind}:' || string_agg(chr(10) || '  ' || event_id || ',' || event_type, '' ORDER BY event_id) END AS small FROM events GROUP BY user_id),
+e AS (SELECT *, repeat('still waiting' || chr(10), (run_id % 9)::INT) AS stderr, CASE WHEN run_id % 9 > 1 THEN 'still waiting' || chr(10) || '  (x' || (run_id % 9) || ')' || chr(10) END AS less,
+      CASE WHEN run_id % 7 <> 0 THEN '/runs/' || run_id END AS raw_log, CASE WHEN run_id % 11 = 0 THEN 'SIGINT' END AS interrupted FROM o),
+f AS (SELECT *, coalesce(chr(10) || 'raw_log: ' || raw_log, '') || coalesce(chr(10) || 'interrupted: ' || interrupted, '') AS foot FROM e),
+g AS (SELECT *, small || foot AS a, less || CASE WHEN strlen(small || foot) // 4 < strlen(stdout) // 4 THEN '' ELSE foot END AS b FROM f),
+h AS (SELECT *, raw_log IS NOT NULL AND coalesce(strlen(a) // 4 < strlen(stdout) // 4, false) AS ok, raw_log IS NOT NULL AND coalesce(strlen(b) // 4 < strlen(stderr) // 4, false) AS fine FROM g)
+SELECT run_id, CASE WHEN ok THEN a || chr(10) ELSE stdout END AS out, CASE WHEN fine THEN b ELSE stderr END AS err, CASE WHEN ok THEN 'json' WHEN fine THEN 'safe' ELSE 'passthrough' END AS mode,
+       strlen(stdout) // 4 + strlen(stderr) // 4 AS tokens_in, CASE WHEN ok THEN strlen(a) // 4 ELSE strlen(stdout) // 4 END + CASE WHEN fine THEN strlen(b) // 4 ELSE strlen(stderr) // 4 END AS tokens_out FROM h""")
+def emit_runs(spark, sf_dir):
+    """Runs that print JSON lines and repeat themselves on stderr; a seventh have no raw log."""
+    events = V.table(spark, sf_dir, "events")
+    parts = F.array_sort(F.collect_list(F.struct("event_id", F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), "event_type", F.lit('"}\n')).alias("t"))))
+    runs = events.groupBy(F.col("user_id").alias("run_id")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("stdout"))
+    k = F.col("run_id")
+    runs = runs.withColumns({"stderr": F.expr("repeat('still waiting\n', cast(run_id % 9 as int))"), "raw_log": F.when(k % 7 != 0, F.concat(F.lit("/runs/"), k.cast("string"))), "interrupted": F.when(k % 11 == 0, "SIGINT")})
+    return emit.emit(runs)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN props END AS json FROM events")
+def json_later(spark, sf_dir):
+    """A document behind lines that only look like one; a third have a trailer."""
+    rows = V.table(spark, sf_dir, "events")
+    text = F.concat(F.lit("note\n[oops\n"), "props", F.when(F.col("event_id") % 3 == 0, "\ntrailer").otherwise("\n\n"))
+    return rows.select("event_id", json_part(text).alias("json"))
+
+
 @query("SELECT event_id, coalesce(json_type(try_cast(props AS JSON)) IN ('OBJECT', 'ARRAY'), false) AS is_json FROM events")
 def jsonl_document(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", F.coalesce(T.is_json_document("props"), F.lit(False)).alias("is_json"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import console as C
 from ..operators import diagnostics as D
 from ..operators import ladder
 from ..operators import reports as R
@@ -266,7 +267,7 @@ def go_test_report(spark, sf_dir):
     events = event(o, F.lit("run"), F.col("Test")).unionByName(said).unionByName(done).unionByName(parent).unionByName(ended)
     line = F.to_json(F.struct("Action", "Package", "Test", "Elapsed", "Output"))
     runs = as_lines(events, line, key="run_id", first="go: downloading x\n")
-    return R.go_test(R.go_events(runs).persist()).select("run_id", "runner", "total", "passed", "failed", "skipped", "duration_s", F.size("failures").cast("long").alias("n_failures"))
+    return R.go_test(R.go_events(runs)).select("run_id", "runner", "total", "passed", "failed", "skipped", "duration_s", F.size("failures").cast("long").alias("n_failures"))
 
 
 @query(f"WITH {TESTS} SELECT run_id, 'unittest' AS runner, {COUNTS}, 0.125::DOUBLE AS duration_s, {listed('name || ' + chr(39) + '|/a.py:' + chr(39) + ' || line || ' + chr(39) + '|AssertionError: bad' + chr(39))} FROM tests GROUP BY run_id")
@@ -294,7 +295,7 @@ def cargo_test_report(spark, sf_dir):
 @query(f"WITH {TESTS} SELECT run_id, 'pre-commit' AS runner, {COUNTS}, 0.0::DOUBLE AS duration_s, {listed('name || ' + chr(39) + '|hook said no' + chr(39))} FROM tests GROUP BY run_id")
 def pre_commit_report(spark, sf_dir):
     status = F.when(F.col("outcome") == "fail", "Failed\n- hook id: x\nhook said no").when(F.col("outcome") == "skip", "Skipped").otherwise("Passed")
-    return shown(R.parse_text(as_lines(tests(spark, sf_dir), F.concat("name", F.lit("......."), status)), "pre-commit"), "id", "msg")
+    return shown(R.parse_reports(as_lines(tests(spark, sf_dir), F.concat("name", F.lit("......."), status)), "pre-commit"), "id", "msg")
 
 
 @query(f"WITH {TESTS} SELECT run_id, 'xctest' AS runner, {COUNTS}, 0.5::DOUBLE AS duration_s, {listed(chr(39) + 'S.' + chr(39) + ' || name || ' + chr(39) + '|/a/B.swift:' + chr(39) + ' || line || ' + chr(39) + '|no' + chr(39))} FROM tests GROUP BY run_id")
@@ -312,3 +313,60 @@ def sniff(spark, sf_dir):
     e = F.col("event_type")
     shown_ = F.when(e == "error", "x\nExecuted 3 tests, with 1 failure").when(e == "view", '<?xml version="1.0"?>\n<testsuites/>').when(e == "click", "a\n** BUILD FAILED **\n").when(e == "signup", F.col("props")).otherwise("plain [text]")
     return V.table(spark, sf_dir, "events").select("event_id", R.sniff(shown_).alias("kind"))
+
+
+CONSOLE_SQL = """
+  e AS (SELECT user_id AS run_id, event_id AS pos, event_type AS kind FROM events),
+  found AS (SELECT run_id, 0 AS k, pos, '/p/A' || (pos % 30) || '.java:' || (pos % 10) AS loc, 'bad ' || (pos % 3) AS msg FROM e WHERE kind = 'error'
+            UNION ALL SELECT run_id, 1, pos, '', 'Task ' || (pos % 4) || ' broke reason ' || (pos % 2) FROM e WHERE kind = 'signup'),
+  firsts AS (SELECT run_id, loc, msg, min({'k': k, 'pos': pos}) AS first FROM found GROUP BY ALL)"""
+
+
+@query("WITH" + CONSOLE_SQL + """
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY first) AS n, '(build)' AS id, loc, msg, 0::BIGINT AS failed FROM firsts""")
+def gradle_console(spark, sf_dir):
+    """Errors and causes of broken builds, each once, behind a report without failures."""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), "event_type")
+    n = lambda k: (F.col("pos") % k).cast("string")
+    error = F.concat(F.lit("/p/A"), n(30), F.lit(".java:"), n(10), F.lit(": error: bad "), n(3))
+    cause = F.concat(F.lit("* What went wrong:\nTask "), n(4), F.lit(" broke\n  noise\n> reason "), n(2), F.lit("\n> more\n"))
+    line = F.when(F.col("event_type") == "error", error).when(F.col("event_type") == "signup", cause).otherwise("> Task :ok\n* What went wrong:\nTests\n> There were failing tests\n* Try:")
+    consoles = as_lines(e, line, key="run_id")
+    got = C.add_build_failures(bare_reports(consoles, "gradle"), C.gradle_failures(consoles))
+    return got.select("run_id", F.posexplode("failures").alias("n", "f"), "failed").select("run_id", (F.col("n") + 1).cast("long").alias("n"), "f.id", "f.loc", "f.msg", "failed")
+
+
+def bare_reports(consoles: DataFrame, runner: str) -> DataFrame:
+    """A report without tests for each console."""
+    zero = F.lit(0).cast("long")
+    return consoles.select("run_id", F.lit(runner).alias("runner"), *(zero.alias(c) for c in ("total", "passed", "failed", "skipped")), F.lit(0.0).alias("duration_s"), F.array().cast(f"array<{R.FAILURE}>").alias("failures"))
+
+
+@query("""
+WITH e AS (SELECT user_id AS run_id, event_id AS pos, event_type AS kind FROM events),
+f AS (SELECT run_id, pos, '(session)' AS id, 'stop ' || pos AS msg FROM e WHERE kind = 'error' UNION ALL SELECT run_id, pos, '(coverage)', 'FAIL Required test coverage of ' || (pos % 100) || '% not reached' FROM e WHERE kind = 'signup')
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS n, id, msg, count(*) OVER (PARTITION BY run_id) AS failed FROM f""")
+def pytest_console(spark, sf_dir):
+    """What stopped a session and unmet coverage, as failures that count."""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), "event_type")
+    n = F.col("pos").cast("string")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("!!!!! stop "), n, F.lit(" !!!!!"))).when(F.col("event_type") == "signup", F.concat(F.lit("FAIL Required test coverage of "), (F.col("pos") % 100).cast("string"), F.lit("% not reached"))).otherwise("!!!!!")
+    consoles = as_lines(e, line, key="run_id")
+    got = C.pytest_session(bare_reports(consoles, "pytest"), consoles)
+    return got.select("run_id", F.posexplode("failures").alias("n", "f"), "failed").select("run_id", (F.col("n") + 1).cast("long").alias("n"), "f.id", "f.msg", "failed")
+
+
+@query("""
+WITH e AS (SELECT user_id AS run_id, event_id AS pos, event_type AS kind, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY event_id) AS n FROM events)
+SELECT run_id, n, 'suite test ' || pos AS id, 'hello ' || pos || ',again' AS printed FROM e WHERE bad""")
+def vitest_console(spark, sf_dir):
+    """What failed tests printed, joined to them by name and file."""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), "event_type")
+    n = F.col("pos").cast("string")
+    block = F.concat(F.lit("stdout | src/a.test.js > suite > test "), n, F.lit("\nhello "), n, F.lit("\n  again\n\nstray\nstderr | src/b.test.js > suite > test "), n, F.lit("\nother file\n"))
+    consoles = as_lines(e, block, key="run_id")
+    failed = R.failure(F.concat(F.lit("suite test "), n), F.concat(F.lit("/w/src/a.test.js:"), n), F.lit("m"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == "error", F.struct("pos", failed.alias("f"))))), lambda x: x["f"])
+    reports = e.groupBy("run_id").agg(parts.cast(f"array<{R.FAILURE}>").alias("failures")).join(bare_reports(consoles, "vitest").drop("failures"), "run_id").select(*R.COLUMNS)
+    got = C.add_console(reports, C.vitest_console(consoles)).select("run_id", F.posexplode("failures").alias("n", "f"))
+    return got.select("run_id", (F.col("n") + 1).cast("long").alias("n"), "f.id", F.array_join(F.transform("f.trace", lambda x: F.replace(x, F.lit("console: "), F.lit(""))), ",").alias("printed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import commands as C
+from ..operators import history as H
 from ..operators import ledger as L
 from ..operators import runs as R
 from ..sources.logs import parse_ledger
@@ -175,13 +176,74 @@ SELECT seq // 3 AS line, cmd, adapter, tokens_in, saved, exit::INTEGER AS exit,
 UNION ALL SELECT DISTINCT seq // 3, NULL, NULL, NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, true FROM ledger WHERE (seq // 3) % 10 = 0""")
 def ledger_parse(spark, sf_dir):
     """Three records glued to each line; every tenth line ends broken."""
-    rows = V.ledger(spark, sf_dir)
+    return parse_ledger(_glued(V.ledger(spark, sf_dir))).select(F.col("seq").alias("line"), "cmd", "adapter", "tokens_in", "saved", "exit", "malformed")
+
+
+def _glued(rows: DataFrame) -> DataFrame:
     record = F.to_json(F.struct("seq", F.col("ts").cast("string").alias("ts"), "cmd", "adapter", "tokens_in", "tokens_out", "saved", "exit"))
     line = F.expr("seq div 3")
     parts = F.array_sort(F.collect_list(F.struct("seq", record.alias("r"))))
     glued = rows.groupBy(line.alias("n")).agg(F.array_join(F.transform(parts, lambda x: x["r"]), " ").alias("line"))
-    glued = glued.select(F.col("n").alias("seq"), F.when(F.col("n") % 10 == 0, F.concat("line", F.lit("{broken"))).otherwise(F.col("line")).alias("line"))
-    return parse_ledger(glued).select(F.col("seq").alias("line"), "cmd", "adapter", "tokens_in", "saved", "exit", "malformed")
+    return glued.select(F.col("n").alias("seq"), F.when(F.col("n") % 10 == 0, F.concat("line", F.lit("{broken"))).otherwise(F.col("line")).alias("line"))
+
+
+@query(f"""WITH {V.LEDGER_SQL},
+l AS (SELECT seq, cmd, exit <> 0 AS failed, lag(cmd) OVER (ORDER BY seq) AS c1, lag(cmd, 2) OVER (ORDER BY seq) AS c2, lag(exit) OVER (ORDER BY seq) AS e1, lag(exit, 2) OVER (ORDER BY seq) AS e2 FROM ledger)
+SELECT cmd, min(seq // 3) AS seq FROM l WHERE failed AND e1 <> 0 AND e2 <> 0 AND c1 = cmd AND c2 = cmd GROUP BY cmd""")
+def repeat_failures_parsed(spark, sf_dir):
+    """Three failures in a row as a parsed ledger has them: glued records, broken ends, gaps."""
+    return L.repeat_failures(parse_ledger(_glued(V.ledger(spark, sf_dir)).withColumn("seq", F.col("seq") * 1000))).withColumn("seq", F.expr("seq div 1000"))
+
+
+RUNS_SQL = """
+  runs AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y%m%d-%H%M%S') || '-' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_custkey AS cust, o_orderstatus AS cwd, (o_orderkey % 3)::INT AS exit,
+                  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'diagnostics' ELSE 'tests' END AS kind, strftime(o_orderdate, '%Y-%m-%d') AS ts FROM orders),
+  items AS (SELECT l_orderkey AS k, l_linenumber AS n, 't' || (l_partkey % 6) AS t FROM lineitem)"""
+
+
+def archived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as archived runs of a command per customer, line items as what their reports list."""
+    k = F.col("o_orderkey")
+    run_id = F.concat(F.date_format("o_orderdate", "yyyyMMdd-HHmmss"), F.lit("-"), F.lpad(k.cast("string"), 12, "0"))
+    orders = V.table(spark, sf_dir, "orders")
+    metas = orders.select(run_id.alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"), F.array(F.lit("make"), F.concat(F.lit("all "), F.col("o_custkey").cast("string"))).alias("argv"), F.lit("safe").alias("mode"), (k % 3).cast("int").alias("exit"), F.col("o_orderstatus").alias("cwd"), F.lit(10).cast("long").alias("stdout_bytes"), k.alias("stderr_bytes"), F.lit(None).cast("timestamp").alias("mtime"))
+    name = F.concat(F.lit("t"), (F.col("l_partkey") % 6).cast("string"))
+    tests = (F.col("l_orderkey") % 11) != 0
+    item = F.struct(F.when(tests, name).otherwise("").alias("id"), F.lit("").alias("loc"), F.when(tests, "").otherwise(name).alias("rule"), F.concat(F.lit("m "), name).alias("msg"))
+    listed = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    reports = orders.where(k % 5 != 0).join(listed, k == F.col("k")).select(run_id.alias("run_id"), F.when(k % 11 == 0, "diagnostics").otherwise("tests").alias("kind"), F.lit("x").alias("runner"), F.size("items").cast("long").alias("failed"), F.when(k % 11 != 0, (k % 7).cast("long")).alias("total"), "items", F.concat(F.lit("report "), k.cast("string"), F.lit("\n")).alias("rendered"))
+    return metas, reports
+
+
+@query(f"""WITH {RUNS_SQL},
+r AS (SELECT *, lag(k) OVER w AS pk, lag(kind) OVER w AS pkind FROM runs WHERE kind IS NOT NULL AND k IN (SELECT k FROM items) WINDOW w AS (PARTITION BY cust, cwd ORDER BY ts, k)),
+p AS (SELECT * FROM r WHERE pk IS NOT NULL),
+c AS (SELECT k, t, count(*) AS n FROM items GROUP BY ALL),
+b AS (SELECT p.k, coalesce(x.n, 0) AS now, 0 AS old, x.t FROM p JOIN c x ON x.k = p.k UNION ALL SELECT p.k, 0, y.n, y.t FROM p JOIN c y ON y.k = p.pk),
+d AS (SELECT k, t, sum(now) AS now, sum(old) AS old FROM b GROUP BY k, t),
+s AS (SELECT k, sum(least(now, old))::BIGINT AS still, sum(now - least(now, old))::BIGINT AS new, sum(old - least(now, old))::BIGINT AS fixed FROM d GROUP BY k)
+SELECT id AS run_id, CASE WHEN kind = pkind THEN CASE WHEN kind = 'tests' AND k % 7 < pk % 7 THEN 'fixed or not run ' ELSE 'fixed ' END || fixed || '; still ' || still || '; new ' || new END AS summary FROM p JOIN s USING (k)""")
+def vs_previous(spark, sf_dir):
+    """Every run against the one before it; runs of other kinds are not compared."""
+    return H.vs_previous(H.comparable_pairs(*archived(spark, sf_dir)))
+
+
+@query(f"""WITH {RUNS_SQL},
+l AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY cwd ORDER BY ts DESC, id DESC) = 1)
+SELECT cwd, CASE WHEN kind IS NOT NULL THEN 'report ' || k || chr(10) || 'run: ' || id || chr(10) || 'command: make ''all ' || cust || '''' || CASE WHEN exit <> 0 THEN chr(10) || 'exit_code: ' || exit ELSE '' END || chr(10) || 'raw_log: /runs/' || id
+  ELSE 'run: ' || id || chr(10) || 'command: make ''all ' || cust || '''' || chr(10) || 'ts: ' || ts || chr(10) || 'mode: safe' || chr(10) || 'exit_code: ' || exit || chr(10) || 'stdout_bytes: 10' || chr(10) || 'stderr_bytes: ' || k || chr(10) || 'raw_log: /runs/' || id
+       || chr(10) || 'note: no adapter report for this run; its raw log is kept as run ' || id END AS text FROM l""")
+def last_report(spark, sf_dir):
+    """The newest run of each folder as it was printed."""
+    return H.render_last(*archived(spark, sf_dir), "/runs", "make", ["cwd"])
+
+
+@query(f"""WITH {RUNS_SQL},
+l AS (SELECT * FROM runs ORDER BY ts DESC, id DESC LIMIT 20)
+SELECT 'runs[' || count(*) || ']{{id,ts,cmd,mode,exit}}:' || string_agg(chr(10) || '  ' || id || ',' || ts || ',make ''all ' || cust || ''',safe,' || exit, '' ORDER BY ts DESC, id DESC) AS text FROM l""")
+def run_list(spark, sf_dir):
+    """The newest runs as a table (a top-k report)."""
+    return H.render_list(archived(spark, sf_dir)[0])
 
 
 COMMANDS = ("pytest -q 2>&1 | tail -%d", "uv run --with x pytest -k %d", "cargo test t%d && rm x", "echo 'a|b' %d", "ls $HOME/%d", "go test ./p%d")
