@@ -120,6 +120,13 @@ def relativize(text: str | Column, folder: str) -> Column:
     return F.regexp_replace(col(text), rf"(?<![\pL\pN/._-])(?:file://)?{quoted}", "")
 
 
+def relativize_json(json: str | Column, folder: str) -> Column:
+    """Every string of a JSON text relativized; keys too, as they name files at times."""
+    escaped = folder.rstrip("/").replace("\\", "\\\\").replace('"', '\\"')
+    quoted = "\\Q" + escaped + "/\\E"
+    return F.regexp_replace(col(json), rf"(?<![\pL\pN/._-])(?:file://)?{quoted}", "")
+
+
 def command_key(argv: str | Column) -> Column:
     words = F.transform(col(argv), lambda a: F.regexp_replace(F.trim(F.regexp_replace(a, r"(?U)\s+", " ")), "^ | $", ""))
     return F.array_join(words, "\u001f")

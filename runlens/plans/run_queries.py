@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import commands as C
 from ..operators import history as H
+from ..operators import judge as J
 from ..operators import ledger as L
 from ..operators import runs as R
 from ..sources.logs import parse_ledger
@@ -263,6 +264,21 @@ def command_analysis(spark, sf_dir):
     return rows.select("user_id", "event_id", C.adapter_of("c").alias("tool"), C.needs_shell("c").alias("shell"), C.drop_display_filter("c")["filter"].alias("filter"), guarded.alias("guarded"))
 
 
+JUDGED = (("cd app && pytest -k %d", "wrap"), ("CI=1 cargo test t%d && go vet ./p", "wrap"), ("./ci.sh %d", "suggest"), ("ruff check --fix f%d", None), ("pytest ../x%d", None), ("npx vitest run t%d | tail -5", "wrap"), ("make t%d > x", None))
+
+
+@query(f"""
+SELECT event_id, CASE WHEN user_id % 7 = 5 THEN 'vitest' ELSE NULL END AS tool, CASE user_id % 7 {" ".join(f"WHEN {i} THEN '{v}'" for i, (_, v) in enumerate(JUDGED) if v)} END AS verdict,
+       CASE WHEN user_id % 7 = 0 THEN 'app' END AS folder FROM events""")
+def command_verdicts(spark, sf_dir):
+    """Commands taken apart and judged by tables."""
+    pattern = F.element_at(F.array(*(F.lit(c) for c, _ in JUDGED)), (F.col("user_id") % len(JUDGED) + 1).cast("int"))
+    rows = V.table(spark, sf_dir, "events").select("event_id", F.replace(pattern, F.lit("%d"), F.col("event_id").cast("string")).alias("c"))
+    package = F.to_json(F.struct(F.struct(F.lit("vitest run").alias("test")).alias("scripts")))
+    tool = F.when(F.col("c").startswith("npx"), J.package_test(F.lit("npm test"), package))
+    return rows.select("event_id", tool.alias("tool"), J.judge("c", ["ci.sh"], ["Bash(rm *)"]).alias("verdict"), J.shape("c")["folder"].alias("folder"))
+
+
 @query("""
 SELECT o_orderkey, 'src/f' || (o_custkey % 9) || '.c' AS file, o_orderkey || '.log' AS base, strptime(strftime(o_orderdate, '%Y%m%d-%H%M%S'), '%Y%m%d-%H%M%S') AS run_time,
        (o_orderkey % 24) * 3600 + (o_custkey % 60) * 60 + 1.5::DOUBLE AS seconds, 'cargo' AS inner_cmd, o_orderpriority LIKE '1-%' AS urgent

@@ -26,6 +26,38 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), F.when(F.is_valid_utf8(raw), raw).otherwise(F.make_valid_utf8(raw)).alias("text"), F.when(~F.is_valid_utf8(raw), F.col("content")).alias("raw"))
 
 
+def literal_run(spark: SparkSession, stdout: str, stderr: str = "", run_id: str = "ingest") -> DataFrame:
+    """(run_id, stdout, stderr) of given texts, as if a command had printed them."""
+    return spark.createDataFrame([(run_id, stdout, stderr)], "run_id string, stdout string, stderr string")
+
+
+#: Words in a script that say it wraps a noisy tool; fixed.
+NOISY_MARKERS = ("xcodebuild", "swift test", "swift build", "pytest", "cargo test", "cargo build")
+
+
+def wrapper_scripts(spark: SparkSession, root: str) -> DataFrame:
+    """(script): shell scripts right below ``root`` that call a noisy tool."""
+    files = spark.read.option("pathGlobFilter", "*.sh").option("recursiveFileLookup", "false").text(root, wholetext=True)
+    marked = F.exists(F.array(*map(F.lit, NOISY_MARKERS)), lambda m: F.contains("value", m))
+    return files.where(marked).select(F.concat(F.lit("./"), F.col("_metadata.file_name")).alias("script"))
+
+
+def permission_rules(settings: DataFrame) -> DataFrame:
+    """(rule, unreadable): the shell rules that ask or deny, each once, in the order of
+    the settings files (n, text); ``unreadable`` if any file is not of their form."""
+    rules = F.from_json("text", "permissions struct<ask:array<string>,deny:array<string>>, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json("text"), path, "variant"))
+    fits = lambda path, form: F.coalesce(kind(path).startswith(form), F.lit(True))
+    fine = F.try_parse_json("text").isNotNull() & kind("$").startswith("OBJECT") & fits("$.permissions", "OBJECT") & fits("$.permissions.ask", "ARRAY") & fits("$.permissions.deny", "ARRAY")
+    rows = settings.withColumn("r", rules).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    listed = F.concat(F.coalesce("r.permissions.ask", F.array().cast("array<string>")), F.coalesce("r.permissions.deny", F.array().cast("array<string>")))
+    one = rows.select("n", F.posexplode(listed).alias("k", "rule"), "fine").where("fine").withColumn("rule", F.trim("rule"))
+    one = one.where((F.col("rule") == "Bash") | F.col("rule").startswith("Bash(") | F.col("rule").startswith("Bash "))
+    first = one.groupBy("rule").agg(F.min(F.struct("n", "k")).alias("at"))
+    bad = rows.agg(F.coalesce(F.max(~F.col("fine")), F.lit(False)).alias("unreadable")).withColumn("_k", F.lit(0))
+    return bad.join(first.withColumn("_k", F.lit(0)), "_k", "left").orderBy("at").select("rule", "unreadable")
+
+
 def _objects(line: str) -> tuple[list[str], bool]:
     """The JSON objects glued together on one line; whether the line is broken."""
     decoder, found, at = json.JSONDecoder(), [], 0

@@ -106,3 +106,49 @@ def test_since():
     for bad in ("7", "d", "0d", "-1h", "5y"):
         with pytest.raises(ValueError):
             since_interval(bad)
+
+
+def test_literal_scripts_rules(spark, tmp_path):
+    one = logs.literal_run(spark, "out", "err").first()
+    assert (one.stdout, one.stderr) == ("out", "err")
+    (tmp_path / "build.sh").write_text("xcodebuild test\n")
+    (tmp_path / "other.sh").write_text("echo\n")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.sh").write_text("pytest")
+    assert [r.script for r in logs.wrapper_scripts(spark, str(tmp_path)).collect()] == ["./build.sh"]
+    files = ['{"permissions": {"deny": ["Bash(rm *)", "Read(x)"], "ask": [" Bash(git push:*) "]}}', '{"permissions": {"ask": ["Bash(rm *)", "Bash"]}}', "{}"]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = logs.permission_rules(frame(files)).collect()
+    assert [r.rule for r in got] == ["Bash(git push:*)", "Bash(rm *)", "Bash"] and not any(r.unreadable for r in got)
+    for bad in ("{oops", '{"permissions": []}', '{"permissions": {"ask": "x"}}', "[]"):
+        got = logs.permission_rules(frame([*files, bad])).collect()
+        assert len(got) == 3 and all(r.unreadable for r in got)
+
+
+JUDGED = {
+    "pytest -q": "wrap", "CI=1 cargo test --workspace": "wrap", "cd app && npx jest": "wrap", "cargo build && pytest tests": "wrap", "pytest -q 2>&1 | tail -5": "wrap", "uv run --frozen pytest": "wrap",
+    "python -m pytest x": "wrap", "npm run test": "wrap", "gradle test": "wrap", "./ci.sh fast": "suggest", "bash ci.sh && pytest": "suggest", "mypy /w/src": "wrap", "xcrun xcodebuild -scheme A test": "wrap",
+    "PATH=/x pytest": None, "'CI=1' pytest": None, "cd ../x && pytest": None, "cd /x && pytest": None, "pytest ../x": None, "pytest /etc": None, "ruff check --fix": None, "npx eslint --fix-dry-run": None,
+    "vitest -u": None, "jest --update-snapshot": None, "jest -ub": None, "export A=1 && pytest": None, "npm run deploy": None, "python -m pip install x": None, "pytest | grep x": None, "uv pip install x": None,
+    "tsc -Init": None, "cargo run": None, "pytest; ls": None, "pytest $X": None, "make deploy": None, "uv run --with x pytest": None, "python -m pytest --snapshot-update": None,
+}
+
+
+def test_judge(spark):
+    from runlens.operators import judge as J
+
+    rows = spark.createDataFrame([(c,) for c in JUDGED], "c string").select("c", J.judge("c", ["./ci.sh"], ["Bash(make deploy)"], "/w").alias("v"))
+    got = {r.c: r.v for r in rows.collect()}
+    assert got == JUDGED
+    cases = [("npm test", "jest --ci", "jest"), ("yarn test -- -t x", "CI=1 vitest run", "vitest"), ("npm test", "vitest", None), ("pnpm run test", "jest && ls", None), ("npm test -- --json", "jest", None), ("npm build", "jest", None)]
+    rows = spark.createDataFrame([(i, c, json.dumps({"scripts": {"test": s}})) for i, (c, s, _) in enumerate(cases)], "i int, c string, p string").select("i", J.package_test("c", "p").alias("v"))
+    assert [r.v for r in rows.orderBy("i").collect()] == [v for _, _, v in cases]
+    hooked = spark.createDataFrame([("npm test", '{"scripts": {"test": "jest", "pretest": "x"}}')], "c string, p string").select(J.package_test("c", "p").alias("v"))
+    assert hooked.first().v is None
+
+
+def test_relativize_json(spark):
+    from runlens.functions.text import relativize_json
+
+    one = spark.range(1).select(relativize_json(F.lit('{"a": ["/w/x.py:3", "file:///w/y"], "b": "in /a/w/z"}'), "/w").alias("j")).first()
+    assert json.loads(one.j) == {"a": ["x.py:3", "y"], "b": "in /a/w/z"}
