@@ -264,9 +264,7 @@ def compress(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: s
 
 def bounded(docs: DataFrame, limit: int = 4 << 20) -> DataFrame:
     """(doc_id, text): documents above ``limit`` bytes cut by ``large_window``."""
-    large = F.octet_length("text") > limit
-    cut = join_lines(large_window(to_lines(docs.where(large)), limit))
-    return docs.where(F.col("text").isNull() | ~large).select("doc_id", "text").unionByName(cut)
+    return docs.select("doc_id", large_window("text", limit).alias("text"))
 
 
 def reduce_logs(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -86,37 +86,35 @@ def parse_line_cut(args: str | Column) -> Column:
     return F.when(got != "", got.cast("long"))
 
 
-def large_window(lines: DataFrame, limit: int = 4 << 20, head_bytes: int = 512 << 10, tail_bytes: int = 1 << 20, errors: int = 200) -> DataFrame:
-    """Of documents above ``limit`` bytes: the head, error lines of the middle, the tail.
+def large_window(text: str | Column, limit: int = 4 << 20, head_bytes: int = 512 << 10, tail_bytes: int = 1 << 20, errors: int = 200) -> Column:
+    """Of a text above ``limit`` bytes: the head, error lines of the middle, the tail.
 
     A line before the error lines says how many lines and megabytes are left out
-    and how many errors follow, a line behind them that the part ends. Documents
-    up to the limit stay whole. Head and tail are whole lines.
+    and how many errors follow, a line behind them that the part ends. Head and
+    tail are whole lines, if lines are shorter than they. Texts up to the limit
+    stay as they are. All within the row: lines of large texts are never shuffled.
     """
-    from ..functions.text import is_error_line
-
-    size = F.octet_length(F.concat("line", "term"))
-    rows = lines.withColumn("_size", size).withColumn("_t", F.sum("_size").over(by_doc())).withColumn("_u", F.sum("_size").over(so_far()))
-    whole = F.col("_t") <= limit
-    middle = ~whole & (F.col("_u") > head_bytes) & (F.col("_t") - F.col("_u") + F.col("_size") >= tail_bytes)
-    rows = rows.withColumn("_m", middle).withColumn("_e", F.col("_m") & is_error_line("line"))
-    rows = rows.withColumns({
-        "_nth": F.sum(F.col("_m").cast("int")).over(so_far()),
-        "_lines": F.count_if("_m").over(by_doc()),
-        "_bytes": F.sum(F.when(F.col("_m"), F.col("_size"))).over(by_doc()),
-        "_rank": F.sum(F.col("_e").cast("int")).over(so_far()),
-        "_errors": F.count_if("_e").over(by_doc()),
-    })
-    more = F.greatest(F.lit(0), F.col("_errors") - errors)
-    mb = lambda c: F.format_string("%.1f", F.col(c) / 1048576.0)
-    said = F.concat(F.format_string("… %d lines (", "_lines"), mb("_bytes"), F.lit(" MB) of a "), mb("_t"), F.lit(" MB output omitted; "), F.least(F.lit(errors), F.col("_errors")).cast("string"), F.lit(" error line(s) from them follow"), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more not shown)"))).otherwise(""), F.lit(" — full text in raw_log"))
-    line = lambda k, text, term: F.struct((F.col("pos") * 3 + k).alias("pos"), text.alias("line"), term.alias("term"))
-    shown = F.array(
-        F.when(F.col("_m") & (F.col("_nth") == 1), line(0, said, F.lit("\n"))),
-        F.when(~F.col("_m"), line(1, F.col("line"), F.col("term"))).when(F.col("_e") & (F.col("_rank") <= errors), line(1, F.col("line"), F.lit("\n"))),
-        F.when(F.col("_m") & (F.col("_nth") == F.col("_lines")), line(2, F.lit("… end of omitted section"), F.lit("\n"))),
-    )
-    return rows.select("doc_id", F.inline(F.filter(shown, lambda x: x.isNotNull())))
+    from ..functions.text import col, is_error_line
+
+    text = col(text)
+    data, total = text.cast("binary"), F.octet_length(text)
+    part = lambda start, n: F.substr(data, (start + 1).cast("int"), n.cast("int")).cast("string")
+    first = part(F.lit(0), F.lit(head_bytes))
+    # what follows the last line end of the head, and what precedes the first of the tail
+    over = F.octet_length(F.substring_index(first, "\n", -1))
+    begin = F.when(over < F.octet_length(first), F.lit(head_bytes) - over).otherwise(F.lit(head_bytes))
+    last = part(total - tail_bytes, F.lit(tail_bytes))
+    under = F.octet_length(F.substring_index(last, "\n", 1))
+    end = total - tail_bytes + F.when(under < F.octet_length(last), under + 1).otherwise(0)
+    middle = part(begin, end - begin)
+    rows = F.transform(F.split(F.regexp_replace(middle, r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    found = F.filter(rows, is_error_line)
+    more = F.greatest(F.lit(0), F.size(found) - errors)
+    mb = lambda n: F.format_string("%.1f", n / 1048576.0)
+    said = F.concat(F.format_string("… %d lines (", F.size(rows)), mb(end - begin), F.lit(" MB) of a "), mb(total), F.lit(" MB output omitted; "), F.least(F.lit(errors), F.size(found)).cast("string"), F.lit(" error line(s) from them follow"), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more not shown)"))).otherwise(""), F.lit(" — full text in raw_log\n"))
+    shown = F.array_join(F.transform(F.slice(found, 1, errors), lambda x: F.concat(x, F.lit("\n"))), "")
+    whole = F.concat(part(F.lit(0), begin), said, shown, F.lit("… end of omitted section\n"), part(end, total - end))
+    return F.when((total > limit) & (end > begin), whole).otherwise(text)
 
 
 def fold_dropped(lines: DataFrame, keep: Column, marker) -> DataFrame:

@@ -313,7 +313,7 @@ SELECT doc_id, string_agg(t, '' ORDER BY pos, sub) AS text FROM o GROUP BY doc_i
 def large_window(spark, sf_dir):
     """Logs above a limit: head, error lines of the middle, tail."""
     rows = V.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("doc_id"), F.col("event_id").alias("pos"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("line"), F.lit("\n").alias("term"))
-    return lines.join_lines(lines.large_window(rows, limit=9000, head_bytes=2000, tail_bytes=3000, errors=20))
+    return lines.join_lines(rows).select("doc_id", lines.large_window("text", limit=9000, head_bytes=2000, tail_bytes=3000, errors=20).alias("text"))
 
 
 @query("""

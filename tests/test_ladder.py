@@ -240,11 +240,11 @@ def test_head_tail_and_cuts(spark):
 
 def test_large_window(spark):
     text = "".join(f"line {i}\n" for i in range(1000)).replace("line 500\n", "fatal 500\n").replace("line 501\n", "fatal 501\n")
-    rows = lines.to_lines(spark.createDataFrame([(1, text), (2, "a\nb\n")], "doc_id long, text string"))
-    got = lines.large_window(rows, limit=2000, head_bytes=200, tail_bytes=200, errors=1).orderBy("doc_id", "pos").collect()
-    out = [r.line for r in got if r.doc_id == 1]
+    rows = spark.createDataFrame([(1, text), (2, "a\nb\n"), (3, None), (4, "é" * 3000)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in rows.select("doc_id", lines.large_window("text", limit=2000, head_bytes=200, tail_bytes=200, errors=1).alias("text")).collect()}
+    out = got[1].splitlines()
     head, tail = [x for x in text.splitlines() if len("\n".join(text.splitlines()[: text.splitlines().index(x) + 1])) + 1 <= 200], [x for k, x in enumerate(text.splitlines()) if sum(len(y) + 1 for y in text.splitlines()[k:]) < 200]
     middle = 1000 - len(head) - len(tail)
     said = f"… {middle} lines (0.0 MB) of a 0.0 MB output omitted; 1 error line(s) from them follow (+1 more not shown) — full text in raw_log"
     assert out == [*head, said, "fatal 500", "… end of omitted section", *tail]
-    assert [r.line for r in got if r.doc_id == 2] == ["a", "b"]
+    assert got[2] == "a\nb\n" and got[3] is None and got[4].count("omitted") == 2
