@@ -11,7 +11,9 @@ and its pairs of blocks are searched apart, giving spanning links only.
 
 Words are runs of characters other than U+0020 and U+0009 to U+000D, A to Z in
 lower case. The share of true links with similarity s that no band generates is
-(1 - s^rows)^bands, at most 5e-7 at 0.85 with the defaults.
+(1 - s^rows)^bands, at most 5e-7 at 0.85 with the defaults. With ``exact`` no link
+is lost: sets as similar as asked share one of their least hashes, of which each
+set then sends as many as that takes instead of its bands, and no estimate decides.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a text with fewer words than a shingle has one shingle, the whole
@@ -93,8 +95,15 @@ def estimates(one: np.ndarray, many: np.ndarray, slots: int) -> np.ndarray:
     return (same - 1 / 16) / (1 - 1 / 16)  # unequal minima agree in four bits once in sixteen
 
 
-def sign(docs: DataFrame, width: int, slots: int, rows: int) -> DataFrame:
-    """One row per document: fingerprint and size of its set, bands, signature."""
+def least_hashes(s: np.ndarray, percent: int) -> list[int]:
+    """So many of the least of the sorted ``s`` that any set as similar has one of them among its own."""
+    n = len(s)
+    return s[: n - -(-percent * n // 100) + 1].view(np.int64).tolist() if n else []
+
+
+def sign(docs: DataFrame, width: int, slots: int, rows: int, exact_percent: int | None = None) -> DataFrame:
+    """One row per document: fingerprint and size of its set, bands (or, if
+    ``exact_percent`` is given, least hashes), signature."""
     mul, add = constants(slots)
     bands = slots // rows
 
@@ -108,6 +117,8 @@ def sign(docs: DataFrame, width: int, slots: int, rows: int) -> DataFrame:
                     low = minima(s, mul, add)
                     fp = xxhash.xxh3_128_digest(s.tobytes())
                     keys = [int.from_bytes(xxhash.xxh3_64_digest(low[k * rows : k * rows + rows].tobytes(), k), "little", signed=True) for k in range(bands)] if len(s) else []
+                    if exact_percent is not None:
+                        keys = least_hashes(s, exact_percent)
                     out.append((i, h, int.from_bytes(fp[:8], "little", signed=True), int.from_bytes(fp[8:], "little", signed=True), len(s), keys, pack_low_bits(low)))
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["id", "th", "fp1", "fp2", "n", "bands", "sig"])
@@ -115,7 +126,7 @@ def sign(docs: DataFrame, width: int, slots: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def groups_within(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, percent: int, slots: int) -> list[int]:
+def groups_within(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, percent: int, slots: int, slack: float = SLACK) -> list[int]:
     """The least id of the linked group of each set, by breadth-first search."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -134,7 +145,7 @@ def groups_within(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, perc
                 continue
             n = size[left]
             # a link needs sizes within the limit of each other, too
-            near = np.flatnonzero((100 * np.minimum(n, size[x]) >= percent * np.maximum(n, size[x])) & (estimates(sigs[x], sigs[left], slots) >= percent / 100 - SLACK))
+            near = np.flatnonzero((100 * np.minimum(n, size[x]) >= percent * np.maximum(n, size[x])) & (estimates(sigs[x], sigs[left], slots) >= percent / 100 - slack))
             linked = []
             mark[token[x]] = True
             for a in range(0, len(near), 4096):
@@ -158,10 +169,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _decisions(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, slots: int, rows: int, task_shingles: int) -> DataFrame:
+def _decisions(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, slots: int, rows: int, task_shingles: int, exact: bool = False) -> DataFrame:
     """(id, th, n, component, kept) of each row."""
     source = _rows(docs, id_col, text_col)
-    signed = materialise(sign(source, width, slots, rows), "signed")
+    signed = materialise(sign(source, width, slots, rows, percent if exact else None), "signed")
     full = signed.where("n > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     classes = full.groupBy("fp1", "fp2").agg(first.alias("r"), F.count(F.lit(1)).alias("many"))
@@ -174,7 +185,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     least = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     links = keys.join(least, "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     repeated = full.groupBy("id", "th").count().where("count > 1").limit(1).count() > 0
-    found = _confirm(source, own, connected_components(links), width, percent, slots, task_shingles, repeated)
+    found = _confirm(source, own, connected_components(links), width, percent, slots, task_shingles, repeated, exact)
     # rows with one id and several texts link these
     named = full.where("id is not null")
     several = named.groupBy("id").agg(F.min(F.struct("fp1", "fp2")).alias("a"), F.max(F.struct("fp1", "fp2")).alias("b")).where("a <> b").select("id")
@@ -191,12 +202,13 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     return out.unionByName(signed.where("n = 0").select("id", "th", "n", F.col("id").alias("component"), F.lit(True).alias("kept")))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, slots: int = 128, rows: int = 5, task_shingles: int = 4_000_000) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, slots: int = 128, rows: int = 5, task_shingles: int = 4_000_000, exact: bool = False) -> DataFrame:
     """One row per document: the id, n_shingles, component_id, kept.
 
-    ``percent`` is the least similarity of a link, in hundredths.
+    ``percent`` is the least similarity of a link, in hundredths. ``exact``: no
+    link may be lost, at the cost of more candidates.
     """
-    out = _decisions(docs, id_col, text_col, width, percent, slots, rows, task_shingles)
+    out = _decisions(docs, id_col, text_col, width, percent, slots, rows, task_shingles, exact)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
@@ -209,7 +221,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return docs.join(gone, same, "left_anti")
 
 
-def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, percent: int, slots: int, task_shingles: int, repeated: bool) -> DataFrame:
+def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, percent: int, slots: int, task_shingles: int, repeated: bool, exact: bool = False) -> DataFrame:
     """(node, root) of the true groups within the components of candidates.
 
     ``repeated``: some rows have one id and text; one of them is read.
@@ -245,7 +257,7 @@ def _confirm(source: DataFrame, own: DataFrame, coarse: DataFrame, width: int, p
             own_ids = [g[0] for g in group]
             packed = np.frombuffer(b"".join(g[2] for g in group), np.uint64).reshape(len(group), -1)
             node += own_ids
-            root += groups_within(own_ids, [g[1] for g in group], packed, percent, slots)
+            root += groups_within(own_ids, [g[1] for g in group], packed, percent, slots, 2.0 if exact else SLACK)
         return pa.table([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "root"])
 
     found = materialise(rows.groupBy("bin").applyInArrow(run, FOUND), "found")
