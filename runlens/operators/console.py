@@ -251,3 +251,23 @@ def pre_commit(consoles: DataFrame) -> DataFrame:
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v"))))), lambda x: x["v"])
     got = rows.groupBy("run_id").agg(F.lit("pre-commit").alias("runner"), F.count(F.lit(1)).alias("total"), n("Passed").alias("passed"), n("Failed").alias("failed"), n("Skipped").alias("skipped"), listed("f").cast(f"array<{FAILURE}>").alias("failures"), F.array_join(listed("full"), "").alias("passthrough"))
     return got.select("run_id", "runner", "total", "passed", "failed", "skipped", F.lit(0.0).alias("duration_s"), "failures", "passthrough")
+
+
+def locate_sources(reports: DataFrame, sources: DataFrame) -> DataFrame:
+    """Failures placed in a bare file get the path of that source file.
+
+    ``sources`` (run_id, path): files of the run's module below its src folder, as
+    src/<set>/<language>/<package>/<file>. The package is that of the test's class;
+    places without such a file stay as they are.
+    """
+    flat = reports.select("run_id", F.posexplode("failures").alias("idx", "f"))
+    file, owner = T.file_of("f.loc"), F.regexp_extract("f.id", r"^(.*)\.[^.]+$", 1)
+    package = F.replace(F.regexp_extract(owner, r"^(.*)\.[^.]+$", 1), F.lit("."), F.lit("/"))
+    wanted = flat.where((F.col("f.loc") != "") & ~F.col("f.loc").contains("/")).withColumn("tail", F.concat_ws("/", F.when(package != "", package), file))
+    tail = F.regexp_extract("path", r"(?:^|/)src/[^/]+/(?:java|kotlin|groovy|scala)/(.+)$", 1)
+    known = sources.withColumn("tail", tail).where("tail <> ''").groupBy("run_id", "tail").agg(F.min("path").alias("path"))
+    found = wanted.join(known, ["run_id", "tail"]).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "path"))).alias("_at"))
+    rows = reports.join(found, "run_id", "left")
+    moved = lambda f, i: F.concat(F.try_element_at("_at", i), F.substr(f["loc"], F.length(T.file_of(f["loc"])) + 1, F.length(f["loc"])))
+    placed = F.transform("failures", lambda f, i: failure(f["id"], F.coalesce(moved(f, i), f["loc"]), f["msg"], f["trace"]))
+    return rows.withColumn("failures", F.when(F.col("_at").isNull(), F.col("failures")).otherwise(placed.cast(f"array<{FAILURE}>"))).select(*reports.columns)

@@ -56,6 +56,17 @@ def render_list(metas: DataFrame, part: str | None = None, most: int = LISTED) -
     return encoded(listed.select(F.lit(0).alias("run_id"), doc.alias("json"))).select("text")
 
 
+def render_run(runs: DataFrame, stream: str | None = None) -> DataFrame:
+    """(id, text) of archived runs with their streams: one stream as it is, or
+    what the run was and both."""
+    if stream is not None:
+        return runs.select("id", F.coalesce(stream, F.lit("")).alias("text"))
+    doc = F.to_json(F.struct("id", "ts", F.array_join("argv", " ").alias("cmd"), "mode", "exit"))
+    head = encoded(runs.select(F.col("id").alias("run_id"), doc.alias("json"))).select(F.col("run_id").alias("id"), F.col("text").alias("_head"))
+    parts = [F.concat(F.lit(f"\n--- {s} ---\n"), F.coalesce(s, F.lit(""))) for s in ("stdout", "stderr")]
+    return runs.join(head, "id").select("id", F.concat("_head", *parts).alias("text"))
+
+
 def with_reports(metas: DataFrame, reports: DataFrame) -> DataFrame:
     """Runs with ``report``, their stored report, or null."""
     stored = reports.select(F.col("run_id").alias("id"), F.struct(*[c for c in reports.columns if c != "run_id"]).alias("report"))

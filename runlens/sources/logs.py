@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_container
+from ..functions.text import col, is_container
 
 LEDGER = "ts string, cmd string, adapter string, tokens_in long, tokens_out long, saved long, exit int, run_id string, inner_cmd string"
 META = "id string, ts string, argv array<string>, mode string, exit int, cwd string, stdout_bytes long, stderr_bytes long"
@@ -218,17 +218,48 @@ def _write_files(rows: DataFrame, root: str) -> None:
     fs.delete(jvm.Path(stage), True)
 
 
-def report_files(spark: SparkSession, root: str, pattern: str = "*.xml", since: Column | None = None, slack: int = 2) -> DataFrame:
+def report_files(spark: SparkSession, root: str, pattern: str = "*.xml", since: Column | None = None, slack: int = 2, depth: int | None = None) -> DataFrame:
     """(path, text, modificationTime, length) of report files below ``root``.
 
     ``since``: only files written from then on, less ``slack`` seconds.
+    ``depth``: at most so many folders below ``root``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     if since is not None:
         files = files.where(F.col("modificationTime") >= since - F.expr(f"interval {slack} seconds"))
+    if depth is not None:
+        files = files.where(F.size(F.split(below("path", root), "/")) <= depth + 1)
     return files.select("path", F.col("content").cast("string").alias("text"), "modificationTime", "length").orderBy("path")
 
 
+def below(path: str | Column, root: str) -> Column:
+    """What of ``path`` follows the folder ``root``."""
+    folder = re.sub("^[a-z]+:/*", "/", root).rstrip("/")
+    return F.regexp_replace(col(path), "^(?:[a-z]+:)?/*\\Q" + folder + "\\E/", "")
+
+
+#: Where JVM build tools leave reports: a folder, and folders in it; how deep modules and reports may lie.
+JVM_REPORTS = {"gradle": ("build", ("test-results",)), "maven": ("target", ("surefire-reports", "failsafe-reports"))}
+MODULE_DEPTH, REPORT_DEPTH = 6, 4
+
+
+def jvm_reports(spark: SparkSession, root: str, tool: str, since: Column | None = None) -> DataFrame:
+    """Report files (path, module, text, ...) of all modules of a gradle or maven project.
+
+    A module is a folder with a build folder; hidden folders, dependencies and
+    sources hold none, and what a build wrote holds no module.
+    """
+    anchor, subs = JVM_REPORTS[tool]
+    files = report_files(spark, root, "TEST-*.xml", since).withColumn("at", below("path", root))
+    form = rf"^((?:[^/]+/)*?){anchor}/(?:{'|'.join(subs)})/((?:[^/]+/)*)[^/]+$"
+    module = F.regexp_extract("at", form, 1)
+    folders = F.filter(F.split(module, "/"), lambda x: x != "")
+    bad = F.exists(folders, lambda x: x.startswith(".") | x.isin("node_modules", "src", anchor))
+    deep = F.size(F.filter(F.split(F.regexp_extract("at", form, 2), "/"), lambda x: x != ""))
+    kept = files.where(F.col("at").rlike(form) & ~bad & (F.size(folders) < MODULE_DEPTH) & (deep <= REPORT_DEPTH))
+    return kept.withColumn("module", module).drop("at")
+
+
 def written_since(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files of ``after`` that ``before`` did not have with that time and length."""
     return after.join(before, ["path", "modificationTime", "length"], "left_anti")

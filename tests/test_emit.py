@@ -108,6 +108,8 @@ def test_archive_round_trip(spark, tmp_path):
     assert {(r.doc_id[7], r.stream, r.text) for r in logs.run_lines(spark, root).where("text <> ''").collect()} == {("0", "stdout", "one\n"), ("1", "stdout", "two\nlines"), ("1", "stderr", "é\n")}
     one = logs.load_run(spark, root, "20240101-000000-aaaa").first()
     assert (one.exit, one.stdout, one.stderr) == (1, "two\nlines", "é\n")
+    shown = H.render_run(logs.load_run(spark, root, "20240101-000000-aaaa")).first().text
+    assert shown == "id: 20240101-000000-aaaa\nts: t\ncmd: make 1\nmode: safe\nexit: 1\n--- stdout ---\ntwo\nlines\n--- stderr ---\né\n"
     assert [(r.run_id, r.failed) for r in logs.reports(spark, root).collect()] == [("20240101-000000-aaaa", 1)]
     try:
         logs.load_run(spark, root, "../x")

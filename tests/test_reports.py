@@ -184,3 +184,9 @@ def test_build_fallback(spark):
     cases = {"warning: x": True, "error[E1]: y": True, "error: test failed, to rerun pass": False, "error: 2 targets failed:": False, "my-error: z": False}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", C.has_real_diagnostic("t").alias("d"))
     assert {r.t: r.d for r in rows.collect()} == cases
+
+
+def test_locate_sources(spark):
+    r = reports_of(spark, [("demo.AppTest.fails", "AppTest.java:21", "m", ["t"]), ("demo.AppTest.other", "Other.java:3", "", []), ("x.T.y", "dir/T.kt:1", "", [])])
+    sources = spark.createDataFrame([(0, "app/src/test/java/demo/AppTest.java"), (0, "app/src/test/java/else/Other.java"), (1, "app/src/test/java/demo/Other.java")], "run_id long, path string")
+    assert [(f.loc, f.trace) for f in C.locate_sources(r, sources).first().failures] == [("app/src/test/java/demo/AppTest.java:21", ["t"]), ("Other.java:3", []), ("dir/T.kt:1", [])]

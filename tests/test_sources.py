@@ -152,3 +152,12 @@ def test_relativize_json(spark):
 
     one = spark.range(1).select(relativize_json(F.lit('{"a": ["/w/x.py:3", "file:///w/y"], "b": "in /a/w/z"}'), "/w").alias("j")).first()
     assert json.loads(one.j) == {"a": ["x.py:3", "y"], "b": "in /a/w/z"}
+
+
+def test_jvm_reports(spark, tmp_path):
+    for f in ("build/test-results/test/TEST-a.xml", "app/build/test-results/x/y/TEST-b.xml", "app/build/test-results/other.xml", ".x/build/test-results/TEST-c.xml", "src/build/test-results/TEST-d.xml", "app/target/surefire-reports/TEST-e.xml", "build/build/test-results/TEST-f.xml", "a/b/c/d/e/f/g/build/test-results/TEST-h.xml"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("<testsuite/>")
+    names = lambda tool: {(r.path[-5:-4], r.module) for r in logs.jvm_reports(spark, str(tmp_path), tool).collect()}
+    assert names("gradle") == {("a", ""), ("b", "app/")} and names("maven") == {("e", "app/")}
+    assert {r.path[-5:-4] for r in logs.report_files(spark, str(tmp_path), "TEST-*.xml", depth=3).collect()} == {"a", "c", "d", "e", "f"}
