@@ -164,44 +164,49 @@ def unpack48(data: bytes) -> np.ndarray:
     return low | (np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-KEYS = "bucket int, pid int, one binary, many binary"
+KEYS = "bucket int, pid int, one binary, many binary, often binary, runs binary"
+#: Runs of a key in one block beyond which their number is sent along.
+OFTEN = 32
 
 
 def send_keys(pid: int, key: np.ndarray, doc_id: np.ndarray, buckets: int) -> pa.Table:
-    """The distinct keys of a block: those of one document, those of several."""
+    """The distinct keys of a block: those of one document, those of several; and
+    the number of runs of keys that have many."""
     key = key & LOW48
     order = np.lexsort((doc_id, key))
     key, doc_id = key[order], doc_id[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(key)) - 1
-    several = doc_id[first] != doc_id[last] if len(key) else np.zeros(0, bool)
-    key = key[first]
+    end = np.append(first[1:], len(key))
+    several = doc_id[first] != doc_id[end - 1] if len(key) else np.zeros(0, bool)
+    key, runs = key[first], end - first if len(key) else first
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    key, several, bucket = key[order], several[order], bucket[order]
+    key, several, bucket, runs = key[order], several[order], bucket[order], runs[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else []
-    rows = {"bucket": [], "pid": [], "one": [], "many": []}
+    rows = []
     for a, b in zip(cut, np.append(cut[1:], len(key)) if len(key) else []):
-        k, s = key[a:b], several[a:b]
-        rows["bucket"].append(int(bucket[a]))
-        rows["pid"].append(pid)
-        rows["one"].append(pack48(k[~s]))
-        rows["many"].append(pack48(k[s]))
-    return pa.table([pa.array(rows["bucket"], pa.int32()), pa.array(rows["pid"], pa.int32()), pa.array(rows["one"], pa.binary()), pa.array(rows["many"], pa.binary())], names=list(rows))
+        k, s, n = key[a:b], several[a:b], runs[a:b]
+        often = n > OFTEN
+        rows.append((int(bucket[a]), pid, pack48(k[~s]), pack48(k[s]), pack48(k[often]), n[often].astype("<u4").tobytes()))
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = [pa.int32()] * 2 + [pa.binary()] * 4
+    return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in KEYS.split(", ")])
 
 
 SHARED = "pid int, keys binary, hot binary"
 
 
-def answer_keys(table: pa.Table, hot_blocks: int) -> pa.Table:
+def answer_keys(table: pa.Table, hot_runs: int) -> pa.Table:
     """To each block those of its keys that several documents hold, and which
-    of them more than ``hot_blocks`` blocks hold."""
+    of them have more than ``hot_runs`` runs, one for each block at least."""
     pids = table.column("pid").to_pylist()
-    one = [unpack48(x) for x in table.column("one").to_pylist()]
-    many = [unpack48(x) for x in table.column("many").to_pylist()]
+    one, many, often = ([unpack48(x) for x in table.column(c).to_pylist()] for c in ("one", "many", "often"))
     every, n = np.unique(np.concatenate(one + many), return_counts=True)
     shared = np.union1d(every[n > 1], np.concatenate(many))
-    hot = every[n > hot_blocks]
+    runs = n.astype(np.int64)
+    more = np.frombuffer(b"".join(table.column("runs").to_pylist()), "<u4").astype(np.int64)
+    np.add.at(runs, np.searchsorted(every, np.concatenate(often)), more)
+    hot = every[runs > hot_runs]
     rows = []
     for p, o, m in zip(pids, one, many):
         k = np.concatenate((o[np.isin(o, shared, assume_unique=True)], m))

@@ -213,15 +213,14 @@ def finish(block: B.Block, gone: np.ndarray, with_text: bool) -> list[tuple]:
     return rows
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, block_bytes: int = B.BLOCK, with_text: bool = False, hot_blocks: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, block_bytes: int = B.BLOCK, with_text: bool = False, hot_runs: int = 1 << 16) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     ``text`` (the bytes that stay, decoded; characters cut through are left
-    out) is filled only if asked for. ``hot_blocks``: strings around a key that
-    more blocks hold are routed one by one.
+    out) is filled only if asked for. ``hot_runs``: strings around a key with
+    more runs are routed one by one.
     """
     dealt, n, repeated = B.deal(docs, id_col, text_col, block_bytes)
-    hot_blocks = max(64, n // 1024) if hot_blocks is None else hot_blocks
 
     def load(table: pa.Table):
         block = B.Block(table)
@@ -244,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rows_of(RESULT, finish(block, covered(block, runs, answers, window, n), with_text))
 
     grouped = dealt.groupBy("pid")
-    shared = B.by_pid(grouped.applyInArrow(ask, B.KEYS), n, "bucket").applyInArrow(lambda t: B.answer_keys(t, hot_blocks), B.SHARED)
+    shared = B.by_pid(grouped.applyInArrow(ask, B.KEYS), n, "bucket").applyInArrow(lambda t: B.answer_keys(t, hot_runs), B.SHARED)
     passages = grouped.cogroup(B.by_pid(shared, n)).applyInArrow(send, PASSAGES)
     answers = B.by_pid(passages, n, "bucket").applyInArrow(lambda t: answer_passages(t, window), ANSWERS)
     out = grouped.cogroup(B.by_pid(answers, n)).applyInArrow(apply, RESULT)

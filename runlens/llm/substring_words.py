@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     grouped = dealt.groupBy("pid")
     # windows are routed by their own hashes: a common key burdens no bucket
-    shared = B.by_pid(grouped.applyInArrow(ask, B.KEYS), n, "bucket").applyInArrow(lambda t: B.answer_keys(t, n), B.SHARED)
+    shared = B.by_pid(grouped.applyInArrow(ask, B.KEYS), n, "bucket").applyInArrow(lambda t: B.answer_keys(t, 1 << 62), B.SHARED)
     windows = grouped.cogroup(B.by_pid(shared, n)).applyInArrow(send, WINDOWS)
     answers = B.by_pid(windows, n, "bucket").applyInArrow(answer_windows, ANSWERS)
     out = grouped.cogroup(B.by_pid(answers, n)).applyInArrow(apply, RESULT)

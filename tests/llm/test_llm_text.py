@@ -153,7 +153,7 @@ def test_near_without_ids(spark, docs):
     assert kept.count() == 1997 + 2 + 2001 and kept.columns == ["doc_id", "text", "th", "id"]
 
 
-@pytest.mark.parametrize("hot", [None, 0])
+@pytest.mark.parametrize("hot", [1 << 16, 40, 0])
 def test_repeated_rows(spark, docs, hot):
     """One row makes up most of the table, another all without an id; keys that many blocks hold."""
     rng = random.Random(6)
@@ -161,9 +161,9 @@ def test_repeated_rows(spark, docs, hot):
     common, shared = "the same long phrase in every text", make(60)
     base = [(i, f"{make(30)} {common} {make(30)} {shared if i % 4 == 0 else make(9)}") for i in range(80)]
     rows = base + [base[8]] * 2000 + [(None, shared)] * 2000 + [(None, None)] * 50
-    once = substring_bytes.remove_repeats(docs(base + [base[8], (None, shared), (None, None)]), block_bytes=2000, hot_blocks=10**9)
+    once = substring_bytes.remove_repeats(docs(base + [base[8], (None, shared), (None, None)]), block_bytes=2000, hot_runs=10**9)
     single = {tuple(r) for r in once.collect()}
-    got = result(substring_bytes.remove_repeats(docs(rows), block_bytes=2000, hot_blocks=hot))
+    got = result(substring_bytes.remove_repeats(docs(rows), block_bytes=2000, hot_runs=hot))
     assert len(got) == len(rows) and set(got) == single
     words = substring_words.remove_repeats(docs(rows), block_bytes=2000).collect()
     assert len(words) == len(rows) and sum(r.doc_id is None and r.n_removed == 60 for r in words) == 2000
@@ -182,6 +182,21 @@ def test_near(spark, docs, size):
     rows += [(400, "one two"), (401, "ONE  two"), (402, "one two three four five"), (403, "two one")]
     got = near_dedup.near_groups(clashing(docs(rows)), task_shingles=size).select("doc_id", "n_shingles", "component_id", "kept")
     assert result(got) == brute_groups(rows, 85)
+    if size > 400:
+        for percent in (60, 85):
+            sure = near_dedup.near_groups(clashing(docs(rows)), percent=percent, task_shingles=size, exact=True).select("doc_id", "n_shingles", "component_id", "kept")
+            assert result(sure) == brute_groups(rows, percent)
+
+
+def test_least_hashes():
+    """Any two sets as similar as asked share one of their least hashes."""
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        percent, n = int(rng.integers(50, 100)), int(rng.integers(1, 40))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        a, b = (np.sort(rng.permutation(pool)[: int(rng.integers(1, len(pool) + 1))]) for _ in range(2))
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            assert set(near_dedup.least_hashes(a, percent)) & set(near_dedup.least_hashes(b, percent))
 
 
 def test_estimates():
