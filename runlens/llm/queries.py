@@ -170,7 +170,37 @@ def _mix_sql() -> str:
     WHERE taken > 0"""
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(generate_series(1, len(words))) AS pos, unnest(words) AS word FROM d),
+s AS (SELECT doc_id, unnest(generate_series(1, len(words) - 49)) AS pos, words FROM d WHERE len(words) >= 50),
+k AS (SELECT doc_id, pos, md5(array_to_string(words[pos : pos + 49], ' ')) AS key FROM s),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+r AS (SELECT k.doc_id, k.pos FROM k JOIN f USING (key) WHERE f.first < k.doc_id),
+m AS (SELECT w.doc_id, w.pos, w.word, coalesce(max(CASE WHEN r.pos IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.pos = w.pos),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept,
+             count(*) FILTER (gone AND NOT before) AS n_spans
+      FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both_ >= 85 * (nx.n + ny.n - both_)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT c.doc_id, e.y FROM c JOIN e ON e.x = c.r),
+m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 ORACLE_SQL = {
+    "op3_substring_dedup": OP3_SQL,
+    "op6_minhash_near_dedup": OP6_SQL,
     "op5_mixing": _mix_sql(),
     "op1_warc_revisits": OP1_SQL,
     "op4_exact_dedup": OP4_SQL,
