@@ -160,4 +160,4 @@ def test_jvm_reports(spark, tmp_path):
         (tmp_path / f).write_text("<testsuite/>")
     names = lambda tool: {(r.path[-5:-4], r.module) for r in logs.jvm_reports(spark, str(tmp_path), tool).collect()}
     assert names("gradle") == {("a", ""), ("b", "app/")} and names("maven") == {("e", "app/")}
-    assert {r.path[-5:-4] for r in logs.report_files(spark, str(tmp_path), "TEST-*.xml", depth=3).collect()} == {"a", "c", "d", "e", "f"}
+    assert {r.path[-5:-4] for r in logs.report_files(spark, str(tmp_path), "TEST-*.xml", depth=3).collect()} == {"a", "d", "e", "f"}  # hidden folders are not read
