@@ -10,8 +10,9 @@ allowed by the capacities above. Shares are whole tokens by largest remainder.
 
 Each leaf takes a prefix of its tokens from seeded epochs: whole epochs first,
 then the prefix of one more in the order of md5(seed:epoch:id). Sums per leading
-hash digits find the digits at which the prefix ends, and rows are put in order
-only within these, so no leaf, however large, is sorted in one task.
+byte of the hash find the byte at which the prefix ends, sums per next byte the next
+one, and rows are put in order only within these bytes, so no leaf, however large,
+is sorted in one task.
 
 Defined results: null level values are the empty name; null and empty texts have
 no tokens and are never taken; a null id counts as the name 'null'; rows with one
@@ -79,17 +80,17 @@ def budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: in
     return given
 
 
-def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int = 1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1, digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int = 1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1, steps: int = 3) -> DataFrame:
     """What is taken: id, levels, epoch, doc_tokens, taken.
 
     ``weights``: rows (level, value, weight); the budget is ``budget_share`` of
-    all tokens. A row per document and epoch it is taken in. ``digits``: sums are
-    kept for 16 ** digits prefixes of the hash per leaf.
+    all tokens. A row per document and epoch it is taken in. ``steps``: so many
+    bytes of the hash are told apart before rows are put in order.
     """
-    return _taken(docs, levels, weights, budget_share, max_epochs, seed, id_col, text_col, default_weight, digits).drop("_th")
+    return _taken(docs, levels, weights, budget_share, max_epochs, seed, id_col, text_col, default_weight, steps).drop("_th")
 
 
-def _taken(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int, seed: int, id_col: str, text_col: str, default_weight: int, digits: int) -> DataFrame:
+def _taken(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, max_epochs: int, seed: int, id_col: str, text_col: str, default_weight: int, steps: int) -> DataFrame:
     """:func:`mix`, with the hash of the text as ``_th``."""
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
     light = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_th"), *names, tokens_of(text_col).alias("_tokens"))
@@ -102,13 +103,18 @@ def _taken(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share:
     plan = materialise(plan, "mix-plan")
     rows = light.join(broadcast_if_small(plan), levels)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = rows.withColumn("_key", key).withColumn("_digits", F.substring("_key", 1, digits))
-    sums = rows.groupBy(*levels, "_digits").agg(F.sum("_tokens").alias("_n"), F.first("_part").alias("_part"))
-    after = F.sum("_n").over(W.partitionBy(*levels).orderBy("_digits"))
-    ends = sums.withColumn("_before", after - F.col("_n")).where("_before <= _part and _part < _before + _n")
-    ends = ends.select(*levels, F.col("_digits").alias("_cut"), "_before")
-    ends = materialise(ends, "mix-ends")
-    rows = rows.join(broadcast_if_small(ends), levels, "left")
+    rows = rows.withColumn("_key", key)
+    prefix = lambda step: F.substring("_key", 1, 2 * step)
+    ends, inside = plan.select(*levels, F.lit(0).cast("long").alias("_before")), rows
+    for step in range(1, steps + 1):
+        sums = inside.groupBy(*levels, prefix(step).alias("_cut")).agg(F.sum("_tokens").alias("_n"), F.first("_part").alias("_part")).join(broadcast_if_small(ends.select(*levels, "_before")), levels)
+        upto = F.sum("_n").over(W.partitionBy(*levels).orderBy("_cut"))  # 256 rows of a leaf at most
+        sums = sums.withColumn("_before", F.col("_before") + upto - F.col("_n")).where("_before <= _part and _part < _before + _n")
+        ends = materialise(sums.select(*levels, "_cut", "_before"), "mix-ends")
+        if step < steps:
+            found = inside.join(broadcast_if_small(ends.select(*levels, "_cut")), levels).where(prefix(step) == F.col("_cut"))
+            inside = materialise(found.select(*rows.columns), "mix-inside")
+    rows = rows.join(broadcast_if_small(ends), levels, "left").withColumn("_digits", prefix(steps))
     last = F.when(F.col("_digits") < F.col("_cut"), F.col("_tokens")).otherwise(0)
     columns = ["_id", "_th", *levels, "_tokens", "_whole"]
     out = rows.where("_cut is null or _digits <> _cut").select(*columns, last.alias("_last"))
@@ -132,7 +138,7 @@ def _at_the_end(rows: DataFrame, levels: list[str], columns: list[str]) -> DataF
     return expand(listed)
 
 
-def keep_mixed(docs: DataFrame, rows: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1, digits: int = 3) -> DataFrame:
+def keep_mixed(docs: DataFrame, rows: DataFrame, levels: list[str], weights: DataFrame, budget_share: float, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", default_weight: int = 1, steps: int = 3) -> DataFrame:
     """The rows of ``docs`` that one epoch takes, all columns as they are, but
     texts that a leaf's prefix ends in are cut there, to whole characters.
 
@@ -140,7 +146,7 @@ def keep_mixed(docs: DataFrame, rows: DataFrame, levels: list[str], weights: Dat
     the largest part that any of them got.
     """
     own_id, own_hash, taken, size = (fresh_name(docs, c) for c in ("id", "th", "taken", "size"))
-    got = _taken(rows, levels, weights, budget_share, 1, seed, id_col, text_col, default_weight, digits)
+    got = _taken(rows, levels, weights, budget_share, 1, seed, id_col, text_col, default_weight, steps)
     got = got.groupBy(F.col(id_col).alias(own_id), F.col("_th").alias(own_hash)).agg(F.max("taken").alias(taken), F.max("doc_tokens").alias(size))
     same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(own_hash))
     out = docs.join(got, same)

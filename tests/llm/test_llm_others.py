@@ -114,9 +114,9 @@ def test_mixing_without_ids(spark):
     weights = spark.createDataFrame([("top", "a", 1)], "level string, value string, weight long")
     tokens = lambda t: -(-len(t.encode()) // 4)
     total = sum(tokens(t) for _, t, _ in rows)
-    for digits in (1, 3):
+    for steps in (1, 3):
         for share, epochs in ((0.37, 1), (0.9, 1), (1.3, 2)):
-            got = mixing.mix(docs, ["top"], weights, share, max_epochs=epochs, seed=5, digits=digits).collect()
+            got = mixing.mix(docs, ["top"], weights, share, max_epochs=epochs, seed=5, steps=steps).collect()
             assert sum(r.taken for r in got) == int(total * share)
             assert sum(r.taken < r.doc_tokens for r in got) <= 2
     unique = docs.dropDuplicates(["doc_id", "text"])
@@ -338,7 +338,7 @@ def test_empty_tables(spark, docs):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op1_warc_revisits", "op4_exact_dedup", "op5_mixing"])
+@pytest.mark.parametrize("name", ["op1_warc_revisits", "op3_substring_dedup", "op4_exact_dedup", "op5_mixing", "op6_minhash_near_dedup"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
