@@ -130,17 +130,15 @@ def golangci(runs: DataFrame) -> DataFrame:
 def cargo(runs: DataFrame) -> DataFrame:
     """Compiler messages; the first of equal (loc, rule, text) stays."""
     lines = to_lines(runs, "text", "run_id").withColumnRenamed("doc_id", "run_id").where(F.trim("line").startswith("{"))
-    # the reason first: most lines are of other kinds and need no more parsing
-    lines = lines.where(F.get_json_object(F.trim("line"), "$.reason") == "compiler-message")
-    d = lines.select("run_id", "pos", F.from_json(F.trim("line"), CARGO).alias("d")).where("d.message.level in ('error', 'warning')")
+    # most lines are of other kinds and need no parsing
+    lines = lines.where(F.col("line").contains("compiler-message"))
+    d = lines.select("run_id", "pos", F.from_json(F.trim("line"), CARGO).alias("d")).where("d.reason = 'compiler-message' and d.message.level in ('error', 'warning')")
     d = d.select("run_id", "pos", F.col("d.message").alias("m")).withColumn("text", first_line(F.col("m.message")))
     d = d.where(~F.col("text").startswith("aborting due to") & ~F.col("text").rlike(r"^\d+ warnings? emitted"))
     span = F.coalesce(F.try_element_at(F.filter("m.spans", lambda s: s["is_primary"]), F.lit(1)), F.try_element_at("m.spans", F.lit(1)))
     d = d.withColumn("span", span).withColumn("loc", F.when(span.isNull(), "").otherwise(place(span["file_name"], span["line_start"], span["column_start"])))
     d = d.withColumn("rule", F.coalesce("m.code.code", F.lit("")))
-    # of equal ones the first: sorted once within the run, nothing wide is aggregated
-    again = F.row_number().over(W.partitionBy("run_id", "loc", "rule", "text").orderBy("pos"))
-    first = d.withColumn("_n", again).where("_n = 1").select("run_id", "loc", "rule", "text", F.struct("pos", "m", "span").alias("d"))
+    first = d.groupBy("run_id", "loc", "rule", "text").agg(F.min_by(F.struct("pos", "m", "span"), "pos").alias("d"))
     label = first["d"]["span"]["label"]
     shown = F.when(F.coalesce(label, F.lit("")).isin("") | (label == F.col("text")), "").otherwise(F.concat(F.lit(" ("), label, F.lit(")")))
 
