@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +24,23 @@ def encoded(docs: DataFrame, **options) -> DataFrame:
 
 def trace_keys(failures: Column) -> Column:
     """A key for each failure: its id; id@loc where ids repeat and there is a
-    place; keys that still repeat get #2, #3 and so on."""
-    ids = F.transform(failures, lambda f: f["id"])
-    again = lambda x: F.size(F.filter(ids, lambda y: y == x["id"])) > 1
-    keys = F.transform(failures, lambda x: F.when(again(x) & (x["loc"] != ""), F.concat(x["id"], F.lit("@"), x["loc"])).otherwise(x["id"]))
-    nth = lambda x, i: F.size(F.filter(F.slice(keys, F.lit(1), i + 1), lambda y: y == x))
-    return F.transform(keys, lambda x, i: F.when(nth(x, i) > 1, F.concat(x, F.lit("#"), nth(x, i).cast("string"))).otherwise(x))
+    place; keys that still repeat get #2, #3 and so on. One pass over a run."""
+
+    @F.pandas_udf("array<string>")
+    def run(ids: pd.Series, places: pd.Series) -> pd.Series:
+        def one(names, locs):
+            if names is None:
+                return None
+            often, used, out = Counter(names), Counter(), []
+            for name, loc in zip(names, locs):
+                key = f"{name}@{loc}" if name is not None and loc and often[name] > 1 else name
+                used[key] += 1
+                out.append(key if key is None or used[key] == 1 else f"{key}#{used[key]}")
+            return out
+
+        return pd.Series([one(n, p) for n, p in zip(ids, places)], dtype=object)
+
+    return run(F.transform(failures, lambda f: f["id"]), F.transform(failures, lambda f: f["loc"]))
 
 
 def render_reports(reports: DataFrame, trace_lines: int = 20) -> DataFrame:

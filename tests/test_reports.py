@@ -1,6 +1,7 @@
 """Parsers on hand-written outputs; the round trips of plans cover the rest."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -190,3 +191,14 @@ def test_locate_sources(spark):
     r = reports_of(spark, [("demo.AppTest.fails", "AppTest.java:21", "m", ["t"]), ("demo.AppTest.other", "Other.java:3", "", []), ("x.T.y", "dir/T.kt:1", "", [])])
     sources = spark.createDataFrame([(0, "app/src/test/java/demo/AppTest.java"), (0, "app/src/test/java/else/Other.java"), (1, "app/src/test/java/demo/Other.java")], "run_id long, path string")
     assert [(f.loc, f.trace) for f in C.locate_sources(r, sources).first().failures] == [("app/src/test/java/demo/AppTest.java:21", ["t"]), ("Other.java:3", []), ("dir/T.kt:1", [])]
+
+
+def test_trace_keys_of_many_failures(spark):
+    """The work grows with the number of failures, not with its square."""
+    from runlens.operators import render
+
+    f = F.transform(F.sequence(F.lit(0), F.lit(1499)), lambda i: F.struct(F.concat(F.lit("t"), (i % 9).cast("string")).alias("id"), F.concat(F.lit("a:"), (i % 50).cast("string")).alias("loc")))
+    start = time.monotonic()
+    keys = spark.range(1).select(f.alias("f")).select(render.trace_keys(F.col("f")).alias("k")).first().k
+    assert time.monotonic() - start < 30
+    assert len(set(keys)) == 1500 and keys[0] == "t0@a:0" and keys[450] == "t0@a:0#2"
