@@ -12,6 +12,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- predicates ---
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, col, wildcard
+from ..functions.text import basename, col, let, wildcard
 
 # Commands that only shape a display, launchers, and tools by command.
 DISPLAY_FILTERS = ("head", "tail", "cat", "less", "more", "xcbeautify", "xcpretty")
@@ -67,11 +67,14 @@ def strip_launcher(command: str | Column) -> Column:
 
 def adapter_of(command: str | Column) -> Column:
     """Which tool's output to expect; null if none is known."""
-    c = strip_launcher(F.trim(F.regexp_replace(col(command), r"\s+", " ")))
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(ADAPTERS):
-        out = F.when(c.rlike(pattern), name).otherwise(out)
-    return out
+
+    def known(c: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern in reversed(ADAPTERS):
+            out = F.when(c.rlike(pattern), name).otherwise(out)
+        return out
+
+    return let(strip_launcher(F.trim(F.regexp_replace(col(command), r"\s+", " "))), known)
 
 
 def drop_display_filter(command: str | Column) -> Column:
@@ -90,7 +93,7 @@ def segments(command: str | Column) -> Column:
     c = col(command)
     parts = F.transform(F.split(c, "&&"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     bare = F.regexp_replace(F.replace(c, F.lit("&&"), F.lit(" ")), r"""'[^'"$`\\]*'|"[^'"$`\\]*\"""", "")
-    return F.when(~bare.rlike(r"[^A-Za-z0-9 _./:=@%+,^-]") & ~F.exists(parts, lambda p: p == ""), parts)
+    return F.when(~bare.rlike(r"[^A-Za-z0-9 _./:=@%+,^-]"), let(parts, lambda ps: F.when(~F.exists(ps, lambda p: p == ""), ps)))
 
 
 def _matches(form: str):
@@ -105,19 +108,22 @@ def is_guarded(command: str | Column, rules: list[str]) -> Column:
     rules = [r.strip() for r in rules if r == "Bash" or r.startswith(("Bash(", "Bash "))]
     if not rules:
         return F.lit(False)
-    parts = segments(command)
-    whole = F.trim(F.regexp_replace(col(command), r"\s+", " "))
-    candidates = F.concat(F.array(whole), parts)
-    hit = F.lit(False)
+    forms = []
     for rule in rules:
         inner = " ".join(rule.removeprefix("Bash(").removesuffix(")").split()) if rule.startswith("Bash(") and rule.endswith(")") else ""
         if inner in ("", "*"):
             return F.lit(True)
         inner = inner.removesuffix(":*") + "*" if inner.endswith(":*") else inner
-        forms = [inner] + ([inner.removesuffix(" *")] if inner.endswith(" *") else [])
+        forms += [inner] + ([inner.removesuffix(" *")] if inner.endswith(" *") else [])
+
+    def hit(candidates: Column) -> Column:
+        out = F.lit(False)
         for form in forms:
-            hit = hit | F.exists(candidates, _matches(form))
-    return F.coalesce(hit, F.lit(True))
+            out = out | F.exists(candidates, _matches(form))
+        return out
+
+    whole = F.trim(F.regexp_replace(col(command), r"\s+", " "))
+    return F.coalesce(let(F.concat(F.array(whole), segments(command)), hit), F.lit(True))
 
 
 def rewrite_decision(command: str | Column, wrapper: str, rules: list[str]) -> Column:

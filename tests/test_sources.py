@@ -161,3 +161,12 @@ def test_jvm_reports(spark, tmp_path):
     names = lambda tool: {(r.path[-5:-4], r.module) for r in logs.jvm_reports(spark, str(tmp_path), tool).collect()}
     assert names("gradle") == {("a", ""), ("b", "app/")} and names("maven") == {("e", "app/")}
     assert {r.path[-5:-4] for r in logs.report_files(spark, str(tmp_path), "TEST-*.xml", depth=3).collect()} == {"a", "d", "e", "f"}  # hidden folders are not read
+
+
+def test_judge_works_each_value_out_once(spark):
+    """Patterns stand some dozens of times in the expression, not thousands of times."""
+    from runlens.operators import judge as J
+
+    plan = spark.range(1).select(F.lit("pytest -q").alias("c")).select(J.judge("c", ["ci.sh"], ["Bash(rm *)"]).alias("v"))
+    assert plan.first().v == "wrap"
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp") < 200
