@@ -203,11 +203,17 @@ def cell(c: Column, kind: str) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
+def table_head(name: str, columns: list[tuple[str, str]], n: Column) -> Column:
+    return F.concat(F.lit(f"{name}["), n.cast("string"), F.lit("]{" + ",".join(key(c) for c, _ in columns) + "}:"))
+
+
+def table_row(columns: list[tuple[str, str]], r: Column) -> Column:
+    return F.concat(F.lit("  "), F.concat_ws(",", *(cell(r[c], kind) for c, kind in columns)))
+
+
 def table_text(name: str, columns: list[tuple[str, str]], rows: Column) -> Column:
     """An array of structs as one table; ``columns``: names and types."""
-    line = lambda r: F.concat_ws(",", *(cell(r[c], kind) for c, kind in columns))
-    head = F.concat(F.lit(f"{name}["), F.size(rows).cast("string"), F.lit("]{" + ",".join(key(c) for c, _ in columns) + "}:"))
-    return F.concat(head, F.array_join(F.transform(rows, lambda r: F.concat(F.lit("\n  "), line(r))), ""))
+    return F.concat(table_head(name, columns, F.size(rows)), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("\n"), table_row(columns, r))), ""))
 
 
 def toon_table(rows: DataFrame, name: str, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.toon import table_text
+from ..functions.toon import table_head, table_row
 from .lines import KEY, by_doc, fold_dropped, in_order, join_lines, large_window, runs, to_lines, with_markers
 
 #: Fixed values of the rules.
@@ -133,8 +133,9 @@ def gcc_diagnostics(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(P.GCC)).select("doc_id", "pos", part(1).alias("loc"), part(2).alias("severity"), F.trim(part(3)).alias("msg"))
 
 
-#: Stands behind every line of a document: the row that holds its table.
+#: Stands behind every line of a document: the head of its table, or all of it.
 TABLE = 1 << 62
+DIAGNOSTIC = [(c, "string") for c in ("loc", "severity", "msg")]
 
 
 def _paragraph():
@@ -186,8 +187,17 @@ def compiler_blocks(lines: DataFrame) -> DataFrame:
 
 
 def extract_diagnostics(lines: DataFrame) -> DataFrame:
+    """:func:`diagnostic_rows`, the table as one row at ``TABLE``."""
+    place = F.least("pos", F.lit(TABLE)).alias("pos")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    got = diagnostic_rows(lines).groupBy("doc_id", place).agg(parts.alias("parts"), F.max("term").alias("term"))
+    return got.select("doc_id", "pos", F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"), "term")
+
+
+def diagnostic_rows(lines: DataFrame) -> DataFrame:
     """Documents with at least three compiler diagnostics: their other lines, and
-    one row at ``TABLE`` with the diagnostics as a table. Others as they are.
+    the diagnostics as a table from ``TABLE`` on, a row for each of its lines, so
+    that no row holds more than a block. Others as they are.
 
     A block gives its message, the first label and its asides, each once; other
     lines of it stay only if they signal an error and draw nothing. All lines end
@@ -215,32 +225,40 @@ def extract_diagnostics(lines: DataFrame) -> DataFrame:
     severity = F.concat(part(line, P.RUSTC, 1), F.when(code != "", F.concat(F.lit("["), code, F.lit("]"))).otherwise(""))
     one = lambda *values: F.struct(F.col("place").alias("at"), *(v.alias(n) for v, n in zip(values, ("loc", "severity", "msg"))))
     text = lambda c: F.struct(F.col("place").alias("at"), c.alias("text"))
-    groups = rows.groupBy("doc_id", F.when(F.col("_many"), F.col("block")).alias("_block")).agg(
-        F.collect_list(F.when(stays, F.struct("pos", "line", F.col("_sep").alias("term")))).alias("body"),
-        F.collect_list(F.when(F.col("_many") & F.col("_gcc"), one(part(line, P.GCC, 1), part(line, P.GCC, 2), strip(part(line, P.GCC, 3))))).alias("ones"),
-        F.max(F.when(F.col("_starts"), one(part("_at", P.ARROW, 1), severity, strip(part(line, P.RUSTC, 3))))).alias("head"),
-        F.collect_list(F.when(inside & aside, text(F.concat(part(line, P.ASIDE, 1), F.lit(": "), strip(part(line, P.ASIDE, 2)))))).alias("asides"),
-        F.min(F.when(inside & label, text(strip(part(line, P.LABEL, 1))))).alias("label"),
+    last = F.max(F.when(stays, F.col("pos"))).over(by_doc())
+    rows = rows.withColumns({"_stays": stays, "_last": last, "_all": F.count_if(starts | plain).over(by_doc())})
+    rows = rows.withColumn("_stays", F.col("_stays") & ~((F.col("pos") == F.col("_last")) & (line == "")))
+    # a block is one group, any other line is one of its own
+    groups = rows.groupBy("doc_id", F.coalesce(F.when(F.col("_many"), F.col("block")), F.col("place")).cast("long").alias("_at")).agg(
+        F.collect_list(F.when(F.col("_stays"), F.struct("pos", "line", F.col("_sep").alias("term")))).alias("body"),
+        F.max(F.when(F.col("_many") & F.col("_gcc"), one(part(line, P.GCC, 1), part(line, P.GCC, 2), strip(part(line, P.GCC, 3))))).alias("plain"),
+        F.max(F.when(F.col("_many") & F.col("_starts"), one(part("_at", P.ARROW, 1), severity, strip(part(line, P.RUSTC, 3))))).alias("head"),
+        F.collect_list(F.when(F.col("_many") & inside & aside, text(F.concat(part(line, P.ASIDE, 1), F.lit(": "), strip(part(line, P.ASIDE, 2)))))).alias("asides"),
+        F.min(F.when(F.col("_many") & inside & label, text(strip(part(line, P.LABEL, 1))))).alias("label"),
+        F.max(F.when(F.col("_many") & (F.col("place") == 1), F.col("_all"))).alias("n"),
     )
     extras = F.array_sort(F.concat("asides", F.filter(F.array("label"), lambda x: x.isNotNull())))
     msg = F.concat_ws("; ", F.array(F.col("head.msg")), F.array_distinct(F.transform(extras, lambda x: x["text"])))
     block = F.struct(F.col("head.at").alias("at"), F.col("head.loc").alias("loc"), F.col("head.severity").alias("severity"), msg.alias("msg"))
-    groups = groups.withColumn("ones", F.when(F.col("_block").isNotNull(), F.array(block)).otherwise(F.col("ones")))
-    docs = groups.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("body"))).alias("body"), F.array_sort(F.flatten(F.collect_list("ones"))).alias("ones"))
-    body = F.when(F.try_element_at("body", F.lit(-1))["line"] == "", F.slice("body", F.lit(1), F.size("body") - 1)).otherwise(F.col("body"))
-    table = F.struct(F.lit(TABLE).alias("pos"), table_text("diagnostics", [(c, "string") for c in ("loc", "severity", "msg")], F.col("ones")).alias("line"), F.lit("").alias("term"))
-    return docs.select("doc_id", F.inline(F.when(F.size("ones") > 0, F.concat(body, F.array(table))).otherwise(body)))
+    groups = groups.withColumn("one", F.when(F.col("head").isNotNull(), block).otherwise(F.col("plain")))
+    extra = lambda at, line: F.struct(at.cast("long").alias("pos"), line.alias("line"), F.lit("").alias("term"))
+    head = F.when(F.col("n").isNotNull(), F.array(extra(F.lit(TABLE), table_head("diagnostics", DIAGNOSTIC, F.col("n")))))
+    told = F.when(F.col("one").isNotNull(), F.array(extra(F.lit(TABLE) + F.col("one.at"), table_row(DIAGNOSTIC, F.col("one")))))
+    none = F.array().cast("array<struct<pos:bigint,line:string,term:string>>")
+    return groups.select("doc_id", F.inline(F.concat("body", F.coalesce(told, none), F.coalesce(head, none))))
 
 
 def join_with_table(lines: DataFrame) -> DataFrame:
     """(doc_id, text): lines joined by the separator, then the table if there is one."""
-    is_table = F.col("pos") == TABLE
+    is_table = F.col("pos") >= TABLE
+    part = lambda which: F.sort_array(F.collect_list(F.when(which, F.struct("pos", "line"))))
     got = lines.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(~is_table, F.struct("pos", "line")))).alias("body"),
-        F.max(F.when(is_table, F.col("line"))).alias("table"),
+        part(~is_table).alias("body"),
+        part(is_table).alias("table"),
         F.when(F.max((F.col("term") == "\r\n").cast("int")) == 1, "\r\n").otherwise("\n").alias("sep"),
     )
-    got = got.withColumn("body", F.expr("array_join(transform(body, x -> x.line), sep)"))
+    table = F.when(F.size("table") > 0, F.array_join(F.transform("table", lambda x: x["line"]), "\n"))
+    got = got.select("doc_id", "sep", F.expr("array_join(transform(body, x -> x.line), sep)").alias("body"), table.alias("table"))
     text = F.when(F.col("table").isNull(), F.col("body")).when(~F.col("body").rlike(r"(?U)\S"), F.col("table")).otherwise(F.concat("body", "sep", "table"))
     return got.select("doc_id", text.alias("text"))
 
@@ -259,7 +277,7 @@ def compress(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: s
     if level == "safe":
         return join_lines(lines)
     # one partitioning by document for all rules
-    return join_with_table(window_errors(extract_diagnostics(collapse_near_dups(filter_levels(lines)))))
+    return join_with_table(window_errors(diagnostic_rows(collapse_near_dups(filter_levels(lines)))))
 
 
 def bounded(docs: DataFrame, limit: int = 4 << 20) -> DataFrame:
@@ -267,13 +285,15 @@ def bounded(docs: DataFrame, limit: int = 4 << 20) -> DataFrame:
     return docs.select("doc_id", large_window("text", limit).alias("text"))
 
 
-def reduce_logs(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def reduce_logs(docs: DataFrame, level: str = "safe", text: str = "text", doc_id: str = "doc_id", limit: int | None = 4 << 20) -> DataFrame:
     """What is emitted for each document: the reduction if it saves tokens.
 
-    Columns: doc_id, emitted, tokens_in, tokens_out, compressed.
+    Documents above ``limit`` bytes are cut first; None: every line goes through
+    the rules. Columns: doc_id, emitted, tokens_in, tokens_out, compressed.
     """
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_raw"))
-    small = compress(bounded(raw.select("doc_id", F.col("_raw").alias("text"))), level).withColumnRenamed("text", "_small")
+    whole = raw.select("doc_id", F.col("_raw").alias("text"))
+    small = compress(whole if limit is None else bounded(whole, limit), level).withColumnRenamed("text", "_small")
     both = raw.join(small, "doc_id", "left")
     tokens_in, tokens = T.approx_tokens("_raw"), T.approx_tokens(F.coalesce("_small", "_raw"))
     better = T.pays(tokens, tokens_in)

@@ -29,3 +29,7 @@ def events(n, user, kinds="['click', 'view', 'signup', 'error', 'purchase']"):
 def test_many_errors_under_a_ceiling(spark, tmp_path, n):
     """Error lines that need more than half of the ceiling, or more than all of it."""
     check(spark, tmp_path, "cap_error_lines", "events", events(n, "i % 2"))
+
+def test_logs_above_the_window(spark, tmp_path):
+    """A log of more than 4 MiB goes through the rules whole."""
+    check(spark, tmp_path, "reduce_aggressive", "events", events(130_000, "i % 4 * 15"))
