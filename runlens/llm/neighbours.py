@@ -1,24 +1,23 @@
 """Approximate nearest neighbours by inner product: NN-descent, greedy search.
 
-Equal vectors are one node. For the graph each vector gets one more component,
-so that all have the norm of the longest; near in inner product then means near
-in angle. First lists come from exact comparisons within runs of nodes that
-stand together by random hyperplanes and projections. NN-descent improves them:
-each node sends its vector to its neighbours; a node compares all that named
-it, so neighbours of neighbours meet, and sends each the best of the others.
-These are joins between blocks of nodes with packed messages; a vector goes to
-a block once, however many of the block's nodes it is sent to.
-
-A query starts at its own node (and, where norms differ, at the 64 longest
-vectors) and expands its best unexpanded nodes, round by
-round, by joins of (query, node) with the blocks of the graph, until its best
-``beam`` nodes are all expanded. Scores are inner products of the
-original components in double precision.
-
-Lists and beam grow with the number of nodes, and NN-descent runs until it has
-settled. A fixed number of queries is also answered by brute force: while too few
+Equal vectors are one node. Nodes are dealt to shards of at most ``SHARD`` by a hash
+of the vector. A shard's graph is made in one task (:mod:`.graphs`). For it each
+vector gets one more component, so that all have the norm of the longest; near in
+inner product then means near in angle. First lists come from exact comparisons within
+runs of nodes that stand together by random hyperplanes and projections; NN-descent
+improves them: the nodes that a node has in its list, or that have it in theirs, meet
+and are compared, so neighbours of neighbours find one another.
+
+Every query is searched for in every shard, in the same task: it starts from a few
+nodes, the longest vectors of the shard and, in its own shard, from its own node, and expands
+its best unexpanded nodes until its best ``beam`` nodes are all expanded; queries
+that stand together go in groups that share what they see. Only the nearest of each
+shard are sent on. Scores are inner products of the original components in double
+precision.
+
+A fixed number of queries is also answered by brute force: while too few
 of their true neighbours are found, the beam is doubled, and beyond a limit the
-graph is built again with lists twice as long; if that does not help, it fails.
+lists are made twice as long; if that does not help, it fails.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, neither as queries nor as candidates; null ids neither;
@@ -38,27 +37,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import graphs
 from .common import join_skewed, materialise, pieces_of, release
 
-#: Nodes in a block, whatever their number: a block holds the vectors of all their neighbours.
-BLOCK = 2048
-STATE = "blk int, node long, vec binary, near array<long>, sim array<float>, fresh array<boolean>"
-SENT = "blk int, nodes binary, vecs binary, floors binary, which binary, target binary, fresh binary"
-BETTER = "blk int, node binary, other binary, sim binary, fresh binary"
+#: Nodes of a shard at most: its vectors and lists are held in a Python worker.
+SHARD = 1 << 16
+#: Tables of fewer nodes are dealt to about ``SHARDS`` shards, but of ``LEAST`` nodes or more.
+LEAST, SHARDS = 2048, 16
+#: Queries that one task searches for, and buckets of them in which the shards' answers meet.
+ASKED, BUCKETS = 1 << 18, 64
+#: Nodes that a search starts from: any, and the longest.
+ANY, LONGEST = 256, 64
+#: Queries that are also answered by brute force.
+SAMPLE = 256
+STATE = "blk int, node long, vec binary, near array<int>, fresh array<boolean>"
+BEST = "exact boolean, bucket int, query binary, many binary, node binary, score binary"
+FOUND = "exact boolean, query long, node long, score double"
 
 
-def lists(rows: list[np.ndarray], kind) -> pa.ListArray:
-    offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
+def lists(rows: np.ndarray, good: np.ndarray, kind) -> pa.ListArray:
+    """The ``good`` entries of each row."""
+    offsets = np.append(0, np.cumsum(good.sum(axis=1))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[good], kind))
 
 
-def vectors_of(column) -> np.ndarray:
+def vectors_of(column, kind=np.float32) -> np.ndarray:
     got = column.to_pylist()
-    return np.frombuffer(b"".join(got), np.float32).reshape(len(got), -1)
+    return np.frombuffer(b"".join(got), kind).reshape(len(got), -1)
 
 
-def batch_of(schema: str, cols: list) -> pa.RecordBatch:
-    return pa.record_batch(cols, names=[x.split()[0] for x in schema.split(", ")])
+def batch_of(schema: str, cols: list) -> pa.Table:
+    return pa.table(cols, names=[x.split()[0] for x in schema.split(", ")])
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -71,468 +80,139 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(fine)
 
 
-def merge_lists(row: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, other), the ``keep`` with the largest sim of each row."""
-    order = np.lexsort((-sim, other, row))
-    row, other, sim = row[order], other[order], sim[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])) if len(row) else np.zeros(0, bool)
-    row, other, sim = row[new], other[new], sim[new]
-    order = np.lexsort((other, -sim, row))
-    row, other, sim = row[order], other[order], sim[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < keep], other[place < keep], sim[place < keep]
-
-
-def by_row(row: np.ndarray, values: np.ndarray, rows: int) -> list[np.ndarray]:
-    return np.split(values, np.searchsorted(row, np.arange(1, rows))) if rows else []
-
-
-def first_lists(nodes: DataFrame, dims: int, keep: int, tree: int, run: int, parts: int) -> DataFrame:
-    """(node, near, sim): exact neighbours within runs of nodes in one order."""
-    rng = np.random.default_rng(1000 + tree)
-    planes, line = rng.normal(size=(dims, 6)).astype(np.float32), rng.normal(size=dims).astype(np.float32)
-
-    def place(batches):
-        for b in batches:
-            v = vectors_of(b.column("vec"))
-            bits = (v @ planes > 0) @ (1 << np.arange(6))
-            yield pa.record_batch([b.column("node"), b.column("vec"), pa.array(bits.astype(np.int32)), pa.array((v @ line).astype(np.float64))], names=["node", "vec", "bits", "at"])
-
-    def compare(batches):
-        held_node, held_vec = [], []
+def effort(n: int) -> tuple[int, int]:
+    """Length of lists and beam to begin with for shards of ``n`` nodes."""
+    more = max(1.0, n / 16_000)
+    return round(16 * more**0.25), round(32 * more**0.25)
 
-        def best():
-            node, v = np.array(held_node, np.int64), np.stack(held_vec)
-            s = v @ v.T
-            np.fill_diagonal(s, -np.inf)
-            k = min(keep, len(node) - 1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(node), 0), int)
-            return pa.record_batch([pa.array(node), lists(list(node[top]), pa.int64()), lists(list(np.take_along_axis(s, top, 1)), pa.float32())], names=["node", "near", "sim"])
 
-        for b in batches:
-            held_node += b.column("node").to_pylist()
-            held_vec += list(vectors_of(b.column("vec")))
-            while len(held_node) >= 2 * run:
-                rest = held_node[run:], held_vec[run:]
-                del held_node[run:], held_vec[run:]
-                yield best()
-                held_node[:], held_vec[:] = rest
-        if held_node:
-            yield best()
-
-    placed = nodes.select("node", "vec").mapInArrow(place, "node long, vec binary, bits int, at double")
-    placed = placed.repartitionByRange(parts, "bits", "at").sortWithinPartitions("bits", "at")
-    return placed.mapInArrow(compare, "node long, near array<long>, sim array<float>")
-
-
-def to_blocks(node: np.ndarray, other: np.ndarray, sim: np.ndarray, blocks: int, fresh: np.ndarray | None = None) -> pa.Table:
-    """Messages (node, other, sim, fresh) packed by the block of ``node``."""
-    to = node % blocks
-    fresh = np.ones(len(node), bool) if fresh is None else fresh
-    order = np.argsort(to, kind="stable")
-    node, other, sim, to, fresh = node[order], other[order], sim[order], to[order], fresh[order]
-    cols: list[list] = [[], [], [], [], []]
-    for b in np.unique(to).tolist():
-        x, y = np.searchsorted(to, (b, b + 1))
-        for c, v in zip(cols, (b, node[x:y].tobytes(), other[x:y].tobytes(), sim[x:y].astype(np.float32).tobytes(), np.packbits(fresh[x:y]).tobytes())):
-            c.append(v)
-    return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in BETTER.split(", ")])
-
-
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts = [len(x) // 8 for x in table.column("node").to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("fresh").to_pylist(), counts)]
-    return read("node", np.int64), read("other", np.int64), read("sim", np.float32), np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
-
-
-def descend(state: DataFrame, blocks: int, keep: int, named: int, told: int) -> DataFrame:
-    """One round of NN-descent over blocks of nodes."""
-
-    def name(table: pa.Table) -> pa.Table:
-        """Tell each neighbour who has it in a list."""
-        near = table.column("near").combine_chunks()
-        who = np.repeat(table.column("node").to_numpy(), np.diff(near.offsets.to_numpy()))
-        fresh = table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return to_blocks(near.flatten().to_numpy(), who, table.column("sim").combine_chunks().flatten().to_numpy(), blocks, fresh)
-
-    def send(table: pa.Table, named_by: pa.Table) -> pa.Table:
-        """Each node's vector to the blocks of its neighbours, either way."""
-        node = table.column("node").to_numpy()
-        if not len(node):
-            return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in range(6))], names=[x.split()[0] for x in SENT.split(", ")])
-        vec, order = vectors_of(table.column("vec")), np.argsort(node)
-        near, sims = table.column("near").combine_chunks(), table.column("sim").combine_chunks()
-        size = np.diff(near.offsets.to_numpy())
-        target, which = near.flatten().to_numpy(), np.repeat(np.arange(len(node)), size)
-        fresh = table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        # a full list takes nothing worse than its worst
-        floor = np.full(len(node), -np.inf, np.float32)
-        np.minimum.at(worst := np.full(len(node), np.inf, np.float32), which, sims.flatten().to_numpy())
-        floor[size >= keep] = worst[size >= keep]
-        mine, other, sim, new = received(named_by)
-        back_row = order[np.searchsorted(node[order], mine)]
-        place = np.lexsort((other, -sim, back_row))
-        back_row, other, new = back_row[place], other[place], new[place]
-        near_enough = np.arange(len(back_row)) - np.searchsorted(back_row, back_row) < keep
-        which, target = np.append(which, back_row[near_enough]), np.append(target, other[near_enough])
-        fresh = np.append(fresh, new[near_enough])
-        order = np.lexsort((~fresh, target, which))
-        which, target, fresh = which[order], target[order], fresh[order]
-        once = np.append(True, (which[1:] != which[:-1]) | (target[1:] != target[:-1]))[: len(which)]  # a node alone has no neighbours
-        which, target, fresh = which[once], target[once], fresh[once]
-        to = target % blocks
-        order = np.argsort(to, kind="stable")
-        target, which, to, fresh = target[order], which[order], to[order], fresh[order]
-        out = [[] for _ in range(7)]
-        for b in np.unique(to).tolist():
-            x, y = np.searchsorted(to, (b, b + 1))
-            sent, at = np.unique(which[x:y], return_inverse=True)
-            for c, v in zip(out, (b, node[sent].tobytes(), vec[sent].tobytes(), floor[sent].tobytes(), at.astype(np.int32).tobytes(), target[x:y].tobytes(), np.packbits(fresh[x:y]).tobytes())):
-                c.append(v)
-        return pa.table([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=[x.split()[0] for x in SENT.split(", ")])
-
-    def meet(table: pa.Table, sent: pa.Table) -> pa.Table:
-        """Compare the nodes that named one node; tell each the best others."""
-        if not table.num_rows or not sent.num_rows:
-            return to_blocks(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), blocks)
-        home, home_vec = table.column("node").to_numpy(), vectors_of(table.column("vec"))
-        order = np.argsort(home)
-        home, home_vec = home[order], home_vec[order]
-        node = [np.frombuffer(x, np.int64) for x in sent.column("nodes").to_pylist()]
-        start = np.cumsum([0] + [len(x) for x in node])
-        node = np.concatenate(node)
-        vec = np.frombuffer(b"".join(sent.column("vecs").to_pylist()), np.float32).reshape(len(node), -1)
-        which = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(sent.column("which").to_pylist(), start)])
-        targets = [np.frombuffer(x, np.int64) for x in sent.column("target").to_pylist()]
-        fresh = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) for x, t in zip(sent.column("fresh").to_pylist(), targets)]).astype(bool)
-        floor = np.frombuffer(b"".join(sent.column("floors").to_pylist()), np.float32)
-        at = np.searchsorted(home, np.concatenate(targets))
-        close = np.einsum("ij,ij->i", vec[which], home_vec[at])
-        order = np.lexsort((-close, at))
-        at, which, fresh = at[order], which[order], fresh[order]
-        edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        found: list[tuple] = []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(at)).tolist()):
-            some, new = which[a : min(b, a + named)], fresh[a : min(b, a + named)]
-            if len(some) < 2 or not new.any():
-                continue
-            v = vec[some]
-            s = v @ v.T
-            np.fill_diagonal(s, -np.inf)
-            s[np.ix_(~new, ~new)] = -np.inf  # met in an earlier round
-            k = min(told, len(some) - 1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            best = np.take_along_axis(s, top, 1)
-            row, column = np.nonzero(best > floor[some][:, None])
-            ids = node[some]
-            found.append((ids[row], ids[top[row, column]], best[row, column]))
-        if not found:
-            return meet(table.slice(0, 0), sent)
-        mine, other, sim = (np.concatenate(c) for c in zip(*found))
-        mine, other, sim = merge_lists(mine, other, sim, keep // 2, 0)
-        return to_blocks(mine, other, sim, blocks)
-
-    def improve(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return table
-        home = table.column("node").to_numpy()
-        order = np.argsort(home)
-        near, sim = table.column("near").combine_chunks(), table.column("sim").combine_chunks()
-        row = np.repeat(np.arange(len(home)), np.diff(near.offsets.to_numpy()))
-        old, s = near.flatten().to_numpy(), sim.flatten().to_numpy()
-        mine, other, more, _ = received(told)
-        if len(mine):
-            at = order[np.searchsorted(home[order], mine)]
-            a, b, c = merge_lists(np.append(row, at), np.append(old, other), np.append(s, more), keep, len(home))
-        else:
-            a, b, c = row, old, s
-        was, now = by_row(row, old, len(home)), by_row(a, b, len(home))
-        fresh = np.concatenate([~np.isin(y, x) for x, y in zip(was, now)])
-        return pa.table([table.column("blk"), table.column("node"), table.column("vec"), lists(now, pa.int64()), lists(by_row(a, c, len(home)), pa.float32()), lists(by_row(a, fresh, len(home)), pa.bool_())], names=[x.split()[0] for x in STATE.split(", ")])
-
-    grouped = state.groupBy("blk")
-    known = grouped.applyInArrow(name, BETTER)
-    sent = grouped.cogroup(known.groupBy("blk")).applyInArrow(send, SENT)
-    better = grouped.cogroup(sent.groupBy("blk")).applyInArrow(meet, BETTER)
-    return grouped.cogroup(better.groupBy("blk")).applyInArrow(improve, STATE)
+def shards_of(n: int) -> int:
+    return max(pieces_of(n, SHARD), min(SHARDS, pieces_of(n, LEAST)))
 
 
-def effort(n: int) -> tuple[int, int]:
-    """Length of lists and beam to begin with for ``n`` nodes."""
-    more = max(1.0, n / 50_000)
-    return round(36 * more**0.25), round(128 * more**0.5)
+def dealt(rows: DataFrame, shards: int):
+    """Grouped by shard, one to a partition."""
+    return rows.repartitionById(shards, "blk").groupBy("blk")
 
 
-def build(nodes: DataFrame, dims: int, keep: int | None = None, trees: int = 8, run: int = 384, named: int | None = None, told: int | None = None, settled: float = 0.02) -> tuple[DataFrame, int]:
-    """The graph of ``nodes`` (node, vec): blk, node, near, sim; number of blocks.
+def build(nodes: DataFrame, dims: int, keep: int | None = None, trees: int = 2, run: int = 256, named: int | None = None, told: int | None = None, settled: float = 0.1) -> tuple[DataFrame, int]:
+    """The graph of ``nodes`` (node, vec: floats of one norm): blk, node, vec, near (places
+    among the shard's nodes by id), fresh (entries of the last round); number of shards.
 
     Rounds go on until at most ``settled`` of the list entries change; each
     change betters a list, so they end.
     """
     n = nodes.count()
-    keep = keep or effort(n)[0]
-    named, told = named or 5 * keep // 2, told or max(1, 4 * keep // 9)
-    blocks = pieces_of(n, BLOCK)
-    parts = max(pieces_of(n, 16 * run), 1)
-    found = first_lists(nodes, dims, keep, 0, run, parts)
-    for tree in range(1, trees):
-        found = found.unionByName(first_lists(nodes, dims, keep, tree, run, parts))
-
-    def join(table: pa.Table, some: pa.Table) -> pa.Table:
-        home = table.column("node").to_numpy()
-        order = np.argsort(home)
-        near = some.column("near").combine_chunks()
-        row = order[np.searchsorted(home[order], np.repeat(some.column("node").to_numpy(), np.diff(near.offsets.to_numpy())))]
-        a, b, c = merge_lists(row, near.flatten().to_numpy(), some.column("sim").combine_chunks().flatten().to_numpy(), keep, len(home))
-        return pa.table([table.column("blk"), table.column("node"), table.column("vec"), lists(by_row(a, b, len(home)), pa.int64()), lists(by_row(a, c, len(home)), pa.float32()), lists(by_row(a, np.ones(len(a), bool), len(home)), pa.bool_())], names=[x.split()[0] for x in STATE.split(", ")])
-
-    blk = F.pmod("node", F.lit(blocks)).cast("int").alias("blk")
-    state = nodes.select(blk, "node", "vec").groupBy("blk").cogroup(found.select(blk, "node", "near", "sim").groupBy("blk")).applyInArrow(join, STATE)
-    state = materialise(state, "graph")
-    while True:
-        before, state = state, materialise(descend(state, blocks, keep, named, told), "graph")
-        release(before)
-        if (state.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0) <= settled * n * keep:
-            break
-    return state, blocks
+    shards = shards_of(n)
+    keep = keep or effort(-(-n // shards))[0]
 
+    def graph(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        v = vectors_of(table.column("vec"))
+        made = graphs.build(graphs.unit(v.reshape(-1, dims)), keep, trees, run, named, told, settled)
+        good = made.near >= 0
+        return batch_of(STATE, [table.column("blk"), table.column("node"), table.column("vec"), lists(made.near, good, pa.int32()), lists(made.fresh, good, pa.bool_())])
 
-QUERY = "blk int, query long, q binary, seen binary, score binary, open binary, known binary"
-PAIRS = "blk int, query binary, node binary"
-ASKED = "blk int, query binary, q binary, which binary, node binary"
+    return materialise(dealt(nodes.select(shard(shards), "node", "vec"), shards).applyInArrow(graph, STATE), "graph"), shards
 
 
-def pairs_to_blocks(query: np.ndarray, node: np.ndarray, to: np.ndarray) -> pa.Table:
-    order = np.argsort(to, kind="stable")
-    query, node, to = query[order], node[order], to[order]
-    rows = []
-    for b in np.unique(to).tolist():
-        x, y = np.searchsorted(to, (b, b + 1))
-        rows.append((b, query[x:y].tobytes(), node[x:y].tobytes()))
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.table([pa.array(list(cols[0]), pa.int32()), pa.array(list(cols[1]), pa.binary()), pa.array(list(cols[2]), pa.binary())], names=["blk", "query", "node"])
+def shard(shards: int):
+    return F.pmod("node", F.lit(shards)).cast("int").alias("blk")
 
 
-def read_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("query", "node"))
+def best_of(query: np.ndarray, node: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query and what equals the last of them, best first."""
+    order = np.lexsort((node, -score, query))
+    query, node, score = query[order], node[order], score[order]
+    start = np.searchsorted(query, query)
+    last = np.minimum(start + k, np.searchsorted(query, query, "right")) - 1
+    good = score >= score[last]
+    return query[good], node[good], score[good]
 
 
-class Beams:
-    """The queries of a block: the best that each has seen, best first, and all
-    ids that it has seen."""
+def packed(exact: bool, query: np.ndarray, node: np.ndarray, score: np.ndarray) -> list[tuple]:
+    """Rows of ``BEST`` of (query, node, score), sorted by query."""
+    bucket = query % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    query, node, score, bucket = query[order], node[order], score[order], bucket[order]
+    out = []
+    for b in np.unique(bucket).tolist():
+        x, y = np.searchsorted(bucket, (b, b + 1))
+        each, many = np.unique(query[x:y], return_counts=True)
+        out.append((exact, b, each.tobytes(), many.astype(np.int32).tobytes(), node[x:y].tobytes(), score[x:y].tobytes()))
+    return out
 
-    def __init__(self, table: pa.Table):
-        self.query = table.column("query").to_numpy()
-        self.q = table.column("q").to_pylist()
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        self.seen, self.score, self.open = read("seen", np.int64), read("score", np.float64), read("open", bool)
-        self.known = read("known", np.int64)
-        self.at = {q: i for i, q in enumerate(self.query.tolist())}
 
-    def next(self, beam: int, width: int) -> list[np.ndarray]:
-        return [np.flatnonzero(o[:beam])[:width] for o in self.open]
+def search(nodes: DataFrame, queries: DataFrame, shards: int, widen, keep: int, beam: int, k: int, sample: list[int], scale: float, kind) -> DataFrame:
+    """(exact, query, node, score): the ``k`` + 1 nearest nodes that each query has seen,
+    its own among them, and what equals the last; exact: those of the queries in
+    ``sample``, their own left out, by brute force.
 
-    def table(self, blk: int) -> pa.Table:
-        out = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-        return pa.table([pa.array([blk] * len(self.query), pa.int32()), pa.array(self.query), pa.array(self.q, pa.binary()), out(self.seen), out(self.score), out(self.open), out(self.known)], names=[x.split()[0] for x in QUERY.split(", ")])
-
-
-def exact_floors(graph: DataFrame, queries: DataFrame, k: int, sample: int, kind) -> dict[int, tuple[int, float]]:
-    """By brute force, of at most ``sample`` queries: the number of nearest other
-    nodes (``k``, or all if fewer) and the least of their scores."""
-    ids = [r["query"] for r in queries.orderBy(F.xxhash64("query", F.lit(5)), "query").limit(sample).collect()]
-    held = graph.where(F.col("node").isin(ids)).select("node", "x").collect()
-    who = np.array([r["node"] for r in held], np.int64)
-    q = np.frombuffer(b"".join(r["x"] for r in held), kind).reshape(len(held), -1).astype(np.float64) if held else np.zeros((0, 0))
-
-    def closest(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
-        node, rows = table.column("node").to_numpy(), []
-        for i, v in zip(who.tolist(), q):
-            s = (x @ v)[node != i]
-            rows.append(np.partition(s, len(s) - k)[len(s) - k :] if len(s) > k else s)
-        return pa.table([pa.array(who), lists(rows, pa.float64())], names=["query", "best"])
-
-    found = graph.groupBy("blk").applyInArrow(closest, "query long, best array<double>") if held else None
-    if found is None:
-        return {}
-    best = found.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best"))
-    return {r["query"]: (len(r["best"]), r["best"][-1]) for r in best.collect() if r["best"]}
-
-
-def search(queries: DataFrame, graph: DataFrame, blocks: int, starts: tuple[np.ndarray, np.ndarray] | None = None, beam: int = 128, k: int = 20, target: float = 0.92, sample: int = 256, most: int | None = None, kind=np.float32) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """(query, node, score): the best nodes that each query has seen; the beams
-    tried, each with the share of the ``k`` nearest that it found.
-
-    ``queries``: (query), nodes of ``graph`` (blk, node, near, x), x the numbers
-    of a vector, of ``kind``. ``starts``: a
-    few nodes and their vectors that every query also starts from. The share is
-    that of ``sample`` queries; below ``target`` the beam is doubled, up to ``most``.
+    ``nodes``: (node, x), x the numbers of a vector, of ``kind``; ``widen`` makes of
+    them vectors of one norm. ``queries``: (query, x).
     """
-    graph = materialise(graph, "searched")
-    floors = exact_floors(graph, queries, k, sample, kind)
-    width = max(32, beam // 4)
-
-    def begin(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(table.num_rows, -1).astype(np.float64)
-        ids = table.column("node").to_numpy()
-        seen, score = [], []
-        for i, v in zip(ids, x):
-            more = starts[0] != i if starts else []
-            seen.append(np.append(i, starts[0][more]) if starts else np.array([i]))
-            score.append(np.append((v * v).sum(), (v * starts[1][more]).sum(axis=1)) if starts else np.array([(v * v).sum()]))
-        order = [np.lexsort((i, -v)) for i, v in zip(seen, score)]
-        out = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-        ranked = [i[o] for i, o in zip(seen, order)]
-        return pa.table([table.column("blk"), table.column("node"), table.column("x"), out(ranked), out([v[o] for v, o in zip(score, order)]), out([np.ones(len(o), bool) for o in order]), out(ranked)], names=[x.split()[0] for x in QUERY.split(", ")])
-
-    def step(beams: Beams):
-        chosen = beams.next(beam, width)
-        query = np.repeat(beams.query, [len(c) for c in chosen])
-        node = np.concatenate([s[c] for s, c in zip(beams.seen, chosen)]) if len(beams.query) else np.zeros(0, np.int64)
-        return query, node
-
-    def expand(table: pa.Table) -> pa.Table:
-        """(query, node) to the blocks of the nodes to expand."""
-        query, node = step(Beams(table))
-        return pairs_to_blocks(query, node, node % blocks)
-
-    def look(table: pa.Table, asked: pa.Table) -> pa.Table:
-        """The neighbours of those nodes, back to the blocks of the queries."""
-        query, node = read_pairs(asked)
-        home = table.column("node").to_numpy()
-        order = np.argsort(home)
-        near = table.column("near").combine_chunks()
-        offsets, flat = near.offsets.to_numpy(), near.flatten().to_numpy()
-        at = order[np.searchsorted(home[order], node)] if len(node) else np.zeros(0, np.int64)
-        count = offsets[at + 1] - offsets[at]
-        ends = np.cumsum(count)
-        pick = np.repeat(offsets[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        query = np.repeat(query, count)
-        return pairs_to_blocks(query, flat[pick - offsets[0]] if len(pick) else np.zeros(0, np.int64), query % blocks)
-
-    def ask(table: pa.Table, found: pa.Table) -> pa.Table:
-        """The unseen of them, with the query's vector, to their own blocks."""
-        if not table.num_rows or not found.num_rows:
-            return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in range(4))], names=[x.split()[0] for x in ASKED.split(", ")])
-        beams = Beams(table)
-        query, node = read_pairs(found)
-        order = np.lexsort((node, query))
-        query, node = query[order], node[order]
-        new = np.append(True, (query[1:] != query[:-1]) | (node[1:] != node[:-1]))
-        query, node = query[new], node[new]
-        edge = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-        rows, fresh = [], []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
-            i = beams.at[int(query[a])]
-            unseen = node[a:b][~np.isin(node[a:b], beams.known[i])]
-            rows.append(np.full(len(unseen), i))
-            fresh.append(unseen)
-        row, node = np.concatenate(rows), np.concatenate(fresh)
-        to = node % blocks
-        order = np.argsort(to, kind="stable")
-        row, node, to = row[order], node[order], to[order]
-        out = []
-        for b in np.unique(to).tolist():
-            x, y = np.searchsorted(to, (b, b + 1))
-            some, which = np.unique(row[x:y], return_inverse=True)
-            out.append((b, beams.query[some].tobytes(), b"".join(beams.q[i] for i in some.tolist()), which.astype(np.int32).tobytes(), node[x:y].tobytes()))
-        cols = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in ASKED.split(", ")])
-
-    def score(table: pa.Table, asked: pa.Table) -> pa.Table:
-        """Inner products, back to the blocks of the queries."""
+
+    def answer(table: pa.Table, asked: pa.Table) -> pa.Table:
         if not table.num_rows or not asked.num_rows:
-            return to_scores(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        home = table.column("node").to_numpy()
-        order = np.argsort(home)
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(len(home), -1).astype(np.float64)
-        out = []
-        for r in asked.to_pylist():
-            query, node, which = np.frombuffer(r["query"], np.int64), np.frombuffer(r["node"], np.int64), np.frombuffer(r["which"], np.int32)
-            q = np.frombuffer(r["q"], kind).reshape(len(query), -1).astype(np.float64)
-            at = order[np.searchsorted(home[order], node)]
-            got = np.concatenate([(q[which[a : a + 8192]] * x[at[a : a + 8192]]).sum(axis=1) for a in range(0, len(at), 8192)])
-            out.append((query[which], node, got))
-        return to_scores(*(np.concatenate(c) for c in zip(*out)))
-
-    def to_scores(query, node, got) -> pa.Table:
-        to = query % blocks
-        order = np.argsort(to, kind="stable")
-        rows = []
-        for b in np.unique(to).tolist():
-            i = order[np.searchsorted(to[order], b) : np.searchsorted(to[order], b + 1)]
-            rows.append((b, query[i].tobytes(), node[i].tobytes(), got[i].tobytes()))
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.table([pa.array(list(cols[0]), pa.int32()), *(pa.array(list(c), pa.binary()) for c in cols[1:])], names=["blk", "query", "node", "score"])
-
-    def merge(table: pa.Table, scores: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return table
-        beams = Beams(table)
-        for i, c in enumerate(beams.next(beam, width)):
-            beams.open[i] = beams.open[i].copy()
-            beams.open[i][c] = False
-        query, node = read_pairs(scores)
-        got = np.frombuffer(b"".join(scores.column("score").to_pylist()), np.float64)
-        order = np.argsort(query, kind="stable")
-        query, node, got = query[order], node[order], got[order]
-        edge = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, int)
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(query)).tolist()):
-            i = beams.at[int(query[a])]
-            seen, s, o = np.append(beams.seen[i], node[a:b]), np.append(beams.score[i], got[a:b]), np.append(beams.open[i], np.ones(b - a, bool))
-            best = np.lexsort((seen, -s))[:beam]
-            beams.known[i] = np.append(beams.known[i], node[a:b])
-            beams.seen[i], beams.score[i], beams.open[i] = seen[best], s[best], o[best]
-        return beams.table(table.column("blk")[0].as_py())
-
-    def again(table: pa.Table) -> pa.Table:
-        """To be expanded anew: what a narrower beam dropped can come back."""
-        beams = Beams(table)
-        beams.open = [np.ones(len(s), bool) for s in beams.seen]
-        beams.known = list(beams.seen)
-        return beams.table(table.column("blk")[0].as_py())
-
-    held = graph.groupBy("blk")
-    start = graph.join(queries.withColumnRenamed("query", "node"), "node", "left_semi").select("blk", "node", "x")
-    state = materialise(start.groupBy("blk").applyInArrow(begin, QUERY), "beams")
-    tried: list[tuple[int, float]] = []
-    while True:
-        mine = state.groupBy("blk")
-        found = held.cogroup(mine.applyInArrow(expand, PAIRS).groupBy("blk")).applyInArrow(look, PAIRS)
-        asked = mine.cogroup(found.groupBy("blk")).applyInArrow(ask, ASKED)
-        scores = held.cogroup(asked.groupBy("blk")).applyInArrow(score, "blk int, query binary, node binary, score binary")
-        before, state = state, materialise(mine.cogroup(scores.groupBy("blk")).applyInArrow(merge, QUERY), "beams")
-        release(before)
-        left = state.select(F.expr(f"instr(hex(substr(open, 1, {beam})), '01')").alias("i"))  # a byte for each node seen: 01 if not expanded
-        if left.where("i > 0").limit(1).count():
-            continue
-        tried.append((beam, found_share(state, floors, k)))
-        if tried[-1][1] >= target or beam >= (most or beam):
-            break
-        beam, width = 2 * beam, max(32, beam // 2)
-        before, state = state, materialise(state.groupBy("blk").applyInArrow(again, QUERY), "beams")
-        release(before)
-
-    def best(batches):
-        for batch in batches:
-            b = Beams(pa.Table.from_batches([batch]))
-            n = [min(len(s), beam) for s in b.seen]
-            yield pa.record_batch([pa.array(np.repeat(b.query, n)), pa.array(np.concatenate([s[:k] for s, k in zip(b.seen, n)])), pa.array(np.concatenate([s[:k] for s, k in zip(b.score, n)]))], names=["query", "node", "score"])
-
-    return state.mapInArrow(best, "query long, node long, score double"), tried
-
-
-def found_share(state: DataFrame, floors: dict[int, tuple[int, float]], k: int) -> float:
-    """The share of the true nearest that the queries of ``floors`` have seen."""
-    first = lambda c: F.expr(f"substr({c}, 1, {8 * (k + 1)})").alias(c)
-    hits = 0
-    for r in state.where(F.col("query").isin(list(floors))).select("query", first("seen"), first("score")).collect():
-        others = np.frombuffer(r["score"], np.float64)[np.frombuffer(r["seen"], np.int64) != r["query"]]
-        many, floor = floors[r["query"]]
-        hits += min(many, int((others >= floor - 1e-9 * max(1.0, abs(floor))).sum()))
-    total = sum(many for many, _ in floors.values())
+            return pa.table([pa.array([], t) for t in (pa.bool_(), pa.int32(), *[pa.binary()] * 4)], names=[x.split()[0] for x in BEST.split(", ")])
+        table, asked = table.select(["node", "x"]).sort_by("node"), asked.select(["query", "x"]).sort_by("query")
+        node, x = table.column("node").to_numpy(), vectors_of(table.column("x"), kind)
+        query, q = asked.column("query").to_numpy(), vectors_of(asked.column("x"), kind)
+        made = graphs.build(graphs.unit(widen(x)), min(keep, max(1, len(node) - 1)))
+        v, w = (x / scale).astype(np.float32), (q / scale).astype(np.float32)
+        length = np.einsum("ij,ij->i", v, v)
+        rng = np.random.default_rng(11)
+        first = rng.choice(len(node), min(len(node), max(ANY, 4 * beam)), replace=False)
+        first = np.union1d(first, np.argsort(-length, kind="stable")[:LONGEST])
+        own = np.searchsorted(node, query)
+        own = np.where(node[np.minimum(own, len(node) - 1)] == query, own, -1)
+        rows: list[tuple] = []
+        for a in range(0, len(query), 1 << 13):
+            at, _ = graphs.search(v, made.near, w[a : a + (1 << 13)], first, own[a : a + (1 << 13)], beam, max(8, beam // 2), group_of(len(node)))
+            r, c = np.nonzero(at >= 0)
+            i, j = r + a, at[r, c]
+            got = np.concatenate([(q[i[y : y + 8192]].astype(np.float64) * x[j[y : y + 8192]]).sum(axis=1) for y in range(0, len(i), 8192)])
+            rows += packed(False, *best_of(query[i], node[j], got, k + 1))
+        for i in np.flatnonzero(np.isin(query, sample)).tolist():
+            got = np.concatenate([x[y : y + 8192].astype(np.float64) @ q[i].astype(np.float64) for y in range(0, len(x), 8192)])
+            other = np.flatnonzero(node != query[i])
+            other = other[np.argpartition(-got[other], k - 1)[:k]] if len(other) > k else other
+            rows += packed(True, np.full(len(other), query[i]), node[other], got[other])
+        return batch_of(BEST, [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.bool_(), pa.int32(), *[pa.binary()] * 4))])
+
+    def join(table: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        exact = table.column("exact")[0].as_py()
+        query, node, score = best_of(np.repeat(read("query", np.int64), read("many", np.int32)), read("node", np.int64), read("score", np.float64), k if exact else k + 1)
+        return batch_of(FOUND, [pa.array(np.full(len(query), exact)), pa.array(query), pa.array(node), pa.array(score)])
+
+    # beyond ``ASKED`` queries a shard is searched in several tasks
+    parts = pieces_of(queries.count(), ASKED)
+    part = F.pmod(F.xxhash64("query", F.lit(3)), F.lit(parts)).cast("int")
+    every = lambda from_, to, step: F.explode(F.sequence(from_.cast("int"), to.cast("int"), F.lit(step)))
+    first = F.pmod("node", F.lit(shards)) * parts
+    held = nodes.select(every(first, first + (parts - 1), 1).alias("blk"), "node", "x")
+    sent = queries.select(every(part, part + (shards - 1) * parts, parts).alias("blk"), "query", "x")
+    best = dealt(held, shards * parts).cogroup(dealt(sent, shards * parts)).applyInArrow(answer, BEST)
+    return materialise(best.groupBy("exact", "bucket").applyInArrow(join, FOUND), "found")
+
+
+def group_of(n: int) -> int:
+    """Queries that share what they see: all of them together a part of a shard of ``n`` nodes."""
+    return min(256, max(8, n // 256))
+
+
+def found_share(found: DataFrame, sample: list[int], k: int) -> float:
+    """The share of the true nearest that the queries of ``sample`` have seen."""
+    true: dict[int, list[float]] = {}
+    seen: dict[int, list[float]] = {}
+    for r in found.where(F.col("query").isin(sample) & (F.col("exact") | (F.col("node") != F.col("query")))).collect():
+        (true if r["exact"] else seen).setdefault(r["query"], []).append(r["score"])
+    total = hits = 0
+    for query, scores in true.items():
+        floor, many = min(scores), min(k, len(scores))
+        total += many
+        hits += min(many, sum(x >= floor - 1e-9 * max(1.0, abs(floor)) for x in seen.get(query, [])))
     return hits / total if total else 1.0
 
 
@@ -563,39 +243,47 @@ def _nearest(rows: DataFrame, k: int, is_query, beam: int | None, target: float,
     # the graph is of vectors divided by the largest component: no square overflows
     scale = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x.cast("double") / scale) * (x.cast("double") / scale))
-    found = materialise(found.withColumn("norm2", norm2), "nodes")
-    most, dims = found.agg(F.max("norm2"), F.max(F.size("vec"))).first()
+    most_of = F.max("norm2").alias("most")
 
     def pack(batches):
         for b in batches:
             v = b.column("vec").flatten().to_numpy().reshape(b.num_rows, -1)
-            rest = np.sqrt(np.maximum(most - b.column("norm2").to_numpy(), 0)).astype(np.float32)
-            wide = np.hstack((v / scale, rest[:, None])).astype(np.float32)
-            yield pa.record_batch([b.column("node"), b.column("ids"), pa.array([r.tobytes() for r in wide], pa.binary()), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "ids", "vec", "x"])
+            yield pa.record_batch([b.column("node"), b.column("ids"), b.column("norm2"), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "ids", "norm2", "x"])
 
-    nodes = materialise(found.select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, vec binary, x binary"), "nodes")
+    nodes = materialise(found.withColumn("norm2", norm2).select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, norm2 double, x binary"), "nodes")
     asked = rows.where(is_query).select("id", key.alias("query")).distinct()
-    asked_nodes = materialise(asked.select("query").distinct(), "asked")
-    n = nodes.count()
-    keep, first_beam = effort(n)
-    beam = max(beam or first_beam, k + 1)
-    # with unequal norms the longest vectors are near to many queries, wherever these stand
-    shortest = found.agg(F.min("norm2")).first()[0]
-    longest = found.orderBy(F.desc("norm2"), "node").limit(64).select("node", "vec").collect() if most and shortest < 0.99 * most else []
-    starts = (np.array([r["node"] for r in longest], np.int64), np.array([r["vec"] for r in longest], np.float64)) if longest else None
+    asked_nodes = asked.select("query").distinct()
+    n, most = nodes.agg(F.count(F.lit(1)), most_of).first()
+
+    def widen(x: np.ndarray) -> np.ndarray:
+        v = x / scale
+        rest = np.sqrt(np.maximum(most - np.einsum("ij,ij->i", v, v, dtype=np.float64), 0))
+        return np.hstack((v, rest[:, None])).astype(np.float32)
+
+    queries = materialise(nodes.join(asked_nodes, nodes["node"] == asked_nodes["query"], "left_semi").select(F.col("node").alias("query"), "x"), "asked")
+    sample = [r["query"] for r in queries.select("query").orderBy(F.xxhash64("query", F.lit(5)), "query").limit(SAMPLE).collect()]
+    shards = shards_of(n)
+    keep, first_beam = effort(-(-n // shards))
+    first_beam = max(beam or first_beam, k + 1)
     while True:
-        graph, blocks = build(nodes.select("node", "vec"), (dims or 0) + 1, keep)
-        seen, tried = search(asked_nodes, graph.select("blk", "node", "near").join(nodes.select("node", "x"), "node"), blocks, starts, beam, k, target, most=min(n, 32 * keep), kind=kind)
-        if measured is not None:
-            measured += [(keep, *t) for t in tried]
-        if tried[-1][1] >= target:
+        beam = first_beam
+        while True:
+            seen = search(nodes.select("node", "x"), queries, shards, widen, keep, beam, k, sample, scale, kind)
+            share = found_share(seen, sample, k)
+            if measured is not None:
+                measured.append((keep, beam, share))
+            if share >= target or beam >= min(n, 32 * keep):
+                break
+            release(seen)
+            beam *= 2
+        if share >= target:
             break
         if keep >= n:
-            raise RuntimeError(f"found {tried[-1][1]:.3f} of the nearest, not {target}")
+            raise RuntimeError(f"found {share:.3f} of the nearest, not {target}")
+        release(seen)
         keep *= 2
     # k + 1 nodes hold k ids besides the query's own
-    tied = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
-    best = seen.withColumn("t", tied).where(F.col("t") <= k + 1).join(nodes.select("node", "ids"), "node")
+    best = seen.where(~F.col("exact")).join(nodes.select("node", "ids"), "node")
     flat = best.select("query", "score", F.explode("ids").alias("id"))
     flat = flat.withColumn("p", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("p") <= k + 1)
     answer = flat.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("p", "id", "score"))).alias("found"))

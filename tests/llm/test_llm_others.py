@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from runlens.llm import language_id, mixing, neighbours, packing, queries, token_counts, warc
+from runlens.llm import graphs, language_id, mixing, neighbours, packing, queries, token_counts, warc
 from runlens.llm.common import new_path
 
 DATA = "/root/testdata/sf0.001"
@@ -330,6 +330,52 @@ def test_neighbours_effort(spark):
     assert [b for _, b, _ in tried] == [21 * 2**i for i in range(len(tried))] and len(tried) > 1 and tried[0][2] < 0.9995 <= tried[-1][2]
 
 
+def test_neighbours_work(spark):
+    """Graph and search take a few stages, however many rounds they need; every shard is searched."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(5000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    assert neighbours.shards_of(5000) > 1
+    spark.sparkContext.setJobGroup("nearest", "")
+    try:
+        rows = neighbours.nearest(frame).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("nearest") for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < len(stages) < 100
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    assert len(got) == 250 and all(len(x) == 20 for x in got.values())
+    assert sum(len(x & set(np.argsort(-s[q])[:20].tolist())) for q, x in got.items()) >= 0.92 * 20 * 250
+
+
+def test_graph_in_memory():
+    """Lists hold each neighbour once, without the node, best first; groups of queries see no less than single ones."""
+    rng = np.random.default_rng(5)
+    v = graphs.unit(np.vstack((rng.normal(size=(900, 8)), np.repeat(rng.normal(size=(1, 8)), 40, 0) + 0.01 * rng.normal(size=(40, 8)))).astype(np.float32))
+    made = graphs.build(v, 10)
+    for i, near in enumerate(made.near):
+        near = near[near >= 0]
+        assert i not in near and len(set(near.tolist())) == len(near) == 10
+        s = v[near] @ v[i]
+        assert (np.diff(s) <= 1e-6).all()
+    one, sims = graphs.search(v, made.near, v[:50], np.arange(20), np.arange(50), 30, 8, group=1)
+    many, _ = graphs.search(v, made.near, v[:50], np.arange(20), np.arange(50), 30, 8, group=50)
+    true = [set(np.argsort(-(v @ v[i]))[:10].tolist()) for i in range(50)]
+    hits = [sum(len(t & set(x[:10].tolist())) for t, x in zip(true, found)) for found in (one, many)]
+    assert 0.9 * 500 <= hits[0] <= hits[1] + 5 and (np.diff(sims, axis=1) <= 0).all()
+    for n in (1, 2, 3):
+        few = graphs.build(v[:n], 4)
+        assert ((few.near >= 0).sum(axis=1) == n - 1).all()
+        found, _ = graphs.search(v[:n], few.near, v[:n], np.arange(1), np.arange(n), 30, 8)
+        assert all(sorted(x.tolist()) == list(range(n)) for x in found)
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     assert token_counts.token_counts(none, queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
