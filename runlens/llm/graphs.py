@@ -14,6 +14,8 @@ import numpy as np
 HELD = 1 << 21
 #: Numbers in a piece of work: it should stay near the processor.
 PIECE = 1 << 20
+#: Nodes that a group of queries is compared with at a time.
+STEP = 1 << 13
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -205,18 +207,21 @@ def _search(v: np.ndarray, near: np.ndarray, q: np.ndarray, found: np.ndarray, b
     nodes, sims = np.full((m, beam), n, np.int64), np.full((m, beam), -np.inf, np.float32)
     while len(found):
         seen[found] = True
-        s = q @ v[found].T
-        if len(found) > beam and sims[0, -1] == -np.inf:
-            floor = np.maximum(np.partition(s, len(found) - beam, axis=1)[:, len(found) - beam], sims[:, -1])
-            r, c = where(s >= floor[:, None])
-        else:
-            r, c = where(s > sims[:, -1:])  # what the beams can take
-        if len(r):
+        # in pieces: what a beam has from one bounds what it takes from the next
+        for a in range(0, len(found), STEP):
+            some = found[a : a + STEP]
+            s = q @ v[some].T
+            least = sims[:, -1:]
+            if len(some) > beam and sims[0, -1] == -np.inf:
+                least = np.nextafter(np.partition(s, len(some) - beam, axis=1)[:, len(some) - beam, None], np.float32(-np.inf))
+            r, c = where(s > least)  # what the beams can take
+            if not len(r):
+                continue
             count = np.bincount(r, minlength=m)
             place = beam + np.arange(len(r)) - (np.cumsum(count) - count)[r]
             wide = np.full((m, beam + int(count.max())), n, np.int64), np.full((m, beam + int(count.max())), -np.inf, np.float32)
             wide[0][:, :beam], wide[1][:, :beam] = nodes, sims
-            wide[0][r, place], wide[1][r, place] = found[c], s[r, c]
+            wide[0][r, place], wide[1][r, place] = some[c], s[r, c]
             order = np.argsort(-wide[1], axis=1)[:, :beam]
             nodes, sims = (np.take_along_axis(x, order, 1) for x in wide)
         found = found[:0]

@@ -43,11 +43,13 @@ from .common import join_skewed, materialise, pieces_of, release
 #: Nodes of a shard at most: its vectors and lists are held in a Python worker.
 SHARD = 1 << 16
 #: Tables of fewer nodes are dealt to about ``SHARDS`` shards, but of ``LEAST`` nodes or more.
-LEAST, SHARDS = 2048, 16
+LEAST, SHARDS = 2048, 8
 #: Queries that one task searches for, and buckets of them in which the shards' answers meet.
 ASKED, BUCKETS = 1 << 18, 64
-#: Nodes that a search starts from: any, and the longest.
+#: Nodes that a search starts from: any (or a 32nd of a shard's), and the longest.
 ANY, LONGEST = 256, 64
+#: Length of lists and beam to begin with.
+KEEP, BEAM = 16, 32
 #: Queries that are also answered by brute force.
 SAMPLE = 256
 STATE = "blk int, node long, vec binary, near array<int>, fresh array<boolean>"
@@ -70,20 +72,29 @@ def batch_of(schema: str, cols: list) -> pa.Table:
     return pa.table(cols, names=[x.split()[0] for x in schema.split(", ")])
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part; floats stay floats, others are doubles."""
-    v = F.col("vec")
-    inf = F.lit(float("inf"))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists(v, lambda x: x != 0)
+def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, type]:
+    """(id, d, top, norm2, x) of the rows that take part, and the kind of the numbers in
+    ``x``: floats stay floats, others are doubles. ``top``: the largest component;
+    ``norm2``: the squared length of the vector divided by it."""
     kind = "float" if rows.schema[vec_col].dataType.elementType.simpleString() == "float" else "double"
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec")).where("id is not null and vec is not null")
-    return rows.where(fine)
+    number = np.float32 if kind == "float" else np.float64
 
-
-def effort(n: int) -> tuple[int, int]:
-    """Length of lists and beam to begin with for shards of ``n`` nodes."""
-    more = max(1.0, n / 16_000)
-    return round(16 * more**0.25), round(32 * more**0.25)
+    def pack(batches):
+        for batch in batches:
+            vec = batch.column("vec")
+            v = vec.flatten().to_numpy(zero_copy_only=False).astype(number, copy=False) + number(0)  # null: nan; -0.0: 0.0
+            size = vec.value_lengths().to_numpy(zero_copy_only=False)
+            end = np.cumsum(size)
+            upto = lambda x: np.append(0, np.cumsum(x))
+            bad, some = upto(~np.isfinite(v)), upto(v != 0)
+            good = np.flatnonzero((bad[end] == bad[end - size]) & (some[end] > some[end - size]))
+            each = [v[end[i] - size[i] : end[i]] for i in good]
+            top = np.array([np.abs(x).max() for x in each], np.float64)
+            norm2 = np.array([np.square(x / t, dtype=np.float64).sum() for x, t in zip(each, top)], np.float64)
+            yield pa.record_batch([batch.column("id").take(pa.array(good)), pa.array(size[good].astype(np.int32)), pa.array(top), pa.array(norm2), pa.array([x.tobytes() for x in each], pa.binary())], names=["id", "d", "top", "norm2", "x"])
+
+    return materialise(rows.mapInArrow(pack, "id long, d int, top double, norm2 double, x binary").withColumn("node", F.xxhash64("x")), "vectors"), number
 
 
 def shards_of(n: int) -> int:
@@ -104,7 +115,7 @@ def build(nodes: DataFrame, dims: int, keep: int | None = None, trees: int = 2,
     """
     n = nodes.count()
     shards = shards_of(n)
-    keep = keep or effort(-(-n // shards))[0]
+    keep = keep or KEEP
 
     def graph(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
@@ -162,7 +173,7 @@ def search(nodes: DataFrame, queries: DataFrame, shards: int, widen, keep: int,
         v, w = (x / scale).astype(np.float32), (q / scale).astype(np.float32)
         length = np.einsum("ij,ij->i", v, v)
         rng = np.random.default_rng(11)
-        first = rng.choice(len(node), min(len(node), max(ANY, 4 * beam)), replace=False)
+        first = rng.choice(len(node), min(len(node), max(ANY, 4 * beam, len(node) // 32)), replace=False)
         first = np.union1d(first, np.argsort(-length, kind="stable")[:LONGEST])
         own = np.searchsorted(node, query)
         own = np.where(node[np.minimum(own, len(node) - 1)] == query, own, -1)
@@ -173,11 +184,14 @@ def search(nodes: DataFrame, queries: DataFrame, shards: int, widen, keep: int,
             i, j = r + a, at[r, c]
             got = np.concatenate([(q[i[y : y + 8192]].astype(np.float64) * x[j[y : y + 8192]]).sum(axis=1) for y in range(0, len(i), 8192)])
             rows += packed(False, *best_of(query[i], node[j], got, k + 1))
-        for i in np.flatnonzero(np.isin(query, sample)).tolist():
-            got = np.concatenate([x[y : y + 8192].astype(np.float64) @ q[i].astype(np.float64) for y in range(0, len(x), 8192)])
-            other = np.flatnonzero(node != query[i])
-            other = other[np.argpartition(-got[other], k - 1)[:k]] if len(other) > k else other
-            rows += packed(True, np.full(len(other), query[i]), node[other], got[other])
+        tried = np.flatnonzero(np.isin(query, sample))
+        for a in range(0, len(tried), 32):  # each piece of the vectors is made double once for many queries
+            some = tried[a : a + 32]
+            got = np.concatenate([q[some].astype(np.float64) @ x[y : y + 8192].astype(np.float64).T for y in range(0, len(x), 8192)], axis=1)
+            for i, s in zip(some.tolist(), got):
+                other = np.flatnonzero(node != query[i])
+                other = other[np.argpartition(-s[other], k - 1)[:k]] if len(other) > k else other
+                rows += packed(True, np.full(len(other), query[i]), node[other], s[other])
         return batch_of(BEST, [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.bool_(), pa.int32(), *[pa.binary()] * 4))])
 
     def join(table: pa.Table) -> pa.Table:
@@ -199,7 +213,7 @@ def search(nodes: DataFrame, queries: DataFrame, shards: int, widen, keep: int,
 
 def group_of(n: int) -> int:
     """Queries that share what they see: all of them together a part of a shard of ``n`` nodes."""
-    return min(256, max(8, n // 256))
+    return min(512, max(8, n // 128))
 
 
 def found_share(found: DataFrame, sample: list[int], k: int) -> float:
@@ -224,36 +238,27 @@ def nearest(rows: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str =
     among sampled queries, above 0.9 by three standard errors. ``measured``
     takes (length of lists, beam, share found) of each trial.
     """
-    rows = usable(rows, id_col, vec_col)
+    rows, kind = usable(rows, id_col, vec_col)
     if is_query is None:
         is_query = F.pmod("id", F.lit(20)) == 0
-    sizes = sorted(r["d"] for r in rows.select(F.size("vec").alias("d")).distinct().collect())
-    found = [_nearest(rows.where(F.size("vec") == d), k, is_query, beam, target, measured) for d in sizes or [0]]
+    sizes = sorted((r["d"], r["top"]) for r in rows.groupBy("d").agg(F.max("top").alias("top")).collect())
+    found = [_nearest(rows.where(F.col("d") == d), kind, top, k, is_query, beam, target, measured) for d, top in sizes or [(0, 1.0)]]
     out = reduce(DataFrame.unionByName, found)
     return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _nearest(rows: DataFrame, k: int, is_query, beam: int | None, target: float, measured: list | None) -> DataFrame:
-    """:func:`nearest` among vectors of one length."""
-    kind = np.float32 if rows.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
-    key = F.xxhash64("vec")
+def _nearest(rows: DataFrame, kind: type, scale: float, k: int, is_query, beam: int | None, target: float, measured: list | None) -> DataFrame:
+    """:func:`nearest` among vectors of one length, ``scale`` their largest component."""
     # of equal vectors no more than k + 1 ids can be in any answer
-    first = rows.select("id", "vec").distinct().withColumn("copy", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1)
-    found = first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("node", key)
+    first = rows.select("node", "id").distinct().withColumn("copy", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("copy") <= k + 1)
+    ids = first.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = materialise(rows.groupBy("node").agg(F.first("x").alias("x")).join(ids.hint("shuffle_merge"), "node"), "nodes")
     # the graph is of vectors divided by the largest component: no square overflows
-    scale = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x.cast("double") / scale) * (x.cast("double") / scale))
-    most_of = F.max("norm2").alias("most")
-
-    def pack(batches):
-        for b in batches:
-            v = b.column("vec").flatten().to_numpy().reshape(b.num_rows, -1)
-            yield pa.record_batch([b.column("node"), b.column("ids"), b.column("norm2"), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "ids", "norm2", "x"])
-
-    nodes = materialise(found.withColumn("norm2", norm2).select("node", "ids", "vec", "norm2").mapInArrow(pack, "node long, ids array<long>, norm2 double, x binary"), "nodes")
-    asked = rows.where(is_query).select("id", key.alias("query")).distinct()
+    part = F.col("top") / F.lit(scale)
+    most = rows.agg(F.max(F.col("norm2") * part * part)).first()[0]
+    asked = rows.where(is_query).select("id", F.col("node").alias("query")).distinct()
     asked_nodes = asked.select("query").distinct()
-    n, most = nodes.agg(F.count(F.lit(1)), most_of).first()
+    n = nodes.count()
 
     def widen(x: np.ndarray) -> np.ndarray:
         v = x / scale
@@ -263,8 +268,7 @@ def _nearest(rows: DataFrame, k: int, is_query, beam: int | None, target: float,
     queries = materialise(nodes.join(asked_nodes, nodes["node"] == asked_nodes["query"], "left_semi").select(F.col("node").alias("query"), "x"), "asked")
     sample = [r["query"] for r in queries.select("query").orderBy(F.xxhash64("query", F.lit(5)), "query").limit(SAMPLE).collect()]
     shards = shards_of(n)
-    keep, first_beam = effort(-(-n // shards))
-    first_beam = max(beam or first_beam, k + 1)
+    keep, first_beam = KEEP, max(beam or BEAM, k + 1)
     while True:
         beam = first_beam
         while True:

@@ -354,6 +354,21 @@ def test_neighbours_work(spark):
     assert sum(len(x & set(np.argsort(-s[q])[:20].tolist())) for q, x in got.items()) >= 0.92 * 20 * 250
 
 
+def test_neighbours_read_once(spark):
+    """The table is read once, whatever is asked of it; 0.0 and -0.0 are one number."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame([(i, [1.0, -0.0 if i % 2 else 0.0, float(i // 20)]) for i in range(60)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame.mapInArrow(count, frame.schema), k=3).collect()
+    assert read.value == 60
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(q, i + 1, x) for q, found in ((0, (1, 2, 3)), (20, (40, 41, 42)), (40, (41, 42, 43))) for i, x in enumerate(found)]
+
+
 def test_graph_in_memory():
     """Lists hold each neighbour once, without the node, best first; groups of queries see no less than single ones."""
     rng = np.random.default_rng(5)
